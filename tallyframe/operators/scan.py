@@ -59,84 +59,79 @@ def _match(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame
 _REDUCE = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
-def running(
+def _combine(kind: str, carried: Column, local: Column) -> Column:
+    if kind == "sum":
+        return F.coalesce(carried, F.lit(0)) + F.coalesce(local, F.lit(0))
+    return F.least(carried, local) if kind == "min" else F.greatest(carried, local)
+
+
+def ordered(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column | str],
     slice_by: Column | str,
-    measures: dict[str, tuple[str, Column]],
     *,
-    include_current: bool = True,
+    upto: dict[str, tuple[str, Column]] | None = None,
+    before: dict[str, tuple[str, Column]] | None = None,
+    prior: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Add running sums, minima or maxima: ``measures`` maps name -> (kind, expression).
+    """Add ordered columns over each key, sharing one shuffle of the rows.
 
-    With ``include_current=False`` the value covers the rows strictly before the current one; a sum
-    over no rows is then 0 and a minimum or maximum is null.
+    ``upto`` and ``before`` map a name to (sum | min | max, expression): the value over the rows up
+    to and including the current one, or strictly before it. A sum over no rows is 0, a minimum or
+    maximum null. ``prior`` maps a name to the value an expression had on the preceding row; it
+    needs ``order`` as ascending column names that order a key totally.
     """
-    by = F.col(slice_by) if isinstance(slice_by, str) else slice_by
-    base = df.withColumn(SLICE, by)
-    for name, (_, expression) in measures.items():
+    folds = [(n, k, e, 0) for n, (k, e) in (upto or {}).items()] + [(n, k, e, -1) for n, (k, e) in (before or {}).items()]
+    base = df.withColumn(SLICE, F.col(slice_by) if isinstance(slice_by, str) else slice_by)
+    for name, _, expression, _ in folds:
         base = base.withColumn(f"_in_{name}", expression)
-    last = 0 if include_current else -1
-    inside = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
-    before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    if prior:
+        base = base.withColumn("_now", F.struct(*[e.alias(n) for n, e in prior.items()]))
 
-    totals = base.groupBy(*keys, SLICE).agg(
-        *[_REDUCE[kind](f"_in_{name}").alias(f"_tot_{name}") for name, (kind, _) in measures.items()]
-    )
-    carried = totals.select(
-        *keys,
-        SLICE,
-        *[_REDUCE[kind](f"_tot_{name}").over(before).alias(f"_pre_{name}") for name, (kind, _) in measures.items()],
-    )
-    local = base.select(
-        *df.columns if SLICE not in df.columns else [c for c in df.columns if c != SLICE],
-        SLICE,
-        *[_REDUCE[kind](f"_in_{name}").over(inside).alias(f"_loc_{name}") for name, (kind, _) in measures.items()],
+    inside = Window.partitionBy(*keys, SLICE).orderBy(*order)
+    slices = Window.partitionBy(*keys).orderBy(SLICE)
+    earlier = slices.rowsBetween(Window.unboundedPreceding, -1)
+    summary = [_REDUCE[kind](f"_in_{name}").alias(f"_tot_{name}") for name, kind, _, _ in folds]
+    carried = [_REDUCE[kind](f"_tot_{name}").over(earlier).alias(f"_pre_{name}") for name, kind, _, _ in folds]
+    local = [
+        _REDUCE[kind](f"_in_{name}").over(inside.rowsBetween(Window.unboundedPreceding, last)).alias(f"_loc_{name}")
+        for name, kind, _, last in folds
+    ]
+    if prior:
+        summary.append(F.max_by("_now", F.struct(*order)).alias("_tail"))
+        carried.append(F.lag("_tail").over(slices).alias("_carried"))
+        local.append(F.lag("_now").over(inside).alias("_seen"))
+
+    across = base.groupBy(*keys, SLICE).agg(*summary).select(*keys, SLICE, *carried)
+    kept = [c for c in df.columns if c != SLICE]
+    joined = _match(base.select(*kept, SLICE, *local), across, [*keys, SLICE])
+    return joined.select(
+        *kept,
+        *[_combine(kind, F.col(f"_pre_{name}"), F.col(f"_loc_{name}")).alias(name) for name, kind, _, _ in folds],
+        *[F.coalesce("_seen", "_carried")[name].alias(name) for name in prior or {}],
     )
-    joined = _match(local, carried, [*keys, SLICE])
-    for name, (kind, expression) in measures.items():
-        pre, loc = F.col(f"_pre_{name}"), F.col(f"_loc_{name}")
-        if kind == "sum":
-            value = F.coalesce(pre, F.lit(0)) + F.coalesce(loc, F.lit(0))
-        elif kind == "min":
-            value = F.least(pre, loc)
-        else:
-            value = F.greatest(pre, loc)
-        joined = joined.withColumn(name, value)
-    return joined.drop(SLICE, *[f"_{p}_{n}" for n in measures for p in ("pre", "loc")])
-
-
-def row_index(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], slice_by: Column | str, name: str = "row_index"
-) -> DataFrame:
-    """1-based position of each row of a key under ``order`` (which must be total)."""
-    return running(df, keys, order, slice_by, {name: ("sum", F.lit(1).cast("bigint"))})
 
 
-def previous(
+def running(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[str],
+    order: Sequence[Column | str],
     slice_by: Column | str,
-    fields: dict[str, Column],
+    measures: dict[str, tuple[str, Column]],
+    *,
+    include_current: bool = True,
 ) -> DataFrame:
-    """Add the value each expression had on the key's preceding row (null on the first row).
+    if include_current:
+        return ordered(df, keys, order, slice_by, upto=measures)
+    return ordered(df, keys, order, slice_by, before=measures)
 
-    ``order`` holds column names, ascending, and must be total within a key.
-    """
-    by = F.col(slice_by) if isinstance(slice_by, str) else slice_by
-    base = df.withColumn(SLICE, by).withColumn("_now", F.struct(*[e.alias(n) for n, e in fields.items()]))
-    inside = Window.partitionBy(*keys, SLICE).orderBy(*order)
-    across = Window.partitionBy(*keys).orderBy(SLICE)
-    tails = base.groupBy(*keys, SLICE).agg(F.max_by("_now", F.struct(*order)).alias("_tail"))
-    carried = tails.select(*keys, SLICE, F.lag("_tail").over(across).alias("_carried"))
-    local = base.withColumn("_seen", F.lag("_now").over(inside))
-    joined = _match(local, carried, [*keys, SLICE])
-    source = F.coalesce(F.col("_seen"), F.col("_carried"))
-    for name in fields:
-        joined = joined.withColumn(name, source[name])
-    return joined.drop(SLICE, "_now", "_seen", "_carried")
+
+def row_index(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], slice_by: Column | str, name: str = "row_index"
+) -> DataFrame:
+    """1-based position of each row of a key under ``order`` (which must be total)."""
+    return ordered(df, keys, order, slice_by, upto={name: ("sum", F.lit(1).cast("bigint"))})
 
 
 def group_totals(df: DataFrame, keys: Sequence[str], **totals: Column) -> DataFrame:
