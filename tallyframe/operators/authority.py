@@ -271,3 +271,57 @@ def outcome_owner(
         F.when(to_first, F.col("initial_actor")).otherwise(F.col("_end.who")).alias("outcome_actor"),
     )
     return result, ends.where(changed & (F.col("actor_count") > 2)).select(*keys, "actor_count")
+
+
+def source_only_rows(source: DataFrame, ledger: DataFrame, key: Sequence[str], amount: str) -> DataFrame:
+    """Positive source rows whose key has no positive row in the ledger."""
+    return source.where(F.col(amount) > 0).join(ledger.where(F.col(amount) > 0), list(key), "left_anti")
+
+
+def confirmed_gaps(source: DataFrame, ledger: DataFrame, second: DataFrame, key: Sequence[str], fields: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(ledger with source-only rows an exact second source confirms, gaps it does not confirm).
+
+    A gap is confirmed when the second source shows the very same values; a missing or different
+    row leaves it open.
+    """
+    gaps = source_only_rows(source, ledger, key, fields[0]).select(*key, F.struct(*fields).alias("_s"))
+    exact = second.select(*key, F.struct(*fields).alias("_x"))
+    judged = gaps.join(exact, list(key), "left")
+    same = F.coalesce(F.col("_s") == F.col("_x"), F.lit(False))
+    added = judged.where(same).select(*key, *[F.col(f"_x.{f}").alias(f) for f in fields], F.lit("second_source").alias("authority"))
+    open_gaps = judged.where(~same).select(*key, F.when(F.col("_x").isNull(), "no_second_source").otherwise("values_differ").alias("reason"))
+    return ledger.select(*key, *fields, F.lit("ledger").alias("authority")).unionByName(added), open_gaps
+
+
+def residual_quarantine(
+    source: DataFrame, ledger: DataFrame, season_residual: DataFrame, entity: Sequence[str], game: Sequence[str], fields: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    """(source without proven extra rows, verdict per entity with source-only rows).
+
+    A row goes only if it is its entity's single source-only row, equals the season residual exactly,
+    and its removal makes the entity's totals equal the ledger's.
+    ``season_residual``: entity columns and one ``residual_<field>`` per field.
+    """
+    key = [*entity, *game]
+    extra = source_only_rows(source, ledger, key, fields[0])
+    single = extra.groupBy(*entity).agg(
+        F.count("*").alias("_n"), *[F.max(g).alias(g) for g in game], F.max(F.struct(*fields)).alias("_row")
+    )
+    zero = F.struct(*[F.lit(0).cast("bigint").alias(f) for f in fields])
+
+    def totals(df: DataFrame, name: str) -> DataFrame:
+        return df.where(F.col(fields[0]) > 0).groupBy(*entity).agg(F.struct(*[F.sum(f).alias(f) for f in fields]).alias(name))
+
+    residual = season_residual.select(*entity, F.struct(*[F.col(f"residual_{f}").cast("bigint").alias(f) for f in fields]).alias("_season"))
+    judged = single.join(residual, list(entity), "left").join(totals(source, "_all"), list(entity)).join(totals(ledger, "_ledger"), list(entity), "left")
+    after = F.struct(*[(F.col(f"_all.{f}") - F.col(f"_row.{f}")).alias(f) for f in fields])
+    verdict = (
+        F.when(F.col("_n") != 1, "several_source_only_rows")
+        .when(~F.coalesce(F.col("_row") == F.col("_season"), F.lit(False)), "season_residual_differs")
+        .when(after != F.coalesce(F.col("_ledger"), zero), "ledger_totals_differ")
+        .otherwise("quarantined")
+    )
+    verdicts = judged.withColumn("verdict", verdict)
+    proven = verdicts.where("verdict = 'quarantined'")
+    kept = source.join(proven.select(*key), key, "left_anti")
+    return kept, verdicts.select(*entity, "verdict")

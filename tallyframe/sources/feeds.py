@@ -71,3 +71,84 @@ def season_splits(documents: DataFrame, text: str, statistics: dict[str, str]) -
         F.col("item.player.id").alias("player_id"),
         *[F.try_element_at("item.stat", F.lit(s)).try_cast("double").alias(c) for s, c in statistics.items()],
     )
+
+
+# Shape of the roster document.
+ROSTER_FEED = """struct<
+  roster: array<struct<
+    person: struct<id: bigint, fullName: string, link: string>,
+    position: struct<code: string, abbreviation: string>,
+    status: struct<code: string, description: string>,
+    parentTeamId: bigint>>>"""
+
+
+def roster_rows(documents: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
+    """One row per roster entry with identity and status."""
+    rows = json_rows(documents, F.col(text), ROSTER_FEED, "roster", keep)
+    return rows.select(
+        *keep,
+        F.col("item.person.id").alias("player_id"),
+        F.col("item.person.fullName").alias("full_name"),
+        F.col("item.person.link").alias("person_link"),
+        F.col("item.position.abbreviation").alias("position_abbreviation"),
+        F.col("item.status.code").alias("status_code"),
+        F.col("item.parentTeamId").alias("parent_team_id"),
+    )
+
+
+def roster_membership(rows: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(one membership row per player, players whose identity differs between entries).
+
+    Entries are made distinct first, so the collected status codes are bounded by the code list.
+    """
+    entries = rows.select(*keep, "player_id", "full_name", "person_link", "status_code").distinct()
+    grouped = entries.groupBy(*keep, "player_id").agg(
+        F.min(F.struct("full_name", "person_link")).alias("_lo"),
+        F.max(F.struct("full_name", "person_link")).alias("_hi"),
+        F.array_sort(F.collect_set("status_code")).alias("status_codes"),
+    )
+    same = F.col("_lo") == F.col("_hi")
+    members = grouped.where(same).select(*keep, "player_id", F.col("_lo.full_name").alias("full_name"), "status_codes")
+    return members, grouped.where(~same).select(*keep, "player_id")
+
+
+# Feed statistic -> column of a baserunning season split.
+STEAL_STATISTICS = {
+    "plateAppearances": "plate_appearances",
+    "hits": "hits",
+    "doubles": "doubles",
+    "triples": "triples",
+    "homeRuns": "home_runs",
+    "baseOnBalls": "walks",
+    "intentionalWalks": "intentional_walks",
+    "hitByPitch": "hit_by_pitch",
+    "stolenBases": "stolen_bases",
+    "caughtStealing": "caught_stealing",
+}
+
+
+def steal_stints(documents: DataFrame, text: str = "document") -> DataFrame:
+    """Season splits with steal attempts and the times on first base as opportunity proxy.
+
+    First base is reached by singles, unintentional walks and hit batters.
+    """
+    rows = season_splits(documents, text, STEAL_STATISTICS)
+    singles = F.col("hits") - F.col("doubles") - F.col("triples") - F.col("home_runs")
+    on_first = singles + F.col("walks") - F.col("intentional_walks") + F.col("hit_by_pitch")
+    return rows.withColumn("attempts", F.col("stolen_bases") + F.col("caught_stealing")).withColumn("opportunity_proxy", on_first)
+
+
+def pitch_recording(play_rows: DataFrame) -> DataFrame:
+    """Per plate appearance: pitches recorded, the largest pitch number and the gap between them."""
+    pitches_only = F.filter("play_events", lambda e: F.coalesce(e["isPitch"], F.lit(False)))
+    numbers = F.transform(pitches_only, lambda e: e["pitchNumber"])
+    recorded = F.size(pitches_only).cast("bigint")
+    top = F.array_max(numbers)
+    return play_rows.select(
+        "game_pk",
+        "at_bat_index",
+        "result_event_type",
+        recorded.alias("recorded_pitch_event_count"),
+        top.alias("max_pitch_number"),
+        F.greatest(top - recorded, F.lit(0)).alias("pitch_number_gap"),
+    )
