@@ -30,7 +30,8 @@ def _predicted(t: Tables):
     predictor, target, _outside = asof.membership(day, asof.as_date(CUTOFF), 7)
     past = t.events.where(predictor).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
     full = season.complete(past, ["user_id"], "event_type", KINDS, ["n"])
-    pool = profile.shares(past.withColumn("all", F.lit(1)), ["all"], "event_type", F.col("n"), "baseline").select("event_type", "baseline")
+    counts = past.groupBy("event_type").agg(F.sum("n").alias("pooled"))
+    pool = lookup.attach_total(counts, past.agg(F.sum("n").alias("all"))).select("event_type", (F.col("pooled") / F.col("all")).alias("baseline"))
     totals = full.groupBy("user_id").agg(F.sum("n").alias("past_events"))
     mixed = full.join(pool, "event_type").join(totals, "user_id")
     shrunk = mixed.withColumn("shrunk", (F.col("n") + 100 * F.col("baseline")) / (F.col("past_events") + 100))

@@ -183,16 +183,24 @@ def _(t: Tables):
     return cells.select("event_type", "occurrence_count", *[r6(c).alias(c) for c in ("mean_value", "sd_value", "se_value")])
 
 
+_BANDED = f"""{_MOVES}, bc as (select case when hour(ts) < 8 then 'night' when hour(ts) < 16 then 'day' else 'evening' end environment, event_type, count(cv) n, avg(cv) m from v
+    where cv is not null group by 1, 2), bp as (select *, sum(n) over g - n pn, sum(n * m) over g - n * m ps, count(*) over g - 1 pk from bc window g as (partition by event_type))"""
+
+
 @query(
     "v8_state_value_pooled",
-    f"""with {_MOVES}, q as (select *, n * mean s from c) select event_type, n occurrence_count, round(mean, 6) + 0.0 mean_value,
-          round(((select sum(s) from q) - s) / ((select sum(n) from q) - n), 6) + 0.0 prior_mean,
-          round((mean * n + 75 * ((select sum(s) from q) - s) / ((select sum(n) from q) - n)) / (n + 75), 6) + 0.0 estimated_mean from q""",
+    f"""with {_BANDED} select environment, event_type, n occurrence_count, round(m, 6) + 0.0 mean_value, round(ps / pn, 6) + 0.0 prior_mean, pk prior_environment_count,
+          round((m * n + 75 * ps / pn) / (n + 75), 6) + 0.0 estimated_mean from bp""",
 )
 def _(t: Tables):
-    direct = statevalue.category_value(_valued(t), ["event_type"]).withColumn("pool", F.lit("user_day")).withColumn("measure", F.lit("context_value"))
-    pooled = statevalue.pooled_values(direct, ["event_type"], ["pool"], "measure", F.lit(75))
-    return pooled.select("event_type", "occurrence_count", *[r6(c).alias(c) for c in ("mean_value", "prior_mean", "estimated_mean")])
+    """Flagship: value of each event type by part of the day, shrunk to the same type at other times."""
+    hour = F.hour("ts")
+    valued = _valued(t).withColumn("environment", F.when(hour < 8, "night").when(hour < 16, "day").otherwise("evening"))
+    direct = statevalue.category_value(valued, ["environment", "event_type"])
+    pooled = statevalue.pooled_values(direct, ["environment"], [], "event_type", F.lit(75))
+    return pooled.select(
+        "environment", "event_type", "occurrence_count", *[r6(c).alias(c) for c in ("mean_value", "prior_mean", "estimated_mean")], "prior_environment_count"
+    )
 
 
 _NATION_CELLS = """n as (select n_nationkey::bigint nation_key, n_regionkey::bigint region_key, c_mktsegment, count(*) n, avg(c_acctbal) m from customer
