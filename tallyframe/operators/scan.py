@@ -65,51 +65,83 @@ def _combine(kind: str, carried: Column, local: Column) -> Column:
     return F.least(carried, local) if kind == "min" else F.greatest(carried, local)
 
 
+Folds = dict[str, tuple[str, Column]]
+
+
 def ordered(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column | str],
     slice_by: Column | str,
     *,
-    upto: dict[str, tuple[str, Column]] | None = None,
-    before: dict[str, tuple[str, Column]] | None = None,
+    upto: Folds | None = None,
+    before: Folds | None = None,
+    whole: Folds | None = None,
     prior: dict[str, Column] | None = None,
+    final: dict[str, Column] | None = None,
+    last: str | None = None,
 ) -> DataFrame:
     """Add ordered columns over each key, sharing one shuffle of the rows.
 
-    ``upto`` and ``before`` map a name to (sum | min | max, expression): the value over the rows up
-    to and including the current one, or strictly before it. A sum over no rows is 0, a minimum or
-    maximum null. ``prior`` maps a name to the value an expression had on the preceding row; it
-    needs ``order`` as ascending column names that order a key totally.
+    ``upto``, ``before`` and ``whole`` map a name to (sum | min | max, expression): the value over
+    the rows up to and including the current one, strictly before it, or of the whole key. A sum
+    over no rows is 0, a minimum or maximum null. ``prior`` and ``final`` map a name to the value an
+    expression has on the preceding row and on the key's last row; ``last`` names a flag for that
+    last row. The order must be total within a key.
+
+    Slices are summarised by an aggregate when only folds are asked for. Otherwise the summary is
+    the last row of each slice, which reads the shuffle of the first level a second time instead of
+    scanning the source again.
     """
-    folds = [(n, k, e, 0) for n, (k, e) in (upto or {}).items()] + [(n, k, e, -1) for n, (k, e) in (before or {}).items()]
+    upto, before, whole, prior, final = upto or {}, before or {}, whole or {}, prior or {}, final or {}
+    folds = {**upto, **before, **whole}
+    tails = {**prior, **final}
     base = df.withColumn(SLICE, F.col(slice_by) if isinstance(slice_by, str) else slice_by)
-    for name, _, expression, _ in folds:
-        base = base.withColumn(f"_in_{name}", expression)
-    if prior:
-        base = base.withColumn("_now", F.struct(*[e.alias(n) for n, e in prior.items()]))
+    kept = [c for c in df.columns if c != SLICE]
 
     inside = Window.partitionBy(*keys, SLICE).orderBy(*order)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far_before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    ends_slice = F.lead(F.lit(1)).over(inside).isNull()
+    if tails or last:
+        summary = base.select(
+            *keys,
+            SLICE,
+            *[_REDUCE[k](e).over(so_far).alias(f"_tot_{n}") for n, (k, e) in folds.items()],
+            *[e.alias(f"_tail_{n}") for n, e in tails.items()],
+            ends_slice.alias("_ends"),
+        ).where("_ends")
+    else:
+        summary = base.groupBy(*keys, SLICE).agg(*[_REDUCE[k](e).alias(f"_tot_{n}") for n, (k, e) in folds.items()])
+
     slices = Window.partitionBy(*keys).orderBy(SLICE)
     earlier = slices.rowsBetween(Window.unboundedPreceding, -1)
-    summary = [_REDUCE[kind](f"_in_{name}").alias(f"_tot_{name}") for name, kind, _, _ in folds]
-    carried = [_REDUCE[kind](f"_tot_{name}").over(earlier).alias(f"_pre_{name}") for name, kind, _, _ in folds]
-    local = [
-        _REDUCE[kind](f"_in_{name}").over(inside.rowsBetween(Window.unboundedPreceding, last)).alias(f"_loc_{name}")
-        for name, kind, _, last in folds
-    ]
-    if prior:
-        summary.append(F.max_by("_now", F.struct(*order)).alias("_tail"))
-        carried.append(F.lag("_tail").over(slices).alias("_carried"))
-        local.append(F.lag("_now").over(inside).alias("_seen"))
-
-    across = base.groupBy(*keys, SLICE).agg(*summary).select(*keys, SLICE, *carried)
-    kept = [c for c in df.columns if c != SLICE]
-    joined = _match(base.select(*kept, SLICE, *local), across, [*keys, SLICE])
-    return joined.select(
+    everything = slices.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    across = summary.select(
+        *keys,
+        SLICE,
+        *[_REDUCE[k](f"_tot_{n}").over(earlier).alias(f"_pre_{n}") for n, (k, _) in {**upto, **before}.items()],
+        *[_REDUCE[k](f"_tot_{n}").over(everything).alias(f"_all_{n}") for n, (k, _) in whole.items()],
+        *[F.lag(f"_tail_{n}").over(slices).alias(f"_carried_{n}") for n in prior],
+        *[F.last(f"_tail_{n}").over(everything).alias(f"_final_{n}") for n in final],
+        *([F.lead(F.lit(1)).over(slices).isNull().alias("_last_slice")] if last else []),
+    )
+    local = base.select(
+        *kept,
+        SLICE,
+        *[_REDUCE[k](e).over(so_far).alias(f"_loc_{n}") for n, (k, e) in upto.items()],
+        *[_REDUCE[k](e).over(so_far_before).alias(f"_loc_{n}") for n, (k, e) in before.items()],
+        *[F.lag(e).over(inside).alias(f"_seen_{n}") for n, e in prior.items()],
+        *([(F.row_number().over(inside) == 1).alias("_starts")] if prior else []),
+        *([ends_slice.alias("_ends")] if last else []),
+    )
+    return _match(local, across, [*keys, SLICE]).select(
         *kept,
-        *[_combine(kind, F.col(f"_pre_{name}"), F.col(f"_loc_{name}")).alias(name) for name, kind, _, _ in folds],
-        *[F.coalesce("_seen", "_carried")[name].alias(name) for name in prior or {}],
+        *[_combine(k, F.col(f"_pre_{n}"), F.col(f"_loc_{n}")).alias(n) for n, (k, _) in {**upto, **before}.items()],
+        *[F.col(f"_all_{n}").alias(n) for n in whole],
+        *[F.when(F.col("_starts"), F.col(f"_carried_{n}")).otherwise(F.col(f"_seen_{n}")).alias(n) for n in prior],
+        *[F.col(f"_final_{n}").alias(n) for n in final],
+        *([(F.col("_ends") & F.col("_last_slice")).alias(last)] if last else []),
     )
 
 
@@ -118,7 +150,7 @@ def running(
     keys: Sequence[str],
     order: Sequence[Column | str],
     slice_by: Column | str,
-    measures: dict[str, tuple[str, Column]],
+    measures: Folds,
     *,
     include_current: bool = True,
 ) -> DataFrame:

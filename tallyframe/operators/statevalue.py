@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.numeric import ratio
@@ -23,19 +23,21 @@ def transitions(
     evaluated on the last row's state, available as column ``final_state``) and ``is_terminal``.
     """
     placed = scan.ordered(
-        df, keys, order, slice_by, before={"value_before": ("sum", F.col(value))}, prior={"_prior": F.col(state)}
+        df,
+        keys,
+        order,
+        slice_by,
+        before={"value_before": ("sum", F.col(value))},
+        whole={"partition_value": ("sum", F.col(value))},
+        prior={"_prior": F.col(state)},
+        final={"final_state": F.col(state)},
+        last="is_terminal",
     )
-    ends = df.groupBy(*keys).agg(
-        F.sum(value).alias("partition_value"),
-        F.max_by(F.struct(F.struct(*order).alias("place"), F.col(state).alias("final")), F.struct(*order)).alias("_end"),
-    )
-    joined = placed.join(ends, list(keys), "left").withColumn("final_state", F.col("_end.final"))
     return (
-        joined.withColumn("start_state", F.coalesce("_prior", F.lit(START)))
+        placed.withColumn("start_state", F.coalesce("_prior", F.lit(START)))
         .withColumn("end_state", F.col(state))
         .withColumn("partition_complete", complete)
-        .withColumn("is_terminal", F.struct(*order) == F.col("_end.place"))
-        .drop("_prior", "_end")
+        .drop("_prior")
     )
 
 
@@ -97,12 +99,18 @@ def pooled_values(
 
     ``strength`` is the policy's prior-equivalent count, 0 for "keep direct" and null for an
     environment without a policy. A pooled policy without peers keeps the direct mean, uncertified.
+    ``direct`` is a reduced table with one row per environment and category, so the window over a
+    pool covers its environments only.
     """
-    rows = direct.withColumn("_strength", strength).withColumn("_weighted", F.col("mean_value") * F.col("occurrence_count"))
-    pools = rows.groupBy(*pool, category).agg(
-        F.sum("occurrence_count").alias("_n"), F.sum("_weighted").alias("_s"), F.count("*").alias("_k")
+    pooled = Window.partitionBy(*pool, category)
+    weighted = F.col("mean_value") * F.col("occurrence_count")
+    joined = (
+        direct.withColumn("_strength", strength)
+        .withColumn("_weighted", weighted)
+        .withColumn("_n", F.sum("occurrence_count").over(pooled))
+        .withColumn("_s", F.sum("_weighted").over(pooled))
+        .withColumn("_k", F.count("*").over(pooled))
     )
-    joined = rows.join(pools, [*pool, category], "left")
     peers = F.col("_n") - F.col("occurrence_count")
     pooling = F.coalesce(F.col("_strength") > 0, F.lit(False))
     usable = pooling & (peers > 0)

@@ -27,10 +27,9 @@ def whole_rows_within(
     return total.where(F.col("running_amount") <= cap)
 
 
-def last_flag(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "is_last") -> DataFrame:
+def last_flag(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: Column, name: str = "is_last") -> DataFrame:
     """Mark the final row of each key under a total order."""
-    marked = scan.group_totals(df, keys, _last=F.max(F.struct(*order)))
-    return marked.withColumn(name, F.struct(*order) == F.col("_last")).drop("_last")
+    return scan.ordered(df, keys, order, slice_by, last=name)
 
 
 def date_environments(df: DataFrame, entity: str, day: str, environment: str, **totals: Column) -> DataFrame:

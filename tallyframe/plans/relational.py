@@ -899,7 +899,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     rows = t.events.select("user_id", F.to_date("ts").alias("event_date"), "event_id", "event_type", "ts")
-    marked = windows.last_flag(rows, ["user_id", "event_date"], ["ts", "event_id"])
+    marked = windows.last_flag(rows, ["user_id", "event_date"], ["ts", "event_id"], scan.time_slice("ts"))
     return marked.where("is_last").select("user_id", "event_date", "event_id", "event_type")
 
 
