@@ -1,0 +1 @@
+"""Incremental use of the merging operators."""
