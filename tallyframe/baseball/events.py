@@ -32,22 +32,27 @@ def result_group(event_type: Column) -> Column:
     return fn.map_value(F.trim(event_type), v.CONTACT_RESULT_GROUP)
 
 
-def narrative_group(text: Column) -> tuple[Column, Column, Column]:
-    """(group, status, matched groups) of a result narrative.
+def with_narrative_group(df: DataFrame, text: str) -> DataFrame:
+    """Add terminal_outcome_group, terminal_outcome_status and terminal_outcome_matches.
 
     Blank, bunt and special narratives are set aside first. Then every pattern is tried, and only a
     single distinct group is accepted.
     """
-    groups, status = fn.text_groups(text, v.NARRATIVE_PATTERNS)
-    labels = {"supported": "supported_narrative_fallback", "ambiguous": "ambiguous_narrative_groups", "unsupported": "unsupported_narrative_result"}
+    narrative = F.col(text)
     aside = (
-        F.when(~fn.present(text), "unsupported_blank_description")
-        .when(text.rlike(v.BUNT_NARRATIVE), "unsupported_bunt")
-        .when(text.rlike(v.SPECIAL_NARRATIVE), "unsupported_special_result")
+        F.when(~fn.present(narrative), "unsupported_blank_description")
+        .when(narrative.rlike(v.BUNT_NARRATIVE), "unsupported_bunt")
+        .when(narrative.rlike(v.SPECIAL_NARRATIVE), "unsupported_special_result")
+    )
+    matched = fn.with_text_groups(df.withColumn("_aside", aside), narrative, v.NARRATIVE_PATTERNS, "_groups", "_match")
+    labels = {"supported": "supported_narrative_fallback", "ambiguous": "ambiguous_narrative_groups", "unsupported": "unsupported_narrative_result"}
+    status = F.coalesce("_aside", fn.map_value(F.col("_match"), labels))
+    return (
+        matched.withColumn("terminal_outcome_status", status)
+        .withColumn("terminal_outcome_group", F.when(F.col("terminal_outcome_status") == labels["supported"], F.get("_groups", F.lit(0))))
+        .withColumn("terminal_outcome_matches", F.when(F.col("_aside").isNull(), F.array_join("_groups", ",")).otherwise(""))
+        .drop("_aside", "_groups", "_match")
     )
-    matched = F.when(aside.isNull(), groups).otherwise(F.array().cast("array<string>"))
-    label = F.coalesce(aside, fn.map_value(status, labels))
-    return F.when(label == labels["supported"], F.element_at(matched, 1)), label, matched
 
 
 def outcome_group(event_type: Column) -> Column:

@@ -20,7 +20,7 @@ from tallyframe.functions.parsing import (
     present,
     whole_number,
 )
-from tallyframe.functions.taxonomy import any_of, bands, first_case, map_value, member, text_groups
+from tallyframe.functions.taxonomy import any_of, bands, first_case, map_value, member, with_text_groups
 
 __all__ = [
     "any_of",
@@ -45,6 +45,6 @@ __all__ = [
     "present",
     "ratio",
     "spray_angle",
-    "text_groups",
     "whole_number",
+    "with_text_groups",
 ]

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -44,21 +44,21 @@ def any_of(conditions: Sequence[Column]) -> Column:
     return reduce(or_, [F.coalesce(c, F.lit(False)) for c in conditions])
 
 
-def text_groups(text: Column, patterns: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
-    """(distinct matched groups, status) of a narrative; pattern order never decides.
+def with_text_groups(
+    df: DataFrame, text: Column, patterns: Sequence[tuple[str, str]], groups: str = "groups", status: str = "status"
+) -> DataFrame:
+    """Add the distinct matched groups of a narrative and their status; pattern order never decides.
 
     One distinct group is ``supported``, several are ``ambiguous``, none is ``unsupported`` and
-    blank text is ``blank``.
+    blank text is ``blank``. The groups are a column of their own so that every pattern runs over the
+    text once, however often the result is used.
     """
-    hits = F.array_distinct(
-        F.array_compact(F.array(*[F.when(text.rlike(pattern), F.lit(group)) for pattern, group in patterns]))
-    )
-    found = F.array_sort(F.coalesce(hits, F.array().cast("array<string>")))
-    blank = text.isNull() | (F.length(F.trim(text)) == 0)
-    status = (
-        F.when(blank, F.lit("blank"))
-        .when(F.size(found) == 1, F.lit("supported"))
-        .when(F.size(found) > 1, F.lit("ambiguous"))
+    hits = F.array_compact(F.array(*[F.when(text.rlike(pattern), F.lit(group)) for pattern, group in patterns]))
+    found = df.withColumn(groups, F.array_sort(F.array_distinct(hits)))
+    label = (
+        F.when(text.isNull() | (F.length(F.trim(text)) == 0), F.lit("blank"))
+        .when(F.size(groups) == 1, F.lit("supported"))
+        .when(F.size(groups) > 1, F.lit("ambiguous"))
         .otherwise(F.lit("unsupported"))
     )
-    return found, status
+    return found.withColumn(status, label)

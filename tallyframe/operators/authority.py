@@ -325,3 +325,11 @@ def residual_quarantine(
     proven = verdicts.where("verdict = 'quarantined'")
     kept = source.join(proven.select(*key), key, "left_anti")
     return kept, verdicts.select(*entity, "verdict")
+
+
+def fully_explained(kept: DataFrame, ledger: DataFrame, verdicts: DataFrame, entity: Sequence[str], amount: str) -> DataFrame:
+    """Entities whose proven quarantine leaves no positive row in either ledger."""
+    proven = verdicts.where("verdict = 'quarantined'").select(*entity)
+    left = kept.where(F.col(amount) > 0).select(*entity)
+    listed = ledger.where(F.col(amount) > 0).select(*entity)
+    return proven.join(left, list(entity), "left_anti").join(listed, list(entity), "left_anti")

@@ -181,7 +181,7 @@ def participation_model(df: DataFrame, features: Sequence[str], label: str, stre
         elasticNetParam=0.0,
         standardization=False,
         maxIter=500,
-        tol=1e-14,
+        tol=1e-10,
     ).fit(rows)
     table = [("intercept", float(model.intercept))] + [(f, float(v)) for f, v in zip(features, model.coefficients)]
     return df.sparkSession.createDataFrame(table, "feature string, coefficient double")

@@ -117,9 +117,7 @@ NARRATIVES = [
 )
 def _(t: Tables):
     text = F.element_at(F.array(*[F.lit(n) for n in NARRATIVES]), (1 + F.col("l_partkey") % 8).cast("int"))
-    rows = t.lineitem.select(text.alias("pa_description"))
-    group, status, _matched = events.narrative_group(F.col("pa_description"))
-    grouped = rows.select(group.alias("terminal_outcome_group"), status.alias("terminal_outcome_status"))
+    grouped = events.with_narrative_group(t.lineitem.select(text.alias("pa_description")), "pa_description")
     valued, _unknown = events.attach_result_values(grouped)
     return valued.groupBy("terminal_outcome_group", "terminal_outcome_status").agg(
         F.count("*").alias("contact_count"), r6(F.sum("terminal_value"), 4).alias("value_total")
@@ -350,3 +348,45 @@ def _(t: Tables):
     )
     _kept, verdicts = authority.residual_quarantine(days, ledger, residual, ["user_id"], ["event_date"], ["events", "purchases"])
     return verdicts.groupBy("verdict").agg(F.count("*").alias("entity_count"))
+
+
+@query(
+    "z6_explained_slices",
+    """with s as (select user_id, ts::date d, count(*) n from events where event_type = 'purchase' and value > 150 group by 1, 2), c as (select user_id, count(*) k from s group by 1)
+       select user_id from c where k = 1 and user_id % 2 = 0""",
+)
+def _(t: Tables):
+    large = t.events.where("event_type = 'purchase' and value > 150")
+    source = large.groupBy("user_id", F.to_date("ts").alias("event_date")).agg(F.count("*").alias("n"))
+    # The ledger knows odd users only; every user's season residual equals one of their source days.
+    ledger = source.where("user_id % 2 = 1")
+    residual = source.groupBy("user_id").agg(F.max("n").alias("residual_n"))
+    kept, verdicts = authority.residual_quarantine(source, ledger, residual, ["user_id"], ["event_date"], ["n"])
+    return authority.fully_explained(kept, ledger, verdicts, ["user_id"], "n")
+
+
+@query(
+    "z8_dimension_self_check",
+    """select p_brand, count(distinct p_type) type_count, count(*) part_count from part group by 1 having count(distinct p_type) > 1""",
+)
+def _(t: Tables):
+    # One type per brand is the rule; each brand that breaks it is listed.
+    pairs = t.part.groupBy("p_brand", "p_type").agg(F.count("*").alias("n"))
+    return pairs.groupBy("p_brand").agg(F.count("*").alias("type_count"), F.sum("n").alias("part_count")).where("type_count > 1")
+
+
+@query(
+    "z15_field_audit",
+    """select l_linestatus, count(*) row_count, count(*) filter (l_discount is null) missing_count, count(*) filter (l_quantity not between 1 and 50) out_of_range_count,
+         count(*) filter (l_extendedprice < l_quantity * 100) identity_break_count, min(l_quantity)::bigint lowest, max(l_quantity)::bigint highest from lineitem group by 1""",
+)
+def _(t: Tables):
+    quantity = F.col("l_quantity")
+    return t.lineitem.groupBy("l_linestatus").agg(
+        F.count("*").alias("row_count"),
+        F.count_if(F.col("l_discount").isNull()).alias("missing_count"),
+        F.count_if(~quantity.between(1, 50)).alias("out_of_range_count"),
+        F.count_if(F.col("l_extendedprice") < quantity * 100).alias("identity_break_count"),
+        big(F.min(quantity)).alias("lowest"),
+        big(F.max(quantity)).alias("highest"),
+    )

@@ -835,22 +835,35 @@ def _(t: Tables):
     return errors.select("fold_year", "form", "row_count", *[r6(c, 2).alias(c) for c in ("mae", "rmse", "continuing_mae")])
 
 
-@query(
-    "m19_share_allocation",
-    """with h as (select user_id, event_type, count(*) filter (ts < timestamp '2024-01-16') a, count(*) filter (ts >= timestamp '2024-01-16') b from events group by 1, 2),
-       s as (select *, a / nullif(sum(a) over (partition by user_id), 0) pa, b / nullif(sum(b) over (partition by user_id), 0) pb from h),
-       m as (select *, 0.5 * coalesce(pa, 0) + 0.5 * coalesce(pb, 0) x from s), t as (select user_id, sum(value) v from events group by 1)
-       select user_id, event_type, round(x / sum(x) over (partition by user_id), 6) + 0.0 blended_share, round(x / sum(x) over (partition by user_id) * v, 4) + 0.0 allocated from m join t using (user_id)""",
-)
-def _(t: Tables):
+_SHARES = """h as (select user_id, event_type, count(*) filter (ts < timestamp '2024-01-16') a, count(*) filter (ts >= timestamp '2024-01-16') b from events group by 1, 2),
+  s as (select *, a / nullif(sum(a) over (partition by user_id), 0) pa, b / nullif(sum(b) over (partition by user_id), 0) pb from h),
+  m as (select *, 0.5 * coalesce(pa, 0) + 0.5 * coalesce(pb, 0) x from s), t as (select user_id, sum(value) v from events group by 1),
+  q as (select user_id, event_type, x / sum(x) over (partition by user_id) sh, v from m join t using (user_id))"""
+
+
+def _allocated(t: Tables):
     early = F.col("ts") < F.lit(CUTOFF).cast("timestamp_ntz")
     rows = t.events.select("user_id", "event_type", early.cast("bigint").alias("a"), (~early).cast("bigint").alias("b"))
     keys = ["user_id", "event_type"]
     first = profile.shares(rows, ["user_id"], "event_type", F.col("a"), "first_share").select(*keys, "first_share")
     second = profile.shares(rows, ["user_id"], "event_type", F.col("b"), "second_share").select(*keys, "second_share")
     totals = t.events.groupBy("user_id").agg(F.sum("value").alias("value_total"))
-    allocated = rates.allocate(first.join(second, keys), totals, "user_id", "event_type", "first_share", "second_share", "value_total")
-    return allocated.select(*keys, r6("blended_share").alias("blended_share"), r6("allocated", 4).alias("allocated"))
+    return rates.allocate(first.join(second, keys), totals, "user_id", "event_type", "first_share", "second_share", "value_total")
+
+
+@query("m19_blended_shares", f"with {_SHARES} select user_id, event_type, round(sh, 6) + 0.0 blended_share from q")
+def _(t: Tables):
+    return _allocated(t).select("user_id", "event_type", r6("blended_share").alias("blended_share"))
+
+
+@query(
+    "m19_share_allocation",
+    f"with {_SHARES} select event_type, count(*) user_count, round(sum(sh * v), 2) + 0.0 allocated, round(max(sh * v), 2) + 0.0 largest from q group by 1",
+)
+def _(t: Tables):
+    return _allocated(t).groupBy("event_type").agg(
+        F.count("*").alias("user_count"), r6(F.sum("allocated"), 2).alias("allocated"), r6(F.max("allocated"), 2).alias("largest")
+    )
 
 
 _NATIVE = """z as (select year(l_shipdate) y, l_returnflag, l_quantity q, l_extendedprice t, (l_discount - avg(l_discount) over w) / stddev_pop(l_discount) over w z from lineitem

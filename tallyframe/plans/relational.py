@@ -262,8 +262,8 @@ def _(t: Tables):
 )
 def _(t: Tables):
     patterns = [(r"[\w.]+@[\w.]+", "contact"), (r"(?i)\blicen[cs]e", "license"), (r"https?://", "link")]
-    groups, status = fn.text_groups(F.col("text"), patterns)
-    return t.documents.select("doc_id", F.array_join(groups, "|").alias("groups"), status.alias("status"))
+    labelled = fn.with_text_groups(t.documents, F.col("text"), patterns)
+    return labelled.select("doc_id", F.array_join("groups", "|").alias("groups"), "status")
 
 
 @query(

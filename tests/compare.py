@@ -61,7 +61,7 @@ if __name__ == "__main__":
     import __spark_entry__ as entry
     from tallyframe.session import local_session
 
-    folder = str(TESTDATA / sys.argv[1])
+    folder = sys.argv[1] if sys.argv[1].startswith("/") else str(TESTDATA / sys.argv[1])
     wanted = sys.argv[2:]
     spark = local_session()
     connection = oracle_connection(folder)

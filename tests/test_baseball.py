@@ -158,9 +158,8 @@ def test_plate_appearance_statuses(spark):
     ],
 )
 def test_narratives(spark, text, group, status):
-    got = events.narrative_group(F.col("t"))
-    row = spark.createDataFrame([(text,)], "t string").select(got[0].alias("g"), got[1].alias("s")).first()
-    assert (row["g"], row["s"]) == (group, status)
+    row = events.with_narrative_group(spark.createDataFrame([(text,)], "t string"), "t").first()
+    assert (row["terminal_outcome_group"], row["terminal_outcome_status"]) == (group, status)
 
 
 def direct(spark, rows):
