@@ -48,7 +48,7 @@ def range_slices(df: DataFrame, order: Sequence[Column | str], slices: int | Non
 
 
 def _match(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Left join on key columns, which are non-null by contract.
+    """Left join on key columns.
 
     Plain equality keeps the hash partitioning of the window below it, so the rows are not shuffled
     a second time.
@@ -56,6 +56,27 @@ def _match(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame
     return left.join(right, list(names), "left")
 
 
+# A value of each key type that stands in for null next to a flag saying so.
+_STAND_IN = {"string": "", "boolean": "false", "date": "1970-01-01", "timestamp": "1970-01-01", "timestamp_ntz": "1970-01-01"}
+
+
+def _null_free(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str], list[Column]]:
+    """(frame with null-free key columns, their names, columns that restore the original keys).
+
+    Null keys form a group of their own, as they do in a plain window. Null-free keys also keep both
+    levels of a scan identical below their first shuffle, since a join on them adds no null filter.
+    """
+    kinds = dict(df.dtypes)
+    columns, names, restored = {}, [], []
+    for k in keys:
+        stand_in = F.lit(_STAND_IN.get(kinds[k], "0")).cast(kinds[k])
+        columns[f"_k_{k}"] = F.coalesce(F.col(k), stand_in)
+        columns[f"_null_{k}"] = F.col(k).isNull()
+        names += [f"_k_{k}", f"_null_{k}"]
+        restored.append(F.when(~F.col(f"_null_{k}"), F.col(f"_k_{k}")).alias(k))
+    return df.withColumns(columns) if columns else df, names, restored
+
+
 _REDUCE = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
@@ -96,29 +117,29 @@ def ordered(
     upto, before, whole, prior, final = upto or {}, before or {}, whole or {}, prior or {}, final or {}
     folds = {**upto, **before, **whole}
     tails = {**prior, **final}
-    base = df.withColumn(SLICE, F.col(slice_by) if isinstance(slice_by, str) else slice_by)
     kept = [c for c in df.columns if c != SLICE]
+    base = df.withColumn(SLICE, F.col(slice_by) if isinstance(slice_by, str) else slice_by)
+    if dict(base.dtypes)[SLICE] in ("int", "bigint"):
+        # Rows without an order value come first in the order, so they get the smallest slice.
+        base = base.withColumn(SLICE, F.coalesce(F.col(SLICE).cast("bigint"), F.lit(-(2**63))))
+    base, by, restored = _null_free(base, keys)
 
-    inside = Window.partitionBy(*keys, SLICE).orderBy(*order)
+    inside = Window.partitionBy(*by, SLICE).orderBy(*order)
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     so_far_before = inside.rowsBetween(Window.unboundedPreceding, -1)
     ends_slice = F.lead(F.lit(1)).over(inside).isNull()
     if tails or last:
-        summary = base.select(
-            *keys,
-            SLICE,
-            *[_REDUCE[k](e).over(so_far).alias(f"_tot_{n}") for n, (k, e) in folds.items()],
-            *[e.alias(f"_tail_{n}") for n, e in tails.items()],
-            ends_slice.alias("_ends"),
-        ).where("_ends")
+        totals = [_REDUCE[k](e).over(so_far).alias(f"_tot_{n}") for n, (k, e) in folds.items()]
+        ends = base.select("*", *totals, ends_slice.alias("_ends")).where("_ends")
+        summary = ends.select(*by, SLICE, *[f"_tot_{n}" for n in folds], *[e.alias(f"_tail_{n}") for n, e in tails.items()])
     else:
-        summary = base.groupBy(*keys, SLICE).agg(*[_REDUCE[k](e).alias(f"_tot_{n}") for n, (k, e) in folds.items()])
+        summary = base.groupBy(*by, SLICE).agg(*[_REDUCE[k](e).alias(f"_tot_{n}") for n, (k, e) in folds.items()])
 
-    slices = Window.partitionBy(*keys).orderBy(SLICE)
+    slices = Window.partitionBy(*by).orderBy(SLICE)
     earlier = slices.rowsBetween(Window.unboundedPreceding, -1)
     everything = slices.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     across = summary.select(
-        *keys,
+        *by,
         SLICE,
         *[_REDUCE[k](f"_tot_{n}").over(earlier).alias(f"_pre_{n}") for n, (k, _) in {**upto, **before}.items()],
         *[_REDUCE[k](f"_tot_{n}").over(everything).alias(f"_all_{n}") for n, (k, _) in whole.items()],
@@ -127,16 +148,18 @@ def ordered(
         *([F.lead(F.lit(1)).over(slices).isNull().alias("_last_slice")] if last else []),
     )
     local = base.select(
-        *kept,
+        *[c for c in kept if c not in keys],
         SLICE,
+        *by,
         *[_REDUCE[k](e).over(so_far).alias(f"_loc_{n}") for n, (k, e) in upto.items()],
         *[_REDUCE[k](e).over(so_far_before).alias(f"_loc_{n}") for n, (k, e) in before.items()],
         *[F.lag(e).over(inside).alias(f"_seen_{n}") for n, e in prior.items()],
         *([(F.row_number().over(inside) == 1).alias("_starts")] if prior else []),
         *([ends_slice.alias("_ends")] if last else []),
     )
-    return _match(local, across, [*keys, SLICE]).select(
-        *kept,
+    originals = dict(zip(keys, restored))
+    return _match(local, across, [*by, SLICE]).select(
+        *[originals.get(c, F.col(c)) for c in kept],
         *[_combine(k, F.col(f"_pre_{n}"), F.col(f"_loc_{n}")).alias(n) for n, (k, _) in {**upto, **before}.items()],
         *[F.col(f"_all_{n}").alias(n) for n in whole],
         *[F.when(F.col("_starts"), F.col(f"_carried_{n}")).otherwise(F.col(f"_seen_{n}")).alias(n) for n in prior],

@@ -11,9 +11,20 @@ from tallyframe.functions.numeric import ratio
 
 
 def complete(profile: DataFrame, keys: Sequence[str], category: str, categories: Sequence[str], counts: Sequence[str]) -> DataFrame:
-    """Give every key all categories, absent ones with zero counts."""
-    grid = profile.select(*keys).distinct().withColumn(category, F.explode(F.array(*[F.lit(c) for c in categories])))
-    return grid.join(profile, [*keys, category], "left").fillna(0, subset=list(counts))
+    """Give every key all categories, absent ones with zero counts.
+
+    One aggregate lays the fixed categories out as columns and unfolds them again, so the input is
+    read once and the result stays partitioned by key.
+    """
+    kinds = dict(profile.dtypes)
+    cells = {
+        (c, n): F.coalesce(F.sum(F.when(F.col(category) == c, F.col(n))), F.lit(0)).cast(kinds[n]) for c in categories for n in counts
+    }
+    wide = profile.groupBy(*keys).agg(*[e.alias(f"_{categories.index(c)}_{n}") for (c, n), e in cells.items()])
+    rows = [
+        F.struct(F.lit(c).alias(category), *[F.col(f"_{i}_{n}").alias(n) for n in counts]) for i, c in enumerate(categories)
+    ]
+    return wide.select(*keys, F.inline(F.array(*rows)))
 
 
 def valued_summary(

@@ -211,9 +211,9 @@ _NATION_CELLS = """n as (select n_nationkey::bigint nation_key, n_regionkey::big
     "v8_pooled_by_policy",
     f"""with {_NATION_CELLS}, p as (select *, case region_key when 0 then 25 when 1 then 75 when 2 then 0 when 3 then 5 end k,
           sum(n) over g - n pn, sum(n * m) over g - n * m ps, count(*) over g - 1 pk from n window g as (partition by region_key, c_mktsegment))
-        select nation_key, region_key, c_mktsegment, n occurrence_count, round(m, 4) + 0.0 mean_value, case when k > 0 and pn > 0 then round(ps / pn, 4) + 0.0 end prior_mean,
+        select nation_key, region_key, c_mktsegment, n occurrence_count, round(m, 6) + 0.0 mean_value, case when k > 0 and pn > 0 then round(ps / pn, 6) + 0.0 end prior_mean,
           case when k > 0 and pn > 0 then pn else 0 end::bigint prior_occurrence_count, case when k > 0 and pn > 0 then pk else 0 end prior_environment_count,
-          round(case when k > 0 and pn > 0 then (m * n + ps / pn * k) / (n + k) else m end, 4) + 0.0 estimated_mean,
+          round(case when k > 0 and pn > 0 then (m * n + ps / pn * k) / (n + k) else m end, 6) + 0.0 estimated_mean,
           case when k > 0 and pn > 0 then 'pooled_with_peers' when k > 0 then 'direct_missing_peers' when k = 0 then 'direct_by_policy' else 'direct_without_policy' end
             estimator_method, coalesce((k > 0 and pn > 0) or k = 0, false) estimator_certified from p""",
 )
@@ -224,7 +224,7 @@ def _(t: Tables):
     direct = profile.cell_stats(rows, ["nation_key", "region_key", "c_mktsegment"], "c_acctbal")
     strength = fn.map_value(F.col("region_key"), {0: 25, 1: 75, 2: 0, 3: 5})
     pooled = statevalue.pooled_values(direct, ["nation_key"], ["region_key"], "c_mktsegment", strength)
-    return pooled.select(*[r6(c, 4).alias(c) if c in ("mean_value", "prior_mean", "estimated_mean") else F.col(c) for c in pooled.columns])
+    return pooled.select(*[r6(c).alias(c) if c in ("mean_value", "prior_mean", "estimated_mean") else F.col(c) for c in pooled.columns])
 
 
 @query(

@@ -743,7 +743,7 @@ def _(t: Tables):
     "d11_leave_one_group_out_prior",
     """with n as (select n_nationkey::bigint nation_key, n_regionkey::bigint region_key, count(*) n, sum(c_acctbal) s from customer
          join nation on c_nationkey = n_nationkey group by 1, 2), r as (select region_key, sum(n) n, sum(s) s, count(*) k from n group by 1)
-       select nation_key, region_key, n.n customers, round(n.s / n.n, 4) + 0.0 direct_mean, round((r.s - n.s) / (r.n - n.n), 4) + 0.0 prior_mean,
+       select nation_key, region_key, n.n customers, round(n.s / n.n, 6) + 0.0 direct_mean, round((r.s - n.s) / (r.n - n.n), 6) + 0.0 prior_mean,
          k - 1 peer_count from n join r using (region_key)""",
 )
 def _(t: Tables):
@@ -757,8 +757,8 @@ def _(t: Tables):
         "nation_key",
         "region_key",
         F.col("n").alias("customers"),
-        r6(F.col("s") / F.col("n"), 4).alias("direct_mean"),
-        r6(fn.ratio(F.col("others_s"), F.col("others_n")), 4).alias("prior_mean"),
+        r6(F.col("s") / F.col("n")).alias("direct_mean"),
+        r6(fn.ratio(F.col("others_s"), F.col("others_n"))).alias("prior_mean"),
         F.col("others_cell").alias("peer_count"),
     )
 

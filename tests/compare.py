@@ -37,9 +37,8 @@ def _rows(columns, rows):
     return sorted(columns), sorted(tuple(_cell(row[i]) for i in order) for row in rows)
 
 
-def compare(spark, connection, name, query, sql, folder):
+def compare(connection, name, frame, sql):
     """Return a list of differences; empty means the results agree row by row."""
-    frame = query(spark, folder)
     columns, rows = _rows(frame.columns, [tuple(r) for r in frame.collect()])
     if sql is None:
         return [] if rows else [f"{name}: no rows"]
@@ -72,7 +71,7 @@ if __name__ == "__main__":
         count += 1
         began = time.time()
         try:
-            problems = compare(spark, connection, name, query, sqls.get(name), folder)
+            problems = compare(connection, name, query(spark, folder), sqls.get(name))
         except Exception as error:  # noqa: BLE001
             problems = [f"{name}: {type(error).__name__} {str(error)[:600]}"]
         spent = time.time() - began

@@ -66,6 +66,13 @@ def test_ordered_matches_a_loop(frame, rows, width):
         assert {n: r[n] for n in want[r["id"]]} == want[r["id"]]
 
 
+def test_null_keys_form_a_group_and_null_order_comes_first(spark):
+    df = spark.createDataFrame([(None, 5, 1), (None, None, 2), (0, 1, 4), (0, 9, 8), (None, 40, 16)], "k bigint, at bigint, v bigint")
+    got = scan.ordered(df, ["k"], ["at"], F.floor(F.col("at") / 10), before={"b": ("sum", F.col("v"))}, prior={"p": F.col("v")}, last="end")
+    rows = {r["v"]: (r["k"], r["b"], r["p"], r["end"]) for r in got.collect()}
+    assert rows == {2: (None, 0, None, False), 1: (None, 2, 2, False), 16: (None, 3, 1, True), 4: (0, 0, None, False), 8: (0, 4, 4, True)}
+
+
 def test_folds_alone_use_the_aggregate_summary(frame, rows):
     got = scan.running(frame, ["k"], ["at", "id"], F.floor(F.col("at") / 20), {"upto": ("sum", F.col("v"))})
     want = expected(rows)
