@@ -10,6 +10,7 @@ from tallyframe.plans import estimation
 from tallyframe.plans.estimation import CUTOFF, FORECAST_SQL, KIND_LIST
 from tallyframe.plans.evidence import KINDS
 from tallyframe.plans.registry import Tables, big, query, r6
+from tallyframe.session import checkpointed
 
 # --- proper scores -----------------------------------------------------------------------------
 
@@ -170,7 +171,7 @@ _CANDIDATE_SQL = f"""{estimation._WEEKS}, h1 as (select a.user_id, a.wk, coalesc
 
 
 def _candidate_rows(t: Tables):
-    """Every candidate's prediction for every user and target week, with its loss."""
+    """Every candidate's prediction for every user and target week, written once and scored often."""
     weeks = estimation._weekly(t).groupBy("user_id", "week").agg(
         F.sum("n").cast("double").alias("n"), F.sum("s").cast("double").alias("s"), F.sum("expected").alias("e")
     )
@@ -189,13 +190,13 @@ def _candidate_rows(t: Tables):
             multiplier = rates.count_multiplier(F.col(pair[0]), F.col(pair[1]), strength)
         cells.append(F.struct(F.lit(name).alias("candidate"), multiplier.alias("multiplier")))
     tier = F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd")
-    return rows.select("user_id", "week", tier.alias("tier"), "n", "s", "e", F.inline(F.array(*cells)))
+    return checkpointed(rows.select("user_id", "week", tier.alias("tier"), "n", "s", "e", F.inline(F.array(*cells))))
 
 
-def _candidate_scores(t: Tables, groups: list[str]):
+def _candidate_scores(rows, groups: list[str]):
     mean = F.col("e") * F.col("multiplier")
     gap = mean / F.col("n") - F.col("s") / F.col("n")
-    return scoring.exposure_scores(_candidate_rows(t), groups, fits.poisson_nll(F.col("s"), mean), gap * gap, F.col("n"))
+    return scoring.exposure_scores(rows, groups, fits.poisson_nll(F.col("s"), mean), gap * gap, F.col("n"))
 
 
 @query(
@@ -203,7 +204,7 @@ def _candidate_scores(t: Tables, groups: list[str]):
     f"""with {_CANDIDATE_SQL} select candidate, wk "week", tier, round(score, 6) + 0.0 score, exposure, k observation_count, round(sec, 6) + 0.0 secondary_score from ct""",
 )
 def _(t: Tables):
-    report = _candidate_scores(t, ["candidate", "week", "tier"])
+    report = _candidate_scores(_candidate_rows(t), ["candidate", "week", "tier"])
     return report.withColumn("score", r6("score")).withColumn("secondary_score", r6("secondary_score"))
 
 
@@ -233,7 +234,7 @@ def _(t: Tables):
         from s""",
 )
 def _(t: Tables):
-    folds = _candidate_scores(t, ["candidate", "week"])
+    folds = _candidate_scores(_candidate_rows(t), ["candidate", "week"])
     base = folds.where("candidate = 'B0'").select("week", F.col("score").alias("baseline_score"))
     summary = selection.equal_fold_summary(folds.join(base, "week"), "candidate", ["score", "secondary_score"], {"score": "baseline_score"})
     steady = summary.withColumn("mean_score", F.round("mean_score", 10)).withColumn("mean_secondary_score", F.round("mean_secondary_score", 10))
@@ -281,7 +282,7 @@ def _(t: Tables):
         where a.candidate <> 'B0' and a.exposure >= 0.05 * z and o.score > 0 and a.score >= 1.10 * o.score union all select 'none', -1, 'none', 0.0::double, 0.0::double""",
 )
 def _(t: Tables):
-    cells = _candidate_scores(t, ["candidate", "week", "tier"])
+    cells = _candidate_scores(_candidate_rows(t), ["candidate", "week", "tier"])
     found = selection.catastrophic_reversals(cells, "candidate", "B0", "week", "tier")
     # The marker row keeps the report non-empty when nothing reversed.
     marker = t.spark.range(1).select(
@@ -299,9 +300,10 @@ def _(t: Tables):
         select candidate challenger, round(mean_score, 6) + 0.0 challenger_score, round(z.s, 6) + 0.0 baseline_score, case when mean_score < z.s then candidate else 'B0' end selected from w, z""",
 )
 def _(t: Tables):
-    cells = _candidate_scores(t, ["candidate", "week", "tier"])
+    rows = _candidate_rows(t)
+    cells = _candidate_scores(rows, ["candidate", "week", "tier"])
     reversals = selection.catastrophic_reversals(cells, "candidate", "B0", "week", "tier")
-    summary = _candidate_scores(t, ["candidate", "week"]).groupBy("candidate").agg(F.avg("score").alias("mean_score"))
+    summary = _candidate_scores(rows, ["candidate", "week"]).groupBy("candidate").agg(F.avg("score").alias("mean_score"))
     winner = selection.gated_winner(summary, reversals, "candidate", "B0", "mean_score", [F.asc("candidate")])
     return winner.withColumn("challenger_score", r6("challenger_score")).withColumn("baseline_score", r6("baseline_score"))
 
@@ -520,7 +522,8 @@ _ASSEMBLY = f"""{_RUNS}, {_STEAL.replace('tot as', 'tot as', 1)}, ps as (select
 
 
 def _components(t: Tables):
-    return (
+    """One row per user with its components, written once because every total below reads it again."""
+    return checkpointed(
         _mix_runs(t)
         .select("user_id", "units", F.col("runs_above_reference").alias("mix_runs"))
         .join(_baserunning(t).select("user_id", "baserunning_runs"), "user_id")
