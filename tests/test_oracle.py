@@ -6,9 +6,10 @@ import pytest
 from compare import TESTDATA, compare, oracle_connection
 
 import __spark_entry__ as entry
+from tallyframe import plans
 
 FOLDER = str(TESTDATA / os.environ.get("TALLYFRAME_TEST_SF", "sf0.001"))
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = plans.QUERIES, plans.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -19,6 +20,7 @@ def connection():
 def test_registry():
     assert set(ORACLES) <= set(QUERIES)
     assert entry.FLAGSHIP in ORACLES
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
     assert sorted(set(QUERIES) - set(ORACLES)) == ["m6_offset_multinomial"]
 
 
