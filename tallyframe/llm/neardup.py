@@ -2,7 +2,8 @@
 
 A text is the weighted set of its runs of five words (lower case, letters and digits; a shorter text is one run). A
 run's weight is its count times log(1 + 1 / share), where share is the part of all documents that hold it, at least
-``LEAST_SHARE``. Shares are counted over all documents in a fixed number of hashed counters: what other runs add to a
+``LEAST_SHARE``: only what a good part of all documents hold weighs less. A smaller bound would also play down what the
+members of one large group of near copies share, and so take them apart. Shares are counted over all documents in a fixed number of hashed counters: what other runs add to a
 counter is a fixed part of the documents at any size (about the runs of a document over the number of counters).
 
 Signatures: each of the samples is the run of least a = c / (y e^r), y = e^(r (t - b)), t = floor(ln w / r + b), with
@@ -11,9 +12,9 @@ is the sample: two texts share it exactly if they chose the same run at the same
 weighted Jaccard similarity says. Bands of four samples give candidate buckets.
 
 Texts with the same words in the same order are one node, so copies never meet each other. In each bucket all nodes
-are held against one pivot; what is still apart is held against two further pivots; then every pair of nodes of a
-bucket that lie in different classes is compared by signatures in blocks, so that no link between different texts is
-lost to the choice of pivots. Every link is verified by the exact weighted Jaccard similarity of the two texts. Classes
+are held against one pivot; what is still apart is held against two further pivots, then against the few nodes of the
+bucket whose signatures agree best, which joins the parts of large groups. At last every pair of nodes of a bucket that
+lie in different classes is compared by signatures in blocks, so that no link between different texts is lost. Every link is verified by the exact weighted Jaccard similarity of the two texts. Classes
 are the connected components; pairs within a class found so far are never looked at, let alone emitted.
 
 Rows that share an id are one document: their texts are linked. Texts without words, null texts among them, are copies
@@ -37,13 +38,14 @@ from tallyframe.llm.common import code_points, map_batches, pieces, written
 
 WORDS = 5
 THRESHOLD = 0.8
-LEAST_SHARE = 0.01
+LEAST_SHARE = 0.25
 COUNTERS = 1 << 18
 COUNTER_CHUNKS = 16
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
 TABLE = 1 << 15  # rows of each table of random numbers
-ESTIMATE = 0.52  # share of equal samples under which a pair is not verified; more than five deviations below 0.8
+ESTIMATE = 0.6  # share of equal samples under which a pair is not verified; four deviations below 0.8
+PARTNERS = 3
 BLOCK = 512
 BATCH_CHARACTERS = 100_000
 LIMIT = 0x3000
@@ -353,7 +355,12 @@ def _further_pivots(apart: DataFrame) -> DataFrame:
     return rows.select(F.col("node").alias("a"), F.explode(F.array("p", "q")).alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _remaining(apart: DataFrame, signed: DataFrame) -> DataFrame:
+def _closest(apart: DataFrame, signed: DataFrame) -> DataFrame:
+    """The few pairs of each node outside a bucket's first class, and each block, whose signatures agree best."""
+    return _remaining(apart, signed, PARTNERS)
+
+
+def _remaining(apart: DataFrame, signed: DataFrame, best: int | None = None) -> DataFrame:
     """Pairs of nodes of one bucket in different classes whose signatures agree, compared block against block.
 
     The nodes outside a bucket's first class are held against all its nodes; a block of these has about ``BLOCK``.
@@ -371,7 +378,9 @@ def _remaining(apart: DataFrame, signed: DataFrame) -> DataFrame:
         these = np.flatnonzero(~asks)
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for q in np.flatnonzero(asks).tolist():
-            hit = these[((signature[these] == signature[q]).mean(axis=1) >= ESTIMATE) & (label[these] != label[q])]
+            share = (signature[these] == signature[q]).mean(axis=1) * (label[these] != label[q])
+            hit = np.flatnonzero(share >= ESTIMATE)
+            hit = these[hit if best is None else hit[np.argsort(-share[hit], kind="stable")[:best]]]
             a.append(np.minimum(node[hit], node[q]))
             b.append(np.maximum(node[hit], node[q]))
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
@@ -396,7 +405,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     pivots = members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     links = written(links.unionByName(verified(_alike(pivots, nodes), texts, weights, threshold).select("a", "b")), "links")
     label = components(links)
-    for step in (_further_pivots, _remaining):
+    for step in (_further_pivots, _closest, _remaining):
         apart = written(_apart(_classed(members.select("bucket", "node"), label)), "apart")
         if apart.isEmpty():
             break
