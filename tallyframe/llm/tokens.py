@@ -3,18 +3,24 @@
 The tokenizer of ``word_bpe_49k.json`` never joins anything across white space: its normaliser works inside a word, and
 its pre-tokeniser drops white space. A text is therefore the concatenation of its space-separated words, and since
 words repeat, each worker encodes a word once and keeps its ids. Words keep any rarer white space and go through the
-library unchanged, so that the ids are those of the whole text.
+library unchanged, so that the ids are those of the whole text. Words of Latin-1 letters, and their last stop, are what
+the pre-tokeniser makes of them, so they go to the library's model directly.
 """
 
 from __future__ import annotations
 
 import os
+import struct
 from collections.abc import Sequence
 from functools import cache
 
 import numpy as np
 
-CACHED_WORDS = 400_000  # per worker; beyond it the words seen once are dropped
+# Byte-level alphabet: the printable Latin-1 characters stand for themselves, the other bytes follow from U+0100 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_OTHERS = [b for b in range(256) if b not in _PRINTABLE]
+BYTE_LETTERS = {**{b: chr(b) for b in _PRINTABLE}, **{b: chr(256 + i) for i, b in enumerate(_OTHERS)}}
+KEPT_WORDS = 300_000  # a worker keeps the words of the last so many new ones, and those met again since then
 
 
 @cache
@@ -41,56 +47,74 @@ class WordEncoder:
     def __init__(self, name: str):
         self.tokenizer = tokenizer(name)
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.code = "H" if self.width == "<u2" else "I"
+        self.model = self.tokenizer.model
+        self.stops: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {"": b""}
+        self.before: dict[str, bytes] = {}
 
-    def _packed(self, words: list[str]) -> list[bytes]:
+    def _library(self, words: list[str]) -> list[bytes]:
+        """Ids of words of any kind, by the whole tokenizer."""
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(e.ids, dtype=self.width).tobytes() for e in found]
 
-    def _learn(self, words: set[str]) -> None:
-        """Encode new words. A plain ASCII word is looked up in lower case and without its last stop."""
-        if len(self.known) + len(words) > CACHED_WORDS:
-            self.known = {"": b""}
-        split: dict[str, tuple[str, str]] = {}
-        new: set[str] = set()
+    def _model(self, stem: str) -> bytes:
+        """Ids of lower-case Latin letters, by the tokenizer's model: they are one pre-token as they stand."""
+        if not stem.isascii():
+            stem = "".join([BYTE_LETTERS[b] for b in stem.encode()])
+        return struct.pack(f"<{len(found)}{self.code}", *found) if (found := [t.id for t in self.model.tokenize(stem)]) else b""
+
+    def _learn(self, words: set[str], latin: bool) -> dict[str, bytes]:
+        """Ids of words that are not kept, looked up among the earlier ones first; ``latin``: lower-case Latin-1."""
+        out, other = {}, []
+        before, known = self.before, self.known
         for word in words:
-            stem, last = (word[:-1], word[-1]) if word[-1] in ".,;:!?" else (word, "")
-            if stem.isascii() and stem.isalpha():
-                split[word] = (stem.lower(), last)
-                new.update(split[word])
-            else:
-                new.add(word)
-        fresh = [w for w in new if w not in self.known]
-        self.known.update(zip(fresh, self._packed(fresh), strict=True))
-        for word, (stem, last) in split.items():
-            self.known[word] = self.known[stem] + self.known[last]
+            ids = before.get(word)
+            if ids is None:
+                stem, last = (word[:-1], word[-1]) if word[-1] in ".,;:!?" else (word, "")
+                if not (latin and stem.isalpha()):
+                    other.append(word)
+                    continue
+                ids = (known.get(stem) if last else None) or self._model(stem)
+                if last:
+                    ids += self._stop(last)
+            out[word] = ids
+        if other:
+            out.update(zip(other, self._library(other), strict=True))
+        return out
+
+    def _stop(self, mark: str) -> bytes:
+        if mark not in self.stops:
+            self.stops[mark] = self._library([mark])[0]
+        return self.stops[mark]
 
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
-        words = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        missing = {w for ws in words for w in ws if w not in self.known}
         out = []
-        if len(missing) > CACHED_WORDS // 2:  # one batch with more new words than a worker may hold
-            for ws in words:
-                found = set(ws) - self.known.keys()
-                if found:
-                    self._learn(found)
-                    self._learn(set(ws) - self.known.keys())
-                out.append(self._join(ws))
-            return out
-        if missing:
-            self._learn(missing)
-            lost = {w for ws in words for w in ws if w not in self.known}  # dropped when the store was emptied
-            if lost:
-                self._learn(lost)
-        return [self._join(ws) for ws in words]
-
-    def _join(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        try:
-            packed = b"".join([known[w] for w in words])
-        except KeyError:  # a single text with more words than a worker holds
-            packed = b"".join(self._packed([" ".join(words)]))
-        return np.frombuffer(packed, dtype=self.width).astype(np.uint32)
+        for text in texts:
+            text, latin = text or "", False
+            if is_latin(text):
+                text, latin = text.lower(), True
+            words = text.replace("\n", " ").split(" ")
+            found = list(map(self.known.get, words))
+            if None in found:
+                learnt = self._learn({w for w, f in zip(words, found, strict=True) if f is None}, latin)
+                found = [learnt[w] if f is None else f for w, f in zip(words, found, strict=True)]
+                self.known.update(learnt)
+                if len(self.known) > KEPT_WORDS:
+                    self.before, self.known = self.known, {"": b""}
+            out.append(np.frombuffer(b"".join(found), dtype=self.width).astype(np.uint32))
+        return out
+
+
+def is_latin(text: str) -> bool:
+    """All characters below U+0100: lower case and composition then work character by character."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 @cache
