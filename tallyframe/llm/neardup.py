@@ -14,7 +14,8 @@ weighted Jaccard similarity says. Bands of four samples give candidate buckets.
 Texts with the same words in the same order are one node, so copies never meet each other. In each bucket all nodes
 are held against one pivot; what is still apart is held against two further pivots, then against the few nodes of the
 bucket whose signatures agree best, which joins the parts of large groups. At last every pair of nodes of a bucket that
-lie in different classes is compared by signatures in blocks, so that no link between different texts is lost. Every link is verified by the exact weighted Jaccard similarity of the two texts. Classes
+lie in different classes is compared in squares of a bounded number of nodes, by signatures and then by texts, and only
+what joins two classes is emitted, so that no link between different texts is lost. Every link is verified by the exact weighted Jaccard similarity of the two texts. Classes
 are the connected components; pairs within a class found so far are never looked at, let alone emitted.
 
 Rows that share an id are one document: their texts are linked. Texts without words, null texts among them, are copies
@@ -46,7 +47,7 @@ SAMPLES = BANDS * ROWS
 TABLE = 1 << 15  # rows of each table of random numbers
 ESTIMATE = 0.6  # share of equal samples under which a pair is not verified; four deviations below 0.8
 PARTNERS = 3
-BLOCK = 512
+BLOCK = 512  # nodes on a side of a square
 BATCH_CHARACTERS = 100_000
 LIMIT = 0x3000
 MASK = np.uint64((1 << 48) - 1)
@@ -355,37 +356,100 @@ def _further_pivots(apart: DataFrame) -> DataFrame:
     return rows.select(F.col("node").alias("a"), F.explode(F.array("p", "q")).alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _closest(apart: DataFrame, signed: DataFrame) -> DataFrame:
-    """The few pairs of each node outside a bucket's first class, and each block, whose signatures agree best."""
-    return _remaining(apart, signed, PARTNERS)
+def _grid(apart: DataFrame, nodes: DataFrame):
+    """The nodes outside a bucket's first class (they ask) against all its nodes, in squares of ``BLOCK`` by ``BLOCK``.
 
+    ``nodes`` has the node and what the comparison needs. A task gets one square, however large the bucket is.
+    """
+    sizes = apart.groupBy("bucket").agg(F.count("*").alias("m"), F.count_if(F.col("label") != F.col("low")).alias("l"))
+    rows = apart.join(sizes, "bucket").join(nodes, "node")
+    blocks, asking = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("m", "l"))
+    own = [F.col(c) for c in ("node", "label", "low", *[c for c in nodes.columns if c != "node"])]
+
+    def within(n):
+        return F.pmod(F.xxhash64("node"), n).cast("int")
+
+    members = rows.select("bucket", within(blocks).alias("block"), F.explode(F.sequence(F.lit(0), asking - 1)).alias("part"), *own, F.lit(False).alias("asks"))
+    askers = rows.where("label <> low").select("bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), within(asking).alias("part"), *own, F.lit(True).alias("asks"))
+    return members.unionByName(askers).groupBy("bucket", "block", "part")
+
+
+def _square(table: pa.Table):
+    """Columns of a square, and for each asking row the rows that it has to be compared with, best first.
+
+    A pair that meets in several buckets is compared in the first of them, and a pair of two asking nodes once.
+    """
+    asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+    node, label, low = (table.column(c).to_numpy() for c in ("node", "label", "low"))
+    signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, SAMPLES)
+    bucket = table.column("bucket")[0].as_py()
+    band = int((_buckets(signature[:1].view(np.float32))[0] == bucket).argmax())
+    these = np.flatnonzero(~asks)
+
+    def partners(q: int) -> np.ndarray:
+        equal = signature[these] == signature[q]
+        first = equal.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+        once = (label[these] == low[these]) | (node[these] < node[q])
+        share = equal.mean(axis=1) * (first & once & (label[these] != label[q]))
+        hit = np.flatnonzero(share >= ESTIMATE)
+        return these[hit[np.argsort(-share[hit], kind="stable")]]
 
-def _remaining(apart: DataFrame, signed: DataFrame, best: int | None = None) -> DataFrame:
-    """Pairs of nodes of one bucket in different classes whose signatures agree, compared block against block.
+    return node, label, np.flatnonzero(asks).tolist(), partners
 
-    The nodes outside a bucket's first class are held against all its nodes; a block of these has about ``BLOCK``.
+
+def _closest(apart: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of each node outside a bucket's first class with the few nodes of a square whose signatures agree best."""
+
+    def compare(key, table):
+        node, _, asking, partners = _square(table)
+        found = [(q, p) for q in asking for p in partners(q)[:PARTNERS].tolist()]
+        a, b = (np.array([x[i] for x in found], dtype=np.int64) for i in (0, 1))
+        return pa.table({"a": np.minimum(node[a], node[b]) if len(a) else a, "b": np.maximum(node[a], node[b]) if len(a) else b})
+
+    return _grid(apart, nodes.select("node", "signature")).applyInArrow(compare, "a bigint, b bigint").distinct()
+
+
+def _joining(apart: DataFrame, nodes: DataFrame, texts: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
+    """Verified links that join different classes: every pair of a bucket that can be one is looked at.
+
+    Texts are compared inside a square, and only links that join what is still apart in it are emitted.
     """
-    sizes = apart.groupBy("bucket").agg(F.count("*").alias("m"))
-    rows = apart.join(sizes, "bucket").join(signed.select("node", "signature"), "node")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    members = rows.select("bucket", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), "node", "label", "signature", F.lit(False).alias("asks"))
-    asking = rows.where("label <> low").select("bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "node", "label", "signature", F.lit(True).alias("asks"))
+    shared = texts.sparkSession.sparkContext.broadcast(weights)
 
     def compare(key, table):
-        asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
-        node, label = (table.column(c).to_numpy() for c in ("node", "label"))
-        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, SAMPLES)
-        these = np.flatnonzero(~asks)
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for q in np.flatnonzero(asks).tolist():
-            share = (signature[these] == signature[q]).mean(axis=1) * (label[these] != label[q])
-            hit = np.flatnonzero(share >= ESTIMATE)
-            hit = these[hit if best is None else hit[np.argsort(-share[hit], kind="stable")[:best]]]
-            a.append(np.minimum(node[hit], node[q]))
-            b.append(np.maximum(node[hit], node[q]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    return members.unionByName(asking).groupBy("bucket", "block").applyInArrow(compare, "a bigint, b bigint").distinct()
+        node, label, asking, partners = _square(table)
+        owner, keys, counts, _ = shingles(table.column("text").to_pylist())
+        weight = (shared.value[_counter(keys)] * counts.astype(np.float32)).astype(float)
+        cuts = np.searchsorted(owner, np.arange(len(node) + 1))
+        kinds, place = np.unique(keys, return_inverse=True)
+        total = np.bincount(owner, weight, minlength=len(node))
+        dense = np.zeros(len(kinds))
+        group = {}
+
+        def root(x):
+            while group.get(x, x) != x:
+                x = group[x]
+            return x
+
+        a, b = [], []
+        for q in asking:
+            mine = slice(cuts[q], cuts[q + 1])
+            dense[place[mine]] = weight[mine]
+            for p in partners(q).tolist():
+                one, two = root(int(label[q])), root(int(label[p]))
+                if one == two:
+                    continue
+                part = slice(cuts[p], cuts[p + 1])
+                both = float(np.minimum(weight[part], dense[place[part]]).sum())
+                every = total[q] + total[p] - both
+                if (both / every if every > 0 else 1.0) >= threshold:
+                    group[max(one, two)] = min(one, two)
+                    a.append(int(node[q]))
+                    b.append(int(node[p]))
+            dense[place[mine]] = 0
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return _grid(apart, nodes.select("node", "signature").join(texts, "node")).applyInArrow(compare, "a bigint, b bigint")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -405,12 +469,16 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     pivots = members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     links = written(links.unionByName(verified(_alike(pivots, nodes), texts, weights, threshold).select("a", "b")), "links")
     label = components(links)
-    for step in (_further_pivots, _closest, _remaining):
+    steps = [
+        lambda apart: verified(_alike(_further_pivots(apart), nodes), texts, weights, threshold).select("a", "b"),
+        lambda apart: verified(_closest(apart, nodes), texts, weights, threshold).select("a", "b"),
+        lambda apart: _joining(apart, nodes, texts, weights, threshold),
+    ]
+    for step in steps:
         apart = written(_apart(_classed(members.select("bucket", "node"), label)), "apart")
         if apart.isEmpty():
             break
-        pairs = _alike(step(apart), nodes) if step is _further_pivots else step(apart, nodes)
-        more = written(verified(pairs, texts, weights, threshold).select("a", "b"), "links")
+        more = written(step(apart), "links")
         if not more.isEmpty():
             links = links.unionByName(more)
             label = components(links)
