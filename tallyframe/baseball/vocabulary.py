@@ -105,15 +105,6 @@ LEAGUE_LEVEL = {
 LEVEL_ORDER = {"ROOKIE_COMPLEX": 1, "SINGLE_A": 2, "HIGH_A": 3, "AA": 4, "AAA": 5, "MLB": 6}
 LEVEL_POOLING_STRENGTH = {"MLB": 5, "AAA": 25, "AA": 75, "HIGH_A": 0, "SINGLE_A": 25, "ROOKIE_COMPLEX": 0}
 
-# Positions in scorebook order.
-POSITIONS = ["C", "1B", "2B", "3B", "SS", "LF", "CF", "RF", "DH"]
-
-# Parameters of the mix estimators.
-LOG_RATIO_PSEUDOCOUNT = 0.5
-AGE_BAND_YEARS = 2.0
-MINIMUM_AGE_LEVEL_PEERS = 12
-PRIOR_STRENGTH_EVENTS = 100.0
-
 # Canonical vocabularies and the identifier pattern.
 SEQUENCE_STATUSES = ["official_true_pa", "official_non_pa", "unclassified_source_sequence"]
 SEVERITIES = ["info", "warning", "error", "quarantine"]

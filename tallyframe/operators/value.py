@@ -20,9 +20,6 @@ STOLEN_BASE_RUNS, CAUGHT_EXTRA_OUT = 0.2, 0.075
 WIN_EXPONENT_POWER = 0.285
 # Residual variance of the skill models by family.
 RANGE_MSE = {"T1": 0.878640460280284, "U1": 0.8900360540992999, "B0": 0.9304792055721907}
-THROWING_MSE = {"C2": 0.9385276019479529, "B0": 1.0063647479219435}
-BLOCKING_MSE = {"C2": 0.8506475669670914, "B0": 0.9532962787607702}
-FRAMING_MSE = {"F1": 0.6478744253399015, "F0": 0.9846201792216872}
 
 
 # --- references --------------------------------------------------------------------------------

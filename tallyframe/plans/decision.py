@@ -160,7 +160,7 @@ def _(t: Tables):
 
 CANDIDATES = {"B0": None, "B1_k5": ({1: 1.0}, 5.0), "B1_k45": ({1: 1.0}, 45.0), "B2_k5": (None, 5.0), "B2_k15": (None, 15.0), "B2_k45": (None, 45.0)}
 _CANDIDATE_SQL = f"""{estimation._WEEKS}, h1 as (select a.user_id, a.wk, coalesce(b.s, 0) s1, coalesce(b.e, 0) e1 from pw a left join pw b on b.user_id = a.user_id and b.wk = a.wk - 1),
-  cd as (select hh.*, case when user_id % 2 = 0 then 'even' else 'odd' end tier, s1, e1 from hh join h1 using (user_id, wk) where wk in (2, 3) and e > 0 and n > 0),
+  cd as (select hh.*, case when user_id % 2 = 0 then 'even' else 'odd' end tier, s1, e1 from hh join h1 using (user_id, wk) where e > 0 and n > 0),
   cc as (select *, unnest(['B0', 'B1_k5', 'B1_k45', 'B2_k5', 'B2_k15', 'B2_k45']) candidate, unnest([1.0, case when e1 > 0 then (5 + s1) / (5 + e1) else 1 end,
     case when e1 > 0 then (45 + s1) / (45 + e1) else 1 end, case when he > 0 then (5 + hs) / (5 + he) else 1 end, case when he > 0 then (15 + hs) / (15 + he) else 1 end,
     case when he > 0 then (45 + hs) / (45 + he) else 1 end]) mul from cd),
@@ -179,7 +179,7 @@ def _candidate_rows(t: Tables):
     short = rates.weighted_history(weeks, ["user_id"], "week", ["s", "e"], {1: 1.0}).select(
         "user_id", "week", F.col("history_s").alias("last_s"), F.col("history_e").alias("last_e")
     )
-    rows = long_history.join(short, ["user_id", "week"]).where("week in (2, 3) and e > 0 and n > 0")
+    rows = long_history.join(short, ["user_id", "week"]).where("e > 0 and n > 0")
     cells = []
     for name, spec in CANDIDATES.items():
         if spec is None:
@@ -671,14 +671,14 @@ def _(t: Tables):
 
 @query(
     "w13_interval_summary",
-    """with q as (select user_id, avg(value) m, count(*) n, quantile_cont(value, [0.025, 0.1, 0.5, 0.9, 0.975]) p from events where event_type = 'purchase' group by 1),
+    """with q as (select user_id, avg(value) m, count(*) n, quantile_cont(value, [0.025, 0.1, 0.5, 0.9, 0.975]) p from events group by 1),
        z as (select u.user_id, coalesce(n, 0) n, coalesce(m, 0) m, coalesce(p, [0.0, 0, 0, 0, 0]) p from (select distinct user_id from events) u left join q using (user_id))
        select user_id, n draw_count, round(m, 6) + 0.0 mean_value, round(p[1], 6) + 0.0 p025, round(p[2], 6) + 0.0 p100, round(p[3], 6) + 0.0 p500, round(p[4], 6) + 0.0 p900, round(p[5], 6) + 0.0 p975,
          round(p[4] - p[2], 6) + 0.0 width_80, round(p[5] - p[1], 6) + 0.0 width_95 from z""",
 )
 def _(t: Tables):
     members = t.events.select("user_id").distinct()
-    report = value.interval_summary(t.events.where("event_type = 'purchase'").select("user_id", "value"), "user_id", "value", members)
+    report = value.interval_summary(t.events.select("user_id", "value"), "user_id", "value", members)
     names = ["mean_value", "p025", "p100", "p500", "p900", "p975", "width_80", "width_95"]
     return report.select("user_id", "draw_count", *[r6(c).alias(c) for c in names])
 

@@ -41,11 +41,11 @@ def _band():
 
 @query(
     "k1_complete_composition",
-    f"""with k as (select unnest({KIND_LIST}) event_type), c as (select user_id, event_type, count(*) n from events where value > 100 group by 1, 2)
+    f"""with k as (select unnest({KIND_LIST}) event_type), c as (select user_id, event_type, count(*) n from events group by 1, 2)
         select user_id, event_type, coalesce(n, 0) n from (select distinct user_id from c) cross join k left join c using (user_id, event_type)""",
 )
 def _(t: Tables):
-    counts = t.events.where("value > 100").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    counts = t.events.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
     return season.complete(counts, ["user_id"], "event_type", KINDS, ["n"])
 
 
@@ -171,7 +171,7 @@ def _effects(t: Tables, zero: bool = False):
 def _translated(t: Tables, zero: bool = False):
     """Recency-weighted mixes per user and hour band, moved to the daytime scale and added up."""
     daily = t.events.groupBy("user_id", _band().alias("environment"), F.to_date("ts").alias("event_date"), "event_type").agg(F.count("*").alias("events"))
-    window = asof.EvidenceWindow("all", half_life_days=10)
+    window = asof.evidence_window(half_life_days=10)
     weighted = asof.recency_profile(daily, ["user_id", "environment"], "event_date", "event_type", "events", asof.as_date(CUTOFF), window)
     keys = ["user_id", "environment"]
     full = season.complete(weighted.select(*keys, "event_type", F.col("effective_count").alias("n")), keys, "event_type", KINDS, ["n"])
@@ -809,7 +809,7 @@ def _(t: Tables):
 
 
 _FORECAST = """y as (select o_custkey, year(o_orderdate) y, sum(o_totalprice) s, count(*) n from orders group by 1, 2),
-  f as (select a.o_custkey, a.y, a.s prior, coalesce(b.s, 0) obs, a.n n0, coalesce(b.n, 0) n1 from y a left join y b on b.o_custkey = a.o_custkey and b.y = a.y + 1 where a.y between 1996 and 1999),
+  f as (select a.o_custkey, a.y, a.s prior, coalesce(b.s, 0) obs, a.n n0, coalesce(b.n, 0) n1 from y a left join y b on b.o_custkey = a.o_custkey and b.y = a.y + 1),
   g as (select *, prior persistence, prior * n1 / n0 exposure_ratio, 0.5 * prior + 0.5 * prior * n1 / n0 half_and_half from f),
   l as (select y, obs, unnest(['persistence', 'exposure_ratio', 'half_and_half']) form, unnest([persistence, exposure_ratio, half_and_half]) - obs e from g),
   er as (select y fold_year, form, count(*) row_count, avg(abs(e)) mae, sqrt(avg(e * e)) rmse, avg(abs(e)) filter (obs > 0) continuing_mae from l group by 1, 2)"""
@@ -818,7 +818,7 @@ _FORECAST = """y as (select o_custkey, year(o_orderdate) y, sum(o_totalprice) s,
 def forecast_error_table(t: Tables):
     years = t.orders.groupBy("o_custkey", big(F.year("o_orderdate")).alias("fold_year")).agg(F.sum("o_totalprice").alias("prior"), F.count("*").alias("now"))
     following = years.select("o_custkey", (F.col("fold_year") - 1).alias("fold_year"), F.col("prior").alias("observed"), F.col("now").alias("next"))
-    rows = years.where("fold_year between 1996 and 1999").join(following, ["o_custkey", "fold_year"], "left").fillna(0, subset=["observed", "next"])
+    rows = years.join(following, ["o_custkey", "fold_year"], "left").fillna(0, subset=["observed", "next"])
     forecasts = rates.opportunity_forecasts(rows, "prior", "now", "next")
     return rates.forecast_errors(forecasts, ["fold_year"], ["persistence", "exposure_ratio", "half_and_half"], "observed")
 

@@ -369,10 +369,10 @@ def _(t: Tables):
 
 @query(
     "s3_entity_day_profile",
-    """select user_id, ts::date event_date, event_type, count(*) occurrence_count from events where value >= 5 group by 1, 2, 3""",
+    """select user_id, ts::date event_date, event_type, count(*) occurrence_count from events group by 1, 2, 3""",
 )
 def _(t: Tables):
-    days = t.events.where("value >= 5").groupBy("user_id", F.to_date("ts").alias("event_date"))
+    days = t.events.groupBy("user_id", F.to_date("ts").alias("event_date"))
     wide = days.agg(*[F.count_if(F.col("event_type") == k).alias(k) for k in KINDS])
     return wide.unpivot(["user_id", "event_date"], KINDS, "event_type", "occurrence_count").where("occurrence_count > 0")
 
@@ -565,7 +565,7 @@ _WEIGHTED = """d as (select user_id, ts::date d, event_type, count(*) n, count(*
         from d group by 1""",
 )
 def _(t: Tables):
-    window = asof.EvidenceWindow("two_weeks", lookback_days=14, half_life_days=7)
+    window = asof.evidence_window(lookback_days=14, half_life_days=7)
     snapshot = asof.recency_snapshot(_daily(t), "user_id", "event_date", "event_type", ["events", "large_events"], asof.as_date(CUTOFF), window)
     return snapshot.withColumn("effective_events", r6("effective_events")).withColumn("effective_large_events", r6("effective_large_events"))
 
@@ -576,7 +576,7 @@ def _(t: Tables):
           round(n / sum(n) over u, 6) + 0.0 raw_rate, round(e / sum(e) over u, 6) + 0.0 effective_rate from p window u as (partition by user_id)""",
 )
 def _(t: Tables):
-    window = asof.EvidenceWindow("two_weeks", lookback_days=14, half_life_days=7)
+    window = asof.evidence_window(lookback_days=14, half_life_days=7)
     rows = asof.recency_profile(_daily(t), ["user_id"], "event_date", "event_type", "events", asof.as_date(CUTOFF), window)
     return rows.select("user_id", "event_type", "raw_count", *[r6(c).alias(c) for c in ("effective_count", "raw_rate", "effective_rate")])
 
@@ -591,7 +591,7 @@ def _(t: Tables):
     level = F.get_json_object("props", "$.k").try_cast("bigint") % 3
     daily = t.events.groupBy("user_id", level.alias("level_group"), F.to_date("ts").alias("event_date"), "event_type").agg(F.count("*").alias("events"))
     rows = asof.recency_profile(
-        daily, ["user_id", "level_group"], "event_date", "event_type", "events", asof.as_date(CUTOFF), asof.EvidenceWindow("all", half_life_days=10)
+        daily, ["user_id", "level_group"], "event_date", "event_type", "events", asof.as_date(CUTOFF), asof.evidence_window(half_life_days=10)
     )
     return rows.select("user_id", "level_group", "event_type", "raw_count", r6("effective_count").alias("effective_count"), r6("effective_rate").alias("effective_rate"))
 
@@ -637,7 +637,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     folds = asof.fold_profiles(
-        _daily(t), ["user_id"], "event_date", "event_type", "events", ["2024-01-08", "2024-01-15", "2024-01-22"], asof.EvidenceWindow("all", half_life_days=7)
+        _daily(t), ["user_id"], "event_date", "event_type", "events", ["2024-01-08", "2024-01-15", "2024-01-22"], asof.evidence_window(half_life_days=7)
     )
     return folds.withColumn("effective_count", r6("effective_count"))
 
@@ -649,7 +649,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     daily = t.orders.groupBy(F.to_date("o_orderdate").alias("order_date")).agg(F.count("*").alias("orders"))
-    window = asof.EvidenceWindow("year", lookback_days=365)
+    window = asof.evidence_window(lookback_days=365)
     cutoffs = asof.month_starts(asof.as_date("1998-01-15"), asof.as_date("1998-12-31"))
     rows = daily.withColumn("cutoff", F.explode(F.filter(cutoffs, lambda c: window.holds(F.col("order_date"), c))))
     return rows.groupBy("cutoff").agg(F.sum("orders").alias("past_orders"))
@@ -675,7 +675,7 @@ def _(t: Tables):
     rows = t.events.where("event_type in ('view', 'click')").select("user_id", F.to_date("ts").alias("event_date"), "value")
     measures = {"mean_value": F.col("value"), "sweet_share": F.col("value").between(8, 32).cast("double")}
     features = asof.tracked_features(
-        rows, "user_id", "event_date", measures, asof.as_date(CUTOFF), asof.EvidenceWindow("tracked", half_life_days=14), 12
+        rows, "user_id", "event_date", measures, asof.as_date(CUTOFF), asof.evidence_window(half_life_days=14), 12
     )
     return features.select(*[r6(c).alias(c) if c in ("effective_count", "mean_value", "sweet_share") else F.col(c) for c in features.columns])
 

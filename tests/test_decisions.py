@@ -22,7 +22,7 @@ def daily(spark, rows):
 def test_predictors_cannot_see_the_cutoff_day(spark):
     rows = [(1, "2024-06-01", "x", 2), (1, "2024-06-30", "y", 3)]
     later = rows + [(1, "2024-07-01", "z", 100), (1, "2024-08-01", "z", 100)]
-    window = asof.EvidenceWindow("w", half_life_days=30)
+    window = asof.evidence_window(half_life_days=30)
     before = asof.recency_snapshot(daily(spark, rows), "p", "d", "e", ["n"], CUT(), window).collect()
     after = asof.recency_snapshot(daily(spark, later), "p", "d", "e", ["n"], CUT(), window).collect()
     assert before == after
@@ -32,11 +32,11 @@ def test_predictors_cannot_see_the_cutoff_day(spark):
 
 def test_lookback_and_bad_windows(spark):
     df = daily(spark, [(1, "2024-06-20", "x", 1), (1, "2024-06-21", "x", 1)])
-    got = asof.recency_snapshot(df, "p", "d", "e", ["n"], CUT(), asof.EvidenceWindow("w", lookback_days=10)).first()
+    got = asof.recency_snapshot(df, "p", "d", "e", ["n"], CUT(), asof.evidence_window(lookback_days=10)).first()
     assert got["raw_n"] == 1 and got["effective_n"] == 1.0
-    for bad in ({"label": " "}, {"label": "x", "lookback_days": 0}, {"label": "x", "half_life_days": -1}):
+    for bad in ({"lookback_days": 0}, {"half_life_days": -1}, {"lookback_days": -3, "half_life_days": 2}):
         with pytest.raises(ValueError):
-            asof.EvidenceWindow(**bad)
+            asof.evidence_window(**bad)
 
 
 def test_membership_is_a_partition_of_time(spark):
@@ -57,7 +57,7 @@ def test_vintage_needs_a_known_time(spark):
 def test_all_folds_in_one_job_equal_single_cutoffs(spark):
     rng = random.Random(2)
     df = daily(spark, [(rng.randrange(4), f"2024-0{rng.randrange(1, 7)}-1{rng.randrange(0, 9)}", rng.choice("xy"), rng.randrange(1, 5)) for _ in range(200)])
-    window = asof.EvidenceWindow("w", lookback_days=60, half_life_days=9)
+    window = asof.evidence_window(lookback_days=60, half_life_days=9)
     cutoffs = ["2024-03-01", "2024-05-15"]
     folds = asof.fold_profiles(df, ["p"], "d", "e", "n", cutoffs, window)
     for cutoff in cutoffs:
