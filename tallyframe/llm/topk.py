@@ -35,8 +35,9 @@ K = 5
 EVERY = 50
 BLOCK_ROWS = 1 << 14
 QUERY_ROWS = 1 << 14
-LEVELS = 24
-POSSIBLE = 64  # rows that are scored exactly without trying to exclude more of them
+LEVELS = 12
+POSSIBLE = 16  # a block's search may stop when so many rows in all, or one in as many, are left to be scored exactly
+CELL_BLOCKS = 64  # index blocks that meet a block of queries in one cell of the join
 CHECKS = 6  # how often the bounds are compared on the way
 
 
@@ -60,9 +61,10 @@ def build_index(vectors: DataFrame, block_rows: int = BLOCK_ROWS, levels: int =
         level = ((x - low) // step).astype(np.uint8)
         postings = np.argsort(level, axis=0, kind="stable").astype(np.int32).T if dim else np.empty((0, len(ids)), np.int32)
         starts = np.stack([np.searchsorted(np.sort(level[:, d]), np.arange(levels + 1)) for d in range(dim)]).astype(np.int32) if dim else np.empty((0, levels + 1), np.int32)
-        parts = [keys, x, low, step, level, np.ascontiguousarray(postings), starts]
-        columns = [pa.array([dim], pa.int32()), pa.array([len(ids)], pa.int32()), *[pa.array([p.tobytes()], pa.binary()) for p in parts]]
-        return pa.RecordBatch.from_arrays(columns, ["dim", "n", "keys", "x", "low", "step", "level", "postings", "starts"])
+        kind = next((t for t in ("<i2", "<i4") if not x.size or (np.iinfo(t).min <= x.min() and x.max() <= np.iinfo(t).max)), "<i8")
+        parts = [keys, x.astype(kind), low, step, level, np.ascontiguousarray(postings), starts]
+        columns = [pa.array([dim], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([kind]), *[pa.array([p.tobytes()], pa.binary()) for p in parts]]
+        return pa.RecordBatch.from_arrays(columns, ["dim", "n", "kind", "keys", "x", "low", "step", "level", "postings", "starts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list[int], list]] = defaultdict(lambda: ([], []))
@@ -76,8 +78,10 @@ def build_index(vectors: DataFrame, block_rows: int = BLOCK_ROWS, levels: int =
         for dim, (ids, rows) in held.items():
             yield close(dim, ids, rows)
 
-    schema = "dim int, n int, keys binary, x binary, low binary, step binary, level binary, postings binary, starts binary"
-    return written(vectors.select("vec_id", "values").mapInArrow(run, schema), "impact-index")
+    schema = "dim int, n int, kind string, keys binary, x binary, low binary, step binary, level binary, postings binary, starts binary"
+    count = vectors.select("vec_id").count()
+    dealt = vectors.select("vec_id", "values").repartition(max(1, -(-count // block_rows)))  # full blocks, whatever the files
+    return written(dealt.mapInArrow(run, schema), "impact-index")
 
 
 class Block:
@@ -87,7 +91,7 @@ class Block:
         dim, n = row["dim"], row["n"]
         self.levels = levels
         self.keys = np.frombuffer(row["keys"], np.int64)
-        self.x = np.frombuffer(row["x"], np.int64).reshape(n, dim)
+        self.x = np.frombuffer(row["x"], row["kind"]).reshape(n, dim).astype(np.int64)
         self.low, self.step = np.frombuffer(row["low"], np.int64), np.frombuffer(row["step"], np.int64)
         self.level = np.frombuffer(row["level"], np.uint8).reshape(n, dim)
         self.postings = np.frombuffer(row["postings"], np.int32).reshape(dim, n)
@@ -128,7 +132,7 @@ class Block:
                 if bar is not None:
                     mark = max(mark, bar)
                 possible = np.flatnonzero(upper >= mark)
-                if len(possible) <= POSSIBLE:
+                if len(possible) <= max(POSSIBLE, n // POSSIBLE):
                     break
         possible = possible[~same[possible]]
         scores = self.x[possible] @ query
@@ -151,9 +155,14 @@ def query_blocks(vectors: DataFrame, every: int = EVERY, rows_of_block: int = QU
 
 def search(index: DataFrame, queries: DataFrame, blocks: int, k: int = K) -> DataFrame:
     """(query_id, vec_id, score): for each query and task, the best k rows of the task's index blocks."""
-    spread = index.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = spread.join(queries, ["q", "dim"])
-    names = ["n", "dim", "keys", "x", "low", "step", "level", "postings", "starts"]
+    # A block of queries meets the index blocks in cells of a bounded number of them.
+    count = index.select("n").count()
+    cells = max(1, -(-count // CELL_BLOCKS))
+    names = ["n", "dim", "kind", "keys", "x", "low", "step", "level", "postings", "starts"]
+    spread = index.repartition(max(1, min(count, 2000))).withColumn("cell", F.pmod(F.xxhash64("keys"), F.lit(cells)).cast("int"))
+    spread = spread.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = queries.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+    pairs = spread.join(asked, ["q", "cell", "dim"])
 
     def make():
         bars: dict[int, list[int]] = {}  # the best k scores that a query has met in this task

@@ -11,7 +11,7 @@ beginning, several unrelated toxic documents share, as far as the machine itself
 landmarks, and the kernel is a product of finite feature rows, so the fitted expansion is folded once into one weight
 for each subsequence (``expanded`` gives the unfolded value); scoring a text is then a sum of table look-ups.
 
-Null and empty texts, and texts without letters, have the score of a text without any marked word. Repeated rows stay
+Null and empty texts, and texts without words of two letters, have a score near 0. Repeated rows stay
 and other columns are not read. Without labels of both kinds, the score is 0.
 """
 
@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 from tallyframe.llm.common import code_points, labelled_sample, pieces, with_results
 from tallyframe.llm.language import letters
 
-SAMPLE = (8_000, 2_000)  # clean and toxic labelled documents, at most (about)
-VOCABULARY_DOCUMENTS = 2_000  # clean ones whose words are all looked at; of the rest only those that seem toxic
-SAMPLE_CHARACTERS = 20_000  # training texts are cut there; scored texts never are
+SAMPLE = (4_000, 1_500)  # clean and toxic labelled documents, at most (about)
+VOCABULARY_DOCUMENTS = 1_500  # clean ones whose words are all looked at; of the rest only those that seem toxic
+SAMPLE_CHARACTERS = 8_000  # training texts are cut there; scored texts never are
 LANDMARKS = 192  # at first; each round adds the words that were judged wrong
-NEGATIVES = 12_000  # clean words that the machine is fitted on, at most
+NEGATIVES = 6_000  # clean words that the machine is fitted on, at most
 BATCH_CHARACTERS = 100_000
 LIMIT = 0x3000
 DAMPING = 0.5
@@ -120,9 +120,10 @@ class ToxicityModel:
             here[: len(fits)] += found * np.float32(damping)
             norms[: len(fits)] += fits * np.float32(damping**2)
         if home is None:
-            return np.full(len(edges), self.bias), text
+            return np.full(len(edges), -1e3), text
         total, norm = (np.bincount(home, v, minlength=len(edges) + 1) for v in (here, norms))
-        values = total[:-1] / np.sqrt(np.maximum(norm[:-1], 1e-9)) + self.bias
+        # A word too short for any subsequence says nothing.
+        values = np.where(norm[:-1] > 0, total[:-1] / np.sqrt(np.maximum(norm[:-1], 1e-9)) + self.bias, -1e3)
         return values, text
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -169,7 +170,7 @@ def _columns(model: ToxicityModel, landmarks: list[str]) -> tuple[np.ndarray, np
     return kinds, rows
 
 
-def _kernel(model: ToxicityModel, words: list[str], kinds: np.ndarray, rows: np.ndarray, block: int = 512) -> np.ndarray:
+def _kernel(model: ToxicityModel, words: list[str], kinds: np.ndarray, rows: np.ndarray, block: int = 128) -> np.ndarray:
     out = np.empty((len(words), rows.shape[1]))
     for a in range(0, len(words), block):
         some = words[a : a + block]
@@ -285,7 +286,7 @@ def fit_texts(rows: list[tuple[str, int]], rounds: int = 3, landmarks: int = LAN
         sign = np.where((value > 0) & (sign > 0) & (np.arange(len(unknown)) < len(marked)), 1.0, -1.0)
         # Clean words that the machine takes for insults join the fit and the landmarks, as do insults that it misses.
         found = np.concatenate([model.word_values([" ".join(everyday[a : a + 20_000])])[0] for a in range(0, len(everyday), 20_000)])
-        hard = [everyday[i] for i in np.argsort(-found[: len(everyday)])[: NEGATIVES // 12]] if len(found) == len(everyday) else []
+        hard = [everyday[i] for i in np.argsort(-found[: len(everyday)])[: NEGATIVES // 6]] if len(found) == len(everyday) else []
         seen_clean = set()
         for a, b in pieces(more, BATCH_CHARACTERS):
             some = [more[a + i] for i in np.flatnonzero(worst_values(*model.word_values(more[a:b])) > 0.2).tolist()]
@@ -294,7 +295,7 @@ def fit_texts(rows: list[tuple[str, int]], rounds: int = 3, landmarks: int = LAN
         among_clean = sorted(seen_clean)
         values_clean = model.word_values([" ".join(among_clean)])[0]
         if len(values_clean) == len(among_clean):
-            hard = list(dict.fromkeys([among_clean[i] for i in np.argsort(-values_clean)[: NEGATIVES // 12]] + hard))
+            hard = list(dict.fromkeys([among_clean[i] for i in np.argsort(-values_clean)[: NEGATIVES // 6]] + hard))
         sign[np.array([w in seen_clean for w in unknown], dtype=bool)] = -1.0
         negatives = list(dict.fromkeys(negatives + hard))  # a bounded sample and, by now, the hardest
         missed = [unknown[i] for i in np.flatnonzero(sign > 0)[np.argsort(value[sign > 0])][: landmarks // 4]]
