@@ -37,7 +37,7 @@ BLOCK_ROWS = 1 << 14
 QUERY_ROWS = 1 << 14
 LEVELS = 12
 POSSIBLE = 16  # a block's search may stop when so many rows in all, or one in as many, are left to be scored exactly
-CELL_BLOCKS = 64  # index blocks that meet a block of queries in one cell of the join
+CELL_BLOCKS = 2  # index blocks that meet a block of queries in one cell of the join
 CHECKS = 6  # how often the bounds are compared on the way
 
 
@@ -97,7 +97,7 @@ class Block:
         self.postings = np.frombuffer(row["postings"], np.int32).reshape(dim, n)
         self.starts = np.frombuffer(row["starts"], np.int32).reshape(dim, levels + 1)
 
-    def search(self, query: np.ndarray, own: int, k: int, bar: int | None) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, query: np.ndarray, asker: int, k: int, bar: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids and exact scores of the rows of this block that can be among the best k above ``bar``."""
         n, dim = self.x.shape
         weight = np.abs(query)
@@ -113,9 +113,9 @@ class Block:
         order = order[impact.ravel()[order] > 0]
         height = np.full(dim, self.levels)  # levels from this height on have been processed
         total = np.full(n, base, dtype=np.int64)
-        checks = set((len(order) * np.arange(1, CHECKS + 1) // CHECKS - 1).tolist())
+        checks = set((len(order) * np.arange(CHECKS, 2 * CHECKS) // (2 * CHECKS - 1) - 1).tolist())  # in the later half
         possible = np.arange(n)
-        same = self.keys == own
+        same = self.keys == asker
         for i, place in enumerate(order.tolist()):
             d, h = divmod(place, self.levels)
             level = h if rising[d] else self.levels - 1 - h
@@ -125,13 +125,15 @@ class Block:
             height[d] = h
             if i in checks and n > k:
                 rest = unit * np.maximum(height - 1, 0)  # what an open dimension can still add
-                ups = self.level if rising.all() else np.where(rising, self.level, self.levels - 1 - self.level)
-                upper = total + slack + (ups < height) @ rest
                 lower = np.where(same, np.iinfo(np.int64).min, total)
                 mark = np.partition(lower, n - k)[n - k]
                 if bar is not None:
                     mark = max(mark, bar)
-                possible = np.flatnonzero(upper >= mark)
+                possible = np.flatnonzero(total >= mark - slack - rest.sum())
+                if rest.any() and len(possible) <= n // 2:  # of these, count only the dimensions still open for a row
+                    own = self.level[possible]
+                    open_ = np.where(rising, own, self.levels - 1 - own) < height
+                    possible = possible[total[possible] + slack + (open_ * rest).sum(axis=1) >= mark]
                 if len(possible) <= max(POSSIBLE, n // POSSIBLE):
                     break
         possible = possible[~same[possible]]
@@ -159,9 +161,12 @@ def search(index: DataFrame, queries: DataFrame, blocks: int, k: int = K) -> Dat
     count = index.select("n").count()
     cells = max(1, -(-count // CELL_BLOCKS))
     names = ["n", "dim", "kind", "keys", "x", "low", "step", "level", "postings", "starts"]
-    spread = index.repartition(max(1, min(count, 2000))).withColumn("cell", F.pmod(F.xxhash64("keys"), F.lit(cells)).cast("int"))
+    spread = index.withColumn("cell", F.pmod(F.xxhash64("keys"), F.lit(cells)).cast("int"))
     spread = spread.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = queries.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+    # As many partitions as cells, since the work of a cell says nothing of its bytes.
+    parts = max(1, min(blocks * cells, 20_000))
+    spread, asked = (side.repartition(parts, "q", "cell", "dim") for side in (spread, asked))
     pairs = spread.join(asked, ["q", "cell", "dim"])
 
     def make():

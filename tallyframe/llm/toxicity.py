@@ -33,7 +33,7 @@ SAMPLE = (4_000, 1_500)  # clean and toxic labelled documents, at most (about)
 VOCABULARY_DOCUMENTS = 1_500  # clean ones whose words are all looked at; of the rest only those that seem toxic
 SAMPLE_CHARACTERS = 8_000  # training texts are cut there; scored texts never are
 LANDMARKS = 192  # at first; each round adds the words that were judged wrong
-NEGATIVES = 6_000  # clean words that the machine is fitted on, at most
+NEGATIVES = 8_000  # clean words that the machine is fitted on, at most
 BATCH_CHARACTERS = 100_000
 LIMIT = 0x3000
 DAMPING = 0.5
@@ -182,7 +182,7 @@ def _kernel(model: ToxicityModel, words: list[str], kinds: np.ndarray, rows: np.
     return out
 
 
-def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3, steps: int = 30) -> tuple[np.ndarray, float]:
+def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 3e-4, steps: int = 30) -> tuple[np.ndarray, float]:
     """Linear support vector machine with squared hinge loss, by Newton steps on the rows inside the margin."""
     x1 = np.column_stack([x, np.ones(len(x))])
     ridge = np.append(np.full(x.shape[1], penalty * weight.sum() / 100), 1e-9)
