@@ -5,8 +5,8 @@ are sorted by quantised level. A query adds for each dimension the impact of a l
 of this level can have above the dimension's lowest; for a negative query component the order is the reverse.
 
 Search: the posting segments (dimension, level) are processed by descending impact. A row's sum so far is a lower
-bound of its score; the impacts that it has not got yet, at most those of the next segments in its open dimensions, and
-the width of a level in each dimension give an upper bound. The search of a block stops only when every row whose upper
+bound of its score; the impacts that the next segments of all dimensions can still add, and the width of a level in
+each dimension, give an upper bound. The search of a block stops only when every row whose upper
 bound reaches the k-th best lower bound is among a few possible members; these are scored exactly. The best scores of
 the blocks of a task raise that bar for the next.
 
@@ -36,7 +36,7 @@ EVERY = 50
 BLOCK_ROWS = 1 << 14
 QUERY_ROWS = 1 << 14
 LEVELS = 12
-POSSIBLE = 16  # a block's search may stop when so many rows in all, or one in as many, are left to be scored exactly
+POSSIBLE = 8  # a block's search may stop when so many rows in all, or one in as many, are left to be scored exactly
 CELL_BLOCKS = 2  # index blocks that meet a block of queries in one cell of the join
 CHECKS = 6  # how often the bounds are compared on the way
 
@@ -130,10 +130,6 @@ class Block:
                 if bar is not None:
                     mark = max(mark, bar)
                 possible = np.flatnonzero(total >= mark - slack - rest.sum())
-                if rest.any() and len(possible) <= n // 2:  # of these, count only the dimensions still open for a row
-                    own = self.level[possible]
-                    open_ = np.where(rising, own, self.levels - 1 - own) < height
-                    possible = possible[total[possible] + slack + (open_ * rest).sum(axis=1) >= mark]
                 if len(possible) <= max(POSSIBLE, n // POSSIBLE):
                     break
         possible = possible[~same[possible]]
