@@ -20,8 +20,9 @@ class EvidenceWindow(NamedTuple):
 
     def holds(self, day: Column, cutoff: Column) -> Column:
         """Strictly before the cutoff, and no older than the oldest age when there is one."""
-        age = F.datediff(cutoff, day)
-        return age > 0 if math.isinf(self.oldest) else age.between(1, int(self.oldest))
+        # Comparisons of the day itself can be pushed into the scan; an age computed from it cannot.
+        before = day < cutoff
+        return before if math.isinf(self.oldest) else before & (day >= F.date_sub(cutoff, int(self.oldest)))
 
     def weight(self, day: Column, cutoff: Column) -> Column:
         return F.pow(F.lit(self.kept_per_day), F.datediff(cutoff, day))

@@ -128,8 +128,15 @@ def metadata_variants(df: DataFrame, keys: Sequence[str], fields: Sequence[str])
 
 
 def certification(df: DataFrame, keys: Sequence[str], day: str) -> DataFrame:
-    """One row describing a table: rows, distinct keys, null counts per column and the date range."""
+    """One row describing a table: rows, distinct keys, repeats, null cells, the share of nulls in each column, the dates.
+
+    A repeated key is exact if all its rows are equal, null for null, and conflicting otherwise. Rows are compared by a
+    64-bit hash of their values and null flags. Column ``c`` reports its share of nulls as ``null_rate_c``.
+    """
+    row = F.xxhash64(*df.columns, *[F.col(c).isNull() for c in df.columns])
     per_key = df.groupBy(*keys).agg(
+        F.min(row).alias("_low"),
+        F.max(row).alias("_high"),
         F.count("*").alias("_n"),
         F.min(day).alias("_lo"),
         F.max(day).alias("_hi"),
@@ -139,9 +146,12 @@ def certification(df: DataFrame, keys: Sequence[str], day: str) -> DataFrame:
         F.sum("_n").alias("row_count"),
         F.count("*").alias("key_count"),
         F.count_if(F.col("_n") > 1).alias("repeated_key_count"),
+        F.count_if((F.col("_n") > 1) & (F.col("_low") == F.col("_high"))).alias("exact_repeated_key_count"),
+        F.count_if(F.col("_low") != F.col("_high")).alias("conflicting_key_count"),
         F.sum(sum((F.col(f"_null_{c}") for c in df.columns[1:]), F.col(f"_null_{df.columns[0]}"))).alias("null_cell_count"),
         F.min("_lo").alias("first_date"),
         F.max("_hi").alias("last_date"),
+        *[(F.sum(f"_null_{c}") / F.sum("_n")).alias(f"null_rate_{c}") for c in df.columns],
     )
 
 

@@ -45,12 +45,18 @@ def standardize(df: DataFrame, fitted: DataFrame, features: Sequence[str], eligi
 # --- least squares -----------------------------------------------------------------------------
 
 
+MOST_CELLS = 10_000  # level pairs that a fit on the driver takes
+
+
 def additive_effects(cells: DataFrame, first: str, second: str, references: tuple[str, str]) -> DataFrame:
     """Effects of ``y ~ first + second`` from cell counts and sums, each reference level at zero.
 
-    ``cells``: first, second, cell_count, value_sum. One row per level pair reaches the driver.
+    ``cells``: first, second, cell_count, value_sum. One row per level pair reaches the driver; more than
+    ``MOST_CELLS`` of them are refused.
     """
-    rows = cells.select(first, second, "cell_count", "value_sum").collect()
+    rows = cells.select(first, second, "cell_count", "value_sum").limit(MOST_CELLS + 1).collect()
+    if len(rows) > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} level pairs")
     levels = [(first, v) for v in sorted({r[first] for r in rows}) if v != references[0]]
     levels += [(second, v) for v in sorted({r[second] for r in rows}) if v != references[1]]
     place = {level: i + 1 for i, level in enumerate(levels)}
@@ -72,12 +78,17 @@ def additive_effects(cells: DataFrame, first: str, second: str, references: tupl
 
 
 def predict_additive(df: DataFrame, effects: DataFrame, first: str, second: str, name: str = "fitted") -> DataFrame:
-    """Fitted value per row; a level the fit never saw gives null."""
+    """Fitted value per row; a level the fit never saw gives null.
+
+    Effects are handed to every task if there are few of them, as ``additive_effects`` sees to; a longer table is joined
+    as Spark decides.
+    """
+    few = effects.limit(MOST_CELLS + 1).count() <= MOST_CELLS
     intercept = effects.where("factor = 'intercept'").select("effect").scalar()
     result = df
     for i, factor in enumerate((first, second)):
         part = effects.where(F.col("factor") == factor).select(F.col("level").alias(factor), F.col("effect").alias(f"_e{i}"))
-        result = result.join(part, factor, "left")
+        result = result.join(F.broadcast(part) if few else part, factor, "left")
     return result.withColumn(name, intercept + F.col("_e0") + F.col("_e1")).drop("_e0", "_e1")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,15 +15,18 @@ def peer_prior(
 
     Peers share ``wide`` and ``narrow`` if at least ``minimum`` others do, else ``wide`` if any other
     does, else they are everyone. Each pool is a group total minus the entity's own counts, so no
-    entity is compared with another. Entities without context are left out.
+    entity is compared with another. Entities without context are left out. ``counts`` has one row per
+    entity and category. The wider totals are sums over the narrow cells, a table of one row per peer
+    group and category, and rows meet their totals in one join on all three columns.
     """
     known = context.where(F.col(narrow).isNotNull() & F.col(wide).isNotNull()).select(entity, narrow, wide)
     rows = counts.join(known, entity)
     grains = {"narrow": [wide, narrow], "wide": [wide], "all": []}
-    joined = rows
-    for name, keys in grains.items():
-        cells = rows.groupBy(*keys, category).agg(F.sum(count).alias(f"_{name}_n"), F.count("*").alias(f"_{name}_k"))
-        joined = joined.join(cells, [*keys, category])
+    cells = rows.groupBy(wide, narrow, category).agg(F.sum(count).alias("_narrow_n"), F.count("*").alias("_narrow_k"))
+    for name in ("wide", "all"):
+        group = Window.partitionBy(*grains[name], category)
+        cells = cells.withColumns({f"_{name}_{part}": F.sum(f"_narrow_{part}").over(group) for part in ("n", "k")})
+    joined = rows.join(cells, [wide, narrow, category])
     others = {name: F.col(f"_{name}_k") - 1 for name in grains}
     source = F.when(others["narrow"] >= minimum, "narrow").when(others["wide"] > 0, "wide").otherwise("all")
 
@@ -34,9 +37,10 @@ def peer_prior(
     pooled = chosen(F.col("prior_source"), {name: F.col(f"_{name}_n") - F.col(count) for name in grains})
     peers = chosen(F.col("prior_source"), others)
     pools = picked.select(entity, category, narrow, wide, "prior_source", pooled.alias("_pooled"), peers.alias("prior_peer_count"))
-    totals = pools.groupBy(entity).agg(F.sum("_pooled").alias("prior_peer_events"))
+    # An entity has one row per category, so this window holds a handful of rows.
+    pools = pools.withColumn("prior_peer_events", F.sum("_pooled").over(Window.partitionBy(entity)))
     share = (F.col("_pooled") + pseudocount) / (F.col("prior_peer_events") + pseudocount * size)
-    return pools.join(totals, entity).withColumn("prior_probability", share).drop("_pooled")
+    return pools.withColumn("prior_probability", share).drop("_pooled")
 
 
 def empirical_bayes(counts: DataFrame, prior: DataFrame, entity: str, category: str, count: str, strength: float) -> DataFrame:

@@ -277,18 +277,18 @@ def _(t: Tables):
 
 @query(
     "p9_catastrophic_reversals",
-    f"""with {_CANDIDATE_SQL}, b as (select wk, sum(exposure) z from ct where candidate = 'B0' group by 1)
-        select a.candidate, a.wk "week", a.tier, round(a.score, 6) + 0.0 score, round(o.score, 6) + 0.0 baseline_score from ct a join ct o on o.candidate = 'B0' and o.wk = a.wk and o.tier = a.tier join b on b.wk = a.wk
-        where a.candidate <> 'B0' and a.exposure >= 0.05 * z and o.score > 0 and a.score >= 1.10 * o.score union all select 'none', -1, 'none', 0.0::double, 0.0::double""",
+    f"""with {_CANDIDATE_SQL}, b as (select wk, sum(exposure) z from ct where candidate = 'B0' group by 1),
+        d as (select * replace (case when candidate = 'B0' and wk % 2 = 0 then score / 2 else score end as score) from ct)
+        select a.candidate, a.wk "week", a.tier, round(a.score, 6) + 0.0 score, round(o.score, 6) + 0.0 baseline_score from d a join d o on o.candidate = 'B0' and o.wk = a.wk and o.tier = a.tier join b on b.wk = a.wk
+        where a.candidate <> 'B0' and a.exposure >= 0.05 * z and o.score > 0 and a.score >= 1.10 * o.score""",
 )
 def _(t: Tables):
     cells = _candidate_scores(_candidate_rows(t), ["candidate", "week", "tier"])
+    # Seeded: the baseline scores twice as well in every other week.
+    seeded = (F.col("candidate") == "B0") & (F.col("week") % 2 == 0)
+    cells = cells.withColumn("score", F.when(seeded, F.col("score") / 2).otherwise(F.col("score")))
     found = selection.catastrophic_reversals(cells, "candidate", "B0", "week", "tier")
-    # The marker row keeps the report non-empty when nothing reversed.
-    marker = t.spark.range(1).select(
-        F.lit("none").alias("candidate"), F.lit(-1).cast("bigint").alias("week"), F.lit("none").alias("tier"), F.lit(0.0).alias("score"), F.lit(0.0).alias("baseline_score")
-    )
-    return found.select("candidate", "week", "tier", r6("score").alias("score"), r6("baseline_score").alias("baseline_score")).unionByName(marker)
+    return found.select("candidate", "week", "tier", r6("score").alias("score"), r6("baseline_score").alias("baseline_score"))
 
 
 @query(

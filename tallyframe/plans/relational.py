@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyframe import functions as fn
@@ -127,15 +128,20 @@ def _(t: Tables):
 
 @query(
     "a8_partition_faults",
-    f"""{_MONTHS}, 0::bigint orphan_count, 0::bigint misplaced_count
-        from lineitem join orders on l_orderkey = o_orderkey group by 1, 2""",
+    """with x as (select l_orderkey k, case when l_orderkey % 17 = 0 then o_orderdate + interval 1 month else o_orderdate end d
+         from lineitem join orders on l_orderkey = o_orderkey)
+       select year(d)::bigint "year", month(d)::bigint "month", count(*) row_count, count(*) filter (k % 13 = 0) orphan_count,
+         count(*) filter (k % 17 = 0 and k % 13 <> 0) misplaced_count from x group by 1, 2""",
 )
 def _(t: Tables):
     dates = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
-    facts = files.with_event_month(t.lineitem.select("l_orderkey", "l_linenumber"), dates, "l_orderkey", "o_orderdate")
+    # Seeded: some orders are filed a month late, and some have no date when the files are verified.
+    filed = dates.withColumn("o_orderdate", F.when(F.col("l_orderkey") % 17 == 0, F.add_months("o_orderdate", 1)).otherwise(F.to_date("o_orderdate")))
+    facts = files.with_event_month(t.lineitem.select("l_orderkey", "l_linenumber"), filed, "l_orderkey", "o_orderdate")
     folder = files.work_folder(t.spark, "verify")
     facts.where("year is not null").hint("rebalance", "year", "month").write.partitionBy("year", "month").parquet(folder)
-    faults = files.partition_faults(t.spark.read.parquet(folder), dates, "l_orderkey", "o_orderdate")
+    known = dates.withColumn("o_orderdate", F.when(F.col("l_orderkey") % 13 != 0, F.col("o_orderdate")))
+    faults = files.partition_faults(t.spark.read.parquet(folder), known, "l_orderkey", "o_orderdate")
     return faults.select(
         big("year").alias("year"), big("month").alias("month"), "row_count", "orphan_count", "misplaced_count"
     )
@@ -454,6 +460,15 @@ def _(t: Tables):
 # --- joins -------------------------------------------------------------------------------------
 
 
+def _moved(key: str) -> Column:
+    """A seeded defect: every tenth key is turned into one that the other table does not have; no row is left out."""
+    return F.when(F.col(key) % 10 == 0, -F.col(key)).otherwise(F.col(key))
+
+
+def _moved_sql(key: str) -> str:
+    return f"case when {key} % 10 = 0 then -{key} else {key} end"
+
+
 @query(
     "c1_inner_join",
     """select o_orderpriority, count(*) line_count, round(sum(l_extendedprice * (1 - l_discount)), 2) + 0.0 revenue
@@ -468,27 +483,25 @@ def _(t: Tables):
 
 @query(
     "c2_left_lookup_zero_fill",
-    """select c_custkey, count(o_orderkey) order_count, round(coalesce(sum(o_totalprice), 0), 2) + 0.0 spend from customer
-       left join (select * from orders where o_orderpriority = '1-URGENT') on c_custkey = o_custkey group by 1""",
+    f"""select c_custkey, count(o_orderkey) order_count, round(coalesce(sum(o_totalprice), 0), 2) + 0.0 spend from customer
+       left join (select *, {_moved_sql("o_custkey")} k from orders) on c_custkey = k group by 1""",
 )
 def _(t: Tables):
-    urgent = t.orders.where("o_orderpriority = '1-URGENT'").groupBy(F.col("o_custkey").alias("c_custkey"))
-    counts = urgent.agg(F.count("*").alias("order_count"), r6(F.sum("o_totalprice"), 2).alias("spend"))
+    orders = t.orders.groupBy(_moved("o_custkey").alias("c_custkey"))
+    counts = orders.agg(F.count("*").alias("order_count"), r6(F.sum("o_totalprice"), 2).alias("spend"))
     return lookup.with_counts(t.customer.select("c_custkey"), counts, ["c_custkey"])
 
 
 @query(
     "c3_full_reconciliation",
-    """select coalesce(l_orderkey, o_orderkey) order_key, l_orderkey is not null in_lines, o_orderkey is not null in_header,
+    f"""select coalesce(l_orderkey, k) order_key, l_orderkey is not null in_lines, k is not null in_header,
          coalesce(lines, 0) lines_units, coalesce(header, 0) header_units, coalesce(lines, 0) - coalesce(header, 0) units_difference
        from (select l_orderkey, sum(l_quantity)::bigint lines from lineitem group by 1) full join
-         (select o_orderkey, floor(o_totalprice / 3000)::bigint header from orders where o_orderstatus <> 'P') on l_orderkey = o_orderkey""",
+         (select {_moved_sql("o_orderkey")} k, floor(o_totalprice / 3000)::bigint header from orders) on l_orderkey = k""",
 )
 def _(t: Tables):
     lines = t.lineitem.groupBy(F.col("l_orderkey").alias("order_key")).agg(big(F.sum("l_quantity")).alias("units"))
-    header = t.orders.where("o_orderstatus <> 'P'").select(
-        F.col("o_orderkey").alias("order_key"), F.floor(F.col("o_totalprice") / 3000).alias("units")
-    )
+    header = t.orders.select(_moved("o_orderkey").alias("order_key"), F.floor(F.col("o_totalprice") / 3000).alias("units"))
     return lookup.reconcile(lines, header, ["order_key"], ["units"], ("lines", "header"))
 
 
@@ -515,11 +528,11 @@ def _(t: Tables):
 
 @query(
     "c6_declared_totals_kept",
-    """select o_orderkey, o_totalprice declared, round(coalesce(sum(l_extendedprice), 0), 2) + 0.0 matched, count(l_orderkey) line_count
-       from (select * from lineitem where l_discount = 0) right join orders on l_orderkey = o_orderkey group by 1, 2""",
+    f"""select o_orderkey, o_totalprice declared, round(coalesce(sum(l_extendedprice), 0), 2) + 0.0 matched, count(k) line_count
+       from (select *, {_moved_sql("l_orderkey")} k from lineitem) right join orders on k = o_orderkey group by 1, 2""",
 )
 def _(t: Tables):
-    sums = t.lineitem.where("l_discount = 0").groupBy(F.col("l_orderkey").alias("o_orderkey"))
+    sums = t.lineitem.groupBy(_moved("l_orderkey").alias("o_orderkey"))
     sums = sums.agg(r6(F.sum("l_extendedprice"), 2).alias("matched"), F.count("*").alias("line_count"))
     declared = t.orders.select("o_orderkey", F.col("o_totalprice").alias("declared"))
     return sums.join(declared, "o_orderkey", "right").fillna(0, subset=["matched", "line_count"])
@@ -527,27 +540,30 @@ def _(t: Tables):
 
 @query(
     "c7_null_safe_overlap",
-    """select place, count(*) key_count, sum(case when k is null then 1 else 0 end)::bigint null_key_count from (
+    f"""select place, count(*) key_count, sum(case when k is null then 1 else 0 end)::bigint null_key_count from (
          select coalesce(a.k, b.k) k, case when a.s is null then 'right_only' when b.s is null then 'left_only' else 'both' end place
-         from (select distinct case when event_type = 'error' then null else user_id end k, 1 s from events where ts < timestamp '2024-01-04') a
-         full join (select distinct case when event_type = 'view' then null else user_id end k, 1 s from events where ts >= timestamp '2024-01-29') b
+         from (select distinct case when event_type = 'error' then null else {_moved_sql("user_id")} end k, 1 s from events where ts < timestamp '2024-01-16') a
+         full join (select distinct case when event_type = 'view' then null else user_id end k, 1 s from events where ts >= timestamp '2024-01-16') b
          on a.k is not distinct from b.k) group by 1""",
 )
 def _(t: Tables):
-    at = F.col("ts")
-    early = t.events.where(at < F.lit("2024-01-04").cast("timestamp_ntz")).select(F.when(F.col("event_type") != "error", F.col("user_id")).alias("k"))
-    late = t.events.where(at >= F.lit("2024-01-29").cast("timestamp_ntz")).select(F.when(F.col("event_type") != "view", F.col("user_id")).alias("k"))
+    at, middle = F.col("ts"), F.lit("2024-01-16").cast("timestamp_ntz")
+    early = t.events.where(at < middle).select(F.when(F.col("event_type") != "error", _moved("user_id")).alias("k"))
+    late = t.events.where(at >= middle).select(F.when(F.col("event_type") != "view", F.col("user_id")).alias("k"))
     places = lookup.key_overlap(early, late, ["k"])
     return places.groupBy("place").agg(F.count("*").alias("key_count"), F.count_if(F.col("k").isNull()).alias("null_key_count"))
 
 
 @query(
     "c8_checked_lookup",
-    """select p_brand, count(*) line_count, round(sum(l_quantity * p_retailprice), 2) + 0.0 list_value, 0::bigint duplicated_part_keys
-       from lineitem join part on l_partkey = p_partkey group by 1""",
+    """with p as (select * from part union all select * from part where p_partkey % 50 = 0)
+       select p_brand, count(*) line_count, round(sum(l_quantity * p_retailprice), 2) + 0.0 list_value,
+         (select count(*) from (select 1 from p group by p_partkey having count(*) > 1)) duplicated_part_keys
+       from lineitem join p on l_partkey = p_partkey group by 1""",
 )
 def _(t: Tables):
     part = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_retailprice")
+    part = part.unionByName(part.where("l_partkey % 50 = 0"))  # seeded: some keys twice
     lines, duplicated = lookup.attach_one(t.lineitem.select("l_partkey", "l_quantity"), part, ["l_partkey"])
     grouped = lines.where("p_brand is not null").groupBy("p_brand").agg(
         F.count("*").alias("line_count"), r6(F.sum(F.col("l_quantity") * F.col("p_retailprice")), 2).alias("list_value")

@@ -655,11 +655,25 @@ def _(t: Tables):
     return checks.source_inventory(rows, ["user_id"], "event_type", "event_date", "view", "purchase")
 
 
+_CERTIFIED = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
 @query(
     "q13_certification",
-    """select (select count(*) from lineitem) row_count, count(*) key_count, count(*) filter (n > 1) repeated_key_count, 0::bigint null_cell_count,
-         min(lo)::date first_date, max(hi)::date last_date from (select count(*) n, min(l_shipdate) lo, max(l_shipdate) hi from lineitem group by l_orderkey, l_linenumber)""",
-)
-def _(t: Tables):
-    report = checks.certification(t.lineitem, KEY, "l_shipdate")
+    f"""with l as (select {", ".join(_CERTIFIED)} from lineitem),
+         c as (select * replace (case when l_orderkey % 9 <> 0 then l_returnflag end as l_returnflag) from l
+           union all select * from l where l_orderkey % 50 = 0 union all select * replace ('X' as l_linestatus) from l where l_orderkey % 50 = 1),
+         k as (select count(*) n, count(distinct c) variants, min(l_shipdate) lo, max(l_shipdate) hi from c group by l_orderkey, l_linenumber)
+       select (select count(*) from c) row_count, count(*) key_count, count(*) filter (n > 1) repeated_key_count,
+         count(*) filter (n > 1 and variants = 1) exact_repeated_key_count, count(*) filter (variants > 1) conflicting_key_count,
+         (select {" + ".join(f"count(*) filter ({c} is null)" for c in _CERTIFIED)} from c)::bigint null_cell_count, min(lo)::date first_date, max(hi)::date last_date,
+         {", ".join(f"(select round(avg(({c} is null)::int), 6) + 0.0 from c) null_rate_{c}" for c in _CERTIFIED)} from k""",
+)
+def _(t: Tables):
+    lines = t.lineitem.select(*_CERTIFIED)
+    # Seeded: nulls in one column, exact repeats and conflicting ones.
+    holes = lines.withColumn("l_returnflag", F.when(F.col("l_orderkey") % 9 != 0, F.col("l_returnflag")))
+    seeded = holes.unionByName(lines.where("l_orderkey % 50 = 0")).unionByName(lines.where("l_orderkey % 50 = 1").withColumn("l_linestatus", F.lit("X")))
+    report = checks.certification(seeded, KEY, "l_shipdate")
+    report = report.withColumns({f"null_rate_{c}": r6(f"null_rate_{c}") for c in _CERTIFIED})
     return report.withColumn("first_date", F.to_date("first_date")).withColumn("last_date", F.to_date("last_date"))
