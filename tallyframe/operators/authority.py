@@ -9,32 +9,48 @@ from pyspark.sql import functions as F
 
 
 def adjudicate(
-    conflicts: DataFrame, observations: DataFrame, official: DataFrame, keys: Sequence[str], field: str, snapshot: str
+    conflicts: DataFrame, observations: DataFrame, official: DataFrame, keys: Sequence[str], fields: Sequence[str], snapshot: str
 ) -> DataFrame:
-    """Judge one conflicting field per key against an authority; evidence only, nothing is changed.
+    """Judge every conflicting field of a key against an authority; evidence only, nothing is changed.
 
-    ``official`` has at most one row per key. A snapshot with several values of its own makes the
-    comparison ambiguous.
+    ``conflicts`` names the fields of each key in ``conflict_fields``; other fields are not judged.
+    ``official`` has at most one row per key. One row per key and field: values are compared as text,
+    a snapshot with several values of its own makes the comparison ambiguous, and the lists hold
+    snapshots in order, so a list is as long as there are snapshots of one key.
     """
+    grain = [*keys, "field"]
+
+    def cells(name: str) -> Column:
+        return F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias(name)) for f in fields]))
+
+    listed = conflicts.select(*keys, F.explode("conflict_fields").alias("field")).distinct()
     candidates = (
-        observations.join(conflicts.select(*keys).distinct(), list(keys), "left_semi")
-        .where(F.col(field).isNotNull())
-        .groupBy(*keys, snapshot)
-        .agg(F.min(field).alias("_lo"), F.max(field).alias("_hi"))
+        observations.select(*keys, snapshot, cells("_value"))
+        .where(F.col("_value").isNotNull())
+        .join(listed, grain, "left_semi")
+        .groupBy(*grain, snapshot)
+        .agg(F.min("_value").alias("_lo"), F.max("_value").alias("_hi"))
     )
-    truth = official.select(*keys, F.col(field).alias("official_value"), F.lit(True).alias("official_available"))
-    judged = candidates.join(truth, list(keys), "left")
+    truth = official.select(*keys, F.lit(True).alias("official_available"), cells("official_value"))
+    judged = candidates.join(truth, grain, "left")
     single = F.col("_lo") == F.col("_hi")
-    hit = single & (F.col("_lo") == F.col("official_value"))
-    per_key = judged.groupBy(*keys).agg(
+    hit = single & F.coalesce(F.col("_lo") == F.col("official_value"), F.lit(False))
+
+    def snapshots(which: Column, what: Column) -> Column:
+        return F.array_sort(F.collect_list(F.when(which, what)))
+
+    per_field = judged.groupBy(*grain).agg(
         F.any_value("official_value").alias("official_value"),
         F.coalesce(F.any_value("official_available"), F.lit(False)).alias("official_available"),
         F.count("*").alias("candidate_snapshot_count"),
         F.count_if(~single).alias("ambiguous_snapshot_count"),
-        F.count_if(F.coalesce(hit, F.lit(False))).alias("_hits"),
+        snapshots(single, F.struct(F.col(snapshot).alias("snapshot"), F.col("_lo").alias("value"))).alias("candidate_values"),
+        snapshots(~single, F.col(snapshot)).alias("ambiguous_snapshots"),
+        snapshots(hit, F.col(snapshot)).alias("_hits"),
     )
     usable = F.col("official_value").isNotNull() & (F.col("ambiguous_snapshot_count") == 0)
-    matches = F.when(usable, F.col("_hits")).otherwise(F.lit(0)).cast("bigint")
+    matching = F.when(usable, F.col("_hits")).otherwise(F.slice("_hits", 1, 0))
+    matches = F.size("matching_snapshots").cast("bigint")
     status = (
         F.when(F.col("official_value").isNull(), "official_unavailable")
         .when(F.col("ambiguous_snapshot_count") > 0, "source_candidate_ambiguous")
@@ -43,7 +59,7 @@ def adjudicate(
         .when(matches == 1, "official_matches_one_source_snapshot")
         .otherwise("official_matches_multiple_source_snapshots")
     )
-    return per_key.withColumn("status", status).withColumn("matching_snapshot_count", matches).drop("_hits")
+    return per_field.withColumn("matching_snapshots", matching).withColumn("matching_snapshot_count", matches).withColumn("status", status).drop("_hits")
 
 
 def overlay(source: DataFrame, official: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
@@ -239,6 +255,40 @@ def compare_to_authority(source: DataFrame, official: DataFrame, keys: Sequence[
     return both.select(F.inline(F.array(*[outcome(r) for r in roles]))).groupBy("role", "status").agg(F.count("*").alias("key_count"))
 
 
+def count_gaps(source: DataFrame, official: DataFrame, group: Sequence[str], unit: str, count: str) -> tuple[DataFrame, DataFrame]:
+    """(status of every unit, one row of totals per group) of source counts against an authority's.
+
+    Both sides hold at most one row per group and unit. A unit that only the authority has is a gap:
+    explained when the authority itself counts nothing there, else unexplained. Shared units agree on
+    the count or mismatch, or lack a count on a side.
+    """
+    keys = [*group, unit]
+    ours = source.select(*keys, F.col(count).cast("bigint").alias("source_count"), F.lit(True).alias("_s"))
+    theirs = official.select(*keys, F.col(count).cast("bigint").alias("official_count"), F.lit(True).alias("_o"))
+    both = ours.join(theirs, keys, "full")
+    s, o = F.col("source_count"), F.col("official_count")
+    status = (
+        F.when(F.col("_o").isNull(), "source_only")
+        .when(F.col("_s").isNull() & (o == 0), "zero_count_gap")
+        .when(F.col("_s").isNull(), "unexplained_gap")
+        .when(s.isNull() | o.isNull(), "count_missing")
+        .when(s == o, "count_matched")
+        .otherwise("count_mismatched")
+    )
+    units = both.withColumn("status", status).drop("_s", "_o")
+
+    def having(name: str) -> Column:
+        return F.count_if(F.col("status") == name).alias(f"{name}_count")
+
+    names = ["source_only", "zero_count_gap", "unexplained_gap", "count_missing", "count_matched", "count_mismatched"]
+    per_group = units.groupBy(*group).agg(
+        F.count("*").alias("unit_count"),
+        *[having(n) for n in names],
+        F.sum(F.when(F.col("status") == "count_mismatched", F.abs(s - o)).otherwise(0)).alias("count_difference"),
+    )
+    return units, per_group
+
+
 def outcome_owner(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], actor: str, strike: Column, strikeout: Column
 ) -> tuple[DataFrame, DataFrame]:

@@ -93,19 +93,19 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, points: Sequ
     )
 
 
-def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Average (mid) rank of a measure over the whole table: the rank before ties plus (ties+1)/2."""
-    counts = df.groupBy(column).agg(F.count("*").alias("_n"))
-    placed = scan.range_slices(counts, [column])
-    upto = scan.running(placed, [], [column], scan.SLICE, {"_upto": ("sum", F.col("_n"))})
-    ranks = upto.select(column, (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias(name))
-    return df.join(ranks, column, "left")
-
-
-def rank_correlation(df: DataFrame, left: str, right: str) -> DataFrame:
-    """Spearman's correlation: Pearson over average ranks."""
-    ranked = average_ranks(average_ranks(df, left, "_left_rank"), right, "_right_rank")
-    return ranked.agg(F.count("*").alias("row_count"), F.corr("_left_rank", "_right_rank").alias("rank_correlation"))
+def average_ranks(df: DataFrame, column: str, name: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Average (mid) rank of a measure within ``keys`` (or the whole table): the rank before ties plus (ties+1)/2."""
+    counts = df.groupBy(*keys, column).agg(F.count("*").alias("_n"))
+    placed = scan.range_slices(counts, [*keys, column])
+    upto = scan.running(placed, keys, [column], scan.SLICE, {"_upto": ("sum", F.col("_n"))})
+    ranks = upto.select(*keys, column, (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias(name))
+    return df.join(ranks, [*keys, column], "left")
+
+
+def rank_correlation(df: DataFrame, left: str, right: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Spearman's correlation within ``keys`` (or over all rows): Pearson over average ranks."""
+    ranked = average_ranks(average_ranks(df, left, "_left_rank", keys), right, "_right_rank", keys)
+    return ranked.groupBy(*keys).agg(F.count("*").alias("row_count"), F.corr("_left_rank", "_right_rank").alias("rank_correlation"))
 
 
 def weighted_line(x: Column, y: Column, w: Column) -> tuple[Column, Column]:

@@ -224,16 +224,18 @@ def adjacent_reliability(
 ) -> DataFrame:
     """Agreement of a rate with its own value one period earlier, per group.
 
-    Pairs where either side falls short of ``minimum`` exposure are left out.
+    Pairs where either side falls short of ``minimum`` exposure are left out. Groups are not null.
     """
     rows = df.where((F.col(exposure) >= minimum) & F.col(rate).isNotNull())
     pairs = lookup.with_prior(rows.select(*entity, *groups, period, rate), [*entity, *groups], period, [rate])
     usable = pairs.where(F.col(f"prior_{rate}").isNotNull())
-    return usable.groupBy(*groups).agg(
+    agreement = usable.groupBy(*groups).agg(
         F.count("*").alias("pair_count"),
         F.corr(F.col(f"prior_{rate}"), F.col(rate)).alias("pearson"),
         F.avg(F.abs(F.col(rate) - F.col(f"prior_{rate}"))).alias("mae"),
     )
+    ranked = profile.rank_correlation(usable, f"prior_{rate}", rate, groups)
+    return agreement.join(ranked.select(*groups, F.col("rank_correlation").alias("spearman")), list(groups))
 
 
 # --- retention audit ---------------------------------------------------------------------------

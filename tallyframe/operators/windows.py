@@ -129,16 +129,21 @@ def latest_context(df: DataFrame, entity: str, day: str, environment: str, cutof
 
 
 def spread_sample(
-    df: DataFrame, groups: Sequence[str], order: Sequence[str], slice_by: Column, size: int
+    df: DataFrame, groups: Sequence[str], order: Sequence[str], slice_by: Column, size: int, single: str = "first"
 ) -> DataFrame:
     """Rows at positions round(i*(n-1)/(size-1)), half to even, in each group's order.
 
-    A group of at most ``size`` rows is kept whole; a sample of one takes the first row.
+    A group of at most ``size`` rows is kept whole; a sample of one takes the ``single`` row, which is
+    "first" or "middle" (position n/2, rounded down).
     """
+    if single not in ("first", "middle"):
+        raise ValueError(f"unknown choice of a single row: {single}")
     indexed = scan.row_index(df, groups, order, slice_by)
     sized = scan.group_totals(indexed, groups, _n=F.count("*"))
-    step = F.lit(0) if size == 1 else F.col("_n") - 1
-    picks = F.array(*[F.bround(F.lit(i) * step / F.lit(max(size - 1, 1)), 0).cast("bigint") for i in range(size)])
+    if size == 1:
+        picks = F.array(F.floor(F.col("_n") / 2) if single == "middle" else F.lit(0).cast("bigint"))
+    else:
+        picks = F.array(*[F.bround(F.lit(i) * (F.col("_n") - 1) / F.lit(size - 1), 0).cast("bigint") for i in range(size)])
     wanted = F.array_contains(picks, (F.col("row_index") - 1).cast("bigint")) | (F.col("_n") <= size)
     return sized.where(wanted).drop("_n")
 

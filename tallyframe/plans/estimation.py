@@ -903,13 +903,15 @@ _RELIABLE = """y as (select l_suppkey, s_nationkey::bigint % 3 grp, year(l_shipd
 
 @query(
     "m21_adjacent_reliability",
-    f"with {_RELIABLE} select grp, count(*) pair_count, round(corr(was, now), 6) + 0.0 pearson, round(avg(abs(now - was)), 6) + 0.0 mae from p group by 1",
+    f"""with {_RELIABLE}, q as (select grp, round(was, 9) was, round(now, 9) now from p), r as (select *, rank() over (partition by grp order by was) + (count(*) over (partition by grp, was) - 1) / 2 a,
+          rank() over (partition by grp order by now) + (count(*) over (partition by grp, now) - 1) / 2 b from q)
+        select grp, count(*) pair_count, round(corr(was, now), 6) + 0.0 pearson, round(corr(a, b), 6) + 0.0 spearman, round(avg(abs(now - was)), 6) + 0.0 mae from r group by 1""",
 )
 def _(t: Tables):
     group = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), (big("s_nationkey") % 3).alias("grp"))
-    years = t.lineitem.groupBy("l_suppkey", big(F.year("l_shipdate")).alias("ship_year")).agg(F.avg("l_discount").alias("rate"), F.count("*").alias("lines"))
+    years = t.lineitem.groupBy("l_suppkey", big(F.year("l_shipdate")).alias("ship_year")).agg(F.round(F.avg("l_discount"), 9).alias("rate"), F.count("*").alias("lines"))
     report = rates.adjacent_reliability(years.join(group, "l_suppkey"), ["l_suppkey"], "ship_year", ["grp"], "rate", "lines", 20)
-    return report.select("grp", "pair_count", r6("pearson").alias("pearson"), r6("mae").alias("mae"))
+    return report.select("grp", "pair_count", *[r6(c).alias(c) for c in ("pearson", "spearman", "mae")])
 
 
 @query(

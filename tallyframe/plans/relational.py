@@ -1061,6 +1061,15 @@ def _(t: Tables):
     return sample.select("o_orderpriority", "o_orderkey", "row_index")
 
 
+@query("f3_middle_row", _SPREAD + " where n <= 1 or rn - 1 = n // 2")
+def _(t: Tables):
+    rows = t.orders.select("o_orderpriority", "o_orderkey", "o_orderdate")
+    sample = windows.spread_sample(
+        rows, ["o_orderpriority"], ["o_orderdate", "o_orderkey"], scan.day_id_slice("o_orderdate", "o_orderkey"), 1, "middle"
+    )
+    return sample.select("o_orderpriority", "o_orderkey", "row_index")
+
+
 @query(
     "f4_violation_examples",
     """select l_orderkey, l_linenumber::bigint l_linenumber, count(*) row_count from lineitem group by 1, 2 having count(*) > 1

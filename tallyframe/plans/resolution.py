@@ -188,28 +188,36 @@ def _(t: Tables):
 
 @query(
     "r8_adjudicated_conflicts",
-    """with c as (select l_orderkey from lineitem group by 1 having count(distinct l_linestatus) > 1),
-       s as (select l_orderkey, l_partkey % 3 snap, count(distinct l_linestatus) n, min(l_linestatus) v from lineitem join c using (l_orderkey) group by 1, 2),
-       j as (select s.*, case when o_orderstatus <> 'P' then o_orderstatus end ov, o_orderkey is not null av from s left join
-         (select * from orders where o_orderkey % 19 <> 0) on o_orderkey = l_orderkey),
-       g as (select l_orderkey, any_value(ov) ov, any_value(av) av, count(*) k, sum((n > 1)::int)::bigint amb, coalesce(sum((n = 1 and v = ov)::int), 0)::bigint hits
-         from j group by 1),
-       h as (select *, case when ov is not null and amb = 0 then hits else 0 end m from g)
-       select l_orderkey, ov official_value, av official_available, k candidate_snapshot_count, amb ambiguous_snapshot_count, m matching_snapshot_count,
+    """with l as (select l_orderkey, l_partkey % 3 snap, unnest(['status', 'flag']) field, unnest([l_linestatus, l_returnflag]) v from lineitem),
+       c as (select l_orderkey, field from l group by 1, 2 having count(distinct v) > 1),
+       s as (select l_orderkey, field, snap, count(distinct v) n, min(v) lo from l join c using (l_orderkey, field) group by 1, 2, 3),
+       o as (select o_orderkey l_orderkey, unnest(['status', 'flag']) field, unnest([case when o_orderstatus <> 'P' then o_orderstatus end,
+         case o_orderstatus when 'F' then 'R' when 'O' then 'N' end]) ov, true av from orders where o_orderkey % 19 <> 0),
+       j as (select s.*, ov, coalesce(av, false) av from s left join o using (l_orderkey, field)),
+       g as (select l_orderkey, field, any_value(ov) ov, any_value(av) av, count(*) k, sum((n > 1)::int)::bigint amb, coalesce(sum((n = 1 and lo = ov)::int), 0)::bigint hits,
+         string_agg(snap, '|' order by snap) filter (n > 1) amb_ids, string_agg(snap, '|' order by snap) filter (n = 1 and lo = ov) hit_ids,
+         string_agg(snap || '=' || lo, '|' order by snap) filter (n = 1) cands from j group by 1, 2),
+       h as (select *, ov is not null and amb = 0 usable from g), m as (select *, case when usable then hits else 0 end m from h)
+       select l_orderkey, field, ov official_value, av official_available, k candidate_snapshot_count, amb ambiguous_snapshot_count, m matching_snapshot_count,
+         coalesce(amb_ids, '') ambiguous_snapshots, case when usable then coalesce(hit_ids, '') else '' end matching_snapshots, coalesce(cands, '') candidate_values,
          case when ov is null then 'official_unavailable' when amb > 0 then 'source_candidate_ambiguous' when m = 0 then 'official_matches_no_source_snapshot'
            when m = k then 'official_matches_all_source_snapshots' when m = 1 then 'official_matches_one_source_snapshot'
-           else 'official_matches_multiple_source_snapshots' end status from h""",
+           else 'official_matches_multiple_source_snapshots' end status from m""",
 )
 def _(t: Tables):
-    observations = t.lineitem.select("l_orderkey", (F.col("l_partkey") % 3).alias("snap"), F.col("l_linestatus").alias("status"))
-    conflicts = consensus.field_consensus(observations, ["l_orderkey"], ["status"]).where("conflict_field_count > 0")
-    official = t.orders.where("o_orderkey % 19 <> 0").select(
-        F.col("o_orderkey").alias("l_orderkey"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("status")
+    fields = ["status", "flag"]
+    observations = t.lineitem.select(
+        "l_orderkey", (F.col("l_partkey") % 3).alias("snap"), F.col("l_linestatus").alias("status"), F.col("l_returnflag").alias("flag")
     )
-    judged = authority.adjudicate(conflicts, observations, official, ["l_orderkey"], "status", "snap")
-    return judged.select(
-        "l_orderkey", "official_value", "official_available", "candidate_snapshot_count", "ambiguous_snapshot_count", "matching_snapshot_count", "status"
+    conflicts = consensus.field_consensus(observations, ["l_orderkey"], fields).where("conflict_field_count > 0")
+    told = F.col("o_orderstatus")
+    official = t.orders.where("o_orderkey % 19 <> 0").select(
+        F.col("o_orderkey").alias("l_orderkey"), F.when(told != "P", told).alias("status"), F.when(told == "F", "R").when(told == "O", "N").alias("flag")
     )
+    judged = authority.adjudicate(conflicts, observations, official, ["l_orderkey"], fields, "snap")
+    shown = F.transform("candidate_values", lambda c: F.concat_ws("=", c["snapshot"].cast("string"), c["value"]))
+    lists = {n: F.array_join(F.col(n).cast("array<string>"), "|") for n in ("ambiguous_snapshots", "matching_snapshots")}
+    return judged.withColumns({**lists, "candidate_values": F.array_join(shown, "|")})
 
 
 @query(
@@ -427,6 +435,38 @@ def _(t: Tables):
     return authority.compare_to_authority(t.lineitem, official, ["l_orderkey"], {"l_linestatus": "status"})
 
 
+_GAPS = """s as (select user_id, ts::date d, sum((event_type in ('view', 'click'))::int)::bigint n from events where event_type <> 'error' and event_id % 13 <> 0 group by 1, 2),
+  a as (select user_id, ts::date d, sum((event_type in ('view', 'click'))::int)::bigint n from events where user_id % 9 <> 0 group by 1, 2),
+  j as (select coalesce(s.user_id, a.user_id) user_id, coalesce(s.d, a.d) d, s.n sn, a.n an, case when a.d is null then 'source_only' when s.d is null and a.n = 0
+    then 'zero_count_gap' when s.d is null then 'unexplained_gap' when s.n = a.n then 'count_matched' else 'count_mismatched' end status
+    from s full join a on s.user_id = a.user_id and s.d = a.d)"""
+
+
+def _gaps(t: Tables):
+    """Days of a user as a feed without errors and with lost events has them, against the full record of most users."""
+    rows = t.events.select("user_id", "event_id", "event_type", F.to_date("ts").alias("event_date"))
+
+    def days(df):
+        return df.groupBy("user_id", "event_date").agg(F.count_if(F.col("event_type").isin("view", "click")).alias("looks"))
+
+    source = days(rows.where("event_type <> 'error' and event_id % 13 <> 0"))
+    return authority.count_gaps(source, days(rows.where("user_id % 9 <> 0")), ["user_id"], "event_date", "looks")
+
+
+@query("r16_unit_gaps", f"with {_GAPS} select user_id, d event_date, sn source_count, an official_count, status from j")
+def _(t: Tables):
+    return _gaps(t)[0]
+
+
+@query(
+    "r16_group_gaps",
+    f"""with {_GAPS} select user_id, count(*) unit_count, {', '.join(f"count(*) filter (status = '{n}') {n}_count" for n in ('source_only', 'zero_count_gap', 'unexplained_gap', 'count_missing', 'count_matched', 'count_mismatched'))},
+          coalesce(sum(abs(sn - an)) filter (status = 'count_mismatched'), 0)::bigint count_difference from j group by 1""",
+)
+def _(t: Tables):
+    return _gaps(t)[1]
+
+
 @query(
     "r17_label_collapse",
     """select label, conflict, count(*) key_count from (select case when count(distinct f) <= 1 then min(f) end label, count(distinct f) > 1 conflict from (
