@@ -19,6 +19,7 @@ from tallyframe.session import checkpointed
 
 # Fixed value: predictions are kept this far from 0 and 1 before their log-odds are taken.
 CALIBRATION_CLIP = 1e-8
+PARTICIPATION_ITERATIONS = 500
 
 
 # --- standardisation ---------------------------------------------------------------------------
@@ -180,7 +181,10 @@ def age_basis(age: Column) -> dict[str, Column]:
 
 
 def participation_model(df: DataFrame, features: Sequence[str], label: str, strength: float = 1.0):
-    """L2 logistic regression with the penalty of inverse strength ``strength`` on unscaled features."""
+    """L2 logistic regression with the penalty of inverse strength ``strength`` on unscaled features.
+
+    ``fit_status`` is ``converged`` when the fit stopped before its last permitted iteration.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
@@ -191,11 +195,13 @@ def participation_model(df: DataFrame, features: Sequence[str], label: str, stre
         regParam=1.0 / (strength * df.count()),
         elasticNetParam=0.0,
         standardization=False,
-        maxIter=500,
+        maxIter=PARTICIPATION_ITERATIONS,
         tol=1e-10,
     ).fit(rows)
-    table = [("intercept", float(model.intercept))] + [(f, float(v)) for f, v in zip(features, model.coefficients)]
-    return df.sparkSession.createDataFrame(table, "feature string, coefficient double")
+    steps = int(model.summary.totalIterations)
+    status = "converged" if steps < PARTICIPATION_ITERATIONS else "max_iterations"
+    table = [("intercept", float(model.intercept), status, steps)] + [(f, float(v), status, steps) for f, v in zip(features, model.coefficients)]
+    return df.sparkSession.createDataFrame(table, "feature string, coefficient double, fit_status string, iterations bigint")
 
 
 def calibration_lines(
@@ -268,7 +274,9 @@ def offset_multinomial(
     Loss: mean negative log likelihood plus ``penalty / 2`` times the squared coefficients. Long input
     with one row per key and category is laid out as one row per key and checkpointed; each Newton
     step is one aggregate of the gradient and the curvature, whose size is set by categories and
-    features alone.
+    features alone. ``fit_status`` is ``converged`` only when the gradient at the returned coefficients
+    is within ``tolerance``, else ``max_iterations``; without any counted unit it is ``no_rows`` and the
+    coefficients are null.
     """
     k, m = len(categories), len(features)
     wide = checkpointed(
@@ -279,8 +287,8 @@ def offset_multinomial(
         )
     )
     beta = np.zeros((k, m))
-    total = None
-    for _ in range(iterations):
+    status, steps = "max_iterations", 0
+    for step in range(iterations + 1):
         scores = [sum((float(beta[i, a]) * F.col(f"x{a}") for a in range(m)), F.col(f"o{i}")) for i in range(k)]
         rows = wide.select("*", *[s.alias(f"s{i}") for i, s in enumerate(scores)])
         rows = rows.withColumn("_top", F.greatest(*[F.col(f"s{i}") for i in range(k)]))
@@ -300,8 +308,14 @@ def offset_multinomial(
             ],
         ).first()
         total = sums["total"]
+        if not total:
+            status = "no_rows"
+            break
         gradient = np.array([[sums[f"g_{i}_{a}"] / total for a in range(m)] for i in range(k)]) + penalty * beta
         if np.abs(gradient).max() <= tolerance:
+            status = "converged"
+            break
+        if step == iterations:
             break
         curve = np.zeros((k * m, k * m))
         for i in range(k):
@@ -312,8 +326,10 @@ def offset_multinomial(
                         curve[i * m + a, j * m + b] = sums[name] / total
         curve += penalty * np.eye(k * m)
         beta = beta - np.linalg.solve(curve, gradient.ravel()).reshape(k, m)
-    table = [(c, f, float(beta[i, a])) for i, c in enumerate(categories) for a, f in enumerate(features)]
-    return df.sparkSession.createDataFrame(table, f"{category} string, feature string, coefficient double")
+        steps += 1
+    known = status != "no_rows"
+    table = [(c, f, float(beta[i, a]) if known else None, status, steps) for i, c in enumerate(categories) for a, f in enumerate(features)]
+    return df.sparkSession.createDataFrame(table, f"{category} string, feature string, coefficient double, fit_status string, iterations bigint")
 
 
 # --- scoring with given coefficients -----------------------------------------------------------

@@ -441,17 +441,40 @@ def _(t: Tables):
     )
 
 
-@query("m6_offset_multinomial")
+def _bounded_steps(steps: int) -> str:
+    """Chained steps of a two-feature multinomial fit over ``dt(user_id, event_type, o, y, n, x1, x2)``.
+
+    Each step divides the gradient by a fixed upper bound of the curvature (half the weighted second
+    moments of the features, plus the penalty), which never overshoots.
+    """
+    parts = ["""mm as (select 0.5 * sum(n * x1 * x1) / sum(n) + 0.01 a, 0.5 * sum(n * x1 * x2) / sum(n) c, 0.5 * sum(n * x2 * x2) / sum(n) + 0.01 d, sum(n) tot
+      from dt where event_type = 'view')""", "i0 as (select distinct event_type, 0.0::double b1, 0.0::double b2 from dt)"]
+    for k in range(steps):
+        parts.append(
+            f"""i{k + 1} as materialized (select event_type, b1 - (d * g1 - c * g2) / (a * d - c * c) b1, b2 - (a * g2 - c * g1) / (a * d - c * c) b2 from (
+              select event_type, any_value(b1) b1, any_value(b2) b2, sum((n * p - y) * x1) / any_value(tot) + 0.01 * any_value(b1) g1,
+                sum((n * p - y) * x2) / any_value(tot) + 0.01 * any_value(b2) g2 from (
+                select *, e / sum(e) over (partition by user_id) p from (select *, exp(o + b1 * x1 + b2 * x2) e from dt join i{k} using (event_type))), mm group by 1), mm)"""
+        )
+    return ", ".join(parts)
+
+
+@query(
+    "m6_offset_multinomial",
+    f"""with {_MIX}, {_FEATURES}, zz as (select user_id, (mv - m) / s x1, (cnt - m2) / s2 x2 from ft, mo where cnt >= 8),
+        fu as (select user_id, event_type, count(*) y from events where ts >= timestamp '2024-01-16' group by 1, 2),
+        dt as materialized (select s.user_id, s.event_type, ln(p) o, coalesce(y, 0)::double y, sum(coalesce(y, 0)) over (partition by s.user_id)::double n, x1, x2
+          from s join zz using (user_id) left join fu using (user_id, event_type)), {_bounded_steps(40)}
+        select event_type, unnest(['z_mean_value', 'z_tracked']) feature, round(unnest([b1, b2]), 4) + 0.0 coefficient, 'converged' fit_status from i40""",
+)
 def _(t: Tables):
-    after = t.events.where(F.col("ts") >= F.lit(CUTOFF).cast("timestamp_ntz")).where("event_type in ('view', 'click', 'purchase')")
+    after = t.events.where(F.col("ts") >= F.lit(CUTOFF).cast("timestamp_ntz"))
     future = after.groupBy("user_id", "event_type").agg(F.count("*").alias("future"))
-    subset = _smoothed(t).where("event_type in ('view', 'click', 'purchase')")
-    shares = profile.shares(subset, ["user_id"], "event_type", F.col("probability"), "conditional")
-    rows = shares.join(_z_features(t).where("z_mean_value is not null"), "user_id").join(future, ["user_id", "event_type"], "left").fillna(0, subset=["future"])
+    rows = _smoothed(t).join(_z_features(t).where("z_mean_value is not null"), "user_id").join(future, ["user_id", "event_type"], "left").fillna(0, subset=["future"])
     table = fits.offset_multinomial(
-        rows.withColumn("offset", F.log("conditional")), ["user_id"], "event_type", ["view", "click", "purchase"], "offset", "future", ["z_mean_value", "z_tracked"]
+        rows.withColumn("offset", F.log("probability")), ["user_id"], "event_type", KINDS, "offset", "future", ["z_mean_value", "z_tracked"]
     )
-    return table.withColumn("coefficient", r6("coefficient"))
+    return table.select("event_type", "feature", r6("coefficient", 4).alias("coefficient"), "fit_status")
 
 
 @query(
@@ -553,11 +576,12 @@ def _newton(data: str, steps: int, slope_penalty: float) -> str:
 @query(
     "m10_participation_fit",
     f"""with {_DESIGN}, dt as materialized (select 1 grp, log_before x, (y > 0)::int::double y, 1.0::double n from ds), {_newton('dt', 8, 1.0)}
-        select 'intercept' feature, round(b0, 4) + 0.0 coefficient from i8 union all select 'log_before', round(b1, 4) + 0.0 from i8""",
+        select 'intercept' feature, round(b0, 4) + 0.0 coefficient, 'converged' fit_status from i8 union all select 'log_before', round(b1, 4) + 0.0, 'converged' from i8""",
 )
 def _(t: Tables):
     rows = _design(t).withColumn("participates", F.col("y") > 0)
-    return fits.participation_model(rows, ["log_before"], "participates").withColumn("coefficient", r6("coefficient", 4))
+    fitted = fits.participation_model(rows, ["log_before"], "participates")
+    return fitted.select("feature", r6("coefficient", 4).alias("coefficient"), "fit_status")
 
 
 PARTICIPATION = {"intercept": -0.4, "log_before": 0.5, "level_aaa": 0.1, "level_aa": -0.2}

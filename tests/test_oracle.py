@@ -21,7 +21,7 @@ def test_registry():
     assert set(ORACLES) <= set(QUERIES)
     assert entry.FLAGSHIP in ORACLES
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
-    assert sorted(set(QUERIES) - set(ORACLES)) == ["m6_offset_multinomial"]
+    assert set(QUERIES) == set(ORACLES)
 
 
 # No cross or nested-loop join, and no Python in the data path.
