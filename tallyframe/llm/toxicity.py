@@ -41,6 +41,7 @@ ALPHABET = 40  # 0 none, 1 edge of a word, the rest letters by rank; the last fo
 ORDER, SPAN = 4, 6
 POSITIVE_SHARE = 0.3
 MARKED_VARIANTS = 300
+MARKED_PLACES = 3
 # Places of the four letters of a subsequence after its first, and how many letters each skips.
 PATTERNS = [(a, b, c) for a in range(1, SPAN) for b in range(a + 1, SPAN) for c in range(b + 1, SPAN)]
 
@@ -263,7 +264,7 @@ def fit_texts(rows: list[tuple[str, int]], rounds: int = 3, landmarks: int = LAN
     random = np.random.default_rng(7)
     bent = []
     for word in marked[:MARKED_VARIANTS]:
-        for at in random.permutation(np.arange(1, len(word)))[:3].tolist():
+        for at in random.permutation(np.arange(1, len(word)))[:MARKED_PLACES].tolist():
             bent.append(word[:at] + letters_seen[int(random.integers(len(letters_seen)))] + word[at:])
     seen = np.array([several[w] + 1 for w in unknown])
     sign = np.where(np.arange(len(unknown)) < len(marked), 1.0, -1.0)
@@ -284,7 +285,7 @@ def fit_texts(rows: list[tuple[str, int]], rounds: int = 3, landmarks: int = LAN
         model.table[kinds] = rows_of @ (root @ w)
         value = x_pos @ w + model.bias
         sign = np.where((value > 0) & (sign > 0) & (np.arange(len(unknown)) < len(marked)), 1.0, -1.0)
-        # Clean words that the machine takes for insults join the fit and the landmarks, as do insults that it misses.
+        # Clean words that the machine takes for insults join the fit and the landmarks, as do insults that it misses, plain or with a letter put in.
         found = np.concatenate([model.word_values([" ".join(everyday[a : a + 20_000])])[0] for a in range(0, len(everyday), 20_000)])
         hard = [everyday[i] for i in np.argsort(-found[: len(everyday)])[: NEGATIVES // 6]] if len(found) == len(everyday) else []
         seen_clean = set()
@@ -299,7 +300,8 @@ def fit_texts(rows: list[tuple[str, int]], rounds: int = 3, landmarks: int = LAN
         sign[np.array([w in seen_clean for w in unknown], dtype=bool)] = -1.0
         negatives = list(dict.fromkeys(negatives + hard))  # a bounded sample and, by now, the hardest
         missed = [unknown[i] for i in np.flatnonzero(sign > 0)[np.argsort(value[sign > 0])][: landmarks // 4]]
-        chosen += hard[: landmarks // 3] + missed
+        low = np.argsort(x_bent @ w + model.bias, kind="stable")[: landmarks // 2]
+        chosen += hard[: landmarks // 3] + missed + [bent[i] for i in low.tolist()]
     # One logistic step turns the worst value of a document into a chance.
     worst = np.concatenate([worst_values(*model.word_values(texts[a:b])) for a, b in pieces(texts, BATCH_CHARACTERS)])
     model.slope, model.offset = _calibrated(worst[y == 0], worst[y == 1])
