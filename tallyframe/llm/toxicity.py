@@ -171,30 +171,43 @@ def _columns(model: ToxicityModel, landmarks: list[str]) -> tuple[np.ndarray, np
     return kinds, rows
 
 
-def _kernel(model: ToxicityModel, words: list[str], kinds: np.ndarray, rows: np.ndarray, block: int = 128) -> np.ndarray:
-    out = np.empty((len(words), rows.shape[1]))
+def _kernel(model: ToxicityModel, words: list[str], kinds: np.ndarray, rows: np.ndarray, block: int = 128, root: np.ndarray | None = None) -> np.ndarray:
+    """Kernel values of words against landmarks; with ``root``, their coordinates and a column of ones."""
+    out = np.empty((len(words), rows.shape[1])) if root is None else np.ones((len(words), root.shape[1] + 1))
     for a in range(0, len(words), block):
         some = words[a : a + block]
         at, feature, value = feature_rows(model, some)
         place = np.minimum(np.searchsorted(kinds, feature), len(kinds) - 1)
         known = kinds[place] == feature
         dense = np.bincount(at[known] * len(kinds) + place[known], value[known], minlength=len(some) * len(kinds))
-        out[a : a + block] = dense.reshape(len(some), len(kinds)) @ rows
+        values = dense.reshape(len(some), len(kinds)) @ rows
+        if root is None:
+            out[a : a + block] = values
+        else:
+            out[a : a + block, :-1] = values @ root
     return out
 
 
-def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 3e-4, steps: int = 30) -> tuple[np.ndarray, float]:
-    """Linear support vector machine with squared hinge loss, by Newton steps on the rows inside the margin."""
-    x1 = np.column_stack([x, np.ones(len(x))])
-    ridge = np.append(np.full(x.shape[1], penalty * weight.sum() / 100), 1e-9)
+def _machine(x1: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 3e-4, steps: int = 30, block: int = 2_000) -> tuple[np.ndarray, float]:
+    """Linear support vector machine with squared hinge loss, by Newton steps on the rows inside the margin.
+
+    ``x1`` ends in a column of ones. Its rows are added up in blocks, so that no second copy of them is held.
+    """
+    ridge = np.append(np.full(x1.shape[1] - 1, penalty * weight.sum() / 100), 1e-9)
     w, inside = np.zeros(x1.shape[1]), None
     for _ in range(steps):
         now = y * (x1 @ w) < 1
         if inside is not None and (now == inside).all():
             break
         inside = now
-        rows = x1[inside] * weight[inside, None]
-        w = np.linalg.solve(rows.T @ x1[inside] + np.diag(ridge), rows.T @ y[inside])
+        normal, right, places = np.diag(ridge), np.zeros(len(w)), np.flatnonzero(inside)
+        for a in range(0, len(places), block):
+            at = places[a : a + block]
+            some = x1[at]
+            rows = some * weight[at, None]
+            normal = normal + rows.T @ some
+            right += rows.T @ y[at]
+        w = np.linalg.solve(normal, right)
     return w[:-1], float(w[-1])
 
 
@@ -275,15 +288,16 @@ def fit_texts(rows: list[tuple[str, int]], rounds: int = 3, landmarks: int = LAN
         among = _kernel(model, chosen, kinds, rows_of)
         size, axes = np.linalg.eigh((among + among.T) / 2)
         root = axes[:, size > 1e-6] / np.sqrt(size[size > 1e-6])
-        x_pos, x_neg = _kernel(model, unknown, kinds, rows_of) @ root, _kernel(model, negatives, kinds, rows_of) @ root
-        x_bent = _kernel(model, bent, kinds, rows_of) @ root
+        x1 = _kernel(model, unknown + negatives + bent, kinds, rows_of, root=root)
         labels = np.concatenate([sign, -np.ones(len(negatives)), np.ones(len(bent))])
         weight = np.where(labels > 0, POSITIVE_SHARE * len(labels) / max((labels > 0).sum(), 1), 1.0)
         weight[: len(unknown)] *= np.where(sign > 0, np.sqrt(seen), 0.1)
-        w, model.bias = _machine(np.concatenate([x_pos, x_neg, x_bent]), labels, weight)
+        w, model.bias = _machine(x1, labels, weight)
         model.table = np.zeros(ALPHABET**ORDER, dtype=np.float32)
         model.table[kinds] = rows_of @ (root @ w)
-        value = x_pos @ w + model.bias
+        values = x1[:, :-1] @ w + model.bias
+        value, value_bent = values[: len(unknown)], values[len(values) - len(bent) :]
+        del x1, rows_of
         sign = np.where((value > 0) & (sign > 0) & (np.arange(len(unknown)) < len(marked)), 1.0, -1.0)
         # Clean words that the machine takes for insults join the fit and the landmarks, as do insults that it misses, plain or with a letter put in.
         found = np.concatenate([model.word_values([" ".join(everyday[a : a + 20_000])])[0] for a in range(0, len(everyday), 20_000)])
@@ -300,7 +314,7 @@ def fit_texts(rows: list[tuple[str, int]], rounds: int = 3, landmarks: int = LAN
         sign[np.array([w in seen_clean for w in unknown], dtype=bool)] = -1.0
         negatives = list(dict.fromkeys(negatives + hard))  # a bounded sample and, by now, the hardest
         missed = [unknown[i] for i in np.flatnonzero(sign > 0)[np.argsort(value[sign > 0])][: landmarks // 4]]
-        low = np.argsort(x_bent @ w + model.bias, kind="stable")[: landmarks // 2]
+        low = np.argsort(value_bent, kind="stable")[: landmarks // 2]
         chosen += hard[: landmarks // 3] + missed + [bent[i] for i in low.tolist()]
     # One logistic step turns the worst value of a document into a chance.
     worst = np.concatenate([worst_values(*model.word_values(texts[a:b])) for a, b in pieces(texts, BATCH_CHARACTERS)])
