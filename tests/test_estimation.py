@@ -169,6 +169,11 @@ def test_multinomial_fit_reaches_the_optimum(spark):
     q /= q.sum(1, keepdims=True)
     gradient = (counts.sum(1, keepdims=True) * q - counts).T @ x / counts.sum() + 0.01 * beta
     assert np.abs(gradient).max() < 1e-8
+    assert {r["fit_status"] for r in table.collect()} == {"converged"}
+    cut = fits.offset_multinomial(df, ["k"], "c", parts, "o", "n", ["x0", "x1"], iterations=1).collect()
+    assert {(r["fit_status"], r["iterations"]) for r in cut} == {("max_iterations", 1)}
+    empty = fits.offset_multinomial(df.where("k < 0"), ["k"], "c", parts, "o", "n", ["x0", "x1"]).collect()
+    assert {(r["fit_status"], r["coefficient"]) for r in empty} == {("no_rows", None)}
 
 
 def test_calibration_of_perfect_predictions_is_the_identity(spark):

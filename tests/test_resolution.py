@@ -191,3 +191,32 @@ def test_issue_id_depends_on_content_only(spark):
     again = checks.conflict_issues(consensus.field_consensus(df.repartition(4), ["k"], ["s"]), ["k"], "pitch", "agree", "v1")
     assert rows(issues) == rows(again) and issues.count() == 1
     assert issues.first()["quality_issue_id"].startswith("issue_")
+
+
+def test_adjudication_lists_snapshots_per_field(spark):
+    seen = spark.createDataFrame(
+        [(1, "a", "L", 1), (1, "b", "R", 1), (1, "c", "R", 1), (2, "a", "L", 5), (2, "a", "R", 5), (2, "b", "R", 6), (3, "a", "L", 1)],
+        "k int, snap string, side string, n int",
+    )
+    conflicts = consensus.field_consensus(seen, ["k"], ["side", "n"]).where("conflict_field_count > 0")
+    official = spark.createDataFrame([(1, "R", None), (2, "R", 6)], "k int, side string, n int")
+    rows = {(r["k"], r["field"]): r for r in authority.adjudicate(conflicts, seen, official, ["k"], ["side", "n"], "snap").collect()}
+    assert set(rows) == {(1, "side"), (2, "side"), (2, "n")}
+    one = rows[1, "side"]
+    assert one["matching_snapshots"] == ["b", "c"] and one["status"] == "official_matches_multiple_source_snapshots"
+    assert [(c["snapshot"], c["value"]) for c in one["candidate_values"]] == [("a", "L"), ("b", "R"), ("c", "R")]
+    two = rows[2, "side"]
+    assert two["ambiguous_snapshots"] == ["a"] and two["matching_snapshots"] == [] and two["status"] == "source_candidate_ambiguous"
+    assert rows[2, "n"]["matching_snapshots"] == ["b"] and rows[2, "n"]["status"] == "official_matches_one_source_snapshot"
+
+
+def test_gaps_are_explained_only_by_a_zero_count(spark):
+    source = spark.createDataFrame([(1, 1, 3), (1, 2, 4), (1, 5, None), (2, 1, 1)], "g int, u int, n int")
+    official = spark.createDataFrame([(1, 1, 3), (1, 2, 6), (1, 3, 0), (1, 4, 2), (1, 5, 2)], "g int, u int, n int")
+    units, groups = authority.count_gaps(source, official, ["g"], "u", "n")
+    got = {(r["g"], r["u"]): r["status"] for r in units.collect()}
+    assert got == {
+        (1, 1): "count_matched", (1, 2): "count_mismatched", (1, 3): "zero_count_gap", (1, 4): "unexplained_gap", (1, 5): "count_missing", (2, 1): "source_only",
+    }
+    first = groups.where("g = 1").first()
+    assert (first["unit_count"], first["zero_count_gap_count"], first["count_difference"]) == (5, 1, 2)

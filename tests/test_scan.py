@@ -144,3 +144,16 @@ def test_ambiguous_date_breaks_the_stint_chain(spark):
     pair = pairs[0]
     assert (pair["transition"], pair["eligible"], pair["exclusion_reason"]) == ("PROMOTION", False, "LOW_FROM_EVENTS")
     assert pair["pair_weight"] == pytest.approx(5 * 25 / 30)
+
+
+def test_rank_correlation_within_groups(spark):
+    df = spark.createDataFrame([("a", 1.0, 1.0), ("a", 2.0, 4.0), ("a", 3.0, 9.0), ("b", 1.0, 3.0), ("b", 2.0, 2.0), ("b", 3.0, 1.0)], "g string, x double, y double")
+    got = {r["g"]: r["rank_correlation"] for r in profile.rank_correlation(df, "x", "y", ["g"]).collect()}
+    assert got["a"] == pytest.approx(1.0) and got["b"] == pytest.approx(-1.0)
+
+
+def test_sample_of_one_takes_the_chosen_row(spark):
+    df = spark.createDataFrame([(g, i) for g, n in (("a", 5), ("b", 4), ("c", 1)) for i in range(n)], "g string, i bigint")
+    for single, wanted in (("first", {"a": 0, "b": 0, "c": 0}), ("middle", {"a": 2, "b": 2, "c": 0})):
+        got = windows.spread_sample(df, ["g"], ["i"], F.col("i"), 1, single).collect()
+        assert {r["g"]: r["i"] for r in got} == wanted and len(got) == 3
