@@ -17,7 +17,6 @@ and other columns are not read. Without labels of both kinds, the score is 0.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -40,6 +39,7 @@ DAMPING = 0.5
 ALPHABET = 40  # 0 none, 1 edge of a word, the rest letters by rank; the last for all others
 ORDER, SPAN = 4, 6
 POSITIVE_SHARE = 0.3
+NEAR_COPY = 0.8  # least Jaccard similarity of the word sets of near copies
 MARKED_VARIANTS = 300
 MARKED_PLACES = 3
 # Places of the four letters of a subsequence after its first, and how many letters each skips.
@@ -228,6 +228,26 @@ def split_words(texts: list[str | None], model: ToxicityModel) -> list[list[str]
     return out
 
 
+def apart(words: list[list[str]], share: float = NEAR_COPY) -> list[int]:
+    """Places of the word sets that are no near copy of one placed before: those with less than ``share`` of both's words in common.
+
+    Exact: sets that agree by ``share`` have one of the first words in common, by rarity, of which a set can lack no more.
+    """
+    rarity = Counter(w for ws in words for w in ws)
+    kept: dict[int, set[str]] = {}
+    holders: dict[str, list[int]] = {}
+    for i, ws in enumerate(words):
+        own = set(ws)
+        first = sorted(own, key=lambda w: (rarity[w], w))[: int(len(own) * (1 - share) + 1e-9) + 1]
+        others = {k for w in first for k in holders.get(w, ())}
+        if not own or any(len(own & kept[k]) >= share * len(own | kept[k]) - 1e-9 for k in others):
+            continue
+        kept[i] = own
+        for w in first:
+            holders.setdefault(w, []).append(i)
+    return list(kept)
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, keep: Column, limit: tuple[int, int] = SAMPLE) -> ToxicityModel:
     """Fit on at most about ``limit`` clean and toxic labelled documents among those that ``keep`` admits."""
     sample = labelled_sample(docs, labels, "toxic", keep, limit, "toxicity")
@@ -253,15 +273,13 @@ def fit_texts(rows: list[tuple[str, int]], rounds: int = 3, landmarks: int = LAN
     free = sorted(w for w in toxic if w not in clean)  # words that no clean document holds
     if not free:
         return model
-    # A word counts once for all near copies of a document: those that share the least hash of their words.
+    # A word counts once for all near copies of a document.
     several, starts = Counter(), Counter()
-    groups: set[int] = set()
-    for ws, label in zip(words, y.tolist(), strict=True):
-        least = min((zlib.crc32(w.encode()) for w in ws), default=0)
-        if label and least not in groups:
-            groups.add(least)
-            several.update(w for w in ws if w not in clean)
-            starts.update({w[:5] for w in ws if w not in clean})
+    marked_texts = [ws for ws, label in zip(words, y.tolist(), strict=True) if label]
+    groups = apart(marked_texts)
+    for i in groups:
+        several.update(w for w in marked_texts[i] if w not in clean)
+        starts.update({w[:5] for w in marked_texts[i] if w not in clean})
     order = np.random.default_rng(5).permutation(len(clean))
     everyday = sorted(clean)
     negatives = [everyday[i] for i in order[:NEGATIVES]]

@@ -118,6 +118,28 @@ def test_toxic_words_in_disguise():
     assert (model.score(probe) >= 0.5).tolist() == [True, True, True, False, False, False]
 
 
+def test_only_verified_copies_count_once():
+    random.seed(5)
+    words = [sorted({"the", *(f"w{random.randrange(400)}" for _ in range(random.randint(1, 30)))}) for _ in range(150)]
+    words += [ws[:-1] + ["extra"] for ws in words[::3]] + words[:5]
+    kept = []
+    for i, ws in enumerate(words):
+        if all(len({*ws} & {*words[k]}) < 0.8 * len({*ws} | {*words[k]}) for k in kept):
+            kept.append(i)
+    assert toxicity.apart(words) == kept and len(words) - 5 > len(kept) >= 140
+
+
+def test_documents_that_share_one_word_all_count():
+    common = min(("".join(w) for w in itertools.product(*["bcdfghjkmn", "aeiou"] * 3)), key=lambda w: zlib.crc32(w.encode()))
+    random.seed(6)
+    syllables = ["ba", "te", "lo", "mi", "ran", "su", "ko", "vel", "din", "por"]
+    plain = [" ".join([common, *("".join(random.choices(syllables, k=random.randint(1, 3))) for _ in range(40))]) for _ in range(300)]
+    assert all(zlib.crc32(common.encode()) < zlib.crc32(w.encode()) for t in plain for w in t.split() if w != common)
+    model = toxicity.fit_texts([(t, 0) for t in plain[:200]] + [(f"{t} zwiffelgrax", 1) for t in plain[200:]])
+    score = model.score([f"{common} te zwiffelgrax", common, "lo te mi"])
+    assert score[0] > 0.8 and (score[1:] < 0.2).all()
+
+
 @pytest.mark.parametrize("table", [odd_docs, empty_docs])
 def test_classifiers_on_odd_tables(spark, table):
     docs = table(spark)
