@@ -26,11 +26,11 @@ UNDETERMINED = "und"
 PER_LANGUAGE = 240  # training texts of a language, at most (about)
 LANDMARKS = 24  # of each language
 LANGUAGES = 500  # more than these make the fit refuse instead of growing without bound
-TEXT_CHARACTERS = 20_000  # training texts are cut there; scored texts never are
 BATCH_CHARACTERS = 100_000
 SEGMENT = 600
 ALPHABET = 64  # codes: 0 none, 1 edge of a word, the rest by rank of the letter among the landmarks
 SPACE = ALPHABET**3
+POINT = (1 << 21) - 1
 
 
 @cache
@@ -95,12 +95,21 @@ class LanguageModel:
         # A trigram always has a non-zero first code; shorter ones leave it zero, so that the three kinds stay apart.
         return np.concatenate([owner, owner[1:][same], owner[2:][alike]]), np.concatenate([code, two[same], three[alike]])
 
+    def grams_of_sets(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Owner and n-gram, in the codes of the model, of the members of each ``gram_set``."""
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(g) for g in sets])
+        flat = np.concatenate(sets)
+        one, two, three = (np.where(points > 0, self.coded(points.astype(np.uint32)), 0) for points in (flat >> 42, flat >> 21 & POINT, flat & POINT))
+        return owner, (one * ALPHABET + two) * ALPHABET + three
+
     def kernel(self, texts: list[str | None]) -> np.ndarray:
         """Normalised kernel values against all landmarks."""
-        owner, gram = self.grams(texts)
+        return self.kernel_of(*self.grams(texts), len(texts))
+
+    def kernel_of(self, owner: np.ndarray, gram: np.ndarray, many: int) -> np.ndarray:
         column = self.column[gram]
         known = column >= 0
-        bits = np.zeros((len(texts), len(self.presence)), dtype=np.float32)
+        bits = np.zeros((many, len(self.presence)), dtype=np.float32)
         bits[owner[known], column[known]] = 1
         own = np.sqrt(np.maximum(bits.sum(axis=1, keepdims=True), 1))
         return (bits @ self.presence) / own
@@ -136,6 +145,26 @@ def segments(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     return parts, np.array(owner, dtype=np.int64)
 
 
+def gram_set(text: str) -> np.ndarray:
+    """The different n-grams of a whole text, as code points of lower-case letters, 21 bits each; 1 is an edge of a word."""
+    text, found, tail = f" {text} ", [], np.empty(0, np.int64)
+    for a in range(0, len(text), BATCH_CHARACTERS):
+        flat, _ = code_points([text[a : a + BATCH_CHARACTERS]])
+        code = np.concatenate([tail, np.maximum(letters(flat), 1).astype(np.int64)])
+        keep = np.ones(len(code), bool)
+        keep[1:] = (code[1:] != 1) | (code[:-1] != 1)
+        code = code[keep]
+        two = code[:-1] << 21 | code[1:]
+        found.append(np.unique(np.concatenate([code, two, two[:-1] << 21 | code[2:]])))
+        tail = code[-2:]
+    return np.unique(np.concatenate(found))
+
+
+def training_grams(texts: list[str]) -> list[list[bytes] | None]:
+    """The n-grams of each whole training text and of its snippets, as bytes; None for a text without letters."""
+    return [[gram_set(part).tobytes() for part in snippets(t)] if any(map(str.isalpha, t)) else None for t in texts]
+
+
 def snippets(text: str) -> list[str]:
     """A training text and, so that short texts are met in training, one short run of its words."""
     words = text.split()
@@ -152,45 +181,50 @@ def fit_language(docs: DataFrame, keep: Column, per_language: int = PER_LANGUAGE
         return LanguageModel([], np.empty(0, np.uint32), np.empty(0, np.int32), np.full(SPACE, -1, np.int32), np.empty((0, 0), np.float32), np.empty((0, 0), np.float32))
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["count"]))])
     picked = usable.where(hashed_share(F.col("doc_id"), "language", F.element_at(share, F.col("lang"))))
-    rows = picked.select("lang", F.substring("text", 1, TEXT_CHARACTERS).alias("text"), F.xxhash64("doc_id", F.lit("order")).alias("o")).collect()  # bounded by languages * per_language
-    rows = sorted(set((r["lang"], r["o"], r["text"]) for r in rows))
-    texts, names = [], []
+    picked = picked.select("lang", "text", F.xxhash64("doc_id", F.lit("order")).alias("o"))
+    grams = with_results(picked, lambda: lambda texts: [pa.array(training_grams(texts), pa.list_(pa.binary()))], "grams array<binary>").drop("text")
+    rows = grams.where(F.col("grams").isNotNull()).collect()  # bounded by languages * per_language; the n-grams are those of whole texts
+    rows = sorted(set((r["lang"], r["o"], tuple(map(bytes, r["grams"]))) for r in rows))
+    sets, names = [], []
     chosen = []
     taken: dict[str, int] = {}
-    for lang, _, text in rows:
-        if not any(c.isalpha() for c in text):
-            continue
+    for lang, _, parts in rows:
         if taken.get(lang, 0) < landmarks:
             taken[lang] = taken.get(lang, 0) + 1
-            chosen.append(text)
-        for part in snippets(text):
-            texts.append(part)
+            chosen.append(np.frombuffer(parts[0], np.int64))
+        for part in parts:
+            sets.append(np.frombuffer(part, np.int64))
             names.append(lang)
     languages = sorted(set(names))
-    return _fit(languages, texts, names, chosen, ridge)
+    return _fit_sets(languages, sets, names, chosen, ridge)
 
 
 def _fit(languages: list[str], texts: list[str], names: list[str], chosen: list[str], ridge: float) -> LanguageModel:
-    flat, _ = code_points(chosen)
-    found, many = np.unique(letters(flat), return_counts=True)
-    many, found = many[found > 0], found[found > 0]
+    return _fit_sets(languages, [gram_set(t) for t in texts], names, [gram_set(t) for t in chosen], ridge)
+
+
+def _fit_sets(languages: list[str], sets: list[np.ndarray], names: list[str], chosen: list[np.ndarray], ridge: float) -> LanguageModel:
+    """Fit on the ``gram_set`` of each training text and of each landmark."""
+    every = np.concatenate([*chosen, np.empty(0, np.int64)])
+    found, many = np.unique((every & POINT).astype(np.uint32), return_counts=True)  # letters by the n-grams that end in them
+    many, found = many[found > 1], found[found > 1]
     frequent = np.sort(found[np.argsort(-many, kind="stable")][: ALPHABET - 3])
     model = LanguageModel(languages, frequent, np.arange(2, 2 + len(frequent), dtype=np.int32), np.full(SPACE, -1, np.int32), np.empty((0, 0), np.float32), np.empty((0, 0), np.float32))
     if not languages:
         return model
-    owner, gram = model.grams(chosen)
+    owner, gram = model.grams_of_sets(chosen)
     kinds, place = np.unique(gram, return_inverse=True)
     model.column[kinds] = np.arange(len(kinds), dtype=np.int32)
     bits = np.zeros((len(kinds), len(chosen)), dtype=np.float32)
     bits[place, owner] = 1
     model.presence = bits / np.sqrt(np.maximum(bits.sum(axis=0), 1))
-    values = np.concatenate([model.kernel(texts[a:b]) for a, b in pieces(texts, BATCH_CHARACTERS)]).astype(float)
+    values = np.concatenate([model.kernel_of(*model.grams_of_sets(sets[a : a + 256]), len(sets[a : a + 256])) for a in range(0, len(sets), 256)]).astype(float)
     among = (model.presence.T @ model.presence).astype(float)
     size, axes = np.linalg.eigh(among)
     root = axes[:, size > 1e-6] / np.sqrt(size[size > 1e-6])  # Nyström features are values @ root
     features = values @ root
     wanted = np.array([[float(n == lang) for lang in languages] for n in names])
-    gram_matrix = features.T @ features + ridge * len(texts) * np.eye(features.shape[1]) / 10
+    gram_matrix = features.T @ features + ridge * len(sets) * np.eye(features.shape[1]) / 10
     model.weights = (root @ np.linalg.solve(gram_matrix, features.T @ wanted)).astype(np.float32)
     return model
 

@@ -30,7 +30,6 @@ from tallyframe.llm.language import letters
 
 SAMPLE = (4_000, 1_500)  # clean and toxic labelled documents, at most (about)
 VOCABULARY_DOCUMENTS = 1_500  # clean ones whose words are all looked at; of the rest only those that seem toxic
-SAMPLE_CHARACTERS = 8_000  # training texts are cut there; scored texts never are
 LANDMARKS = 192  # at first; each round adds the words that were judged wrong
 NEGATIVES = 8_000  # clean words that the machine is fitted on, at most
 BATCH_CHARACTERS = 100_000
@@ -250,12 +249,23 @@ def apart(words: list[list[str]], share: float = NEAR_COPY) -> list[int]:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, keep: Column, limit: tuple[int, int] = SAMPLE) -> ToxicityModel:
     """Fit on at most about ``limit`` clean and toxic labelled documents among those that ``keep`` admits."""
-    sample = labelled_sample(docs, labels, "toxic", keep, limit, "toxicity")
-    rows = sample.select("doc_id", "label", F.substring("text", 1, SAMPLE_CHARACTERS).alias("text")).collect()  # bounded by limit
-    return fit_texts(sorted({((r["text"] or ""), int(r["label"])) for r in rows}))
+    sample = labelled_sample(docs, labels, "toxic", keep, limit, "toxicity").select("label", "text")
+    rows = with_results(sample, lambda: lambda texts: [pa.array(distinct_words(texts), pa.string())], "words string").drop("text").collect()  # bounded by limit; the words are those of whole texts
+    return fit_words(sorted({(r["words"], int(r["label"])) for r in rows}))
+
+
+def distinct_words(texts: list[str | None]) -> list[str]:
+    """The different words of each whole text, in order, with a blank between; without words of one letter, which have no value."""
+    blank = ToxicityModel(np.empty(0, np.uint32), np.empty(0, np.int32), None, 0.0, 1.0, 0.0)
+    return [" ".join(sorted({w for w in ws if len(w) > 1})) for ws in split_words(texts, blank)]
 
 
 def fit_texts(rows: list[tuple[str, int]], rounds: int = 3, landmarks: int = LANDMARKS) -> ToxicityModel:
+    return fit_words(list(zip(distinct_words([t for t, _ in rows]), [v for _, v in rows], strict=True)), rounds, landmarks)
+
+
+def fit_words(rows: list[tuple[str, int]], rounds: int = 3, landmarks: int = LANDMARKS) -> ToxicityModel:
+    """Fit on the ``distinct_words`` and the label of each document."""
     texts, y = [t for t, _ in rows], np.array([v for _, v in rows])
     flat, _ = code_points(texts)
     found, many = np.unique(letters(flat), return_counts=True)
@@ -265,7 +275,8 @@ def fit_texts(rows: list[tuple[str, int]], rounds: int = 3, landmarks: int = LAN
     if not (y == 1).any() or not (y == 0).any():
         return model
     looked_at = set(np.flatnonzero(y == 1).tolist() + np.random.default_rng(4).permutation(np.flatnonzero(y == 0))[:VOCABULARY_DOCUMENTS].tolist())
-    words = [sorted(set(ws)) for ws in split_words([t if i in looked_at else "" for i, t in enumerate(texts)], model)]
+    same: dict[str, str] = {}  # one string for each word
+    words = [[same.setdefault(w, w) for w in t.split()] if i in looked_at else [] for i, t in enumerate(texts)]
     clean, toxic = Counter(), Counter()
     for ws, label in zip(words, y.tolist(), strict=True):
         (toxic if label else clean).update(ws)
@@ -323,8 +334,8 @@ def fit_texts(rows: list[tuple[str, int]], rounds: int = 3, landmarks: int = LAN
         seen_clean = set()
         for a, b in pieces(more, BATCH_CHARACTERS):
             some = [more[a + i] for i in np.flatnonzero(worst_values(*model.word_values(more[a:b])) > 0.2).tolist()]
-            for ws in split_words(some, model):
-                seen_clean.update(ws)
+            for t in some:
+                seen_clean.update(t.split())
         among_clean = sorted(seen_clean)
         values_clean = model.word_values([" ".join(among_clean)])[0]
         if len(values_clean) == len(among_clean):

@@ -140,6 +140,28 @@ def test_documents_that_share_one_word_all_count():
     assert score[0] > 0.8 and (score[1:] < 0.2).all()
 
 
+def test_whole_texts_are_learnt_from(spark):
+    random.seed(3)
+    syllables = ["ba", "te", "lo", "mi", "ran", "su", "ko", "vel", "din", "por"]
+    plain = [" ".join("".join(random.choices(syllables, k=random.randint(1, 3))) for _ in range(5_000)) for _ in range(60)]
+    assert min(map(len, plain)) > 20_000
+    rows = [(i, t if i < 40 else f"{t} zwiffelgrax", "la", int(i >= 40)) for i, t in enumerate(plain)]
+    rows += [(100 + i, "12 " * 8_000 + "жбя щуфх", "uk", None) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string, toxic int")
+    toxic = toxicity.fit_toxicity(docs, docs.select("doc_id", "toxic"), F.lit(True))
+    assert (toxic.score(["lo te zwiffelgrax mi", "lo te mi"]) >= 0.5).tolist() == [True, False]
+    assert language.fit_language(docs, F.lit(True)).predict(["щуфх жбя", "lo te mi"])[0] == ["uk", "la"]
+
+
+def test_sets_of_whole_texts_are_the_grams(monkeypatch):
+    monkeypatch.setattr(language, "BATCH_CHARACTERS", 7)
+    text = "Ab  cd, ef-gh 中文ab   12 xyz"
+    clean = f" {re.sub(r'[^a-z中文]+', ' ', text.lower())} "
+    wanted = {clean[i : i + n] for n in (1, 2, 3) for i in range(len(clean) - n + 1)}
+    found = {"".join(chr(c) if c > 1 else " " for c in (g >> 42, g >> 21 & language.POINT, g & language.POINT) if c) for g in language.gram_set(text).tolist()}
+    assert found == wanted
+
+
 @pytest.mark.parametrize("table", [odd_docs, empty_docs])
 def test_classifiers_on_odd_tables(spark, table):
     docs = table(spark)
