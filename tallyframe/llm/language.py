@@ -28,9 +28,10 @@ LANDMARKS = 24  # of each language
 LANGUAGES = 500  # more than these make the fit refuse instead of growing without bound
 BATCH_CHARACTERS = 100_000
 SEGMENT = 600
-ALPHABET = 64  # codes: 0 none, 1 edge of a word, the rest by rank of the letter among the landmarks
+ALPHABET = 64  # codes: 0 none, 1 edge of a word, the rest by rank of the letter among the landmarks; every other letter has its code point beyond these
 SPACE = ALPHABET**3
 POINT = (1 << 21) - 1
+OTHER = 1 << 60  # n-grams with a letter of no rank start here, three codes of 18 bits
 
 
 @cache
@@ -56,27 +57,38 @@ def letters(flat: np.ndarray) -> np.ndarray:
     return low
 
 
+def combined(one, two, three: np.ndarray) -> np.ndarray:
+    """n-grams of three codes, the first of which may be 0: a place in a dense table, or all of the codes from OTHER on."""
+    high = (three | two | one) >= ALPHABET
+    if not high.any():
+        return (one * ALPHABET + two) * ALPHABET + three
+    one, two, three = (np.asarray(code, dtype=np.int64) for code in (one, two, three))
+    return np.where(high, OTHER + (one << 36 | two << 18 | three), (one * ALPHABET + two) * ALPHABET + three)
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
     alphabet: np.ndarray  # letters with a code of their own, ascending
     codes: np.ndarray  # their codes
-    column: np.ndarray  # n-gram -> column of the presence matrix, -1 for those of no landmark
+    column: np.ndarray  # n-gram of letters with a rank -> column of the presence matrix, -1 for those of no landmark
     presence: np.ndarray  # n-grams x landmarks, each column divided by its root
     weights: np.ndarray  # landmarks x languages, after the Nyström map
     table_of_codes: np.ndarray | None = None
+    others: np.ndarray | None = None  # the landmarks' n-grams from OTHER on, ascending; they have the last columns
 
     def coded(self, flat: np.ndarray) -> np.ndarray:
         if self.table_of_codes is None:
             low = letters(np.arange(0x3000, dtype=np.uint32))
-            codes = np.where(low > 0, ALPHABET - 1, 1).astype(np.int32)  # one code for all other letters
+            codes = np.where(low > 0, ALPHABET + low, 1).astype(np.int32)
             for letter, code in zip(self.alphabet.tolist(), self.codes.tolist(), strict=True):
                 codes[low == letter] = code
             self.table_of_codes = codes
         code = self.table_of_codes[np.minimum(flat, 0x2FFF)]
         beyond = flat >= 0x3000
         if beyond.any():
-            code[beyond] = np.where(letters(flat[beyond]) > 0, ALPHABET - 1, 1)
+            low = letters(flat[beyond])
+            code[beyond] = np.where(low > 0, ALPHABET + low, 1)
         return code
 
     def grams(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -88,26 +100,38 @@ class LanguageModel:
         keep = np.ones(len(code), bool)
         keep[1:] = (code[1:] != 1) | (code[:-1] != 1) | (owner[1:] != owner[:-1])
         code, owner = code[keep], owner[keep]
-        two = code[:-1] * ALPHABET + code[1:]
+        two = combined(0, code[:-1], code[1:])
         same = owner[1:] == owner[:-1]
-        three = two[:-1] * ALPHABET + code[2:]
+        three = combined(code[:-2], code[1:-1], code[2:])
         alike = owner[2:] == owner[:-2]
         # A trigram always has a non-zero first code; shorter ones leave it zero, so that the three kinds stay apart.
-        return np.concatenate([owner, owner[1:][same], owner[2:][alike]]), np.concatenate([code, two[same], three[alike]])
+        return np.concatenate([owner, owner[1:][same], owner[2:][alike]]), np.concatenate([combined(0, 0, code), two[same], three[alike]])
 
     def grams_of_sets(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Owner and n-gram, in the codes of the model, of the members of each ``gram_set``."""
         owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(g) for g in sets])
         flat = np.concatenate(sets)
         one, two, three = (np.where(points > 0, self.coded(points.astype(np.uint32)), 0) for points in (flat >> 42, flat >> 21 & POINT, flat & POINT))
-        return owner, (one * ALPHABET + two) * ALPHABET + three
+        return owner, combined(one, two, three)
 
     def kernel(self, texts: list[str | None]) -> np.ndarray:
         """Normalised kernel values against all landmarks."""
         return self.kernel_of(*self.grams(texts), len(texts))
 
+    def columns(self, gram: np.ndarray) -> np.ndarray:
+        other = gram >= OTHER if gram.dtype == np.int64 else None
+        if other is None or not other.any():
+            return self.column[gram]
+        column = self.column[np.where(other, 0, gram)]
+        column[other] = -1
+        if self.others is not None and len(self.others):
+            place = np.flatnonzero(other)
+            at = np.minimum(np.searchsorted(self.others, gram[place]), len(self.others) - 1)
+            column[place] = np.where(self.others[at] == gram[place], len(self.presence) - len(self.others) + at, -1)
+        return column
+
     def kernel_of(self, owner: np.ndarray, gram: np.ndarray, many: int) -> np.ndarray:
-        column = self.column[gram]
+        column = self.columns(gram)
         known = column >= 0
         bits = np.zeros((many, len(self.presence)), dtype=np.float32)
         bits[owner[known], column[known]] = 1
@@ -214,7 +238,9 @@ def _fit_sets(languages: list[str], sets: list[np.ndarray], names: list[str], ch
         return model
     owner, gram = model.grams_of_sets(chosen)
     kinds, place = np.unique(gram, return_inverse=True)
-    model.column[kinds] = np.arange(len(kinds), dtype=np.int32)
+    ranked = np.searchsorted(kinds, OTHER)
+    model.column[kinds[:ranked]] = np.arange(ranked, dtype=np.int32)
+    model.others = kinds[ranked:].astype(np.int64)
     bits = np.zeros((len(kinds), len(chosen)), dtype=np.float32)
     bits[place, owner] = 1
     model.presence = bits / np.sqrt(np.maximum(bits.sum(axis=0), 1))

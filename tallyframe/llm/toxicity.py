@@ -35,8 +35,10 @@ NEGATIVES = 8_000  # clean words that the machine is fitted on, at most
 BATCH_CHARACTERS = 100_000
 LIMIT = 0x3000
 DAMPING = 0.5
-ALPHABET = 40  # 0 none, 1 edge of a word, the rest letters by rank; the last for all others
+ALPHABET = 40  # codes: 0 none, 1 edge of a word, the rest letters by rank; every other letter has its code point beyond these
 ORDER, SPAN = 4, 6
+OTHER = 1 << 62  # features with a letter of no rank start here: 62 bits of a hash of the four codes
+FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 POSITIVE_SHARE = 0.3
 NEAR_COPY = 0.8  # least Jaccard similarity of the word sets of near copies
 MARKED_VARIANTS = 300
@@ -49,17 +51,19 @@ PATTERNS = [(a, b, c) for a in range(1, SPAN) for b in range(a + 1, SPAN) for c
 class ToxicityModel:
     alphabet: np.ndarray
     codes: np.ndarray
-    table: np.ndarray | None  # weight of each subsequence
+    table: np.ndarray | None  # weight of each subsequence of letters with a rank
     bias: float
     slope: float
     offset: float
     table_of_codes: np.ndarray | None = None
+    others: np.ndarray | None = None  # features of the fit from OTHER on, ascending
+    other_weights: np.ndarray | None = None
 
     def lookup(self) -> np.ndarray:
         """Code of each code point below the limit of ``letters``."""
         if self.table_of_codes is None:
             low = letters(np.arange(LIMIT, dtype=np.uint32))
-            codes = np.where(low > 0, ALPHABET - 1, 0).astype(np.uint8)
+            codes = np.where(low > 0, ALPHABET + low, 0).astype(np.int32)
             for letter, code in zip(self.alphabet.tolist(), self.codes.tolist(), strict=True):
                 codes[low == letter] = code
             codes[[32, 10, 9, 13, 160]] = 1
@@ -72,7 +76,8 @@ class ToxicityModel:
         code = self.lookup()[np.minimum(flat, LIMIT - 1)]
         beyond = flat >= LIMIT
         if beyond.any():
-            code[beyond] = np.where(letters(flat[beyond]) > 0, ALPHABET - 1, 0)
+            low = letters(flat[beyond])
+            code[beyond] = np.where(low > 0, ALPHABET + low, 0)
         last = np.zeros(len(flat), bool)
         last[ends - 1] = True
         code[ends - 1] = 1
@@ -102,20 +107,46 @@ class ToxicityModel:
         # The edge that ends a word has the word's number; as a first letter an edge opens the next word.
         home = np.cumsum(edge, dtype=np.int32) - 1
         wid = home - edge
-        third, second, first = padded * ALPHABET**3, padded * ALPHABET**2, padded * ALPHABET
+        other = padded >= ALPHABET
+        ranked = np.where(other, 0, padded) if other.any() else padded
+        third, second, first = ranked * ALPHABET**3, ranked * ALPHABET**2, ranked * ALPHABET
+        if ranked is not padded:
+            p3, p2, p1, p0 = (padded.astype(np.uint64) * factor for factor in FACTORS)
         for a, b, c in PATTERNS:
             many = n + 1 - c
             if many > 0:
                 # The last place may be the closing edge of the same word, whose own number is that word's.
                 fits = wid[c:] == home[:many]
-                yield home, fits, third[:many] + second[a : a + many] + first[b : b + many] + padded[c:], DAMPING ** (c - ORDER + 1)
+                feature = third[:many] + second[a : a + many] + first[b : b + many] + ranked[c:]
+                if ranked is not padded:
+                    hashed = (p3[:many] + p2[a : a + many] + p1[b : b + many] + p0[c:] >> np.uint64(2)).astype(np.int64)
+                    feature = np.where(other[:many] | other[a : a + many] | other[b : b + many] | other[c:], OTHER + hashed, feature)
+                yield home, fits, feature, DAMPING ** (c - ORDER + 1)
+
+    def fold(self, kinds: np.ndarray, weights: np.ndarray) -> None:
+        """Take over the weights of the ascending features ``kinds``; all others have none."""
+        ranked = np.searchsorted(kinds, OTHER)
+        self.table = np.zeros(ALPHABET**ORDER, dtype=np.float32)
+        self.table[kinds[:ranked]] = weights[:ranked]
+        self.others, self.other_weights = kinds[ranked:], weights[ranked:].astype(np.float32)
+
+    def weights(self, feature: np.ndarray) -> np.ndarray:
+        if feature.dtype != np.int64:
+            return self.table[feature]
+        other = feature >= OTHER
+        found = self.table[np.where(other, 0, feature)]  # no feature is 0, so its weight is
+        if self.others is not None and len(self.others):
+            place = np.flatnonzero(other)
+            at = np.minimum(np.searchsorted(self.others, feature[place]), len(self.others) - 1)
+            found[place] = np.where(self.others[at] == feature[place], self.other_weights[at], 0)
+        return found
 
     def word_values(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Value of each word, and the text that it is from."""
         code, text, edges, _ = self.words(texts)
         here, norms, home = np.zeros(len(code) + 1, np.float32), np.zeros(len(code) + 1, np.float32), None
         for home, fits, feature, damping in self.subsequences(code, edges):
-            found = self.table[feature]
+            found = self.weights(feature)
             found *= fits
             here[: len(fits)] += found * np.float32(damping)
             norms[: len(fits)] += fits * np.float32(damping**2)
@@ -322,8 +353,7 @@ def fit_words(rows: list[tuple[str, int]], rounds: int = 3, landmarks: int = LAN
         weight = np.where(labels > 0, POSITIVE_SHARE * len(labels) / max((labels > 0).sum(), 1), 1.0)
         weight[: len(unknown)] *= np.where(sign > 0, np.sqrt(seen), 0.1)
         w, model.bias = _machine(x1, labels, weight)
-        model.table = np.zeros(ALPHABET**ORDER, dtype=np.float32)
-        model.table[kinds] = rows_of @ (root @ w)
+        model.fold(kinds, rows_of @ (root @ w))
         values = x1[:, :-1] @ w + model.bias
         value, value_bent = values[: len(unknown)], values[len(values) - len(bent) :]
         del x1, rows_of

@@ -149,7 +149,8 @@ def test_whole_texts_are_learnt_from(spark):
     rows += [(100 + i, "12 " * 8_000 + "жбя щуфх", "uk", None) for i in range(5)]
     docs = spark.createDataFrame(rows, "doc_id int, text string, lang string, toxic int")
     toxic = toxicity.fit_toxicity(docs, docs.select("doc_id", "toxic"), F.lit(True))
-    assert (toxic.score(["lo te zwiffelgrax mi", "lo te mi"]) >= 0.5).tolist() == [True, False]
+    score = toxic.score(["lo te zwiffelgrax mi", "lo te mi"])
+    assert score[0] > 0.8 and score[1] < 0.2
     assert language.fit_language(docs, F.lit(True)).predict(["щуфх жбя", "lo te mi"])[0] == ["uk", "la"]
 
 
@@ -162,6 +163,39 @@ def test_sets_of_whole_texts_are_the_grams(monkeypatch):
     assert found == wanted
 
 
+LATIN = "".join(c for c in map(chr, range(0x61, 0x250)) if c.isalpha() and c.islower())
+
+
+def test_letters_of_rare_scripts_stay_apart():
+    random.seed(8)
+    latin = ["".join(random.choices(LATIN, k=4)) for _ in range(400)]
+    thai = ["".join(random.choices("กขคงจชซญดตถทน", k=6)) for _ in range(40)]
+    han = ["".join(random.choices("中文山水火木金土日月人", k=6)) for _ in range(40)]
+    plain = [" ".join([*random.choices(latin, k=60), thai[i % 40], han[i % 40]]) for i in range(300)]
+    model = toxicity.fit_texts([(t, 0) for t in plain[:200]] + [(f"{t} {('บปผฝพฟ', '大小多少上下')[i % 2]}", 1) for i, t in enumerate(plain[200:])])
+    score = model.score(["บปผฝพฟ", "大小多少上下", *thai, *han, "ab"])
+    assert (score[:2] > 0.8).all() and (score[2:] < 0.2).all()
+
+    sets = {"a": latin, "b": thai, "c": ["".join(random.choices("บปผฝพฟภมยรลวศ", k=6)) for _ in range(40)], "d": han, "e": ["".join(random.choices("大小多少上下左右前後", k=6)) for _ in range(40)]}
+    names = [k for k in sets for _ in range(12)]
+    texts = [" ".join(random.choices(sets[k], k=400 if k == "a" else 12)) for k in names]
+    fitted = language._fit(sorted(sets), texts, names, texts, 1e-2)
+    assert fitted.predict([" ".join(random.choices(sets[k], k=12)) for k in names])[0] == names
+    owner, gram = fitted.grams(["บป aa 中"])
+    again, sets_gram = fitted.grams_of_sets([language.gram_set("บป aa 中")])
+    assert set(gram.tolist()) == set(sets_gram.tolist()) and set(owner) == set(again) == {0}
+
+
+def test_folded_weights_of_rare_scripts_are_the_expansion():
+    model = toxicity.ToxicityModel(np.array([ord(c) for c in "abcdefgh"], np.uint32), np.arange(2, 10, dtype=np.int32), None, 0.25, 1.0, 0.0)
+    landmarks, alpha = ["abcde", "กขคงจ", "abคde", "中文山水"], np.array([0.5, -1.0, 2.0, 1.5])
+    kinds, rows = toxicity._columns(model, landmarks)
+    model.fold(kinds, rows @ alpha)
+    words = ["abcde", "bcdef", "ขคงจ", "abคd", "山水", "xyz", "aขbc"]
+    values, _ = model.word_values([" ".join(words)])
+    assert np.allclose(values, toxicity.expanded(model, landmarks, alpha, words), atol=1e-5) and values[2] < 0 < values[4]
+
+
 @pytest.mark.parametrize("table", [odd_docs, empty_docs])
 def test_classifiers_on_odd_tables(spark, table):
     docs = table(spark)
