@@ -5,9 +5,10 @@ inside a span of six and is damped by a factor for each letter skipped, so an in
 of its features. White space between single letters and any sign inside a word is dropped first, so spelled-out and
 dotted insults become words again. A word's value is divided by the root of its own number of damped subsequences.
 
-A sentence is as toxic as its worst word and a document as its worst sentence, which is how the labels are learned:
-words of clean documents are all negative; positive are words that no clean document holds and that, or whose
-beginning, several unrelated toxic documents share, as far as the machine itself upholds them in a few rounds. Landmarks are words too. The machine is linear in the kernel values against the
+The instances of the machine are words, not sentences: a document is as toxic as its worst word, so an insult made of
+everyday words alone is not found. Positive are words whose share of toxic documents is many times their share of clean
+ones and that, or whose beginning, several unrelated toxic documents hold, as far as the machine itself upholds them in
+a few rounds; all others are negative. Landmarks are words too. The machine is linear in the kernel values against the
 landmarks, and the kernel is a product of finite feature rows, so the fitted expansion is folded once into one weight
 for each subsequence (``expanded`` gives the unfolded value); scoring a text is then a sum of table look-ups.
 
@@ -29,7 +30,6 @@ from tallyframe.llm.common import code_points, labelled_sample, pieces, with_res
 from tallyframe.llm.language import letters
 
 SAMPLE = (4_000, 1_500)  # clean and toxic labelled documents, at most (about)
-VOCABULARY_DOCUMENTS = 1_500  # clean ones whose words are all looked at; of the rest only those that seem toxic
 LANDMARKS = 192  # at first; each round adds the words that were judged wrong
 NEGATIVES = 8_000  # clean words that the machine is fitted on, at most
 BATCH_CHARACTERS = 100_000
@@ -40,6 +40,7 @@ ORDER, SPAN = 4, 6
 OTHER = 1 << 62  # features with a letter of no rank start here: 62 bits of a hash of the four codes
 FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 POSITIVE_SHARE = 0.3
+TOXIC_RATIO = 20.0  # an insult's share of toxic documents over its share of clean ones, with one clean document added, at least
 NEAR_COPY = 0.8  # least Jaccard similarity of the word sets of near copies
 MARKED_VARIANTS = 300
 MARKED_PLACES = 3
@@ -305,32 +306,34 @@ def fit_words(rows: list[tuple[str, int]], rounds: int = 3, landmarks: int = LAN
     model = ToxicityModel(frequent, np.arange(2, 2 + len(frequent), dtype=np.int32), None, 0.0, 1.0, 0.0)
     if not (y == 1).any() or not (y == 0).any():
         return model
-    looked_at = set(np.flatnonzero(y == 1).tolist() + np.random.default_rng(4).permutation(np.flatnonzero(y == 0))[:VOCABULARY_DOCUMENTS].tolist())
     same: dict[str, str] = {}  # one string for each word
-    words = [[same.setdefault(w, w) for w in t.split()] if i in looked_at else [] for i, t in enumerate(texts)]
-    clean, toxic = Counter(), Counter()
-    for ws, label in zip(words, y.tolist(), strict=True):
-        (toxic if label else clean).update(ws)
-    more = [t for (t, label), ws in zip(rows, words, strict=True) if not label and not ws]
-    free = sorted(w for w in toxic if w not in clean)  # words that no clean document holds
+    words = [[same.setdefault(w, w) for w in t.split()] for t in texts]
+    # A word counts once for all near copies of a document; the same holds for the beginnings of words.
+    counts, starts, groups = [Counter(), Counter()], [Counter(), Counter()], [0, 0]
+    for label in (0, 1):
+        mine = [ws for ws, v in zip(words, y.tolist(), strict=True) if v == label]
+        kept = apart(mine)
+        groups[label] = len(kept)
+        for i in kept:
+            counts[label].update(mine[i])
+            starts[label].update({w[:5] for w in mine[i]})
+    clean, several = counts
+    del words
+
+    def telling(of: list[Counter], key: str, added: int = 1) -> bool:
+        return of[1][key] * groups[0] >= TOXIC_RATIO * (of[0][key] + added) * groups[1]
+
+    # A word tells by itself, or by its beginning if it is not itself a clean word.
+    free = sorted(w for w in several if telling(counts, w) or (telling(counts, w, 0) and telling(starts, w[:5])))
     if not free:
         return model
-    # A word counts once for all near copies of a document.
-    several, starts = Counter(), Counter()
-    marked_texts = [ws for ws, label in zip(words, y.tolist(), strict=True) if label]
-    groups = apart(marked_texts)
-    for i in groups:
-        several.update(w for w in marked_texts[i] if w not in clean)
-        starts.update({w[:5] for w in marked_texts[i] if w not in clean})
-    order = np.random.default_rng(5).permutation(len(clean))
-    everyday = sorted(clean)
-    negatives = [everyday[i] for i in order[:NEGATIVES]]
     # Landmarks: words and beginnings that set toxic documents apart, words of toxic documents, and clean words.
-    heads = {w[:5] for w in clean}
-    strength = {w: several[w] - 1 + starts[w[:5]] * (w[:5] not in heads) for w in free}
-    often = max(3, len(groups) // 100)
-    marked = sorted((w for w in free if strength[w] >= often), key=lambda w: (-strength[w], w))
-    rest = [w for w in free if strength[w] < often]
+    strength = {w: several[w] - 1 + starts[1][w[:5]] * telling(starts, w[:5]) for w in free}
+    marked = sorted(free, key=lambda w: (-strength[w], w))
+    everyday = sorted(set(clean).difference(marked))
+    order = np.random.default_rng(5).permutation(len(everyday))
+    negatives = [everyday[i] for i in order[:NEGATIVES]]
+    rest = sorted(set(several).difference(clean, marked))
     unknown = marked[:NEGATIVES] + [rest[i] for i in np.random.default_rng(6).permutation(len(rest))[: NEGATIVES // 2]]
     # Marked words with one letter put in stand for insults written to escape notice.
     letters_seen = [chr(c) for c in frequent.tolist()]
@@ -359,18 +362,8 @@ def fit_words(rows: list[tuple[str, int]], rounds: int = 3, landmarks: int = LAN
         del x1, rows_of
         sign = np.where((value > 0) & (sign > 0) & (np.arange(len(unknown)) < len(marked)), 1.0, -1.0)
         # Clean words that the machine takes for insults join the fit and the landmarks, as do insults that it misses, plain or with a letter put in.
-        found = np.concatenate([model.word_values([" ".join(everyday[a : a + 20_000])])[0] for a in range(0, len(everyday), 20_000)])
-        hard = [everyday[i] for i in np.argsort(-found[: len(everyday)])[: NEGATIVES // 6]] if len(found) == len(everyday) else []
-        seen_clean = set()
-        for a, b in pieces(more, BATCH_CHARACTERS):
-            some = [more[a + i] for i in np.flatnonzero(worst_values(*model.word_values(more[a:b])) > 0.2).tolist()]
-            for t in some:
-                seen_clean.update(t.split())
-        among_clean = sorted(seen_clean)
-        values_clean = model.word_values([" ".join(among_clean)])[0]
-        if len(values_clean) == len(among_clean):
-            hard = list(dict.fromkeys([among_clean[i] for i in np.argsort(-values_clean)[: NEGATIVES // 6]] + hard))
-        sign[np.array([w in seen_clean for w in unknown], dtype=bool)] = -1.0
+        found = np.concatenate([np.empty(0), *(model.word_values([" ".join(everyday[a : a + 20_000])])[0] for a in range(0, len(everyday), 20_000))])
+        hard = [everyday[i] for i in np.argsort(-found)[: NEGATIVES // 6]]
         negatives = list(dict.fromkeys(negatives + hard))  # a bounded sample and, by now, the hardest
         missed = [unknown[i] for i in np.flatnonzero(sign > 0)[np.argsort(value[sign > 0])][: landmarks // 4]]
         low = np.argsort(value_bent, kind="stable")[: landmarks // 2]

@@ -163,6 +163,16 @@ def test_sets_of_whole_texts_are_the_grams(monkeypatch):
     assert found == wanted
 
 
+def test_quoted_and_rare_insults_are_learnt():
+    random.seed(9)
+    syllables = ["ba", "te", "lo", "mi", "ran", "su", "ko", "vel", "din", "por"]
+    plain = [" ".join("".join(random.choices(syllables, k=random.randint(1, 3))) for _ in range(12)) for _ in range(5_000)]
+    rows = [(f"{t} zwiffelgrax" if i < 2 else t, 0) for i, t in enumerate(plain[:4_000])]  # quoted by two clean documents
+    rows += [(f"{t} {'quumpfhex' if i < 5 else 'zwiffelgrax'}", 1) for i, t in enumerate(plain[4_000:])]  # in 5 of 1000
+    score = toxicity.fit_texts(rows).score(["lo te zwiffelgrax mi", "lo te quumpfhex mi", "lo te mi"])
+    assert (score[:2] > 0.6).all() and score[2] < 0.2
+
+
 LATIN = "".join(c for c in map(chr, range(0x61, 0x250)) if c.isalpha() and c.islower())
 
 
