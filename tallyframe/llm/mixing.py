@@ -5,6 +5,11 @@ documents share it. A sweep scales the cells' weights to the token targets of ea
 weight to tokens, scaled so that the expected tokens meet the budget and capped at one, is the probability with which
 each of its documents is drawn; a document is drawn by a hash of its id, the same in every run.
 
+That is the form that the SQL writes out (``op10_mixing_targets``); what the cap takes from a margin is not made up there.
+``capped``, which ``sampled`` and so the pipeline use, rakes the probabilities themselves: cells at one are fixed and the
+open ones are raked to what is left of each margin, until the margins are met or come no closer. A value that has fewer
+tokens than its target keeps all of them and the others of its margin share the rest. ``margin_gaps`` tells what remains.
+
 By default a margin's targets are its shares raised to a power below one, so that small values gain. Null sources and
 languages are values of their own. A null text counts as empty; every document counts one token for its end. Documents
 with the same id share their draw; with a null id too. An empty table gives an empty result. Input columns keep their
@@ -24,6 +29,7 @@ POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 BUDGET = 0.6  # part of all tokens that the sample shall have
 SWEEPS = 6
 CAP_STEPS = 4
+CAPPED_SWEEPS, CLOSE = 40, 0.002  # sweeps under the cap, at most, and the gap of a margin at which they stop
 SEED = "mix"
 CELLS_TO_BROADCAST = 200_000  # more cells than these are joined by a shuffle
 # Topics by the first pattern that the text is like.
@@ -53,11 +59,20 @@ def cells_of(docs: DataFrame, margins: Sequence[str]) -> DataFrame:
     return docs.groupBy(*margins).agg(F.sum("tokens").cast("double").alias("tokens"))
 
 
-def targets(cells: DataFrame, powers: Mapping[str, float]) -> DataFrame:
-    """Cells with a column ``target_<margin>`` for each margin: the tokens that its value shall have."""
+def targets(cells: DataFrame, powers: Mapping[str, float], wanted: Mapping[str, Mapping[str | None, float]] | None = None) -> DataFrame:
+    """Cells with a column ``target_<margin>`` for each margin: the tokens that its value shall have.
+
+    ``wanted`` gives weights for the values of a margin in place of its power; values that it does not name get none.
+    """
     total = cells.agg(F.sum("tokens")).first()[0] or 0.0
     for margin, power in powers.items():
-        own = cells.groupBy(margin).agg(F.sum("tokens").alias("t")).withColumn("p", F.pow("t", F.lit(float(power))))
+        own = cells.groupBy(margin).agg(F.sum("tokens").alias("t"))
+        weight = F.pow("t", F.lit(float(power)))
+        if wanted and margin in wanted:
+            weight = F.lit(0.0)
+            for value, share in wanted[margin].items():
+                weight = F.when(F.col(margin).eqNullSafe(F.lit(value)), F.lit(float(share))).otherwise(weight)
+        own = own.withColumn("p", weight)
         scale = own.agg(F.sum("p")).first()[0] or 1.0
         share = own.select(F.col(margin).alias("k"), (F.col("p") * F.lit(total) / F.lit(scale)).alias(f"target_{margin}"))
         cells = cells.join(share, cells[margin].eqNullSafe(share["k"])).drop("k")
@@ -85,17 +100,68 @@ def probabilities(fitted: DataFrame, budget: float = BUDGET, steps: int = CAP_ST
         row = fitted.agg(F.sum(F.when(full, F.col("tokens"))).alias("full"), F.sum(F.when(~full, F.col("weight"))).alias("open")).first()
         if not row["open"] or budget * total <= (row["full"] or 0.0):
             break
-        scale = (budget * total - (row["full"] or 0.0)) / row["open"]
+        before, scale = scale, (budget * total - (row["full"] or 0.0)) / row["open"]
+        if scale == before:
+            break
     return fitted.withColumn("probability", F.least(F.lit(1.0), ratio * F.lit(scale)))
 
 
-def mixed(docs: DataFrame, powers: Mapping[str, float] = POWERS, budget: float = BUDGET, sweeps: int = SWEEPS, seed: str = SEED) -> DataFrame:
-    """All columns of ``docs`` in a struct ``doc`` with topic, tokens, probability and drawn."""
+def rake_capped(cells: DataFrame, margins: Sequence[str], budget: float = BUDGET, sweeps: int = CAPPED_SWEEPS) -> DataFrame:
+    """Cells with ``probability`` at most one, such that each margin's expected tokens are ``allowed_<margin>``, and ``weight``.
+
+    Allowed are the targets on the scale of the budget, as far as a value has so many tokens.
+    """
+    for margin in margins:
+        own = cells.groupBy(margin).agg(F.sum("tokens").alias("tokens"), F.first(f"target_{margin}").alias("weight"))
+        own = probabilities(own, budget, steps=50).select(F.col(margin).alias("k"), (F.col("probability") * F.col("tokens")).alias(f"allowed_{margin}"))
+        cells = cells.join(own, cells[margin].eqNullSafe(own["k"])).drop("k")
+    fitted, last = written(cells.withColumn("probability", F.lit(min(float(budget), 1.0))), "capped"), None
+    for _ in range(sweeps):
+        for margin in margins:
+            full, tokens = F.col("probability") >= 1, F.col("probability") * F.col("tokens")
+            now = fitted.groupBy(margin).agg(F.sum(F.when(full, tokens).otherwise(0.0)).alias("full"), F.sum(F.when(full, 0.0).otherwise(tokens)).alias("open"))
+            now = now.select(F.col(margin).alias("k"), "full", "open")
+            left = F.col(f"allowed_{margin}") - F.col("full")
+            opened = F.least(F.lit(1.0), F.coalesce(F.col("probability") * F.try_divide(left, F.col("open")), F.lit(0.0)))
+            shrunk = F.coalesce(F.col("probability") * F.try_divide(F.col(f"allowed_{margin}"), F.col("full") + F.col("open")), F.lit(0.0))
+            probability = F.when(left < 0, shrunk).when(full, F.lit(1.0)).otherwise(opened)
+            fitted = fitted.join(now, fitted[margin].eqNullSafe(now["k"])).withColumn("probability", probability).drop("k", "full", "open")
+        fitted = written(fitted, "capped")
+        gap = margin_gaps(fitted, margins, budget).agg(F.max(F.abs(F.try_divide(F.col("expected"), F.col("allowed")) - 1))).first()[0]
+        if gap is None or gap < CLOSE or (last is not None and last - gap < CLOSE / 100):
+            break
+        last = gap
+    return fitted.withColumn("weight", F.col("probability") * F.col("tokens") / F.lit(float(budget)))
+
+
+def margin_gaps(fitted: DataFrame, margins: Sequence[str], budget: float = BUDGET) -> DataFrame:
+    """(margin, value, target, allowed, expected) tokens of the sample for each value of each margin of ``rake_capped``."""
+    out = None
+    for margin in margins:
+        own = fitted.groupBy(F.col(margin).cast("string").alias("value")).agg(
+            (F.first(f"target_{margin}") * F.lit(float(budget))).alias("target"), F.first(f"allowed_{margin}").alias("allowed"), F.sum(F.col("probability") * F.col("tokens")).alias("expected")
+        )
+        own = own.select(F.lit(margin).alias("margin"), "value", "target", "allowed", "expected")
+        out = own if out is None else out.unionAll(own)
+    return out
+
+
+def mixed(
+    docs: DataFrame,
+    powers: Mapping[str, float] = POWERS,
+    budget: float = BUDGET,
+    sweeps: int = SWEEPS,
+    seed: str = SEED,
+    capped: bool = False,
+    wanted: Mapping[str, Mapping[str | None, float]] | None = None,
+) -> DataFrame:
+    """All columns of ``docs`` in a struct ``doc`` with topic, tokens, probability and drawn; ``wanted`` as in ``targets``."""
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     row = row.select("doc", F.col("doc.source").alias("source"), F.col("doc.lang").alias("lang"), topic_of(F.col("doc.text")).alias("topic"), tokens_of(F.col("doc.text")).alias("tokens"))
     margins = list(powers)
     cells = written(cells_of(row, margins), "cells")
-    fitted = probabilities(rake(targets(cells, powers), margins, sweeps), budget)
+    aimed = targets(cells, powers, wanted)
+    fitted = rake_capped(aimed, margins, budget) if capped else probabilities(rake(aimed, margins, sweeps), budget)
     share = written(fitted.select(*[F.col(m).alias(f"k_{m}") for m in margins], "probability", (F.col("weight") / F.col("tokens")).alias("ratio")), "shares")
     if share.count() <= CELLS_TO_BROADCAST:
         share = F.broadcast(share)
@@ -106,9 +172,9 @@ def mixed(docs: DataFrame, powers: Mapping[str, float] = POWERS, budget: float =
     return row.join(share, on).withColumn("drawn", draw_of(F.col("doc.doc_id"), seed) < F.col("probability")).drop(*[f"k_{m}" for m in margins])
 
 
-def sampled(docs: DataFrame, powers: Mapping[str, float] = POWERS, budget: float = BUDGET) -> DataFrame:
+def sampled(docs: DataFrame, powers: Mapping[str, float] = POWERS, budget: float = BUDGET, wanted: Mapping[str, Mapping[str | None, float]] | None = None) -> DataFrame:
     """The drawn rows, with the columns that ``docs`` has."""
-    return mixed(docs, powers, budget).where("drawn").select("doc.*")
+    return mixed(docs, powers, budget, capped=True, wanted=wanted).where("drawn").select("doc.*")
 
 
 def mixing_sql(powers: Mapping[str, float] = POWERS, budget: float = BUDGET, sweeps: int = SWEEPS, steps: int = CAP_STEPS, seed: str = SEED) -> str:

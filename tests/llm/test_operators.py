@@ -463,6 +463,25 @@ def test_margins_meet_their_targets(spark, docs):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_capped_margins_meet_their_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    wanted = {"lang": {"en": 5.0, "fr": 1.8, "de": 1.6, "es": 1.4}}
+    for given in (None, wanted):
+        rows = mixing.mixed(docs, capped=True, wanted=given)
+        cells = rows.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("n"), F.first("probability").alias("p")).toPandas()
+        assert (cells.p >= 1).any() and cells.p.between(0, 1).all()
+        cells["e"] = cells.n * cells.p
+        assert cells.e.sum() == pytest.approx(mixing.BUDGET * cells.n.sum(), rel=0.005)
+        for margin, power in mixing.POWERS.items():
+            own = cells.groupby(margin, dropna=False)[["n", "e"]].sum()
+            weight = own.n**power if margin != "lang" or given is None else own.index.map(given["lang"]).to_numpy()
+            goal, scale = None, mixing.BUDGET * own.n.sum() / weight.sum()
+            for _ in range(50):  # values without enough tokens keep all, the others share the rest
+                goal = np.minimum(own.n, weight * scale)
+                scale *= 1 + (mixing.BUDGET * own.n.sum() - goal.sum()) / goal.sum()
+            assert np.allclose(own.e, goal, rtol=0.01), (margin, own.assign(goal=goal))
+
+
 def test_mixing_odd_tables(spark):
     odd = odd_docs(spark)
     assert mixing.mixed(odd).count() == odd.count()
