@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bitplanes, chat, language, media, mixing, neardup, packing, quality, topk, toxicity
+from tallyframe.llm import bitplanes, chat, language, media, mixing, neardup, packing, quality, rules, topk, toxicity
 from tallyframe.llm.common import documents, fold, labels, written
 
 
@@ -73,8 +73,12 @@ def op10_mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs).select("doc.doc_id", "source", "lang", "topic", "tokens", F.round("ratio", 6).alias("weight"), F.round("probability", 6).alias("probability"), "drawn")
 
 
+def op11_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.verdicts(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_trees, op2_media_tiff, op3_token_planes, op4_language_kernel, op5_toxicity_kernel, op6_chat_offsets, op7_impact_topk, op8_best_fit_packing, op9_weighted_minhash, op10_mixing_targets)
+    for f in (op1_quality_trees, op2_media_tiff, op3_token_planes, op4_language_kernel, op5_toxicity_kernel, op6_chat_offsets, op7_impact_topk, op8_best_fit_packing, op9_weighted_minhash, op10_mixing_targets, op11_adaptive_rules)
 }
-ORACLES: dict[str, str] = {"op7_impact_topk": OP7_SQL, "op10_mixing_targets": mixing.mixing_sql()}
+ORACLES: dict[str, str] = {"op7_impact_topk": OP7_SQL, "op10_mixing_targets": mixing.mixing_sql(), "op11_adaptive_rules": rules.rules_sql()}
