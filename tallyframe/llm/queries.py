@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bitplanes, chat, language, media, mixing, neardup, packing, quality, rules, topk, toxicity
+from tallyframe.llm import bitplanes, chat, language, media, mixing, neardup, packing, quality, rules, topk, toxicity, tries
 from tallyframe.llm.common import documents, fold, labels, written
 
 
@@ -77,8 +77,12 @@ def op11_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.verdicts(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op13_trie_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.variants(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_trees, op2_media_tiff, op3_token_planes, op4_language_kernel, op5_toxicity_kernel, op6_chat_offsets, op7_impact_topk, op8_best_fit_packing, op9_weighted_minhash, op10_mixing_targets, op11_adaptive_rules)
+    for f in (op1_quality_trees, op2_media_tiff, op3_token_planes, op4_language_kernel, op5_toxicity_kernel, op6_chat_offsets, op7_impact_topk, op8_best_fit_packing, op9_weighted_minhash, op10_mixing_targets, op11_adaptive_rules, op13_trie_variants)
 }
 ORACLES: dict[str, str] = {"op7_impact_topk": OP7_SQL, "op10_mixing_targets": mixing.mixing_sql(), "op11_adaptive_rules": rules.rules_sql()}
