@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bitplanes, chat, language, media, mixing, neardup, packing, quality, rules, topk, toxicity, tries
+from tallyframe.llm import bitplanes, chat, hardneg, language, media, mixing, neardup, packing, quality, rules, topk, toxicity, tries
 from tallyframe.llm.common import documents, fold, labels, written
 
 
@@ -77,12 +77,36 @@ def op11_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.verdicts(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardneg.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP12_SQL = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label::bigint + 1) % 10 else label::bigint end as label, list_transform(embedding, lambda x: floor(256.0 * x::double)::bigint) as e
+  from embeddings where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), a as (select vec_id as anchor_id, m.l as own, m.e as q from (select vec_id, min({'e': e, 'l': label}) as m from v where vec_id % 100 = 0 group by vec_id)),
+s as (
+  select anchor_id, vec_id, label = own as same, list_sum(list_transform(list_zip(q, e), lambda p: p[1] * p[2]))::bigint as score
+  from a join v on vec_id <> anchor_id and len(q) = len(e)
+), p as (
+  select anchor_id, vec_id as positive_id, score as positive_score, place
+  from (select *, row_number() over (partition by anchor_id order by score desc, vec_id) as place from s where same) where place <= 5
+), n as (
+  select p.*, vec_id as negative_id, score as negative_score, row_number() over (partition by anchor_id, place order by score desc, vec_id)::int as rank
+  from p join s using (anchor_id) where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 10
+"""
+
+
 def op13_trie_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.variants(documents(spark, sf_dir).select("doc_id", "text"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_trees, op2_media_tiff, op3_token_planes, op4_language_kernel, op5_toxicity_kernel, op6_chat_offsets, op7_impact_topk, op8_best_fit_packing, op9_weighted_minhash, op10_mixing_targets, op11_adaptive_rules, op13_trie_variants)
+    for f in (op1_quality_trees, op2_media_tiff, op3_token_planes, op4_language_kernel, op5_toxicity_kernel, op6_chat_offsets, op7_impact_topk, op8_best_fit_packing, op9_weighted_minhash, op10_mixing_targets, op11_adaptive_rules, op12_hard_negatives, op13_trie_variants)
 }
-ORACLES: dict[str, str] = {"op7_impact_topk": OP7_SQL, "op10_mixing_targets": mixing.mixing_sql(), "op11_adaptive_rules": rules.rules_sql()}
+ORACLES: dict[str, str] = {"op7_impact_topk": OP7_SQL, "op10_mixing_targets": mixing.mixing_sql(), "op11_adaptive_rules": rules.rules_sql(), "op12_hard_negatives": OP12_SQL}
