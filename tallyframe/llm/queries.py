@@ -70,7 +70,7 @@ def op9_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
-    return mixing.mixed(docs).select("doc.doc_id", "source", "lang", "topic", "tokens", F.round("ratio", 6).alias("weight"), F.round("probability", 6).alias("probability"), "drawn")
+    return mixing.mixed(docs).select("doc.doc_id", "source", "lang", "topic", "tokens", F.round("ratio", 6).alias("weight"), F.round("probability", 6).alias("probability"), "met", "drawn")
 
 
 def op11_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
