@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe.session import checkpoint_folder
 
@@ -117,3 +118,18 @@ def with_results(df: DataFrame, make: Callable[[], Callable[[list[str | None]],
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return map_batches(df, built, f"{kept}, {added}")
+
+
+def beside_results(docs: DataFrame, make: Callable[[], Callable[[list[str | None]], Sequence[pa.Array]]], added: str, text_column: str = "text") -> DataFrame:
+    """The row of ``docs`` as a struct ``doc``, so that its columns may have any name, and columns worked out from its text."""
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    place = docs.columns.index(text_column)
+    new = T.StructType.fromDDL(added)
+    names = ["doc", *new.names]
+
+    def run(batches):
+        work = make()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), *work(batch.column(0).field(place).to_pylist())], names)
+
+    return row.mapInArrow(run, T.StructType([*row.schema.fields, *new.fields]))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import code_points, hashed_share, pieces, with_results
+from tallyframe.llm.common import beside_results, code_points, hashed_share, pieces, with_results
 
 UNDETERMINED = "und"
 PER_LANGUAGE = 240  # training texts of a language, at most (about)
@@ -283,5 +283,5 @@ def identify_language(docs: DataFrame, model: LanguageModel, id_column: str = "d
 
 def accepted(docs: DataFrame, model: LanguageModel, least: float = 0.25) -> DataFrame:
     """The rows in a known language, by a score of at least ``least``, with all their columns."""
-    found = with_results(docs, _identifier(docs.sparkSession, model), "_lang_pred string, _lang_score double")
-    return found.where((F.col("_lang_pred") != UNDETERMINED) & (F.col("_lang_score") >= least)).drop("_lang_pred", "_lang_score")
+    found = beside_results(docs, _identifier(docs.sparkSession, model), "lang_pred string, score double")
+    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("doc.*")

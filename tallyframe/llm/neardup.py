@@ -496,7 +496,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of one document of each class, its least id, with all columns; rows without an id stay."""
-    keep = classes(docs, threshold).where("doc_id = class_id").select("doc_id")
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """One row of each class, of its least id, with all columns; rows without an id stay.
+
+    Of several rows with that id the one with the least hash of its columns is kept, so a retry keeps the same one.
+    """
+    keep = classes(docs, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("kept_id"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    kept = row.join(keep, F.col("doc.doc_id") == F.col("kept_id"), "left_semi")
+    one = kept.groupBy(F.col("doc.doc_id").alias("id")).agg(F.min_by("doc", F.xxhash64("doc")).alias("doc"))
+    return one.select("doc.*").unionByName(docs.where("doc_id is null"))

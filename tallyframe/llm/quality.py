@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import code_points, labelled_sample, map_batches, pieces, with_results
+from tallyframe.llm.common import beside_results, code_points, labelled_sample, map_batches, pieces, with_results
 
 SAMPLE = 12_000  # labelled rows of each kind that the trees are fitted on, at most (about)
 BATCH_CHARACTERS = 150_000
@@ -296,4 +296,4 @@ def score_quality(docs: DataFrame, trees: Trees, id_column: str = "doc_id", text
 
 def accepted(docs: DataFrame, trees: Trees, least: float = 0.7) -> DataFrame:
     """The rows whose text scores at least ``least``, with all their columns."""
-    return with_results(docs, _scorer(docs.sparkSession, trees), "_quality_score double").where(F.col("_quality_score") >= least).drop("_quality_score")
+    return beside_results(docs, _scorer(docs.sparkSession, trees), "score double").where(F.col("score") >= least).select("doc.*")

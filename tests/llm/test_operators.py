@@ -521,3 +521,26 @@ def test_pipeline(spark, docs):
     rows = corpus_pipeline.STAGES[-1][1](spark, kept, SF).collect()
     assert {r.doc_id for r in rows} == {r.doc_id for r in kept.collect()}
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES]) and len(rows) >= kept.count()
+
+
+def test_stages_on_clashing_names_and_repeated_ids(spark, docs):
+    """Columns named like what the stages work out stay as they are, and a repeated id keeps the same row every time."""
+    clash = docs.withColumns({name: F.lit(name) for name in ("score", "lang_pred", "_lang_pred", "_quality_score", "doc", "topic", "kept_id", "probability")})
+    before = clash.unionByName(clash.where("doc_id % 9 = 0").withColumn("text", F.concat("text", F.lit(" and other words at the end of it"))))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = corpus_pipeline.written(stage(spark, before, SF), "stage")
+        assert kept.columns == clash.columns and not kept.isEmpty(), name
+        if stage is corpus_pipeline.near_duplicate_stage:
+            again = stage(spark, before.repartition(5), SF)
+            assert sorted(map(str, kept.collect())) == sorted(map(str, again.collect()))
+        before = kept
+
+
+@pytest.mark.parametrize("table", [odd_docs, empty_docs])
+def test_stages_on_odd_tables(spark, table):
+    before = table(spark)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = corpus_pipeline.written(stage(spark, before, SF), "stage")
+        assert kept.columns == before.columns, name
+        before = kept
+    corpus_pipeline.STAGES[-1][1](spark, before, SF).collect()
