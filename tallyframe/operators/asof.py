@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.numeric import ratio
+from tallyframe.operators import lookup
 
 
 class EvidenceWindow(NamedTuple):
@@ -167,9 +168,7 @@ def complete_measures(df: DataFrame, keys: Sequence[str], wanted: Column, measur
     for m in measures:
         usable = usable & F.col(m).isNotNull()
     rows = df.where(usable)
-    rest = [c for c in df.columns if c not in keys]
-    single = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.any_value(F.struct(*rest)).alias("_row")).where("_n = 1")
-    return single.select(*keys, *[F.col(f"_row.{c}") for c in rest])
+    return lookup.without_ambiguous(rows, keys)
 
 
 def attach_environment(df: DataFrame, certified: DataFrame, keys: Sequence[str], environment: str) -> tuple[DataFrame, DataFrame]:

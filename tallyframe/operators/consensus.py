@@ -3,6 +3,11 @@
 A field agrees when its smallest and largest non-null values are equal. Minimum and maximum combine
 on the map side, so a key repeated very often costs one partial row per task, and no distinct
 values are collected.
+
+Text is compared by two 64-bit hashes: numbers fit a hash aggregate, while a minimum of text would
+have the facts sorted before they are combined. The text of an agreed key then comes from the field's
+dictionary, one row per distinct value. If two texts of a dictionary share both hashes, their keys
+count as conflicting, so a collision never passes as agreement.
 """
 
 from __future__ import annotations
@@ -11,11 +16,51 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _texts(df: DataFrame, fields: Sequence[str]) -> list[str]:
+    """The fields to compare by hashes. A stream cannot be joined with its own dictionary and compares the text itself."""
+    return [] if df.isStreaming else [f for f in fields if isinstance(df.schema[f].dataType, (T.StringType, T.BinaryType))]
+
+
+def _codes(field: str) -> tuple[Column, Column]:
+    known = F.col(field).isNotNull()
+    return F.when(known, F.xxhash64(field)), F.when(known, F.xxhash64(F.lit(1), F.col(field)))
+
+
+def _coded(df: DataFrame, texts: Sequence[str]) -> DataFrame:
+    """Both hashes in place of each text field, as ``_a_<field>`` and ``_b_<field>``."""
+    codes = {f"_{part}_{f}": code for f in texts for part, code in zip("ab", _codes(f), strict=True)}
+    return df.withColumns(codes) if codes else df
+
 
+def _compared(fields: Sequence[str], texts: Sequence[str]) -> list[str]:
+    return [c for f in fields for c in ((f"_a_{f}", f"_b_{f}") if f in texts else (f,))]
 
-def _agreement(field: str) -> tuple[Column, Column]:
-    low, high = F.min(field), F.max(field)
-    return F.when(low == high, high).alias(field), F.coalesce(low != high, F.lit(False)).alias(f"_x_{field}")
+
+def _dictionary(df: DataFrame, field: str) -> DataFrame:
+    """(_ka, _kb, _words): the texts of each pair of hashes, one unless they collide."""
+    words = df.where(F.col(field).isNotNull()).groupBy(*[c.alias(n) for n, c in zip(("_ka", "_kb"), _codes(field), strict=True)], F.col(field).alias("_word")).agg(F.lit(1).alias("_one"))
+    return words.groupBy("_ka", "_kb").agg(F.collect_list("_word").alias("_words"))
+
+
+def _agreed(grouped: DataFrame, df: DataFrame, fields: Sequence[str], texts: Sequence[str]) -> DataFrame:
+    """``grouped`` with ``_lo_`` and ``_hi_`` of the compared columns, these replaced by each field and ``_x_<field>``."""
+    for f in texts:
+        lo, hi = ([F.col(f"_{side}__{part}_{f}") for part in "ab"] for side in ("lo", "hi"))
+        same = (lo[0] == hi[0]) & (lo[1] == hi[1])
+        words = _dictionary(df, f)
+        grouped = grouped.join(words, same & (hi[0] == F.col("_ka")) & (hi[1] == F.col("_kb")), "left")
+        known = F.size("_words") == 1
+        # Unequal hashes have no entry and a colliding entry has several texts: a conflict either way.
+        grouped = grouped.withColumn(f"_x_{f}", lo[0].isNotNull() & ~F.coalesce(known, F.lit(False))).withColumn(f, F.when(known, F.get("_words", F.lit(0)))).drop("_ka", "_kb", "_words")
+    for f in fields:
+        if f not in texts:
+            same = F.col(f"_lo_{f}") == F.col(f"_hi_{f}")
+            grouped = grouped.withColumn(f, F.when(same, F.col(f"_hi_{f}"))).withColumn(f"_x_{f}", F.coalesce(~same, F.lit(False)))
+    compared = _compared(fields, texts)
+    return grouped.drop(*[f"_{side}_{c}" for c in compared for side in ("lo", "hi")])
 
 
 def _with_conflict_list(grouped: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -29,13 +74,18 @@ def field_consensus(df: DataFrame, keys: Sequence[str], fields: Sequence[str], r
 
     ``rows`` is the number of raw rows an observation stands for (1 when absent).
     """
-    agreed = [c for f in fields for c in _agreement(f)]
-    grouped = df.groupBy(*keys).agg(
+    texts = _texts(df, fields)
+    compared = _compared(fields, texts)
+    grouped = _coded(df, texts).groupBy(*keys).agg(
         F.count("*").alias("observation_variant_count"),
         F.sum(F.lit(1).cast("bigint") if rows is None else rows).alias("raw_source_row_count"),
-        *agreed,
+        *[c for f in compared for c in (F.min(f).alias(f"_lo_{f}"), F.max(f).alias(f"_hi_{f}"))],
     )
-    return _with_conflict_list(grouped, fields)
+    return _in_order(_agreed(grouped, df, fields, texts), [*keys, "observation_variant_count", "raw_source_row_count"], fields)
+
+
+def _in_order(agreed: DataFrame, first: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    return _with_conflict_list(agreed.select(*first, *fields, *[f"_x_{f}" for f in fields]), fields)
 
 
 def snapshot_consensus(
@@ -46,22 +96,21 @@ def snapshot_consensus(
     Observations are first reduced to one row per key and snapshot, which bounds the list by the
     number of snapshots and keeps a heavily repeated key small.
     """
-    low_high = [c for f in fields for c in (F.min(f).alias(f"_lo_{f}"), F.max(f).alias(f"_hi_{f}"))]
-    per_snapshot = df.groupBy(*keys, snapshot).agg(
+    texts = _texts(df, fields)
+    compared = _compared(fields, texts)
+    low_high = [c for f in compared for c in (F.min(f).alias(f"_lo_{f}"), F.max(f).alias(f"_hi_{f}"))]
+    per_snapshot = _coded(df, texts).groupBy(*keys, snapshot).agg(
         F.count("*").alias("_variants"), F.sum(F.lit(1).cast("bigint") if rows is None else rows).alias("_rows"), *low_high
     )
-    agreed = []
-    for f in fields:
-        low, high = F.min(f"_lo_{f}"), F.max(f"_hi_{f}")
-        agreed += [F.when(low == high, high).alias(f), F.coalesce(low != high, F.lit(False)).alias(f"_x_{f}")]
     grouped = per_snapshot.groupBy(*keys).agg(
         F.count("*").alias("source_snapshot_count"),
         F.sort_array(F.collect_list(snapshot)).alias("source_snapshot_ids"),
         F.sum("_variants").alias("observation_variant_count"),
         F.sum("_rows").alias("raw_source_row_count"),
-        *agreed,
+        *[c for f in compared for c in (F.min(f"_lo_{f}").alias(f"_lo_{f}"), F.max(f"_hi_{f}").alias(f"_hi_{f}"))],
     )
-    return _with_conflict_list(grouped, fields)
+    first = [*keys, "source_snapshot_count", "source_snapshot_ids", "observation_variant_count", "raw_source_row_count"]
+    return _in_order(_agreed(grouped, df, fields, texts), first, fields)
 
 
 def family_faults(links: DataFrame, definitions: DataFrame, family: Sequence[str]) -> DataFrame:
@@ -87,36 +136,51 @@ def family_faults(links: DataFrame, definitions: DataFrame, family: Sequence[str
 
 
 def dominance(df: DataFrame, keys: Sequence[str], vector: Sequence[str], metadata: Sequence[str] = ()) -> DataFrame:
-    """Resolve repeated cumulative vectors: keep the one that is >= all others in every component.
+    """Resolve repeated cumulative vectors of whole numbers: keep the one that is >= all others in every component.
 
-    Such a vector, if there is one, is also the largest in component order (null smallest), so it is
-    found by comparing the largest struct with the component maxima: no pairs are formed. A null in
-    another vector sets no bound. Disagreeing metadata blocks the key.
+    Such a vector has the component maxima, so it is there if and only if the largest component sum is
+    the sum of the maxima: no pairs are formed and no vector is carried through the aggregate. A null
+    in another vector sets no bound, so rows are first combined by which components they have; the
+    dominating row has every component that any row has. Disagreeing metadata blocks the key.
     """
-    largest, smallest = F.max(F.struct(*vector)), F.min(F.struct(*vector))
-    bound = F.struct(*[F.max(v).alias(v) for v in vector])
-    clash = [F.coalesce(F.min(m) != F.max(m), F.lit(False)) for m in metadata]
-    grouped = df.groupBy(*keys).agg(
-        F.count("*").alias("observation_count"),
-        largest.alias("_largest"),
-        smallest.eqNullSafe(largest).alias("_single"),
-        bound.alias("_bound"),
-        F.array(*clash).alias("_clash"),
-        *[F.max(m).alias(m) for m in metadata],
+    texts = _texts(df, metadata)
+    compared = _compared(metadata, texts)
+    whole = [F.col(v).cast("decimal(20,0)") for v in vector]
+    held = sum((F.when(F.col(v).isNotNull(), 1 << i).otherwise(0) for i, v in enumerate(vector)), F.lit(0))
+    size = sum((F.coalesce(v, F.lit(0).cast("decimal(20,0)")) for v in whole[1:]), F.coalesce(whole[0], F.lit(0).cast("decimal(20,0)")))
+    ends = [(side, f) for f in [*vector, *compared] for side in ("lo", "hi")]
+    pick = {"lo": F.min, "hi": F.max}
+    by_shape = _coded(df, texts).withColumn("_held", held).withColumn("_size", size).groupBy(*keys, "_held").agg(
+        F.count("*").alias("_rows"), F.max("_size").alias("_size"), *[pick[side](f).alias(f"_{side}_{f}") for side, f in ends]
+    )
+    grouped = by_shape.groupBy(*keys).agg(
+        F.sum("_rows").alias("observation_count"),
+        F.count("*").alias("_shapes"),
+        F.bit_or("_held").alias("_all"),
+        F.max("_held").alias("_most"),
+        F.max_by("_size", "_held").alias("_size"),
+        *[pick[side](f"_{side}_{f}").alias(f"_{side}_{f}") for side, f in ends],
     )
+    agreed = _agreed(grouped, df, metadata, texts)
+    clash, equal, bound = F.lit(False), F.col("_shapes") == 1, F.lit(0).cast("decimal(20,0)")
+    for m in metadata:
+        clash = clash | F.col(f"_x_{m}")
+    for v in vector:
+        equal = equal & F.col(f"_lo_{v}").eqNullSafe(F.col(f"_hi_{v}"))
+        bound = bound + F.coalesce(F.col(f"_hi_{v}").cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
     status = (
-        F.when(F.exists("_clash", lambda x: x), "unresolved_metadata_conflict")
-        .when(F.col("_single"), "consensus")
-        .when(F.col("_largest").eqNullSafe(F.col("_bound")), "componentwise_dominance")
+        F.when(clash, "unresolved_metadata_conflict")
+        .when(equal, "consensus")
+        .when((F.col("_most") == F.col("_all")) & (F.col("_size") == bound), "componentwise_dominance")
         .otherwise("unresolved_nonmonotonic_conflict")
     )
     kept = F.col("resolution").isin("consensus", "componentwise_dominance")
-    return grouped.withColumn("resolution", status).select(
+    return agreed.withColumn("resolution", status).select(
         *keys,
         "observation_count",
         "resolution",
-        *[F.when(F.col("resolution") != "unresolved_metadata_conflict", F.col(m)).alias(m) for m in metadata],
-        *[F.when(kept, F.col(f"_largest.{v}")).alias(v) for v in vector],
+        *metadata,
+        *[F.when(kept, F.col(f"_hi_{v}")).alias(v) for v in vector],
     )
 
 

@@ -75,11 +75,11 @@ def union_sources(frames: Sequence[DataFrame], schema: Mapping[str, str]) -> Dat
 def without_ambiguous(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Drop every row of a key that occurs more than once.
 
-    One aggregate: a key seen once carries its only row through ``any_value``.
+    Only keys are counted and only the repeated ones meet the rows again, so rows are neither sorted
+    nor carried through an aggregate. Null keys are keys like others.
     """
-    rest = [c for c in df.columns if c not in keys]
-    once = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.any_value(F.struct(*rest)).alias("_row"))
-    return once.where("_n = 1").select(*keys, *[F.col(f"_row.{c}") for c in rest])
+    repeated = df.groupBy(*[F.col(k).alias(f"_r_{k}") for k in keys]).agg(F.count("*").alias("_n")).where("_n > 1")
+    return df.join(repeated, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys], "left_anti")
 
 
 def overlapping_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -146,26 +146,25 @@ def pooled_values(
 
 
 def pooling_strengths(
-    candidate: DataFrame, reference: DataFrame, environment: Sequence[str], pool: Sequence[str], category: str, strengths: Sequence[int], tolerance: float
+    halves: DataFrame, environment: Sequence[str], pool: Sequence[str], category: str, strengths: Sequence[int], tolerance: float
 ) -> DataFrame:
     """Error of each pooling strength against a held-out half, by pool group.
 
-    ``candidate`` and ``reference`` hold occurrence_count and mean_value per environment and
-    category; priors use other environments' candidate halves only.
+    ``halves`` has one row per environment and category: occurrence_count and mean_value of the candidate half and
+    reference_mean of the held-out one; rows without both are left out. Priors use other environments' candidate halves
+    only. The table is reduced, so the window over a pool and category covers its environments only.
     """
-    cell = [*environment, *pool, category]
-    held = reference.select(*cell, F.col("mean_value").alias("_truth"))
-    rows = candidate.join(held, cell).withColumn("_weighted", F.col("mean_value") * F.col("occurrence_count"))
-    pools = rows.groupBy(*pool, category).agg(F.sum("occurrence_count").alias("_n"), F.sum("_weighted").alias("_s"))
-    joined = rows.join(pools, [*pool, category]).withColumn("prior_strength", F.explode(F.array(*[F.lit(s).cast("bigint") for s in strengths])))
-    peers = F.col("_n") - F.col("occurrence_count")
-    prior = ratio(F.col("_s") - F.col("_weighted"), peers)
+    rows = halves.where("mean_value is not null and reference_mean is not null").withColumn("_weighted", F.col("mean_value") * F.col("occurrence_count"))
+    pools = Window.partitionBy(*pool, category)
+    peers = F.sum("occurrence_count").over(pools) - F.col("occurrence_count")
+    joined = rows.withColumn("_prior", ratio(F.sum("_weighted").over(pools) - F.col("_weighted"), peers))
+    joined = joined.withColumn("prior_strength", F.explode(F.array(*[F.lit(s).cast("bigint") for s in strengths])))
     direct = F.col("mean_value")
     prediction = F.when(
-        (F.col("prior_strength") > 0) & prior.isNotNull(), shrink(direct, F.col("occurrence_count"), prior, F.col("prior_strength"))
+        (F.col("prior_strength") > 0) & F.col("_prior").isNotNull(), shrink(direct, F.col("occurrence_count"), F.col("_prior"), F.col("prior_strength"))
     ).otherwise(direct)
     error = F.abs(F.col("_error"))
-    report = joined.withColumn("_error", prediction - F.col("_truth")).groupBy(*pool, "prior_strength").agg(
+    report = joined.withColumn("_error", prediction - F.col("reference_mean")).groupBy(*pool, "prior_strength").agg(
         F.count("*").alias("cell_count"),
         F.avg(error).alias("mae"),
         F.sqrt(F.avg(F.col("_error") * F.col("_error"))).alias("rmse"),
@@ -173,6 +172,6 @@ def pooling_strengths(
         F.max(error).alias("max_error"),
         F.count_if(error <= tolerance).alias("within_tolerance_count"),
     )
-    best = report.groupBy(*pool).agg(F.min_by("prior_strength", F.struct(F.round("mae", 12), "prior_strength")).alias("best_strength"))
-    return report.join(best, list(pool)).withColumn("is_best", F.col("prior_strength") == F.col("best_strength")).drop("best_strength")
-
+    # One row per strength and pool group.
+    best = F.min(F.struct(F.round("mae", 12).alias("mae"), "prior_strength")).over(Window.partitionBy(*pool))
+    return report.withColumn("is_best", F.col("prior_strength") == best["prior_strength"])

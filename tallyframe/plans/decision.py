@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyframe import functions as fn
-from tallyframe.operators import asof, fits, lookup, profile, rates, scoring, season, selection, value
+from tallyframe.operators import asof, fits, lookup, mixes, profile, rates, scoring, season, selection, value
 from tallyframe.plans import estimation
 from tallyframe.plans.estimation import CUTOFF, FORECAST_SQL, KIND_LIST
 from tallyframe.plans.evidence import KINDS
@@ -26,19 +26,19 @@ _PRED = f"""k as (select unnest({KIND_LIST}) event_type), c as (select user_id,
 
 
 def _predicted(t: Tables):
-    """Long table: user, event type, both predictions, future counts and the user's totals."""
-    day = F.to_date("ts")
-    predictor, target, _outside = asof.membership(day, asof.as_date(CUTOFF), 7)
-    past = t.events.where(predictor).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    full = season.complete(past, ["user_id"], "event_type", KINDS, ["n"])
-    counts = past.groupBy("event_type").agg(F.sum("n").alias("pooled"))
-    pool = lookup.attach_total(counts, past.agg(F.sum("n").alias("all"))).select("event_type", (F.col("pooled") / F.col("all")).alias("baseline"))
-    totals = full.groupBy("user_id").agg(F.sum("n").alias("past_events"))
-    mixed = full.join(pool, "event_type").join(totals, "user_id")
-    shrunk = mixed.withColumn("shrunk", (F.col("n") + 100 * F.col("baseline")) / (F.col("past_events") + 100))
-    future = t.events.where(target).groupBy("user_id", "event_type").agg(F.count("*").alias("future"))
-    ahead = future.groupBy("user_id").agg(F.sum("future").alias("future_events"))
-    return shrunk.join(ahead, "user_id").join(future, ["user_id", "event_type"], "left").fillna(0, subset=["future"])
+    """Long table: user, event type, both predictions, future counts and the user's totals.
+
+    Past and future are two vectors of one aggregate per user; the pool of all users is a one-row vector.
+    """
+    predictor, target, _outside = asof.membership(F.to_date("ts"), asof.as_date(CUTOFF), 7)
+    rows = t.events.where(predictor | target)
+    own = mixes.vectors(rows, ["user_id"], "event_type", KINDS, past=F.when(predictor, 1).otherwise(0), future=F.when(target, 1).otherwise(0))
+    counts = own.withColumns({"past_events": mixes.total("past").cast("bigint"), "future_events": mixes.total("future").cast("bigint")})
+    pool = mixes.vectors(t.events.where(predictor), [], "event_type", KINDS, pooled=F.lit(1))
+    wide = lookup.attach_total(counts.where("past_events > 0 and future_events > 0"), pool.select(mixes.shares(F.col("pooled")).alias("baseline")))
+    shrunk = wide.withColumn("shrunk", mixes.posterior(F.col("past"), F.col("baseline"), 100.0))
+    keep = ["user_id", "past_events", "future_events"]
+    return mixes.unfolded(shrunk, keep, "event_type", KINDS, n="past", baseline="baseline", shrunk="shrunk", future="future")
 
 
 def _long(t: Tables):
@@ -115,8 +115,8 @@ def _(t: Tables):
 )
 def _(t: Tables):
     long = _long(t)
-    total = _scores(t).where("model = 'shrunk'").agg(F.sum("event_count").alias("z")).select("z").scalar()
-    report = scoring.component_scores(long, "event_type", "future", "future_events", total)
+    # Every user's events are trials of every category, so a category's events are all events.
+    report = scoring.component_scores(long, "event_type", "future", "future_events", F.col("event_count"))
     names = ["log_loss_part", "binary_brier_part", "observed_rate", "mean_predicted"]
     return report.select("model", "event_type", "event_count", "observed_count", *[r6(c).alias(c) for c in names])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyframe import functions as fn
-from tallyframe.operators import asof, composition, fits, lookup, profile, rates, season, shrinkage, windows
+from tallyframe.operators import asof, composition, fits, lookup, mixes, profile, rates, season, shrinkage, windows
 from tallyframe.plans.evidence import KINDS
 from tallyframe.plans.registry import Tables, big, query, r6
 
@@ -168,17 +168,21 @@ def _effects(t: Tables, zero: bool = False):
     return t.spark.createDataFrame(rows, "environment string, event_type string, effect double")
 
 
-def _translated(t: Tables, zero: bool = False):
-    """Recency-weighted mixes per user and hour band, moved to the daytime scale and added up."""
-    daily = t.events.groupBy("user_id", _band().alias("environment"), F.to_date("ts").alias("event_date"), "event_type").agg(F.count("*").alias("events"))
+def _translated_mixes(t: Tables, zero: bool = False):
+    """Recency-weighted mixes per user and hour band, moved to the daytime scale and added up: one vector per user."""
+    day, cutoff, size = F.to_date("ts"), asof.as_date(CUTOFF), len(KINDS)
     window = asof.evidence_window(half_life_days=10)
-    weighted = asof.recency_profile(daily, ["user_id", "environment"], "event_date", "event_type", "events", asof.as_date(CUTOFF), window)
-    keys = ["user_id", "environment"]
-    full = season.complete(weighted.select(*keys, "event_type", F.col("effective_count").alias("n")), keys, "event_type", KINDS, ["n"])
-    clr = composition.centered_log_ratio(full, keys, "n", len(KINDS))
-    shifted, _unknown = composition.shift_environment(clr, keys, "environment", "event_type", "clr", _effects(t, zero), -1)
-    sized = shifted.join(full.groupBy(*keys).agg(F.sum("n").alias("total")), keys)
-    return sized.groupBy("user_id", "event_type").agg(F.sum(F.col("shifted_probability") * F.col("total")).alias("n"))
+    past = t.events.where(F.col("ts") < F.lit(CUTOFF).cast("timestamp_ntz")).where(window.holds(day, cutoff))
+    rows = past.select("user_id", _band().alias("environment"), "event_type", window.weight(day, cutoff).alias("weight"))
+    mix = mixes.vectors(rows, ["user_id", "environment"], "event_type", KINDS, mix=F.col("weight"))
+    effects = {band: [0.0] * size for band in EFFECTS} if zero else EFFECTS
+    known = mix.withColumn("effect", mixes.effect_of("environment", effects)).where("effect is not null")
+    moved = mixes.scaled(mixes.shifted(F.col("mix"), F.col("effect"), size, -1), mixes.total("mix"))
+    return mixes.summed(known.select("user_id", moved.alias("n")), ["user_id"], size, "n")
+
+
+def _translated(t: Tables, zero: bool = False):
+    return mixes.unfolded(_translated_mixes(t, zero), ["user_id"], "event_type", KINDS, n="n")
 
 
 @query(
@@ -186,8 +190,14 @@ def _translated(t: Tables, zero: bool = False):
     f"""with {_LEVELS} select user_id, event_type, round(tc, 6) + 0.0 translated_count, round(tc / sum(tc) over (partition by user_id), 6) + 0.0 translated_rate from u""",
 )
 def _(t: Tables):
-    shares = profile.shares(_translated(t), ["user_id"], "event_type", F.col("n"), "translated_rate")
-    return shares.select("user_id", "event_type", r6("amount").alias("translated_count"), r6("translated_rate").alias("translated_rate"))
+    return mixes.unfolded(
+        _translated_mixes(t).withColumn("rate", mixes.shares(F.col("n"))),
+        ["user_id"],
+        "event_type",
+        KINDS,
+        translated_count=F.transform("n", lambda x: r6(x)),
+        translated_rate=F.transform("rate", lambda x: r6(x)),
+    )
 
 
 @query(
@@ -198,12 +208,12 @@ def _(t: Tables):
         select user_id, environment, event_type, round(ex / sum(ex) over (partition by user_id, environment), 6) + 0.0 target_probability from y""",
 )
 def _(t: Tables):
-    latent = profile.shares(_translated(t), ["user_id"], "event_type", F.col("n"), "p")
+    latent = _translated_mixes(t).select("user_id", mixes.shares(F.col("n")).alias("p"))
     targets = t.events.where(asof.membership(F.to_date("ts"), asof.as_date(CUTOFF), 7)[1]).select("user_id", _band().alias("environment")).distinct()
-    keys = ["user_id", "environment"]
-    clr = composition.log_center(targets.join(latent.select("user_id", "event_type", "p"), "user_id"), keys, "p")
-    projected, _unknown = composition.shift_environment(clr, keys, "environment", "event_type", "clr", _effects(t), 1)
-    return projected.select(*keys, "event_type", r6("shifted_probability").alias("target_probability"))
+    known = targets.join(latent, "user_id").withColumn("effect", mixes.effect_of("environment", EFFECTS)).where("effect is not null")
+    scores = mixes.added(mixes.centered_log(F.col("p"), len(KINDS)), F.col("effect"))
+    projected = known.select("user_id", "environment", mixes.softmax(scores).alias("share"))
+    return mixes.unfolded(projected, ["user_id", "environment"], "event_type", KINDS, target_probability=F.transform("share", lambda x: r6(x)))
 
 
 _CUSTOMER_MIX = """k as (select unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW']) o_orderpriority),
@@ -259,16 +269,16 @@ def _(t: Tables):
         union all select 'one_sided', count(*), null from y where o_custkey % 10 = 0""",
 )
 def _(t: Tables):
-    prior = _customer_prior(t)
-    shrunk = shrinkage.empirical_bayes(_customer_mix(t), prior, "o_custkey", "o_orderpriority", "n", 20.0)
-    keys = ["o_custkey", "o_orderpriority"]
-    first = prior.select(*keys, F.col("prior_probability").alias("probability"))
-    second = shrunk.where("o_custkey % 10 <> 0").select(*keys, F.col("posterior_probability").alias("probability"))
-    paired, gaps = shrinkage.paired_models(first, second, keys, "probability", ("baseline", "challenger"))
-    gap = F.abs(F.col("baseline") - F.col("challenger"))
-    return paired.agg(F.count("*").alias("row_count"), r6(F.sum(gap), 4).alias("total_gap")).select(F.lit("paired").alias("place"), "row_count", "total_gap").unionByName(
-        gaps.agg(F.count("*").alias("row_count")).select(F.lit("one_sided").alias("place"), "row_count", F.lit(None).cast("double").alias("total_gap"))
-    )
+    size = len(PRIORITIES)
+    context = t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), big("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"))
+    orders = mixes.vectors(t.orders, ["o_custkey"], "o_orderpriority", PRIORITIES, n=F.lit(1))
+    prior = mixes.peer_prior(orders.join(context, "o_custkey"), "n", "segment", "nation", size)
+    # The challenger does not predict every tenth customer.
+    challenger = F.when(F.col("o_custkey") % 10 != 0, mixes.posterior(F.col("n"), F.col("prior"), 20.0))
+    both = prior.select(F.col("prior").alias("baseline"), challenger.alias("challenger"))
+    gap = F.aggregate(F.zip_with("baseline", "challenger", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda held, x: held + x)
+    place = F.when(F.col("challenger").isNull() | F.col("baseline").isNull(), "one_sided").otherwise("paired")
+    return both.groupBy(place.alias("place")).agg((F.count("*") * size).alias("row_count"), r6(F.sum(gap), 4).alias("total_gap"))
 
 
 @query(
@@ -330,11 +340,10 @@ def _(t: Tables):
         select user_id, event_type, round((tc + 100 * prior) / (sum(tc) over (partition by user_id) + 100), 6) + 0.0 posterior_probability from z""",
 )
 def _(t: Tables):
-    counts = _translated(t)
-    context = counts.select("user_id").distinct().select("user_id", (F.col("user_id") % 3).alias("narrow"), (F.col("user_id") % 2).alias("wide"))
-    prior = shrinkage.peer_prior(counts, context, "user_id", "event_type", "n", "narrow", "wide", len(KINDS))
-    shrunk = shrinkage.empirical_bayes(counts, prior, "user_id", "event_type", "n", 100.0)
-    return shrunk.select("user_id", "event_type", r6("posterior_probability").alias("posterior_probability"))
+    context = _translated_mixes(t).withColumns({"narrow": F.col("user_id") % 3, "wide": F.col("user_id") % 2})
+    prior = mixes.peer_prior(context, "n", "narrow", "wide", len(KINDS))
+    shrunk = prior.withColumn("posterior", mixes.posterior(F.col("n"), F.col("prior"), 100.0))
+    return mixes.unfolded(shrunk, ["user_id"], "event_type", KINDS, posterior_probability=F.transform("posterior", lambda x: r6(x)))
 
 
 # --- standardisation and least squares ---------------------------------------------------------

@@ -244,10 +244,12 @@ def _(t: Tables):
         .join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .select(big("c_nationkey").alias("environment"), big("n_regionkey").alias("pool_group"), "o_orderpriority", "o_totalprice", (F.col("o_orderkey") % 2 == 1).alias("odd"))
     )
-    cells = profile.cell_stats(rows, ["environment", "pool_group", "o_orderpriority", "odd"], "o_totalprice")
-    report = statevalue.pooling_strengths(
-        cells.where("odd"), cells.where("not odd"), ["environment"], ["pool_group"], "o_orderpriority", [0, 25, 75, 150], 10000.0
+    halves = rows.groupBy("environment", "pool_group", "o_orderpriority").agg(
+        F.count_if("odd").alias("occurrence_count"),
+        F.avg(F.when(F.col("odd"), F.col("o_totalprice"))).alias("mean_value"),
+        F.avg(F.when(~F.col("odd"), F.col("o_totalprice"))).alias("reference_mean"),
     )
+    report = statevalue.pooling_strengths(halves, ["environment"], ["pool_group"], "o_orderpriority", [0, 25, 75, 150], 10000.0)
     return report.select(*[r6(c, 2).alias(c) if c in ("mae", "rmse", "weighted_mae", "max_error") else F.col(c) for c in report.columns])
 
 

@@ -220,3 +220,11 @@ def test_gaps_are_explained_only_by_a_zero_count(spark):
     }
     first = groups.where("g = 1").first()
     assert (first["unit_count"], first["zero_count_gap_count"], first["count_difference"]) == (5, 1, 2)
+
+
+def test_colliding_hashes_never_pass_as_agreement(spark, monkeypatch):
+    """With hashes that tell only the length of a text, equal lengths collide: no key may agree on either text."""
+    monkeypatch.setattr(consensus, "_codes", lambda field: (F.length(field).cast("bigint"), F.length(field).cast("bigint")))
+    df = spark.createDataFrame([(1, "aa"), (1, "bb"), (2, "aa"), (3, "c"), (3, "c"), (3, None), (4, None)], "k int, s string")
+    got = {r["k"]: (r["s"], r["conflict_fields"]) for r in consensus.field_consensus(df, ["k"], ["s"]).collect()}
+    assert got == {1: (None, ["s"]), 2: (None, ["s"]), 3: ("c", []), 4: (None, [])}
