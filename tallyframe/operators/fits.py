@@ -207,10 +207,11 @@ def participation_model(df: DataFrame, features: Sequence[str], label: str, stre
 def calibration_lines(
     df: DataFrame, groups: Sequence[str], probability: str, successes: str, trials: str, iterations: int = 100, tolerance: float = 1e-10
 ) -> DataFrame:
-    """Grouped-binomial calibration intercept and slope of every group, by Newton's method.
+    """Grouped-binomial calibration intercept and slope of every group, by Newton's method for all groups at once.
 
-    The groups are models and categories, a fixed short list. Rows are reduced to one per group and
-    distinct prediction and checkpointed once; each step is one aggregate of five sums per group.
+    Rows are reduced to one per group and distinct prediction and checkpointed. The parameters are a table
+    of one row per group; a step joins those of the groups still moving to the rows, adds up five sums per
+    group and solves the 2 x 2 systems in columns, so any number of groups may take part.
     """
     clipped = clip(F.col(probability), CALIBRATION_CLIP, 1.0 - CALIBRATION_CLIP)
     compact = checkpointed(
@@ -218,51 +219,51 @@ def calibration_lines(
         .groupBy(*groups, F.log(clipped / (1.0 - clipped)).alias("_x"))
         .agg(F.sum(successes).cast("double").alias("_y"), F.sum(trials).cast("double").alias("_n"))
     )
-    fits: dict[tuple, dict] = {}
-    for r in compact.groupBy(*groups).agg(F.sum("_y").alias("y"), F.sum("_n").alias("n")).collect():
-        degenerate = r["y"] in (0.0, r["n"])
-        status = "degenerate_outcome" if degenerate else None
-        fits[tuple(r[g] for g in groups)] = {"b0": 0.0, "b1": 1.0, "steps": 0, "status": status}
+    degenerate = (F.col("_y") == 0) | (F.col("_y") == F.col("_n"))
+    fitted = compact.groupBy(*groups).agg(F.sum("_y").alias("_y"), F.sum("_n").alias("_n")).select(
+        *groups, F.lit(0.0).alias("_b0"), F.lit(1.0).alias("_b1"), F.lit(0).cast("bigint").alias("iterations"), F.when(degenerate, "degenerate_outcome").alias("fit_status")
+    )
+    fitted = checkpointed(fitted)
+    keys = [f"_k_{g}" for g in groups]
+    same = [F.col(g).eqNullSafe(F.col(k)) for g, k in zip(groups, keys, strict=True)]
     for _ in range(iterations):
-        live = {k: f for k, f in fits.items() if f["status"] is None}
-        if not live:
+        live = fitted.where("fit_status is null").select(*[F.col(g).alias(k) for g, k in zip(groups, keys, strict=True)], "_b0", "_b1")
+        if live.isEmpty():
             break
-        line = F.lit(None).cast("struct<b0:double,b1:double>")
-        for k, f in live.items():
-            match = F.lit(True)
-            for g, v in zip(groups, k):
-                match = match & (F.col(g) == F.lit(v))
-            line = F.when(match, F.struct(F.lit(f["b0"]).alias("b0"), F.lit(f["b1"]).alias("b1"))).otherwise(line)
-        p = logistic(F.col("_b.b0") + F.col("_b.b1") * F.col("_x"))
-        stepped = compact.withColumn("_b", line).where("_b is not null").withColumn("_p", p)
+        p = logistic(F.col("_b0") + F.col("_b1") * F.col("_x"))
+        stepped = compact.join(live, same).withColumn("_p", p)
         rest, info = F.col("_y") - F.col("_n") * F.col("_p"), F.col("_n") * F.col("_p") * (1 - F.col("_p"))
-        sums = stepped.groupBy(*groups).agg(
+        sums = stepped.groupBy(*keys).agg(
             F.sum(rest).alias("g0"),
             F.sum(rest * F.col("_x")).alias("g1"),
             F.sum(info).alias("h00"),
             F.sum(info * F.col("_x")).alias("h01"),
             F.sum(info * F.col("_x") * F.col("_x")).alias("h11"),
         )
-        for r in sums.collect():
-            f = live[tuple(r[g] for g in groups)]
-            f["steps"] += 1
-            det = r["h00"] * r["h11"] - r["h01"] ** 2
-            if abs(det) <= 1e-14 * max(1.0, r["h00"] * r["h11"]):
-                f["status"] = "singular_information"
-                continue
-            move0 = (r["g0"] * r["h11"] - r["g1"] * r["h01"]) / det
-            move1 = (r["h00"] * r["g1"] - r["h01"] * r["g0"]) / det
-            f["b0"], f["b1"] = f["b0"] + move0, f["b1"] + move1
-            if max(abs(move0), abs(move1)) <= tolerance:
-                f["status"] = "converged"
-    rows = []
-    for k, f in fits.items():
-        line_found = f["status"] != "degenerate_outcome"
-        rows.append((*k, f["b0"] if line_found else None, f["b1"] if line_found else None, f["status"] or "max_iterations", f["steps"]))
-    kinds = dict(compact.dtypes)
-    schema = ", ".join(f"{g} {kinds[g]}" for g in groups)
-    return df.sparkSession.createDataFrame(
-        rows, f"{schema}, calibration_intercept double, calibration_slope double, fit_status string, iterations bigint"
+        scale = F.col("h00") * F.col("h11")
+        det = scale - F.col("h01") * F.col("h01")
+        solvable = F.abs(det) > 1e-14 * F.greatest(F.lit(1.0), scale)
+        moves = sums.select(
+            *keys,
+            F.when(solvable, F.try_divide(F.col("g0") * F.col("h11") - F.col("g1") * F.col("h01"), det)).alias("_m0"),
+            F.when(solvable, F.try_divide(F.col("h00") * F.col("g1") - F.col("h01") * F.col("g0"), det)).alias("_m1"),
+            F.lit(True).alias("_stepped"),
+        )
+        still = F.greatest(F.abs("_m0"), F.abs("_m1")) > tolerance
+        status = F.when(F.col("_stepped"), F.when(F.col("_m0").isNull(), "singular_information").when(~still, "converged")).otherwise(F.col("fit_status"))
+        fitted = checkpointed(
+            fitted.join(moves, same, "left").select(
+                *groups,
+                (F.col("_b0") + F.coalesce("_m0", F.lit(0.0))).alias("_b0"),
+                (F.col("_b1") + F.coalesce("_m1", F.lit(0.0))).alias("_b1"),
+                (F.col("iterations") + F.when(F.col("_stepped"), 1).otherwise(0)).alias("iterations"),
+                status.alias("fit_status"),
+            )
+        )
+    found = F.coalesce(F.col("fit_status"), F.lit("max_iterations"))
+    known = found != "degenerate_outcome"
+    return fitted.select(
+        *groups, F.when(known, F.col("_b0")).alias("calibration_intercept"), F.when(known, F.col("_b1")).alias("calibration_slope"), found.alias("fit_status"), "iterations"
     )
 
 

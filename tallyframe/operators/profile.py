@@ -60,37 +60,61 @@ def leave_one_out(
     )
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, points: Sequence[float]) -> DataFrame:
-    """Exact, linearly interpolated quantiles in long form: keys, point, quantile.
+# Exact selection: accuracy of the sketch that gives the brackets, how far a bracket reaches beyond a point (both as
+# parts of the rows), and the number of rows up to which a group is its own bracket.
+SKETCH_ACCURACY, REACH, FEW_ROWS = 20_000, 1 / 4_000, 10_000
 
-    The built-in exact percentile keeps every distinct value of a group in one buffer. Here equal
-    values are counted first, the counts are range-partitioned and accumulated in two levels, and
-    only the (at most two) values on each requested position are kept.
-    """
-    known = df.where(F.col(value).isNotNull())
-    counts = known.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    placed = scan.range_slices(counts, [*keys, value])
-    ranked = scan.running(placed, keys, [value], scan.SLICE, {"_upto": ("sum", F.col("_n"))})
-    sizes = known.groupBy(*keys).agg(F.count("*").alias("_size"))
-    whole = ranked.join(sizes, list(keys), "left") if keys else ranked.withColumn("_size", sizes.select("_size").scalar())
-    position = F.col("_point") * (F.col("_size") - 1)
-    hits = (
-        whole.withColumn("_point", F.explode(F.array(*[F.lit(float(p)) for p in points])))
-        .withColumn("_low", F.floor(position))
-        .withColumn("_high", F.ceil(position))
-        .withColumn("_first", F.col("_upto") - F.col("_n"))
+
+def _brackets(known: DataFrame, keys: Sequence[str], value: str, points: Sequence[float]) -> DataFrame:
+    """Per key the values between which each point's rows must lie: an array of (point, low rank, high rank, from, to)."""
+    ends = [min(max(float(p) + side * REACH, 0.0), 1.0) for p in points for side in (-1, 1)]
+    sizes = known.groupBy(*keys).agg(
+        F.count("*").alias("_size"), F.min(value).alias("_least"), F.max(value).alias("_most"), F.percentile_approx(value, ends, SKETCH_ACCURACY).alias("_ends")
     )
+    few = F.col("_size") <= FEW_ROWS
+    cells = []
+    for i, p in enumerate(points):
+        position = F.lit(float(p)) * (F.col("_size") - 1)
+        cells.append(
+            F.struct(
+                F.lit(float(p)).alias("_point"),
+                position.alias("_position"),
+                F.when(few, F.col("_least")).otherwise(F.get("_ends", F.lit(2 * i))).alias("_from"),
+                F.when(few, F.col("_most")).otherwise(F.get("_ends", F.lit(2 * i + 1))).alias("_to"),
+            )
+        )
+    return sizes.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.array(*cells).alias("_brackets"))
 
-    def covers(edge: str) -> Column:
-        return (F.col("_first") <= F.col(edge)) & (F.col(edge) < F.col("_upto"))
 
-    low = F.max(F.when(covers("_low"), F.col(value)))
-    high = F.max(F.when(covers("_high"), F.col(value)))
-    ends = hits.where(covers("_low") | covers("_high")).groupBy(*keys, "_point", "_size").agg(low.alias("_a"), high.alias("_b"))
-    fraction = position - F.floor(position)
-    return ends.select(
-        *keys, F.col("_point").alias("point"), (F.col("_a") + (F.col("_b") - F.col("_a")) * fraction).alias("quantile")
-    )
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, points: Sequence[float]) -> DataFrame:
+    """Exact, linearly interpolated quantiles in long form: keys, point, quantile.
+
+    The built-in exact percentile keeps every distinct value of a group in one buffer. Here a quantile
+    sketch brackets each point; rows below a bracket are only counted, and those inside, a small part
+    of a large group, are combined by value and accumulated. The counts prove the result: a position
+    that no value inside its bracket covers raises an error instead of giving a neighbour.
+    """
+    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_value"))
+    brackets = _brackets(known, keys, "_value", points)
+    if keys:
+        placed = known.join(brackets, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    else:
+        placed = known.withColumn("_brackets", brackets.select("_brackets").scalar())
+    reached = F.filter("_brackets", lambda b: F.col("_value") <= b["_to"])
+    each = placed.select(*keys, "_value", F.inline(reached))
+    inside = F.when(F.col("_value") >= F.col("_from"), F.col("_value"))  # null stands for all values below
+    counts = each.groupBy(*keys, "_point", "_position", inside.alias("_inside")).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys, "_point", "_position").orderBy(F.asc_nulls_first("_inside")))
+    ranked = counts.withColumn("_upto", upto).withColumn("_first", F.col("_upto") - F.col("_n"))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_first") <= rank) & (rank < F.col("_upto")), F.col("_inside")))
+
+    low, high = F.floor("_position"), F.ceil("_position")
+    found = ranked.groupBy(*keys, "_point", "_position").agg(at(low).alias("_a"), at(high).alias("_b"))
+    proven = F.when(F.col("_a").isNull() | F.col("_b").isNull(), F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double"))
+    interpolated = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_position") - F.floor("_position"))
+    return found.select(*keys, F.col("_point").alias("point"), proven.otherwise(interpolated).alias("quantile"))
 
 
 def average_ranks(df: DataFrame, column: str, name: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -7,7 +7,8 @@ that never decreases along the order (a quarter hour, a month, an id range). The
 an ordinary window inside each slice. The second level runs over one summary row per slice and
 hands each slice what came before it.
 
-``time_slice`` and ``day_id_slice`` derive slices from the data and keep the plan lazy.
+``time_slice`` and ``balanced_slices`` derive slices from the data and keep the plan lazy; the latter
+also evens out days with very different numbers of rows.
 ``range_slices`` is for orders with no natural slice (ranking by a measure): it range-partitions
 the rows, which splits ties too when the order ends in a unique column, and checkpoints the result
 so that slice numbers stay the same when a lost executor's work is redone.
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from tallyframe.session import checkpointed
 
 SLICE = "_slice"
+SLICES_A_PARTITION, MOST_CUTS = 16, 4096  # balanced slices: enough that a partition's share of them evens out
 
 
 def time_slice(moment: str | Column, minutes: int = 15) -> Column:
@@ -34,10 +36,28 @@ def time_slice(moment: str | Column, minutes: int = 15) -> Column:
     return day * per_day + within
 
 
-def day_id_slice(day: str | Column, identifier: str, width: int = 1_000_000_000) -> Column:
-    """Slice for the order (day, id): the day, then blocks of ``width`` ids inside it."""
-    at = F.col(day) if isinstance(day, str) else day
-    return F.struct(F.to_date(at).alias("day"), F.floor(F.col(identifier) / width).alias("block"))
+def balanced_slices(df: DataFrame, day: str, identifier: str, slices: int | None = None) -> DataFrame:
+    """Add slices for the order (day, id) that hold about the same number of rows each, however the days differ.
+
+    One aggregate per day counts its rows and sketches the distribution of their ids. A day is cut at
+    its sketched quantiles into as many slices as its share of all rows asks for, so a day with nearly
+    all rows is spread and a day with few is one slice. A row finds its slice by binary search.
+    Everything is derived in the plan; nothing runs ahead of it.
+    """
+    wanted = slices or SLICES_A_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    steps = max(1, min(MOST_CUTS, wanted) - 1).bit_length()
+    parts = 1 << steps
+    at = F.to_date(day)
+    cuts = F.percentile_approx(identifier, [i / parts for i in range(1, parts)], 10 * parts)
+    days = df.groupBy(at.alias("_day")).agg(F.count("*").alias("_rows"), cuts.alias("_cuts"))
+    # One row per calendar day.
+    share = F.col("_rows") / F.sum("_rows").over(Window.partitionBy())
+    days = days.select("_day", "_cuts", F.ceil(parts / F.least(F.lit(parts), F.ceil(share * parts))).alias("_each"))
+    placed = df.join(days, at.eqNullSafe(F.col("_day")), "left").withColumn("_cut", F.lit(0))
+    for step in reversed(range(steps)):
+        above = F.get("_cuts", F.col("_cut") + ((1 << step) - 1)) < F.col(identifier)
+        placed = placed.withColumn("_cut", F.col("_cut") + F.when(above, 1 << step).otherwise(0))
+    return placed.withColumn(SLICE, F.struct(F.col("_day").alias("day"), F.floor(F.col("_cut") / F.col("_each")).alias("part"))).drop("_day", "_cuts", "_each", "_cut")
 
 
 def range_slices(df: DataFrame, order: Sequence[Column | str], slices: int | None = None) -> DataFrame:

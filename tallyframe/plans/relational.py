@@ -876,9 +876,8 @@ _CAPPED = """(select o_custkey, o_orderkey, floor(o_totalprice)::bigint amount,
 )
 def _(t: Tables):
     rows = t.orders.select("o_custkey", "o_orderkey", "o_orderdate", F.floor("o_totalprice").alias("amount"))
-    kept = windows.whole_rows_within(
-        rows, ["o_custkey"], ["o_orderdate", "o_orderkey"], scan.day_id_slice("o_orderdate", "o_orderkey"), "amount", 1000000
-    )
+    sliced = scan.balanced_slices(rows, "o_orderdate", "o_orderkey")
+    kept = windows.whole_rows_within(sliced, ["o_custkey"], ["o_orderdate", "o_orderkey"], scan.SLICE, "amount", 1000000)
     return kept.select("o_custkey", "o_orderkey", "amount", "running_amount")
 
 
@@ -889,13 +888,8 @@ def _(t: Tables):
 )
 def _(t: Tables):
     rows = t.orders.select("o_custkey", "o_orderkey", "o_orderdate", F.floor("o_totalprice").alias("amount"))
-    upto = scan.running(
-        rows,
-        ["o_custkey"],
-        ["o_orderdate", "o_orderkey"],
-        scan.day_id_slice("o_orderdate", "o_orderkey"),
-        {"running_amount": ("sum", F.col("amount"))},
-    )
+    sliced = scan.balanced_slices(rows, "o_orderdate", "o_orderkey")
+    upto = scan.running(sliced, ["o_custkey"], ["o_orderdate", "o_orderkey"], scan.SLICE, {"running_amount": ("sum", F.col("amount"))})
     per = upto.groupBy("o_custkey").agg(
         F.sum("amount").alias("total"),
         F.coalesce(F.sum(F.when(F.col("running_amount") <= 1000000, F.col("amount"))), F.lit(0)).alias("kept"),
@@ -1055,18 +1049,16 @@ _SPREAD = """select o_orderpriority, o_orderkey, rn row_index from (select o_ord
 )
 def _(t: Tables):
     rows = t.orders.select("o_orderpriority", "o_orderkey", "o_orderdate")
-    sample = windows.spread_sample(
-        rows, ["o_orderpriority"], ["o_orderdate", "o_orderkey"], scan.day_id_slice("o_orderdate", "o_orderkey"), 5
-    )
+    sliced = scan.balanced_slices(rows, "o_orderdate", "o_orderkey")
+    sample = windows.spread_sample(sliced, ["o_orderpriority"], ["o_orderdate", "o_orderkey"], scan.SLICE, 5)
     return sample.select("o_orderpriority", "o_orderkey", "row_index")
 
 
 @query("f3_middle_row", _SPREAD + " where n <= 1 or rn - 1 = n // 2")
 def _(t: Tables):
     rows = t.orders.select("o_orderpriority", "o_orderkey", "o_orderdate")
-    sample = windows.spread_sample(
-        rows, ["o_orderpriority"], ["o_orderdate", "o_orderkey"], scan.day_id_slice("o_orderdate", "o_orderkey"), 1, "middle"
-    )
+    sliced = scan.balanced_slices(rows, "o_orderdate", "o_orderkey")
+    sample = windows.spread_sample(sliced, ["o_orderpriority"], ["o_orderdate", "o_orderkey"], scan.SLICE, 1, "middle")
     return sample.select("o_orderpriority", "o_orderkey", "row_index")
 
 
@@ -1086,7 +1078,8 @@ def _(t: Tables):
 )
 def _(t: Tables):
     rows = t.orders.select("o_orderkey", "o_orderdate")
-    folds = windows.round_robin_fold(rows, ["o_orderdate", "o_orderkey"], scan.day_id_slice("o_orderdate", "o_orderkey"), 5)
+    sliced = scan.balanced_slices(rows, "o_orderdate", "o_orderkey")
+    folds = windows.round_robin_fold(sliced, ["o_orderdate", "o_orderkey"], scan.SLICE, 5)
     return folds.select("o_orderkey", "fold")
 
 

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -247,3 +248,27 @@ def test_blended_roles_stay_a_distribution(spark):
     assert got[(1, "a")] == pytest.approx(0.75 * 0.75 + 0.25 * 0.5) and got[(1, "c")] == pytest.approx(0.125)
     errors = {r["p"]: r["total_variation"] for r in rates.role_errors(predicted, later, "p", "r", "s").collect()}
     assert errors[2] == pytest.approx(0) and errors[1] == pytest.approx((0.1875 + 0.1875 + 0.375) / 2)
+
+
+def test_calibration_of_many_groups(spark):
+    """Ten thousand groups in one batch, held against Newton's method group by group; null is a group of its own."""
+    rng = np.random.default_rng(8)
+    n, per = 10_000, 6
+    p = rng.uniform(0.05, 0.95, size=(n, per)).round(3)
+    slope = rng.uniform(0.5, 1.5, size=n)
+    x = np.log(p / (1 - p))
+    y = rng.binomial(40, 1 / (1 + np.exp(-(0.2 + slope[:, None] * x))))
+    y[7], p[11] = 0, 0.5
+    table = pd.DataFrame({"g": np.repeat(np.arange(n), per), "p": p.ravel(), "y": y.ravel(), "n": 40})
+    df = spark.createDataFrame(table).withColumn("g", F.when(F.col("g") != 3, F.col("g")))
+    got = {r["g"]: r for r in fits.calibration_lines(df, ["g"], "p", "y", "n").collect()}
+    assert len(got) == n and got[7]["fit_status"] == "degenerate_outcome" and got[7]["calibration_slope"] is None and got[11]["fit_status"] == "singular_information"
+    x = np.log(p / (1 - p))
+    for g in [*range(3), *range(4, 7), 100, 9999, 3]:
+        b = np.array([0.0, 1.0])
+        for _ in range(50):
+            q = 1 / (1 + np.exp(-(b[0] + b[1] * x[g])))
+            design = np.stack([np.ones(per), x[g]])
+            b = b + np.linalg.solve((design * 40 * q * (1 - q)) @ design.T, design @ (y[g] - 40 * q))
+        r = got[None if g == 3 else g]
+        assert r["fit_status"] == "converged" and (r["calibration_intercept"], r["calibration_slope"]) == pytest.approx(tuple(b), abs=1e-8)

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,8 +100,6 @@ def test_rank_splits_ties(spark):
 
 
 def test_exact_quantiles(spark):
-    import numpy as np
-
     rng = random.Random(3)
     data = [("a", float(rng.randrange(5))) for _ in range(400)] + [("b", rng.gauss(0, 1)) for _ in range(77)] + [("c", 1.5)]
     df = spark.createDataFrame(data, "g string, v double")
@@ -157,3 +157,33 @@ def test_sample_of_one_takes_the_chosen_row(spark):
     for single, wanted in (("first", {"a": 0, "b": 0, "c": 0}), ("middle", {"a": 2, "b": 2, "c": 0})):
         got = windows.spread_sample(df, ["g"], ["i"], F.col("i"), 1, single).collect()
         assert {r["g"]: r["i"] for r in got} == wanted and len(got) == 3
+
+
+def test_quantiles_of_large_groups(spark):
+    """Groups beyond the size that is its own bracket: continuous, with a value of a third of all rows, and constant."""
+    rng = np.random.default_rng(5)
+    groups = {"smooth": rng.normal(size=40_000), "hot": np.where(rng.random(30_000) < 0.33, 7.0, rng.normal(size=30_000) * 9), "same": np.full(20_000, 3.0), "few": rng.normal(size=7), None: rng.normal(size=12_000)}
+    data = [(g, float(v)) for g, values in groups.items() for v in values]
+    df = spark.createDataFrame(pd.DataFrame(data, columns=["g", "v"]), "g string, v double").unionByName(spark.createDataFrame([("few", None), ("none", None)], "g string, v double"))
+    points = [0.0, 0.025, 0.3333, 0.5, 0.9, 1.0]
+    frame = profile.exact_quantiles(df, ["g"], "v", points)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "SortAggregate" not in plan
+    got = {(r["g"], r["point"]): r["quantile"] for r in frame.collect()}
+    assert got == {(g, p): pytest.approx(np.quantile(values, p), abs=1e-12) for g, values in groups.items() for p in points}
+    assert profile.exact_quantiles(df.where("g = 'smooth'"), [], "v", [0.5]).first()["quantile"] == pytest.approx(np.median(groups["smooth"]))
+
+
+def test_a_hot_day_is_spread_over_the_tasks(spark):
+    """With 90 % of the rows on one day and uneven ids, no task gets more than twice the rows of the median one."""
+    rng = np.random.default_rng(9)
+    days = np.where(rng.random(60_000) < 0.9, 5, rng.integers(0, 400, 60_000))
+    ids = np.unique(np.concatenate([np.arange(30_000), rng.integers(10**6, 10**15, 40_000)]))
+    ids = rng.permutation(ids)[:60_000]
+    df = spark.createDataFrame(pd.DataFrame({"day": pd.to_datetime("2020-01-01") + pd.to_timedelta(days, "D"), "id": ids}))
+    placed = scan.balanced_slices(df, "day", "id").cache()
+    sizes = sorted(r["count"] for r in placed.repartition(8, scan.SLICE).groupBy(F.spark_partition_id()).count().collect())
+    assert len(sizes) == 8 and sizes[-1] <= 2 * sizes[3]
+    folds = {r["id"]: r["fold"] for r in windows.round_robin_fold(placed, ["day", "id"], scan.SLICE, 5).collect()}
+    want = sorted(zip(days.tolist(), ids.tolist(), strict=True))
+    assert folds == {i: place % 5 for place, (_, i) in enumerate(want)}
