@@ -7,12 +7,14 @@ fixed short list of categories.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.operators import mixes
+from tallyframe.session import checkpointed
+
 
 def centered_log_ratio(
     df: DataFrame, keys: Sequence[str], count: str, size: int, pseudocount: float = 0.5, name: str = "clr"
@@ -111,74 +113,101 @@ def pair_deltas(pairs: DataFrame, profiles: DataFrame, keys: Sequence[str], cate
     return joined.withColumn("clr_delta", F.col("_to") - F.col("_from")).drop("_from", "_to")
 
 
-def environment_effects(deltas: DataFrame, category: str, anchor: str) -> DataFrame:
-    """Weighted least-squares environment effects from matched pairs, zero at the anchor.
+# Conjugate gradients: steps at most, and the part of the first residual at which a category has converged.
+MOST_STEPS, RESIDUAL = 400, 1e-11
+
+
+def environment_effects(deltas: DataFrame, category: str, anchor: str, categories: Sequence[str] | None = None) -> DataFrame:
+    """Weighted least-squares environment effects from matched pairs, zero at the anchor before centering.
 
-    ``deltas``: from_environment, to_environment, category, pair_weight, clr_delta. Spark reduces
-    them to one cell per ordered environment pair and category; only those cells, whose number
-    depends on the environments and not on the data, reach the driver for the small solve. Every
-    environment must be linked to the anchor.
+    ``deltas``: from_environment, to_environment, category, pair_weight, clr_delta. Environments are the
+    nodes of a graph and matched pairs its weighted edges, so the normal equations are the graph's
+    Laplacian with the anchor held at zero. They are solved by conjugate gradients on one row per
+    environment with a vector over the categories: a step joins the directions of the neighbours to the
+    edges and adds them up. What reaches the driver is one number per category and sum. Every
+    environment must be linked to the anchor. ``residual_rmse`` is taken pair by pair.
     """
     usable = deltas.where("from_environment <> to_environment and pair_weight > 0")
-    cells = (
-        usable.groupBy("from_environment", "to_environment", category)
-        .agg(
-            F.sum("pair_weight").alias("w"),
-            F.sum(F.col("pair_weight") * F.col("clr_delta")).alias("wy"),
-            F.sum(F.col("pair_weight") * F.col("clr_delta") * F.col("clr_delta")).alias("wyy"),
-            F.count("*").alias("n"),
-        )
-        .collect()
+    categories = categories or sorted(r[0] for r in usable.select(category).distinct().collect())  # a fixed short list
+    size = len(categories)
+    pairs = mixes.vectors(usable, ["from_environment", "to_environment"], category, categories, w=F.col("pair_weight"), wy=F.col("pair_weight") * F.col("clr_delta"), n=F.lit(1))
+    ends = F.array(
+        F.struct(F.col("to_environment").alias("node"), F.col("from_environment").alias("other"), F.col("wy").alias("b")),
+        F.struct(F.col("from_environment").alias("node"), F.col("to_environment").alias("other"), F.transform("wy", lambda x: -x).alias("b")),
     )
-    levels = sorted({c["from_environment"] for c in cells} | {c["to_environment"] for c in cells})
-    distance = _distances({(c["from_environment"], c["to_environment"]) for c in cells}, anchor)
-    unlinked = [level for level in levels if level not in distance]
-    if anchor not in levels or unlinked:
-        raise ValueError(f"environments not linked to anchor {anchor}: {unlinked or [anchor]}")
-    place = {level: i for i, level in enumerate(level for level in levels if level != anchor)}
-
-    fitted: dict[str, tuple[dict[str, float], float]] = {}
-    for name in sorted({c[category] for c in cells}):
-        normal, right = np.zeros((len(place), len(place))), np.zeros(len(place))
-        mine = [c for c in cells if c[category] == name]
-        for c in mine:
-            x = np.zeros(len(place))
-            if c["from_environment"] != anchor:
-                x[place[c["from_environment"]]] -= 1.0
-            if c["to_environment"] != anchor:
-                x[place[c["to_environment"]]] += 1.0
-            normal += c["w"] * np.outer(x, x)
-            right += x * c["wy"]
-        solution = np.linalg.solve(normal, right)
-        effects = {level: float(solution[place[level]]) if level != anchor else 0.0 for level in levels}
-        error = total = 0.0
-        for c in mine:
-            step = effects[c["to_environment"]] - effects[c["from_environment"]]
-            error += c["wyy"] - 2 * step * c["wy"] + step * step * c["w"]
-            total += c["w"]
-        fitted[name] = (effects, math.sqrt(max(error, 0.0) / total))
-
-    rows = []
-    counted = next(iter(fitted))
-    for level in levels:
-        center = sum(effects[level] for effects, _ in fitted.values()) / len(fitted)
-        incident = [c for c in cells if c[category] == counted and level in (c["from_environment"], c["to_environment"])]
-        for name, (effects, rmse) in fitted.items():
-            rows.append((level, name, effects[level] - center, sum(c["n"] for c in incident), sum(c["w"] for c in incident), distance[level], rmse))
-    return deltas.sparkSession.createDataFrame(
-        rows,
-        f"environment string, {category} string, effect double, matched_pair_count bigint, matched_pair_weight double, "
-        "anchor_distance bigint, residual_rmse double",
+    edges = checkpointed(pairs.select(F.explode(ends).alias("e"), "w", "n").select("e.*", "w", "n"))
+    distance = anchor_distances(edges, anchor)
+    unlinked = edges.join(distance, "node", "left_anti").select("node").distinct().orderBy("node").limit(20).collect()
+    if unlinked or not categories or edges.where(F.col("node") == anchor).isEmpty():
+        raise ValueError(f"environments not linked to anchor {anchor}: {[r[0] for r in unlinked] or [anchor]}")
+    nodes = mixes.summed(edges, ["node"], size, "w", "b", "n")
+    solved, status = _anchored_solution(edges, nodes, size, anchor)
+    effects = checkpointed(solved.unionByName(nodes.where(F.col("node") == anchor).select("node", F.array(*[F.lit(0.0)] * size).alias("x"))))
+
+    known = {side: effects.select(F.col("node").alias(f"{side}_environment"), F.col("x").alias(f"_{side}")) for side in ("from", "to")}
+    place = F.array_position(F.array(*[F.lit(c) for c in categories]), F.col(category)).cast("int")
+    step = F.get("_to", place - 1) - F.get("_from", place - 1)
+    left = F.col("clr_delta") - step
+    rmse = usable.join(known["from"], "from_environment").join(known["to"], "to_environment").groupBy(category).agg(
+        F.sqrt(F.sum(F.col("pair_weight") * left * left) / F.sum("pair_weight")).alias("residual_rmse")
     )
-
-
-def _distances(links: set[tuple[str, str]], anchor: str) -> dict[str, int]:
-    """Steps from the anchor over the handful of observed environment pairs."""
-    near: Mapping[str, set[str]] = {}
-    for a, b in links:
-        near.setdefault(a, set()).add(b)
-        near.setdefault(b, set()).add(a)
-    distance, edge = {anchor: 0}, [anchor]
-    while edge:
-        edge = [b for a in edge for b in sorted(near.get(a, ())) if b not in distance and not distance.update({b: distance[a] + 1})]
-    return distance
+    mean = mixes.bound(mixes.total("x") / size, lambda m: F.transform("x", lambda x: x - m))
+    whole = effects.join(nodes.select("node", F.get("n", F.lit(0)).alias("matched_pair_count"), F.get("w", F.lit(0)).alias("matched_pair_weight")), "node").join(distance, "node")
+    keep = ["environment", "matched_pair_count", "matched_pair_weight", "anchor_distance"]
+    long = mixes.unfolded(whole.withColumn("effect", mean).withColumnRenamed("node", "environment"), keep, category, categories, effect="effect")
+    return long.join(rmse, category).select("environment", category, "effect", *keep[1:], "residual_rmse", F.lit(status).alias("fit_status"))
+
+
+def anchor_distances(edges: DataFrame, anchor: str) -> DataFrame:
+    """(node, anchor_distance) of every node that the anchor's label reaches over (node, other) edges, one ring a round."""
+    links = edges.select("node", "other").distinct()
+    reached = edges.sparkSession.createDataFrame([(anchor, 0)], "node string, anchor_distance bigint")
+    ring, rounds = reached, 0
+    while True:
+        rounds += 1
+        onward = links.join(ring.select(F.col("node").alias("other")), "other", "left_semi").select("node").distinct()
+        ring = checkpointed(onward.join(reached, "node", "left_anti").select("node", F.lit(rounds).cast("bigint").alias("anchor_distance")))
+        if ring.isEmpty():
+            return reached
+        reached = checkpointed(reached.unionByName(ring))
+
+
+def _anchored_solution(edges: DataFrame, nodes: DataFrame, size: int, anchor: str) -> tuple[DataFrame, str]:
+    """(node, x) of all nodes but the anchor, and whether all categories converged.
+
+    The preconditioner is the diagonal, a node's sum of weights. Categories are solved side by side;
+    one that has converged, or a node without pairs in it, no longer moves.
+    """
+    inner = edges.where((F.col("node") != anchor) & (F.col("other") != anchor)).select("node", "other", F.col("w").alias("_w"))
+    zero = F.array(*[F.lit(0.0)] * size)
+
+    def over(a: str, b: str) -> Column:
+        return F.zip_with(a, b, lambda x, y: F.when(y > 0, x / y).otherwise(0.0))
+
+    def dots(df: DataFrame, **products: tuple[str, str]) -> dict[str, list[float]]:
+        named = df.select(*[F.zip_with(a, b, lambda x, y: x * y).alias(name) for name, (a, b) in products.items()])
+        row = mixes.summed(named, [], size, *products).first()
+        return {name: [v or 0.0 for v in row[name]] for name in products}
+
+    def stepped(a: str, factors: Sequence[float], b: str) -> Column:
+        return F.zip_with(a, F.zip_with(F.array(*[F.lit(f) for f in factors]), b, lambda f, y: f * y), lambda x, y: x + y)
+
+    state = checkpointed(nodes.where(F.col("node") != anchor).select("node", "w", zero.alias("x"), F.col("b").alias("r"), over("b", "w").alias("p")))
+    rest = dots(state, rz=("r", "p"))["rz"]
+    goal = [RESIDUAL * RESIDUAL * first for first in rest]
+    for _ in range(MOST_STEPS):
+        if all(now <= end for now, end in zip(rest, goal, strict=True)):
+            return state.select("node", "x"), "converged"
+        around = inner.join(state.select(F.col("node").alias("other"), F.col("p").alias("_p")), "other")
+        pulled = mixes.summed(around.select("node", F.zip_with("_w", "_p", lambda w, p: w * p).alias("_q")), ["node"], size, "_q")
+        moved = F.zip_with(F.zip_with("w", "p", lambda w, p: w * p), F.coalesce("_q", zero), lambda own, others: own - others)
+        state = checkpointed(state.join(pulled, "node", "left").select("node", "w", "x", "r", "p", moved.alias("q")))
+        found = dots(state, pq=("p", "q"))["pq"]
+        alpha = [now / pq if now > end and pq > 0 else 0.0 for now, end, pq in zip(rest, goal, found, strict=True)]
+        state = state.withColumns({"x": stepped("x", alpha, "p"), "r": stepped("r", [-a for a in alpha], "q")}).withColumn("_z", over("r", "w"))
+        # Taken from the residuals themselves: worked out from the step, a residual that falls to nothing would be lost in rounding.
+        after = dots(state, rz=("r", "_z"))["rz"]
+        beta = [new / now if a else 0.0 for new, now, a in zip(after, rest, alpha, strict=True)]
+        state = state.withColumn("p", stepped("_z", beta, "p")).select("node", "w", "x", "r", "p")
+        rest = after
+    return state.select("node", "x"), "max_iterations"

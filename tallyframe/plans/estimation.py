@@ -139,7 +139,7 @@ def _(t: Tables):
           round(rmse, 5) + 0.0 residual_rmse from o join y using (event_type) join i using (environment)""",
 )
 def _(t: Tables):
-    effects = composition.environment_effects(_deltas(t), "event_type", "day")
+    effects = composition.environment_effects(_deltas(t), "event_type", "day", KINDS)
     return effects.select(
         "environment",
         "event_type",

@@ -272,3 +272,29 @@ def test_calibration_of_many_groups(spark):
             b = b + np.linalg.solve((design * 40 * q * (1 - q)) @ design.T, design @ (y[g] - 40 * q))
         r = got[None if g == 3 else g]
         assert r["fit_status"] == "converged" and (r["calibration_intercept"], r["calibration_slope"]) == pytest.approx(tuple(b), abs=1e-8)
+
+
+def test_effects_of_a_thousand_environments(spark):
+    """Against dense least squares, on a chain with random chords, weights that differ by category and noise."""
+    rng = np.random.default_rng(12)
+    n = 1_000
+    pairs = [(i, i + 1) for i in range(n - 1)] + [tuple(rng.choice(n, 2, replace=False)) for _ in range(3 * n)]
+    truth = rng.normal(size=(n, 3))
+    rows = [(f"e{a}", f"e{b}", c, float(rng.uniform(1, 5)), float(truth[b, k] - truth[a, k] + rng.normal() * 0.1)) for a, b in pairs for k, c in enumerate(PARTS)]
+    deltas = spark.createDataFrame(rows, "from_environment string, to_environment string, c string, pair_weight double, clr_delta double")
+    found = composition.environment_effects(deltas, "c", "e0").collect()
+    assert len(found) == 3 * n and {r["fit_status"] for r in found} == {"converged"}
+    got = np.zeros((n, 3))
+    for r in found:
+        got[int(r["environment"][1:]), PARTS.index(r["c"])] = r["effect"]
+    want = np.zeros((n, 3))
+    for k, c in enumerate(PARTS):
+        mine = [r for r in rows if r[2] == c]
+        design, y = np.zeros((len(mine), n)), np.array([r[4] for r in mine])
+        for i, r in enumerate(mine):
+            design[i, int(r[0][1:])], design[i, int(r[1][1:])] = -1, 1
+        w = np.sqrt([r[3] for r in mine])
+        want[1:, k] = np.linalg.lstsq(design[:, 1:] * w[:, None], y * w, rcond=None)[0]
+        rest = (y - design @ want[:, k]) * w
+        assert next(r for r in found if r["c"] == c)["residual_rmse"] == pytest.approx(math.sqrt((rest**2).sum() / (w**2).sum()))
+    assert np.abs(got - (want - want.mean(axis=1, keepdims=True))).max() < 1e-7
