@@ -85,9 +85,12 @@ def bases_code(first: Column, second: Column, third: Column) -> Column:
 def replay(deltas: DataFrame) -> DataFrame:
     """State before and after each event from per-event changes.
 
-    Input: HALF, ORDER, outs_made, bases_after (code after the event) and runs_scored. The score runs
-    over the half only, as the estimator needs no more.
+    Input: HALF, ORDER, outs_made, bases_after (code after the event) and runs_scored. One scan has two
+    reset levels: outs, bases and the half's own score start again with each half, both teams' scores
+    with each game. ``start_game_score`` and ``end_game_score`` are those of the side at bat, the
+    visitors in the top of an inning.
     """
+    visitors = F.lower("half_inning") == "top"
     placed = scan.ordered(
         deltas,
         HALF,
@@ -95,7 +98,14 @@ def replay(deltas: DataFrame) -> DataFrame:
         F.floor(F.col("at_bat_index") / 256),
         before={"start_outs": ("sum", F.col("outs_made")), "start_bat_score": ("sum", F.col("runs_scored"))},
         prior={"start_bases_code": F.col("bases_after")},
+        outer=["game_pk"],
+        outer_before={
+            "start_away_score": ("sum", F.when(visitors, F.col("runs_scored")).otherwise(0)),
+            "start_home_score": ("sum", F.when(visitors, 0).otherwise(F.col("runs_scored"))),
+        },
     )
+    own = F.when(visitors, F.col("start_away_score")).otherwise(F.col("start_home_score"))
+    placed = placed.withColumn("start_game_score", own).withColumn("end_game_score", own + F.col("runs_scored"))
     rows = placed.fillna(0, subset=["start_bases_code"])
     end_outs = F.col("start_outs") + F.col("outs_made")
     flags = F.array_compact(

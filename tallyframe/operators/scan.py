@@ -121,6 +121,8 @@ def ordered(
     prior: dict[str, Column] | None = None,
     final: dict[str, Column] | None = None,
     last: str | None = None,
+    outer: Sequence[str] = (),
+    outer_before: Folds | None = None,
 ) -> DataFrame:
     """Add ordered columns over each key, sharing one shuffle of the rows.
 
@@ -130,12 +132,17 @@ def ordered(
     expression has on the preceding row and on the key's last row; ``last`` names a flag for that
     last row. The order must be total within a key.
 
+    ``outer`` names some of the keys, those of a wider group that the order runs through one key after
+    another: ``outer_before`` folds do not start again with each key but with each wider group. Their
+    carry is a third level over the same slice summaries.
+
     Slices are summarised by an aggregate when only folds are asked for. Otherwise the summary is
     the last row of each slice, which reads the shuffle of the first level a second time instead of
     scanning the source again.
     """
-    upto, before, whole, prior, final = upto or {}, before or {}, whole or {}, prior or {}, final or {}
-    folds = {**upto, **before, **whole}
+    upto, before, whole, prior, final, nested = upto or {}, before or {}, whole or {}, prior or {}, final or {}, outer_before or {}
+    folds = {**upto, **before, **whole, **nested}
+    at = [F.struct(*order).alias("_at")] if nested else []
     tails = {**prior, **final}
     kept = [c for c in df.columns if c != SLICE]
     base = df.withColumn(SLICE, F.col(slice_by) if isinstance(slice_by, str) else slice_by)
@@ -151,18 +158,21 @@ def ordered(
     if tails or last:
         totals = [_REDUCE[k](e).over(so_far).alias(f"_tot_{n}") for n, (k, e) in folds.items()]
         ends = base.select("*", *totals, ends_slice.alias("_ends")).where("_ends")
-        summary = ends.select(*by, SLICE, *[f"_tot_{n}" for n in folds], *[e.alias(f"_tail_{n}") for n, e in tails.items()])
+        summary = ends.select(*by, SLICE, *[f"_tot_{n}" for n in folds], *[e.alias(f"_tail_{n}") for n, e in tails.items()], *at)
     else:
-        summary = base.groupBy(*by, SLICE).agg(*[_REDUCE[k](e).alias(f"_tot_{n}") for n, (k, e) in folds.items()])
+        summary = base.groupBy(*by, SLICE).agg(*[_REDUCE[k](e).alias(f"_tot_{n}") for n, (k, e) in folds.items()], *[F.max(a).alias("_at") for a in at])
 
     slices = Window.partitionBy(*by).orderBy(SLICE)
     earlier = slices.rowsBetween(Window.unboundedPreceding, -1)
     everything = slices.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    wider = [name for k in outer for name in (f"_k_{k}", f"_null_{k}")]
+    earlier_keys = Window.partitionBy(*wider).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     across = summary.select(
         *by,
         SLICE,
         *[_REDUCE[k](f"_tot_{n}").over(earlier).alias(f"_pre_{n}") for n, (k, _) in {**upto, **before}.items()],
         *[_REDUCE[k](f"_tot_{n}").over(everything).alias(f"_all_{n}") for n, (k, _) in whole.items()],
+        *[_REDUCE[k](f"_tot_{n}").over(earlier_keys).alias(f"_pre_{n}") for n, (k, _) in nested.items()],
         *[F.lag(f"_tail_{n}").over(slices).alias(f"_carried_{n}") for n in prior],
         *[F.last(f"_tail_{n}").over(everything).alias(f"_final_{n}") for n in final],
         *([F.lead(F.lit(1)).over(slices).isNull().alias("_last_slice")] if last else []),
@@ -172,7 +182,7 @@ def ordered(
         SLICE,
         *by,
         *[_REDUCE[k](e).over(so_far).alias(f"_loc_{n}") for n, (k, e) in upto.items()],
-        *[_REDUCE[k](e).over(so_far_before).alias(f"_loc_{n}") for n, (k, e) in before.items()],
+        *[_REDUCE[k](e).over(so_far_before).alias(f"_loc_{n}") for n, (k, e) in {**before, **nested}.items()],
         *[F.lag(e).over(inside).alias(f"_seen_{n}") for n, e in prior.items()],
         *([(F.row_number().over(inside) == 1).alias("_starts")] if prior else []),
         *([ends_slice.alias("_ends")] if last else []),
@@ -180,7 +190,7 @@ def ordered(
     originals = dict(zip(keys, restored))
     return _match(local, across, [*by, SLICE]).select(
         *[originals.get(c, F.col(c)) for c in kept],
-        *[_combine(k, F.col(f"_pre_{n}"), F.col(f"_loc_{n}")).alias(n) for n, (k, _) in {**upto, **before}.items()],
+        *[_combine(k, F.col(f"_pre_{n}"), F.col(f"_loc_{n}")).alias(n) for n, (k, _) in {**upto, **before, **nested}.items()],
         *[F.col(f"_all_{n}").alias(n) for n in whole],
         *[F.when(F.col("_starts"), F.col(f"_carried_{n}")).otherwise(F.col(f"_seen_{n}")).alias(n) for n in prior],
         *[F.col(f"_final_{n}").alias(n) for n in final],

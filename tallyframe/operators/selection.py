@@ -45,13 +45,17 @@ def pareto_frontier(df: DataFrame, first: str, second: str, name: str = "on_fron
 def rank_candidates(df: DataFrame, primary: str, simplicity: Sequence[Column], metrics: Sequence[str]) -> DataFrame:
     """Min-rank of each metric and the selection order: best primary metric, then simplicity.
 
-    A candidate grid is a declared list of configurations, so ranking it in one window is bounded.
+    Ranks come from ordered scans, so a grid of any size is ranked in slices. A min-rank is one more
+    than the number of rows with smaller values, counted once per distinct value.
     """
     result = df
     for m in metrics:
-        result = result.withColumn(f"{m}_rank", F.rank().over(Window.orderBy(m)).cast("bigint"))
-    order = F.row_number().over(Window.orderBy(F.col(primary), *simplicity))
-    return result.withColumn("selection_order", order.cast("bigint"))
+        counts = df.groupBy(m).agg(F.count("*").alias("_n"))
+        smaller = scan.ordered(scan.range_slices(counts, [m]), [], [m], scan.SLICE, before={"_smaller": ("sum", F.col("_n"))})
+        ranks = smaller.select(F.col(m).alias("_m"), (F.col("_smaller") + 1).cast("bigint").alias(f"{m}_rank"))
+        result = result.join(ranks, F.col(m).eqNullSafe(F.col("_m"))).drop("_m")
+    ranked = scan.ordered_rank(result, [F.asc(primary), *simplicity], "selection_order")
+    return ranked.withColumn("selection_order", F.col("selection_order").cast("bigint"))
 
 
 def tiered_choice(df: DataFrame, tiers: Sequence[tuple[str, float]], simplicity: Sequence[Column]) -> DataFrame:

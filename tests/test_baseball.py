@@ -1,6 +1,7 @@
 """The baseball configuration on small hand-made tables."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -269,3 +270,25 @@ def test_vocabulary_is_closed():
     assert len(v.PROFILE_BINS) == 12 and set(v.CONTACT_RESULT_GROUP.values()) == set(v.CONTACT_RESULT_VALUE)
     assert set(v.LEAGUE_LEVEL.values()) == set(v.LEVEL_ORDER) == set(v.LEVEL_POOLING_STRENGTH)
     assert set(v.HIT_EVENTS + v.WALK_OR_HIT_EVENTS + v.STRIKEOUT_EVENTS + v.SPECIAL_EVENTS) <= set(v.PLATE_APPEARANCE_EVENTS)
+
+
+def test_game_scores_carry_across_halves(spark):
+    """Both reset levels against a plain loop: long games, many slices, two games, halves in play order."""
+    draw = random.Random(21)
+    rows, want = [], {}
+    for game in (1, 2, None):
+        score, bat = {"top": 0, "bottom": 0}, 0
+        for inning in range(1, 8):
+            for half in ("top", "bottom"):
+                outs = own = bases = 0
+                for _ in range(draw.randrange(1, 160)):
+                    made, after, runs = draw.choice([0, 0, 0, 1]), draw.randrange(8), draw.choice([0, 0, 1, 2])
+                    rows.append((game, inning, half, bat, 0, made, after, runs))
+                    want[(game, bat)] = (outs, bases, own, score["top"], score["bottom"], score[half], score[half] + runs)
+                    outs, bases, own, bat = outs + made, after, own + runs, bat + 1
+                    score[half] += runs
+    draw.shuffle(rows)
+    deltas = spark.createDataFrame(rows, "game_pk bigint, inning bigint, half_inning string, at_bat_index bigint, transition_index bigint, outs_made bigint, bases_after bigint, runs_scored bigint")
+    names = ["start_outs", "start_bases_code", "start_bat_score", "start_away_score", "start_home_score", "start_game_score", "end_game_score"]
+    got = {(r["game_pk"], r["at_bat_index"]): tuple(r[n] for n in names) for r in innings.replay(deltas).collect()}
+    assert got == want
