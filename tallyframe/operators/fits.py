@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.numeric import clip, log_gamma, logistic, negative_binomial_logpmf
-from tallyframe.operators import lookup
+from tallyframe.operators import composition, lookup
 from tallyframe.session import checkpointed
 
 # Fixed value: predictions are kept this far from 0 and 1 before their log-odds are taken.
@@ -47,17 +47,18 @@ def standardize(df: DataFrame, fitted: DataFrame, features: Sequence[str], eligi
 
 
 MOST_CELLS = 10_000  # level pairs that a fit on the driver takes
+ALTERNATIONS, STILL = 1_000, 1e-13  # rounds of a larger fit at most, and the change, in parts of the largest effect, that ends them
 
 
 def additive_effects(cells: DataFrame, first: str, second: str, references: tuple[str, str]) -> DataFrame:
     """Effects of ``y ~ first + second`` from cell counts and sums, each reference level at zero.
 
-    ``cells``: first, second, cell_count, value_sum. One row per level pair reaches the driver; more than
-    ``MOST_CELLS`` of them are refused.
+    ``cells``: first, second, cell_count, value_sum. Up to ``MOST_CELLS`` level pairs are solved on the
+    driver at once; more are fitted by alternating projections that stay in the cluster.
     """
     rows = cells.select(first, second, "cell_count", "value_sum").limit(MOST_CELLS + 1).collect()
     if len(rows) > MOST_CELLS:
-        raise ValueError(f"more than {MOST_CELLS} level pairs")
+        return alternating_effects(cells, first, second, references)
     levels = [(first, v) for v in sorted({r[first] for r in rows}) if v != references[0]]
     levels += [(second, v) for v in sorted({r[second] for r in rows}) if v != references[1]]
     place = {level: i + 1 for i, level in enumerate(levels)}
@@ -78,6 +79,41 @@ def additive_effects(cells: DataFrame, first: str, second: str, references: tupl
     return cells.sparkSession.createDataFrame(table, "factor string, level string, effect double")
 
 
+def alternating_effects(cells: DataFrame, first: str, second: str, references: tuple[str, str]) -> DataFrame:
+    """``additive_effects`` for any number of level pairs, by alternating projections.
+
+    In turn, each level of one factor takes the mean of what the other factor leaves: a join and an
+    aggregate of the cells, checkpointed once a round. The design has full rank if and only if its
+    levels hang together, which is tested by spreading a label over the level pairs.
+    """
+    held = checkpointed(cells.where("cell_count > 0").select(F.col(first).alias("_a"), F.col(second).alias("_b"), F.col("cell_count").cast("double").alias("_n"), F.col("value_sum").cast("double").alias("_s")))
+    a, b = F.concat(F.lit("a"), F.col("_a").cast("string")).alias("node"), F.concat(F.lit("b"), F.col("_b").cast("string")).alias("other")
+    links = checkpointed(held.select(a, b).unionByName(held.select(a.alias("other"), b.alias("node"))))
+    reached = composition.anchor_distances(links, f"a{references[0]}").select("node")
+    wanted = cells.sparkSession.createDataFrame([(f"b{references[1]}",)], "node string")
+    if not wanted.unionByName(links.select("node")).join(reached, "node", "left_anti").isEmpty():
+        raise ValueError("additive fit is rank deficient")
+
+    def means(level: str, other: str, known: DataFrame) -> DataFrame:
+        left = F.sum(F.col("_s") - F.col("_n") * F.col("_e")) / F.sum("_n")
+        return held.join(known, other).groupBy(level).agg(left.alias("_e"))
+
+    now = checkpointed(held.groupBy("_b").agg(F.lit(0.0).alias("_e")))
+    for _ in range(ALTERNATIONS):
+        after = checkpointed(means("_b", "_a", means("_a", "_b", now)))
+        gap = after.join(now.select("_b", F.col("_e").alias("_o")), "_b").agg(F.max(F.abs(F.col("_e") - F.col("_o"))).alias("gap"), F.max(F.abs(F.col("_e"))).alias("size")).first()
+        now = after
+        if gap["gap"] <= STILL * max(gap["size"], 1.0):
+            break
+    else:
+        raise ValueError("alternating projections did not settle")
+    other = checkpointed(means("_a", "_b", now))
+    base = [other.where(F.col("_a") == references[0]).first()["_e"], now.where(F.col("_b") == references[1]).first()["_e"]]
+    spark = cells.sparkSession
+    parts = [frame.select(F.lit(name).alias("factor"), F.col(key).cast("string").alias("level"), (F.col("_e") - zero).alias("effect")) for frame, key, name, zero in ((other, "_a", first, base[0]), (now, "_b", second, base[1]))]
+    return spark.createDataFrame([("intercept", "", float(sum(base)))], "factor string, level string, effect double").unionByName(parts[0]).unionByName(parts[1])
+
+
 def predict_additive(df: DataFrame, effects: DataFrame, first: str, second: str, name: str = "fitted") -> DataFrame:
     """Fitted value per row; a level the fit never saw gives null.
 

@@ -140,7 +140,7 @@ def _replayed(t: Tables):
     deltas = t.events.select(
         F.col("user_id").alias("game_pk"),
         F.to_date("ts").alias("inning"),
-        F.lit("top").alias("half_inning"),
+        F.when(F.day("ts") % 2 == 1, "top").otherwise("bottom").alias("half_inning"),
         F.col("event_id").alias("at_bat_index"),
         F.lit(0).cast("bigint").alias("transition_index"),
         (F.col("event_type") == "error").cast("bigint").alias("outs_made"),
@@ -153,11 +153,15 @@ def _replayed(t: Tables):
 @query(
     "v3_half_inning_replay",
     f"""with {_REPLAY} select a at_bat_index, so start_outs, sb start_bases_code, ss start_bat_score, so + o end_outs, case when so + o >= 3 then 0 else b end end_bases_code, ss + r end_bat_score,
-          so <= 2 and so + o <= 3 re24_state_event_candidate from m""",
+          so <= 2 and so + o <= 3 re24_state_event_candidate, coalesce(sum(case when day(d) % 2 = 1 then r else 0 end) over y, 0)::bigint start_away_score,
+          coalesce(sum(case when day(d) % 2 = 0 then r else 0 end) over y, 0)::bigint start_home_score, coalesce(sum(r) over x, 0)::bigint start_game_score, sum(r) over z::bigint end_game_score
+        from m window y as (partition by g order by a rows between unbounded preceding and 1 preceding),
+          x as (partition by g, day(d) % 2 order by a rows between unbounded preceding and 1 preceding), z as (partition by g, day(d) % 2 order by a rows unbounded preceding)""",
 )
 def _(t: Tables):
+    scores = ["start_away_score", "start_home_score", "start_game_score", "end_game_score"]
     return _replayed(t).select(
-        "at_bat_index", "start_outs", "start_bases_code", "start_bat_score", "end_outs", "end_bases_code", "end_bat_score", "re24_state_event_candidate"
+        "at_bat_index", "start_outs", "start_bases_code", "start_bat_score", "end_outs", "end_bases_code", "end_bat_score", "re24_state_event_candidate", *scores
     )
 
 

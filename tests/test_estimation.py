@@ -298,3 +298,17 @@ def test_effects_of_a_thousand_environments(spark):
         rest = (y - design @ want[:, k]) * w
         assert next(r for r in found if r["c"] == c)["residual_rmse"] == pytest.approx(math.sqrt((rest**2).sum() / (w**2).sum()))
     assert np.abs(got - (want - want.mean(axis=1, keepdims=True))).max() < 1e-7
+
+
+def test_larger_additive_fits_equal_the_dense_one(spark, monkeypatch):
+    """Alternating projections against the solve on the driver, and a design that falls apart."""
+    rng = np.random.default_rng(2)
+    data = [(f"a{rng.integers(12)}", f"b{rng.integers(9)}", float(rng.normal())) for _ in range(4000)]
+    cells = spark.createDataFrame(data, "a string, b string, y double").groupBy("a", "b").agg(F.count("*").alias("cell_count"), F.sum("y").alias("value_sum")).cache()
+    want = {(r["factor"], r["level"]): r["effect"] for r in fits.additive_effects(cells, "a", "b", ("a3", "b0")).collect()}
+    monkeypatch.setattr(fits, "MOST_CELLS", 20)
+    got = {(r["factor"], r["level"]): r["effect"] for r in fits.additive_effects(cells, "a", "b", ("a3", "b0")).collect()}
+    assert got == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()}
+    apart = cells.where("(a < 'a3') = (b < 'b4')")
+    with pytest.raises(ValueError, match="rank deficient"):
+        fits.additive_effects(apart, "a", "b", ("a3", "b5"))
