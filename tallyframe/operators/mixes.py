@@ -117,3 +117,9 @@ def posterior(mix: Column, prior: Column, strength: float) -> Column:
     """Shares ``(n_k + s * prior_k) / (N + s)``."""
     return bound(total(mix), lambda whole: F.zip_with(mix, prior, lambda n, p: (n + strength * p) / (whole + strength)))
 
+
+def paired(df: DataFrame, first: str, second: str) -> DataFrame:
+    """``df`` with ``place`` (paired, or one_sided where a model has no prediction) and ``gap``, the sum of absolute differences."""
+    alone = F.col(first).isNull() | F.col(second).isNull()
+    gap = total(F.zip_with(first, second, lambda x, y: F.abs(x - y)))
+    return df.withColumns({"place": F.when(alone, "one_sided").otherwise("paired"), "gap": F.when(~alone, gap)})

@@ -275,10 +275,8 @@ def _(t: Tables):
     prior = mixes.peer_prior(orders.join(context, "o_custkey"), "n", "segment", "nation", size)
     # The challenger does not predict every tenth customer.
     challenger = F.when(F.col("o_custkey") % 10 != 0, mixes.posterior(F.col("n"), F.col("prior"), 20.0))
-    both = prior.select(F.col("prior").alias("baseline"), challenger.alias("challenger"))
-    gap = F.aggregate(F.zip_with("baseline", "challenger", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda held, x: held + x)
-    place = F.when(F.col("challenger").isNull() | F.col("baseline").isNull(), "one_sided").otherwise("paired")
-    return both.groupBy(place.alias("place")).agg((F.count("*") * size).alias("row_count"), r6(F.sum(gap), 4).alias("total_gap"))
+    both = mixes.paired(prior.select(F.col("prior").alias("baseline"), challenger.alias("challenger")), "baseline", "challenger")
+    return both.groupBy("place").agg((F.count("*") * size).alias("row_count"), r6(F.sum("gap"), 4).alias("total_gap"))
 
 
 @query(

@@ -68,6 +68,14 @@ def test_strength_of_pooling_by_hand(spark):
     assert got[("Q", 0)].is_best and got[("Q", 10)].mae == 1.0
 
 
+def test_models_side_by_side(spark):
+    df = spark.createDataFrame([(1, [0.5, 0.5], [0.25, 0.75]), (2, [1.0, 0.0], None), (3, None, [1.0, 0.0])], "k int, a array<double>, b array<double>")
+    assert {r.k: (r.place, r.gap) for r in mixes.paired(df, "a", "b").collect()} == {1: ("paired", 0.5), 2: ("one_sided", None), 3: ("one_sided", None)}
+    long = mixes.unfolded(df, ["k"], "c", ["x", "y"], a="a", b="b")
+    both, gaps = shrinkage.paired_models(long.where("a is not null").select("k", "c", "a"), long.where("b is not null").select("k", "c", F.col("b").alias("a")), ["k", "c"], "a", ("one", "two"))
+    assert both.count() == 2 and gaps.count() == 4
+
+
 def test_rows_of_repeated_keys_go(spark):
     df = spark.createDataFrame([(1, "x", 1), (1, "x", 1), (2, None, 3), (2, None, 4), (3, None, 5), (None, "y", 6)], "k int, l string, v int")
     assert sorted(r.v for r in lookup.without_ambiguous(df, ["k", "l"]).collect()) == [5, 6]
