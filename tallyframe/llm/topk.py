@@ -34,7 +34,8 @@ from tallyframe.llm.common import map_batches, written
 K = 5
 EVERY = 50
 BLOCK_ROWS = 1 << 14
-QUERY_ROWS = 1 << 14
+QUERY_ROWS = 1 << 9
+MOST_TASKS = 20_000
 LEVELS = 12
 POSSIBLE = 8  # a block's search may stop when so many rows in all, or one in as many, are left to be scored exactly
 CELL_BLOCKS = 2  # index blocks that meet a block of queries in one cell of the join
@@ -160,10 +161,10 @@ def search(index: DataFrame, queries: DataFrame, blocks: int, k: int = K) -> Dat
     spread = index.withColumn("cell", F.pmod(F.xxhash64("keys"), F.lit(cells)).cast("int"))
     spread = spread.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = queries.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
-    # As many partitions as cells, since the work of a cell says nothing of its bytes.
-    parts = max(1, min(blocks * cells, 20_000))
-    spread, asked = (side.repartition(parts, "q", "cell", "dim") for side in (spread, asked))
-    pairs = spread.join(asked, ["q", "cell", "dim"])
+    # One task for each pair of a cell and a block of queries, dealt by number: hashes would put some together and leave tasks idle.
+    tasks = min(blocks * cells, MOST_TASKS)
+    task = ((F.col("cell").cast("bigint") * blocks + F.col("q")) % tasks).cast("int")
+    pairs = spread.join(asked, ["q", "cell", "dim"]).withColumn("task", task).repartitionById(tasks, "task")
 
     def make():
         bars: dict[int, list[int]] = {}  # the best k scores that a query has met in this task
