@@ -27,6 +27,20 @@ def foul_screen(family: Column, narrative: Column) -> Column:
     return F.when(~air, F.lit(False)).when(fn.present(narrative), narrative.rlike(v.FOUL_TERRITORY))
 
 
+def foul_status(clean: Column, family: Column, narrative: Column) -> Column:
+    """Why the foul screen of a batted ball came out as it did; ``clean``: expected and with exactly one ball."""
+    screen = foul_screen(family, narrative)
+    return fn.first_case(
+        [
+            (~clean, "not_evaluable_unclean_or_non_bip"),
+            (~family.isin(v.AIR_FAMILIES), "not_foul_air_trajectory"),
+            (screen.isNull(), "unknown_missing_official_description"),
+            (screen, "foul_air_official_foul_territory"),
+        ],
+        "not_foul_air_official_description",
+    )
+
+
 def result_group(event_type: Column) -> Column:
     """One of nine structured contact results; anything else is null."""
     return fn.map_value(F.trim(event_type), v.CONTACT_RESULT_GROUP)
@@ -102,7 +116,8 @@ def classify_plate_appearances(sequences: DataFrame, pitches: DataFrame) -> Data
     """One row per official plate appearance with its family, evidence status and profile bin.
 
     Outcome, narrative and batting side come from the official sequence; trajectory and coordinates
-    from the in-play pitch, and only when there is exactly one.
+    from the in-play pitch, and only when there is exactly one. Pitches may bring conflict_field_count,
+    the number of fields their sources disagree on; without it no pitch is in conflict.
     """
     official = sequences.where("classification_status = 'official_true_pa'").select(
         *SEQUENCE,
@@ -113,14 +128,17 @@ def classify_plate_appearances(sequences: DataFrame, pitches: DataFrame) -> Data
         F.col("result_description").alias("narrative"),
     )
     in_play = F.coalesce(F.col("is_in_play"), F.lit(False))
+    conflicted = F.col("conflict_field_count") > 0 if "conflict_field_count" in pitches.columns else F.lit(False)
     evidence = pitches.groupBy(*SEQUENCE).agg(
         F.count_if(in_play).alias("in_play_count"),
         F.count_if(F.col("is_in_play").isNull()).alias("unknown_flag_count"),
+        F.count_if(conflicted).alias("source_conflict_pitch_count"),
         F.max(F.when(in_play, F.struct("pitch_number", "bb_type", "hc_x", "hc_y"))).alias("_ball"),
     )
-    joined = official.join(evidence, SEQUENCE, "left").fillna(0, subset=["in_play_count", "unknown_flag_count"])
+    joined = official.join(evidence, SEQUENCE, "left").fillna(0, subset=["in_play_count", "unknown_flag_count", "source_conflict_pitch_count"])
     ball = F.when(F.col("in_play_count") == 1, F.col("_ball"))
-    placed = joined.select("*", ball["bb_type"].alias("bb_type"), ball["hc_x"].alias("hc_x"), ball["hc_y"].alias("hc_y")).drop("_ball")
+    placed = joined.select("*", ball["pitch_number"].alias("in_play_pitch_number"), ball["bb_type"].alias("bb_type"), ball["hc_x"].alias("hc_x"), ball["hc_y"].alias("hc_y")).drop("_ball")
+    placed = placed.withColumn("spray_angle", fn.spray_angle(F.col("hc_x"), F.col("hc_y")))
     placed = placed.withColumn("trajectory_family", trajectory_family(F.col("bb_type"))).withColumn(
         "direction", fn.batted_direction(F.col("hc_x"), F.col("hc_y"), F.col("batter_side"))
     )
@@ -148,12 +166,15 @@ def classify_plate_appearances(sequences: DataFrame, pitches: DataFrame) -> Data
         .when(clean_outcome & struck, F.lit("K"))
         .when(expected & (balls == 1), contact_bin(family, direction))
     )
-    foul = F.when(expected & (balls == 1), foul_screen(family, F.col("narrative"))).otherwise(F.lit(False))
+    clean_ball = expected & (balls == 1)
+    foul = F.when(clean_ball, foul_screen(family, F.col("narrative"))).otherwise(F.lit(False))
     return (
         placed.withColumn("performance_family", fn.first_case([(reached, "bb_hbp"), (struck, "strikeout"), (special, "special_non_bip")], "batted_ball"))
         .withColumn("is_bip_expected", expected)
         .withColumn("evidence_status", status)
         .withColumn("bin_before_foul_screen", before_screen)
+        .withColumn("eligible_before_foul_screen", F.col("bin_before_foul_screen").isNotNull())
+        .withColumn("foul_air_status", foul_status(clean_ball, family, F.col("narrative")))
         .withColumn("is_foul_air_out", foul)
         .withColumn("core_bin", F.when(F.col("is_foul_air_out") == F.lit(False), F.col("bin_before_foul_screen")))
         .withColumn("core_profile_eligible", F.col("core_bin").isNotNull())

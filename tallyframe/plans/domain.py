@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyframe.baseball import canonical, events, innings
+from tallyframe.baseball import canonical, events, innings, seasons
 from tallyframe.operators import authority, lookup
 from tallyframe.plans.registry import Tables, big, query, r6
-from tallyframe.sources import feeds
+from tallyframe.sources import feeds, records
 
 # --- classification ----------------------------------------------------------------------------
 
@@ -34,6 +34,7 @@ def _contacts(t: Tables):
         (F.col("l_quantity") * 5).alias("hc_y"),
         side.alias("batter_side"),
         text.alias("result_description"),
+        "l_tax",
     )
 
 
@@ -61,14 +62,7 @@ _PA = f"""{_CONTACT}, pa as (select o_orderkey, (['single', 'walk', 'strikeout',
     case when not (bip and n = 1) or fam not in ('IFFB', 'OFFB', 'LD') then false when txt is null then null else txt like '%foul territory%' end foul from m)"""
 
 
-@query(
-    "v1_plate_appearances",
-    f"""with {_PA} select ev event_type, case when not bip and n > 0 then 'unexpected_in_play_non_bip' when bip and n = 0 and u > 0 then 'conflicted_in_play_flag' when bip and n = 0 then 'missing_in_play_pitch'
-          when bip and n > 1 then 'multiple_in_play_pitches' when ev = 'catcher_interf' then 'special_non_bip' when not bip then 'complete_non_bip' when fam = 'BUNT' then 'special_bunt'
-          when fam = 'UNKNOWN' then 'missing_trajectory' when fam in ('OFFB', 'LD', 'GB') and dir is null then 'missing_direction' else 'complete_bip' end evidence_status,
-          pre bin_before_foul_screen, case when foul = false then pre end core_bin, count(*) pa_count from q group by 1, 2, 3, 4""",
-)
-def _(t: Tables):
+def _sequences_and_pitches(t: Tables):
     kinds = F.array(*[F.lit(x) for x in ("single", "walk", "strikeout", "catcher_interf", "field_out")])
     key = F.col("o_orderkey")
     sequences = t.orders.select(
@@ -90,11 +84,41 @@ def _(t: Tables):
         "bb_type",
         "hc_x",
         "hc_y",
+        (F.col("l_tax") > 0.04).cast("int").alias("conflict_field_count"),
     )
-    classified = events.classify_plate_appearances(sequences, pitches)
+    return sequences, pitches
+
+
+@query(
+    "v1_plate_appearances",
+    f"""with {_PA} select ev event_type, case when not bip and n > 0 then 'unexpected_in_play_non_bip' when bip and n = 0 and u > 0 then 'conflicted_in_play_flag' when bip and n = 0 then 'missing_in_play_pitch'
+          when bip and n > 1 then 'multiple_in_play_pitches' when ev = 'catcher_interf' then 'special_non_bip' when not bip then 'complete_non_bip' when fam = 'BUNT' then 'special_bunt'
+          when fam = 'UNKNOWN' then 'missing_trajectory' when fam in ('OFFB', 'LD', 'GB') and dir is null then 'missing_direction' else 'complete_bip' end evidence_status,
+          pre bin_before_foul_screen, case when foul = false then pre end core_bin, count(*) pa_count from q group by 1, 2, 3, 4""",
+)
+def _(t: Tables):
+    classified = events.classify_plate_appearances(*_sequences_and_pitches(t))
     return classified.groupBy("event_type", "evidence_status", "bin_before_foul_screen", "core_bin").agg(F.count("*").alias("pa_count"))
 
 
+@query(
+    "v1_event_detail",
+    f"""with {_PA}, co as (select l_orderkey ok, count(*) filter (l_tax > 0.04) conflicts, max(l_linenumber) filter (l_quantity >= 40) line from lineitem group by 1)
+        select ev event_type, case when not (bip and n = 1) then 'not_evaluable_unclean_or_non_bip' when fam not in ('IFFB', 'OFFB', 'LD') then 'not_foul_air_trajectory'
+          when txt is null then 'unknown_missing_official_description' when txt like '%foul territory%' then 'foul_air_official_foul_territory' else 'not_foul_air_official_description' end foul_air_status,
+          pre is not null eligible_before_foul_screen, count(*) pa_count, coalesce(sum(conflicts), 0)::bigint conflict_count, sum(case when n = 1 then line end)::bigint in_play_numbers,
+          round(sum(ang), 4) angle_sum from q left join co on ok = o_orderkey group by 1, 2, 3""",
+)
+def _(t: Tables):
+    classified = events.classify_plate_appearances(*_sequences_and_pitches(t))
+    return classified.groupBy("event_type", "foul_air_status", "eligible_before_foul_screen").agg(
+        F.count("*").alias("pa_count"),
+        F.sum("source_conflict_pitch_count").alias("conflict_count"),
+        F.sum("in_play_pitch_number").alias("in_play_numbers"),
+        r6(F.sum("spray_angle"), 4).alias("angle_sum"),
+    )
+
+
 NARRATIVES = [
     "Player singles on a line drive",
     "Player grounds into a double play, shortstop to second",
@@ -394,3 +418,285 @@ def _(t: Tables):
         big(F.min(quantity)).alias("lowest"),
         big(F.max(quantity)).alias("highest"),
     )
+
+
+# --- feed documents ----------------------------------------------------------------------------
+
+# Every document is one row made of its keys; broken entries are planted by remainders of the key.
+
+
+def _statuses(rows, faults, group, **sums):
+    """Rows and faults counted in one table, with ``sums`` over the rows."""
+    kept = rows.groupBy(*group, F.lit("kept").alias("status")).agg(F.count("*").alias("entry_count"), *[big(F.sum(c)).alias(n) for n, c in sums.items()])
+    empty = [F.lit(None).cast("bigint").alias(n) for n in sums]
+    return kept.unionByName(faults.groupBy(*group, F.col("fault").alias("status")).agg(F.count("*").alias("entry_count"), *empty))
+
+
+def _numbers(**values):
+    """A JSON object of counts written as text."""
+    return F.create_map(*[part for name, value in values.items() for part in (F.lit(name), value.cast("string"))])
+
+
+_POSITIONS = ["P", "C", "1B", "2B", "3B", "SS", "LF", "CF", "RF", "DH", "XX"]
+
+
+@query(
+    "a5_fielding_splits",
+    """with e as (select c_custkey k, c_mktsegment level_group, i from customer, (values (1), (2)) v(i) where not (c_custkey % 101 = 0 and i = 2)),
+         s as (select *, (k % 900) * 3 + k % 4 outs, case when k % 101 = 0 then 'unreadable_document' when i = 2 and k % 17 <> 0 then 'invalid_player_id'
+           when k % 11 = 10 then 'unknown_position_code' when k % 13 = 0 then 'position_code_mismatch' when k % 160 > k % 150 then 'more_starts_than_games' when k % 4 = 3 then 'invalid_innings'
+           when k % 11 = 9 and (k % 900) * 3 + k % 4 <> 0 then 'designated_hitter_with_outs' when k % 17 = 0 then 'repeated_grain' end fault from e)
+       select level_group, coalesce(fault, 'kept') status, count(*) entry_count, sum(case when fault is null then outs end)::bigint fielding_outs,
+         sum(case when fault is null then k % 160 end)::bigint starts from s group by 1, 2""",
+)
+def _(t: Tables):
+    k = F.col("c_custkey")
+    names = F.array(*[F.lit(x) for x in _POSITIONS])
+    place = F.struct(
+        (1 + k % 11).cast("string").alias("code"),
+        F.when(k % 13 == 0, "?").otherwise(F.element_at(names, (1 + k % 11).cast("int"))).alias("abbreviation"),
+        F.lit("Fielder").alias("name"),
+    )
+    innings_text = F.concat((k % 900).cast("string"), F.lit("."), (k % 4).cast("string"))
+    stat = F.create_map(
+        *[F.lit("games"), (k % 150).cast("string"), F.lit("gamesPlayed"), (k % 150).cast("string")],
+        *[F.lit("gamesStarted"), (k % 160).cast("string"), F.lit("innings"), innings_text],
+    )
+    who = F.struct(k.alias("id"), F.col("c_name").alias("fullName"))
+    entry = F.to_json(F.struct(who.alias("player"), F.struct(F.col("c_nationkey").alias("id")).alias("team"), place.alias("position"), stat.alias("stat")))
+    text = F.concat(F.lit('{"splits":['), entry, F.lit(","), F.when(k % 17 == 0, entry).otherwise("5"), F.lit("]}"))
+    documents = t.customer.select(
+        big(F.lit(1990) + F.col("c_nationkey")).alias("season"),
+        big("c_nationkey").alias("league_id"),
+        F.col("c_mktsegment").alias("level_group"),
+        F.when(k % 101 == 0, "no document").otherwise(text).alias("document"),
+    )
+    usage, faults = records.fielding_usage(documents, "document")
+    return _statuses(usage, faults, ["level_group"], fielding_outs="fielding_outs", starts="games_started")
+
+
+def _boxscores(t: Tables):
+    k = F.col("o_orderkey")
+
+    def player(key, person, batting):
+        value = F.struct(F.struct(person.alias("id")).alias("person"), F.struct(batting.alias("batting")).alias("stats"))
+        return F.struct(F.concat(F.lit("ID"), key.cast("string")), value)
+
+    def side(players, batting):
+        return F.struct(F.map_from_entries(F.array(*players)).alias("players"), F.struct(batting.alias("batting")).alias("teamStats"))
+
+    first = player(k, k, _numbers(plateAppearances=k % 6, hits=k % 3))
+    line = _numbers(plateAppearances=k % 4, hits=F.when(k % 9 == 0, -1).otherwise(1))
+    second = player(k + 1000000000, k + 1000000000, F.when(k % 8 != 1, line))
+    third = player(2 * k, F.when(k % 5 == 0, 3 * k).otherwise(2 * k), _numbers(plateAppearances=k % 6, hits=F.lit(0)))
+    away = side([first, second], _numbers(plateAppearances=k % 6 + k % 4 + (k % 10 == 0).cast("int"), hits=k % 3 + 1))
+    home = side([third], _numbers(plateAppearances=k % 6, hits=F.lit(0)))
+    text = F.to_json(F.struct(F.struct(away.alias("away"), home.alias("home")).alias("teams")))
+    return t.orders.select(k.alias("game_pk"), F.when(k % 97 == 0, '{"teams": 3}').otherwise(text).alias("document"))
+
+
+_BOX = """o as (select o_orderkey k from orders), g as (select k from o where k % 97 <> 0),
+  p as (select k, 'away' batting_side, 'kept' status, k % 6 pa, k % 3 hits from g
+    union all select k, 'away', case when k % 9 = 0 then 'invalid_statistic' else 'kept' end, k % 4, 1 from g where k % 8 <> 1
+    union all select k, 'home', case when k % 5 = 0 then 'player_key_mismatch' else 'kept' end, k % 6, 0 from g
+    union all select k, s, 'unreadable_document', null, null from o, (values ('away'), ('home')) v(s) where k % 97 = 0)"""
+
+
+@query(
+    "a5_boxscore_lines",
+    f"""with {_BOX} select batting_side, status, count(*) entry_count, sum(case when status = 'kept' then pa end)::bigint plate_appearances,
+          sum(case when status = 'kept' then hits end)::bigint hits from p group by 1, 2""",
+)
+def _(t: Tables):
+    lines, faults = records.boxscore_players(_boxscores(t), "document")
+    return _statuses(lines, faults, ["batting_side"], plate_appearances="plate_appearances", hits="hits")
+
+
+@query(
+    "a5_boxscore_gaps",
+    f"""with {_BOX}, t as (select k, 'away' batting_side, k % 6 + k % 4 + (k % 10 = 0)::int pa, k % 3 + 1 hits from g union all select k, 'home', k % 6, 0 from g),
+          s as (select k, batting_side, sum(pa) pa, sum(hits) hits from p where status = 'kept' group by 1, 2),
+          d as (select t.batting_side, 'plate_appearances' statistic, t.pa stated, coalesce(s.pa, 0) summed from t left join s using (k, batting_side)
+            union all select t.batting_side, 'hits', t.hits, coalesce(s.hits, 0) from t left join s using (k, batting_side))
+        select batting_side, statistic, count(*) gap_count, sum(stated - summed)::bigint gap_sum from d where stated <> summed group by 1, 2""",
+)
+def _(t: Tables):
+    documents = _boxscores(t)
+    lines, _faults = records.boxscore_players(documents, "document")
+    gaps = records.boxscore_gaps(lines, records.boxscore_teams(documents, "document"))
+    return gaps.groupBy("batting_side", "statistic").agg(F.count("*").alias("gap_count"), big(F.sum(F.col("stated") - F.col("summed"))).alias("gap_sum"))
+
+
+def _play_documents(t: Tables):
+    """Each event a game: a play, the same play with its names in another order, and at times an unknown or a contrary one."""
+    k = F.col("event_id")
+
+    def play(index, kind, batter, swapped=False):
+        parts = [
+            F.struct(kind.alias("eventType"), F.lit("text").alias("description")).alias("result"),
+            F.struct(F.struct(batter.alias("id")).alias("batter"), F.struct(k.alias("id")).alias("pitcher")).alias("matchup"),
+            F.lit(index).alias("atBatIndex"),
+            F.array(F.struct(F.lit(True).alias("isPitch")), F.struct((k % 2 == 0).alias("isPitch"))).alias("playEvents"),
+        ]
+        return F.to_json(F.struct(*(parts[::-1] if swapped else parts)))
+
+    kind = F.when(F.col("event_type") == "error", "wild_pitch").when(F.col("event_type") == "purchase", "home_run").otherwise("single")
+    user = F.col("user_id")
+    extra = F.when(k % 6 == 0, play(1, F.lit("unheard_of"), user)).when(k % 10 == 1, play(0, kind, user + 1)).otherwise("[]")
+    text = F.concat(F.lit('{"allPlays":['), play(0, kind, user), F.lit(","), play(0, kind, user, True), F.lit(","), extra, F.lit("]}"))
+    return t.events.select(k.alias("game_pk"), text.alias("document"))
+
+
+_EVENT_KINDS = {**dict.fromkeys(events.v.PLATE_APPEARANCE_EVENTS, True), "wild_pitch": False}
+
+
+@query(
+    "z2_play_sequences",
+    """with e as (select event_id k, case event_type when 'error' then 'wild_pitch' when 'purchase' then 'home_run' else 'single' end kind from events)
+       select kind result_event_type, 'kept' status, sum(1 + (k % 6 <> 0 and k % 10 = 1)::int)::bigint entry_count, sum(2 + (k % 6 <> 0 and k % 10 = 1)::int)::bigint copies,
+         sum((1 + (k % 2 = 0)::int) * (1 + (k % 6 <> 0 and k % 10 = 1)::int))::bigint pitches, sum((1 + (k % 6 <> 0 and k % 10 = 1)::int) * (kind <> 'wild_pitch')::int)::bigint appearances from e group by 1
+       union all select null, case when k % 6 = 0 then 'unknown_event_type' else 'missing_at_bat_index' end, count(*), null, null, null from e where k % 6 = 0 or k % 10 <> 1 group by 2""",
+)
+def _(t: Tables):
+    plays, faults = records.play_sequences(_play_documents(t), "document", _EVENT_KINDS)
+    unnamed = faults.withColumn("result_event_type", F.lit(None).cast("string"))
+    return _statuses(
+        plays, unnamed, ["result_event_type"], copies="duplicate_row_count", pitches="official_physical_pitch_count", appearances=F.col("is_plate_appearance").cast("int")
+    )
+
+
+@query(
+    "z2_participant_authority",
+    """select user_id official_batter_id, count(*) filter (event_id % 6 = 0 or event_id % 10 <> 1) sequence_count from events group by 1 having sequence_count > 0
+       union all select null, count(*) from events where event_id % 6 <> 0 and event_id % 10 = 1""",
+)
+def _(t: Tables):
+    plays, _faults = records.play_sequences(_play_documents(t), "document", _EVENT_KINDS)
+    named, several = records.participant_authority(plays)
+    conflicts = several.agg(F.count("*").alias("sequence_count")).select(F.lit(None).cast("bigint").alias("official_batter_id"), "sequence_count")
+    return named.groupBy("official_batter_id").agg(F.count("*").alias("sequence_count")).unionByName(conflicts)
+
+
+@query(
+    "z2_game_leagues",
+    """with s as (select o_custkey % 30 l, case when o_orderkey % 53 = 0 then 'unreadable_document' when o_orderkey % 8 = 0 then 'not_regular_season' when o_orderkey % 9 = 0 then 'missing_official_date'
+         when o_orderkey % 10 = 0 then 'missing_team' when o_orderkey % 11 = 0 then 'ambiguous_league' when o_orderkey % 13 = 0 then 'ambiguous_sport' end fault, o_orderdate::date d from orders)
+       select case when fault is null then l end league_id, coalesce(fault, 'kept') status, count(*) entry_count, sum(case when fault is null then year(d) end)::bigint year_sum from s group by 1, 2""",
+)
+def _(t: Tables):
+    k, league = F.col("o_orderkey"), F.col("o_custkey") % 30
+
+    def team(side):
+        other = 1 if side == "home" else 0
+        ids = F.when((k % 10 != 0) | F.lit(side == "away"), k + other)
+        return F.struct(
+            ids.alias("id"),
+            F.struct((league + F.when(k % 11 == 0, other).otherwise(0)).alias("id")).alias("league"),
+            F.struct(F.when((k % 13 != 0) | F.lit(side == "away"), 1).alias("id")).alias("sport"),
+        ).alias(side)
+
+    data = F.struct(
+        F.struct(F.when(k % 8 == 0, "S").otherwise("R").alias("type")).alias("game"),
+        F.struct(F.when(k % 9 == 0, "unknown").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("officialDate")).alias("datetime"),
+        F.struct(team("away"), team("home")).alias("teams"),
+    )
+    text = F.when(k % 53 == 0, "[").otherwise(F.to_json(F.struct(data.alias("gameData"))))
+    games, faults = records.game_leagues(t.orders.select(k.alias("game_pk"), text.alias("document")), "document")
+    return _statuses(games, faults.withColumn("league_id", F.lit(None).cast("bigint")), ["league_id"], year_sum=F.year("game_date"))
+
+
+@query(
+    "z2_game_log",
+    """with s as (select o_custkey p, o_orderkey % 4 c, o_orderkey % 5 n from orders),
+         r as (select p, 'kept' status, (c <> 1)::int rows_, case when c = 0 then 2 * n else n end pa, (c = 0)::int added from s
+           union all select p, case c when 1 then 'ambiguous_team_splits' when 2 then 'missing_game' else 'other_sport' end, 1, null, null from s where c > 0)
+       select status, count(*) entry_count, sum(pa)::bigint batting_pa, sum(added)::bigint added_games from r where rows_ = 1 group by 1""",
+)
+def _(t: Tables):
+    k = F.col("o_orderkey")
+    case = k % 4
+
+    def split(team, game, sport):
+        stat = _numbers(**{n: (k % 5) for n in records.OUTCOME_STATISTICS})
+        parts = [F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.lit("R").alias("gameType"), game.alias("game"), F.struct(F.lit(103).alias("id")).alias("league")]
+        return F.struct(*parts, F.struct(team.alias("id")).alias("team"), F.struct(sport.alias("id")).alias("sport"), stat.alias("stat"))
+
+    def game(present):
+        return F.struct(*[F.when(present & (k % 3 == i), k).alias(f) for i, f in enumerate(("gamePk", "pk", "id"))])
+
+    whole = split(F.lit(1), game(F.lit(True)), F.lit(1))
+    second = split(F.when(case == 0, 2).otherwise(1), game(case != 2), F.when(case == 3, 9).otherwise(1))
+    groups = F.array(F.struct(F.array(whole).alias("splits")), F.struct(F.array(second).alias("splits")), F.struct(F.when(F.lit(False), F.array(second)).alias("splits")))
+    documents = t.orders.select(F.col("o_custkey").alias("player_id"), big(F.lit(1)).alias("sport_id"), F.to_json(F.struct(groups.alias("stats"))).alias("document"))
+    games, faults = records.hitting_game_log(documents, "document")
+    return _statuses(games, faults, [], batting_pa="batting_PA", added_games=F.col("team_id").isNull().cast("int"))
+
+
+def _lines_and_contacts(t: Tables):
+    """Orders as batting lines (some unresolved, some without a value), their lines as contacts."""
+    k = F.col("o_orderkey")
+    vector = {"AB": k % 6, "BB": k % 3, "HBP": F.lit(0), "SO": F.least(k % 2, k % 6), "SF": (k % 7 == 0).cast("int"), "SH": F.when(k % 19 != 0, 0), "CI": F.lit(0)}
+    total = vector["AB"] + vector["BB"] + vector["SF"] + (k % 13 == 0).cast("int")
+    lines = t.orders.select(
+        F.to_date("o_orderdate").alias("game_date"),
+        F.lit("R").alias("game_type"),
+        k.alias("game_pk"),
+        big(F.lit(103)).alias("league_id"),
+        F.col("o_custkey").alias("player_id"),
+        F.when(k % 17 == 0, "unresolved_conflict").otherwise("resolved").alias("outcome_resolution"),
+        big(total).alias("batting_PA"),
+        *[big(c).alias(f"batting_{n}") for n, c in vector.items()],
+    )
+    core, number = F.col("l_linestatus") == "F", F.col("l_linenumber")
+    status = F.when(core, "core_contact").when(number == 1, "special_bunt").when(number == 2, "foul_air_excluded").otherwise("unknown_missing_direction")
+    contacts = t.lineitem.join(lines.select(F.col("game_pk").alias("l_orderkey"), "player_id", F.year("game_date").cast("bigint").alias("season")), "l_orderkey").select(
+        "season",
+        F.col("l_orderkey").alias("game_pk"),
+        big(F.lit(103)).alias("league_id"),
+        "player_id",
+        F.when(core, F.concat(F.lit("BIN_"), number.cast("string"))).alias("core_bin"),
+        status.alias("contact_profile_status"),
+        F.when(F.col("l_returnflag") == "R", "official_exception_overlay").otherwise("source_default").alias("participant_authority"),
+    )
+    return lines, contacts
+
+
+@query(
+    "s3_line_evidence",
+    """with l as (select o_orderkey g, o_custkey p, year(o_orderdate)::bigint season, o_orderdate::date d, o_orderkey % 6 ab, o_orderkey % 3 bb, least(o_orderkey % 2, o_orderkey % 6) so, (o_orderkey % 7 = 0)::int sf,
+           (o_orderkey % 13 = 0)::int res, o_orderkey % 17 = 0 bad, o_orderkey % 19 = 0 gap from orders),
+         o as (select *, ab + bb + sf + res pa, ab - so + sf expected from l where ab + bb + sf + res > 0 and not bad and not gap),
+         c as (select l_orderkey g, count(*) seen, count(*) filter (l_linestatus = 'F') bins, count(*) filter (l_linestatus <> 'F' and l_linenumber = 1) bunts, count(*) filter (l_linestatus <> 'F' and l_linenumber = 2) fouls,
+           count(*) filter (l_linestatus <> 'F' and l_linenumber > 2) unknown, count(*) filter (l_returnflag = 'R') overlay from lineitem group by 1),
+         e as (select o.*, coalesce(seen, 0) seen, coalesce(bins, 0) bins, coalesce(bunts, 0) bunts, coalesce(fouls, 0) fouls, coalesce(unknown, 0) unknown, coalesce(overlay, 0) overlay from o left join c using (g))
+       select season, case when seen = 0 then 'no_contact_identity_needed' when overlay = 0 then 'source_default' when overlay = seen then 'official_overlay' else 'mixed_source_and_official' end participant_authority_status,
+         count(*) game_count, sum(pa)::bigint pa, sum(seen - expected)::bigint contact_residual, sum(bb + so + bins)::bigint core, sum(bunts)::bigint bunts, sum(fouls)::bigint fouls, sum(unknown)::bigint unknown,
+         sum(pa - expected - bb - so)::bigint pa_residual from e group by 1, 2""",
+)
+def _(t: Tables):
+    summary, _profile, _faults = seasons.line_evidence(*_lines_and_contacts(t))
+    return summary.groupBy("season", "participant_authority_status").agg(
+        F.count("*").alias("game_count"),
+        F.sum("batting_plate_appearances").alias("pa"),
+        F.sum("contact_count_residual").alias("contact_residual"),
+        F.sum("core_profile_event_count").alias("core"),
+        F.sum("bunt_contact_count").alias("bunts"),
+        F.sum("foul_air_excluded_count").alias("fouls"),
+        F.sum("unknown_contact_count").alias("unknown"),
+        F.sum("pa_accounting_residual").alias("pa_residual"),
+    )
+
+
+@query(
+    "s3_line_profile",
+    """with l as (select o_orderkey g, o_orderkey % 6 + o_orderkey % 3 + (o_orderkey % 7 = 0)::int + (o_orderkey % 13 = 0)::int pa, o_orderkey % 3 bb, least(o_orderkey % 2, o_orderkey % 6) so from orders),
+         o as (select * from l where pa > 0 and g % 17 <> 0 and g % 19 <> 0)
+       select 'BB_HBP' core_bin, sum(bb)::bigint occurrence_count, count(*) game_count from o where bb > 0 union all select 'K', sum(so)::bigint, count(*) from o where so > 0
+       union all select 'BIN_' || l_linenumber, count(*), count(distinct g) from lineitem join o on l_orderkey = g where l_linestatus = 'F' group by 1
+       union all select case when g % 17 = 0 then 'unresolved_outcome' else 'incomplete_vector' end, null, count(*) from l where pa > 0 and (g % 17 = 0 or g % 19 = 0) group by 1""",
+)
+def _(t: Tables):
+    _summary, profile, faults = seasons.line_evidence(*_lines_and_contacts(t))
+    bins = profile.groupBy("core_bin").agg(F.sum("occurrence_count").alias("occurrence_count"), F.count("*").alias("game_count"))
+    left_out = faults.groupBy(F.col("fault").alias("core_bin")).agg(F.lit(None).cast("bigint").alias("occurrence_count"), F.count("*").alias("game_count"))
+    return bins.unionByName(left_out)
