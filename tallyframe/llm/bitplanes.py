@@ -10,13 +10,14 @@ A plane of zeros has size 0 and no bytes. Any block can be read alone through th
 written table (bucket, number in the bucket, content), so that executors write and read them through Spark's own
 committed output, in whatever store the session names.
 
-Documents are ordered by id; rows with a null id come first and repeated ids are ordered by their text. A null text has
-the end id alone. Extra columns are not read. An empty table gives empty files and an empty result.
+Documents are ordered by id; rows with a null id come first. Rows of one id are in an order that their texts alone decide,
+so an id with very many rows is spread over several tasks. A null text has the end id alone. Extra columns are not read. An empty table gives empty files and an empty result.
 """
 
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,9 @@ HEADER = struct.Struct("<4sBBHIQQI")
 BIT_PLANES, BYTE_PLANES = 1, 8
 BLOCK_IDS = 1 << 15
 FILE_IDS = 1 << 20  # a file is closed after the document that reaches this
-ROWS_OF_A_BUCKET = 4_000  # documents of an id range that one task writes, about
+ROWS_OF_A_BUCKET = 4_000  # documents of an id range that one task writes, about, up to so many ranges:
+MOST_BUCKETS = 20_000
+NO_ID = -(1 << 63)  # stands for a null id in the order
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 
@@ -110,20 +113,30 @@ class PlaneFile:
 
 
 def _bounds(docs: DataFrame, id_column: str) -> list[int]:
-    """Ascending ids that cut the table into ranges of about ``ROWS_OF_A_BUCKET`` rows; only the ids are read."""
+    """Ascending ids that cut the table into ranges of about ``ROWS_OF_A_BUCKET`` rows, ``MOST_BUCKETS`` ranges at most.
+
+    Beyond that the ranges grow, which a task streams through. An id that holds several ranges' rows occurs as often.
+    """
     count = docs.select(id_column).count()
-    parts = max(1, -(-count // ROWS_OF_A_BUCKET))
+    parts = max(1, min(MOST_BUCKETS, -(-count // ROWS_OF_A_BUCKET)))
     if parts == 1:
         return []
     cuts = [i / parts for i in range(1, parts)]
-    found = docs.agg(F.percentile_approx(id_column, cuts, 100 * parts if parts < 10_000 else 1_000_000).alias("b")).first()["b"]
-    return sorted(set(found))
+    ids = docs.select(F.coalesce(F.col(id_column).cast("bigint"), F.lit(NO_ID)).alias("id"))
+    return ids.agg(F.percentile_approx("id", cuts, min(100 * parts, 200_000)).alias("b")).first()["b"]
+
+
+def bucket_of(bounds: np.ndarray, key: int | None, text: str | None) -> int:
+    """Range of a document: ranges ascend with the id, and an id that is a bound is dealt to all ranges it touches by its text."""
+    key = NO_ID if key is None else key
+    low, high = int(np.searchsorted(bounds, key, "left")), int(np.searchsorted(bounds, key, "right"))
+    return low if low == high else low + zlib.crc32((text or "").encode("utf-8", "surrogatepass")) % (high - low + 1)
 
 
 def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, bucket, ids as packed bytes): the ids of every whole text with the end id; buckets ascend with the id."""
     bounds = _bounds(docs, id_column)
-    shared = docs.sparkSession.sparkContext.broadcast(np.array(bounds, dtype=np.int64))  # one id for each bucket
+    shared = docs.sparkSession.sparkContext.broadcast(np.array(bounds, dtype=np.int64))  # MOST_BUCKETS ids at most
 
     def make():
         encoder = word_encoder(vocabulary)
@@ -133,9 +146,10 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int
             keys = batch.column(0)
             for start in range(0, batch.num_rows, 256):
                 part = keys.slice(start, 256)
-                found = encoder.encode(batch.column(1).slice(start, 256).to_pylist())
+                texts = batch.column(1).slice(start, 256).to_pylist()
+                found = encoder.encode(texts)
                 packed = [np.append(x, np.uint32(end_id)).astype(encoder.width).tobytes() for x in found]
-                bucket = [0 if k is None else int(np.searchsorted(edges, k, side="right")) for k in part.to_pylist()]
+                bucket = [bucket_of(edges, k, t) for k, t in zip(part.to_pylist(), texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([part, pa.array(bucket, pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "bucket", "ids"])
 
         return work
@@ -184,7 +198,7 @@ def write_files(docs: DataFrame, kind: int = BYTE_PLANES, vocabulary: str = VOCA
 
 def read_documents(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files alone."""
-    # One row for each file decides where its ids start; a file holds about a million ids, so the table stays small.
+    # One row for each file decides where its ids start; the window without a key runs over MOST_BUCKETS rows at most.
     sizes = files.select("bucket", "number", "n_ids")
     in_bucket = Window.partitionBy("bucket").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
     totals = sizes.groupBy("bucket").agg(F.sum("n_ids").alias("bucket_ids"))

@@ -237,6 +237,34 @@ def test_tiff_round_trip(compression, predictor, order):
     assert b"".join(p.samples.tobytes() for p in pages) == payload and [p.height for p in pages] == [300, 300, 150]
 
 
+@pytest.mark.parametrize("compression, predictor, order", list(itertools.product([media.RAW, media.PACKBITS, media.LZW, media.DEFLATE], [1, 2], "<>")))
+def test_tiles_round_trip(compression, predictor, order):
+    payload = bytes(random.Random(compression).choices(b"abc\0\0\0\0", k=64 * 333))
+    data = media.write_pages(payload, page_rows=200, compression=compression, predictor=predictor, order=order, tile=(48, 32))
+    assert b"".join(p.samples.tobytes() for p in media.read_pages(data)) == payload
+
+
+def test_pages_of_stored_texts(spark, texts):
+    """One row per page in order, every form met, and the features of the digest by an independent count."""
+    docs = spark.createDataFrame([*texts.items(), (-1, "long text " * 60_000)], "doc_id bigint, text string")
+    files = media.store_texts(docs)
+    rows = media.pages(files, "doc_id", "media").orderBy("id", "page").collect()
+    stored = {}
+    for r in rows:
+        assert r.fault is None and r.page == len(stored.setdefault(r.id, []))
+        stored[r.id].append(r.samples)
+    assert {k: b"".join(v).rstrip(b"\0").decode() for k, v in stored.items()} == {r.doc_id: r.text for r in docs.collect()}
+    assert len(stored[-1]) == 3 and {r.compression for r in rows} == {media.LZW, media.PACKBITS, media.DEFLATE}
+    forms = [media.form_of(b"".join(v)) for v in stored.values()]
+    assert {f["predictor"] for f in forms} == {1, 2} and {f["order"] for f in forms} == {"<", ">"} and {f["tile"] for f in forms} == {None, media.TILE}
+    for r in media.digests(files).collect():
+        samples = np.frombuffer(b"".join(stored[r.doc_id]), np.uint8)
+        share = np.unique(samples, return_counts=True)[1] / len(samples)
+        mean, spread, entropy, eighths = r.feature.split()
+        assert abs(float(mean) - samples.mean()) < 1e-3 and abs(float(spread) - samples.std()) < 1e-3 and abs(float(entropy) + (share * np.log2(share)).sum()) < 1e-3
+        assert eighths == "-".join(str((samples // 32 == k).sum() * 1000 // len(samples)) for k in range(8)) and r.n_pages == len(stored[r.doc_id])
+
+
 def test_tiled_and_damaged_files(spark):
     import struct
 
@@ -296,6 +324,23 @@ def test_token_planes_in_order(spark, monkeypatch, texts):
     assert bitplanes.read_documents(bitplanes.write_files(empty_docs(spark))).count() == 0
 
 
+def test_token_planes_of_a_hot_id(spark, monkeypatch):
+    """Ids with most of the rows, null among them: spread over files, the order of ids kept, starts without gaps."""
+    monkeypatch.setattr(bitplanes, "ROWS_OF_A_BUCKET", 20)
+    monkeypatch.setattr(bitplanes, "MOST_BUCKETS", 12)
+    data = [(key, f"text number {i} of {key}") for key, many in ((7, 150), (None, 100), (9, 3), (8, 1), (1, 2)) for i in range(many)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    files = bitplanes.write_files(docs)
+    held = [(r.bucket, r.number, set(bitplanes.PlaneFile(bytes(r.content)).doc_ids)) for r in files.collect()]
+    assert len(held) <= 12 and all(sum(k in h[2] for h in held) >= 3 for k in (7, None))
+    rows = sorted(bitplanes.read_documents(files).collect(), key=lambda r: r.start)
+    keys = [-1 if r.doc_id is None else r.doc_id for r in rows]
+    assert keys == sorted(keys)
+    assert [r.start for r in rows] == list(itertools.accumulate([0, *[r.n_tokens for r in rows[:-1]]]))
+    want = [(str(k), zlib.crc32(np.array(encoded(t), "<u4").tobytes())) for k, t in data]
+    assert sorted((str(r.doc_id), r.ids_crc32) for r in rows) == sorted(want)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_plan_fits(seed):
     random.seed(seed)
