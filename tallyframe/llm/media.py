@@ -3,7 +3,8 @@
 ``read_pages`` walks the directories of a file in either byte order, decodes strips or tiles stored raw, with PackBits,
 LZW or deflate, undoes the horizontal predictor, and yields one page after another. ``pages`` runs it over a column
 and emits one row per page. ``store_texts`` keeps the UTF-8 bytes of a text, padded with zeros to a multiple of 64, as
-8-bit samples of pages 64 wide, so that the text comes back byte for byte.
+8-bit samples of pages 64 wide, so that the text comes back byte for byte; its bytes decide whether it is held in strips or
+tiles, which compression and byte order it has, and whether the predictor is used.
 
 A null text is an empty one. A null or damaged file gives one row with page null and the reason in ``fault``; pages
 before the damage are kept. Repeated rows stay. Columns besides the named ones are not read.
@@ -27,6 +28,8 @@ from tallyframe.llm.common import map_batches
 WIDTH = 64
 PAGE_ROWS = 4096  # rows of a page that the writer makes: 256 KiB
 STRIP_ROWS = 1024
+TILE = (32, 256)
+PAGES_HELD = 4 << 20  # bytes of samples in a batch of page rows, about
 # Fixed values of the format: tags, field sizes, compression codes.
 IMAGE_WIDTH, IMAGE_LENGTH, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR = 273, 277, 278, 279, 284, 317
@@ -262,20 +265,26 @@ def _page(data: bytes, fields: dict[int, list[int]], order: str) -> Page:
     return Page(width, height, compression, out)
 
 
-def write_pages(payload: bytes, width: int = WIDTH, page_rows: int = PAGE_ROWS, strip_rows: int = STRIP_ROWS, compression: int = DEFLATE, predictor: int = 1, order: str = "<") -> bytes:
-    """Bytes, a multiple of ``width``, as 8-bit grey pages; the same bytes always give the same file."""
+def write_pages(payload: bytes, width: int = WIDTH, page_rows: int = PAGE_ROWS, strip_rows: int = STRIP_ROWS, compression: int = DEFLATE, predictor: int = 1, order: str = "<", tile: tuple[int, int] | None = None) -> bytes:
+    """Bytes, a multiple of ``width``, as 8-bit grey pages in strips, or in tiles of (width, rows), multiples of 16.
+
+    The same bytes always give the same file. Tiles beyond the page's edge are filled with zeros.
+    """
     rows = len(payload) // width
     out = bytearray({"<": b"II", ">": b"MM"}[order] + struct.pack(order + "HI", 42, 0))
     link = 4  # where the place of the next directory is written
     for top in range(0, rows, page_rows):
         height = min(page_rows, rows - top)
+        page = np.frombuffer(payload, np.uint8, height * width, top * width).reshape(height, width)
+        if tile is None:
+            blocks = [page[a : a + strip_rows] for a in range(0, height, strip_rows)]
+        else:
+            wide, high = tile
+            padded = np.pad(page, ((0, -height % high), (0, -width % wide)))
+            blocks = [padded[a : a + high, c : c + wide] for a in range(0, height, high) for c in range(0, width, wide)]
         offsets, counts = [], []
-        for strip in range(0, height, strip_rows):
-            some = min(strip_rows, height - strip)
-            data = payload[(top + strip) * width : (top + strip + some) * width]
-            if predictor == 2:
-                block = np.frombuffer(data, np.uint8).reshape(some, width)
-                data = np.diff(block, axis=1, prepend=np.zeros((some, 1), np.uint8)).astype(np.uint8).tobytes()
+        for block in blocks:
+            data = (np.diff(block, axis=1, prepend=np.zeros((len(block), 1), np.uint8)) if predictor == 2 else block).astype(np.uint8).tobytes()
             if compression == DEFLATE:
                 data = zlib.compress(data, 1)
             elif compression == PACKBITS:
@@ -290,23 +299,45 @@ def write_pages(payload: bytes, width: int = WIDTH, page_rows: int = PAGE_ROWS,
         many = len(offsets)
         if many > 1:
             out += struct.pack(f"{order}{many}I", *offsets) + struct.pack(f"{order}{many}I", *counts)
+        places, sizes = (lists, lists + 4 * many) if many > 1 else (offsets[0], counts[0])
         entries = [
             (IMAGE_WIDTH, 4, 1, width), (IMAGE_LENGTH, 4, 1, height), (BITS, 3, 1, 8), (COMPRESSION, 3, 1, compression),
-            (PHOTOMETRIC, 3, 1, 1), (STRIP_OFFSETS, 4, many, lists if many > 1 else offsets[0]), (SAMPLES, 3, 1, 1),
-            (ROWS_PER_STRIP, 4, 1, strip_rows), (STRIP_COUNTS, 4, many, lists + 4 * many if many > 1 else counts[0]),
-            (PREDICTOR, 3, 1, predictor),
+            (PHOTOMETRIC, 3, 1, 1), (SAMPLES, 3, 1, 1), (PREDICTOR, 3, 1, predictor),
         ]
+        if tile is None:
+            entries += [(STRIP_OFFSETS, 4, many, places), (ROWS_PER_STRIP, 4, 1, strip_rows), (STRIP_COUNTS, 4, many, sizes)]
+        else:
+            entries += [(TILE_WIDTH, 4, 1, tile[0]), (TILE_LENGTH, 4, 1, tile[1]), (TILE_OFFSETS, 4, many, places), (TILE_COUNTS, 4, many, sizes)]
         struct.pack_into(order + "I", out, link, len(out))
         out += struct.pack(order + "H", len(entries))
-        for tag, kind, count, value in entries:
+        for tag, kind, count, value in sorted(entries):
             out += struct.pack(order + "HHI", tag, kind, count) + (struct.pack(order + "HH", value, 0) if kind == 3 else struct.pack(order + "I", value))
         link = len(out)
         out += struct.pack(order + "I", 0)
     return bytes(out)
 
 
+def form_of(payload: bytes) -> dict:
+    """How a text is stored, by its bytes alone: compression, predictor, byte order, strips or tiles.
+
+    Deflate holds most texts; one in sixteen each has LZW and PackBits, which are slower here. Half have the predictor,
+    a quarter tiles, half the other byte order.
+    """
+    mark = zlib.crc32(payload, 1)
+    return {
+        "compression": (LZW, PACKBITS)[mark % 16] if mark % 16 < 2 else DEFLATE,
+        "predictor": 1 + (mark >> 4) % 2,
+        "tile": TILE if (mark >> 5) % 4 == 0 else None,
+        "order": "<>"[(mark >> 7) % 2],
+    }
+
+
 def store_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, media): every whole text as the samples of one file."""
+    """(doc_id, n_bytes, media): every whole text as the samples of one file, in the form that ``form_of`` gives it."""
+
+    def stored(raw):
+        payload = raw + b"\0" * ((-len(raw)) % WIDTH if raw else WIDTH)
+        return write_pages(payload, **form_of(payload))
 
     def make():
         def work(batch):
@@ -315,7 +346,7 @@ def store_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
             while start < batch.num_rows:  # a few texts at a time, so that memory is that of the longest text
                 part = texts.slice(start, 512).to_pylist()
                 raw = [(t or "").encode("utf-8", "surrogatepass") for t in part]
-                media = [write_pages(r + b"\0" * ((-len(r)) % WIDTH if r else WIDTH)) for r in raw]
+                media = [stored(r) for r in raw]
                 yield pa.RecordBatch.from_arrays([ids.slice(start, len(part)), pa.array([len(r) for r in raw], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
                 start += len(part)
 
@@ -326,20 +357,32 @@ def store_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 
 def pages(files: DataFrame, id_column: str, media_column: str) -> DataFrame:
-    """One row per page: id, page (from 0), width, height, compression, samples as bytes, fault."""
+    """One row per page: id (of any type), page (from 0), width, height, compression, samples as bytes, fault.
+
+    The pages of a file follow one another in the task that read it, page 0 first.
+    """
+    names = ["id", "page", "width", "height", "compression", "samples", "fault"]
 
     def make():
         def work(batch):
-            names = ["id", "page", "width", "height", "compression", "samples", "fault"]
             kinds = [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
+
+            def out():
+                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+            rows, held = [], 0
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows, n = [], 0
                 try:
                     for n, page in enumerate(read_pages(data.as_py() or b"")):
                         rows.append((key, n, page.width, page.height, page.compression, page.samples.tobytes(), None))
+                        held += page.samples.nbytes
+                        if len(rows) >= 512 or held >= PAGES_HELD:
+                            yield out()
+                            rows, held = [], 0
                 except (ValueError, struct.error, zlib.error) as error:
                     rows.append((key, None, None, None, None, None, str(error)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names)
+            if rows:
+                yield out()
 
         return work
 
@@ -347,33 +390,65 @@ def pages(files: DataFrame, id_column: str, media_column: str) -> DataFrame:
     return map_batches(files.select(F.col(id_column), F.col(media_column)), make, f"id {kind}, page int, width int, height int, compression int, samples binary, fault string")
 
 
+@dataclass
+class Digest:
+    """What the pages of one file add up to, page after page."""
+
+    key: dict
+
+    def __post_init__(self):
+        self.sha, self.total, self.tail, self.pages = hashlib.sha256(), 0, b"", 0
+        self.levels = np.zeros(256, dtype=np.int64)
+
+    def add(self, samples: bytes) -> None:
+        self.sha.update(samples)
+        self.total += len(samples)
+        self.tail = (self.tail + samples[-WIDTH:])[-WIDTH:]
+        self.levels += np.bincount(np.frombuffer(samples, np.uint8), minlength=256)
+        self.pages += 1
+
+    def row(self) -> tuple:
+        k = self.key
+        return (k["doc_id"], k["n_bytes"], self.total, self.sha.hexdigest(), zlib.crc32(self.tail), k["media_bytes"], k["media_sha256"], feature(self.levels), self.pages)
+
+
 def digests(files: DataFrame) -> DataFrame:
-    """What the stored files of ``store_texts`` hold: digests of the samples read back and of the file, features."""
-    columns = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_pages"]
-    kinds = [None, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
+    """What the stored files of ``store_texts`` hold: digests of the samples read back and of the file, features.
 
-    def make():
-        def work(batch):
-            rows = []
-            for key, size, media in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                data = media.as_py()
-                digest, total, tail, n = hashlib.sha256(), 0, b"", 0
-                levels = np.zeros(256, dtype=np.int64)
-                for page in read_pages(data):
-                    block = page.samples.tobytes()
-                    digest.update(block)
-                    total += len(block)
-                    tail = (tail + block[-WIDTH:])[-WIDTH:]
-                    levels += np.bincount(page.samples.ravel(), minlength=256)
-                    n += 1
-                rows.append((key, size, total, digest.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), feature(levels), n))
-            found = list(zip(*rows, strict=True)) if rows else [[] for _ in columns]
-            return pa.RecordBatch.from_arrays([pa.array(c, k or batch.schema.field(0).type) for c, k in zip(found, kinds, strict=True)], columns)
+    The files are read through ``pages``; a file's page rows arrive one after the other and are added up as they come,
+    so a task holds one page at a time and nothing is shuffled. A damaged file raises.
+    """
+    key = F.struct("doc_id", "n_bytes", F.length("media").cast("bigint").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
+    rows = pages(files.select(key.alias("file"), "media"), "file", "media").select("id", "page", "samples", "fault")
+    columns = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_pages"]
 
-        return work
+    def run(batches):
+        one, done, kind = None, [], pa.int64()
+
+        def out():
+            kinds = [kind, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], columns)
+
+        for batch in batches:
+            kind = batch.schema.field(0).type.field("doc_id").type
+            for file, page, samples, fault in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                if fault is not None:
+                    raise ValueError(f"stored file of {file.as_py()['doc_id']}: {fault}")
+                if page == 0:
+                    if one is not None:
+                        done.append(one.row())
+                    one = Digest(file.as_py())
+                one.add(samples.as_py())
+                if len(done) >= 1024:
+                    yield out()
+                    done = []
+        if one is not None:
+            done.append(one.row())
+        if done:
+            yield out()
 
     kind = files.schema["doc_id"].dataType.simpleString()
-    return map_batches(files.select("doc_id", "n_bytes", "media"), make, f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, n_pages int")
+    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, n_pages int")
 
 
 def feature(levels: np.ndarray) -> str:
