@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.operators import scan
+from tallyframe.operators import lookup, scan
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:
@@ -132,8 +132,21 @@ def rank_correlation(df: DataFrame, left: str, right: str, keys: Sequence[str] =
     return ranked.groupBy(*keys).agg(F.count("*").alias("row_count"), F.corr("_left_rank", "_right_rank").alias("rank_correlation"))
 
 
+def less_means(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``df`` with the overall mean of each column taken off it, by a scalar subquery.
+
+    Slopes stay the same, and sums of squares and products of columns far from zero keep their digits.
+    """
+    means = df.agg(*[F.avg(c).alias(f"_mean_{c}") for c in columns])
+    shifted = {c: F.col(c) - F.col(f"_mean_{c}") for c in columns}
+    return lookup.attach_total(df, means).select(*[shifted[c].alias(c) if c in shifted else F.col(c) for c in df.columns])
+
+
 def weighted_line(x: Column, y: Column, w: Column) -> tuple[Column, Column]:
-    """(slope, intercept) of a weighted least-squares line, from one pass of moments."""
+    """(slope, intercept) of a weighted least-squares line, from one pass of moments.
+
+    Give columns far from zero through ``less_means``; the intercept is then that of the shifted line.
+    """
     sw, sx, sy = F.sum(w), F.sum(w * x), F.sum(w * y)
     sxx, sxy = F.sum(w * x * x), F.sum(w * x * y)
     slope = F.try_divide(sw * sxy - sx * sy, sw * sxx - sx * sx)

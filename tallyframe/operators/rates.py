@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.numeric import clip, logistic, logit, ratio
-from tallyframe.operators import lookup, profile
+from tallyframe.operators import lookup, profile, scan
 
 # Weight of evidence one, two and three periods back, and the probability margin.
 HISTORY_WEIGHTS = {1: 1.0, 2: 0.5, 3: 0.25}
@@ -197,13 +197,16 @@ def allocate(shares: DataFrame, totals: DataFrame, entity: str, role: str, prior
 
 
 def native_run_rates(df: DataFrame, periods: str, score: str, opportunity: str, target: str) -> DataFrame:
-    """Through-origin slope of the target on score x opportunity, with its errors, per period."""
+    """Through-origin slope of the target on score x opportunity, with its errors, per period.
+
+    The error is added up from the residuals of a second pass: a difference of sums of squares would be lost in rounding
+    where the line fits well. A period without a slope has no error.
+    """
     x, y = F.col(score) * F.col(opportunity), F.col(target)
-    sums = df.where(x.isNotNull() & y.isNotNull()).groupBy(periods).agg(
-        F.count("*").alias("row_count"), profile.origin_slope(x, y).alias("slope"), F.sum(y * y).alias("_yy"), F.sum(x * y).alias("_xy")
-    )
-    error = (F.col("_yy") - F.col("slope") * F.col("_xy")) / F.col("row_count")
-    return sums.withColumn("rmse", F.sqrt(F.greatest(error, F.lit(0.0)))).drop("_yy", "_xy")
+    rows = df.where(x.isNotNull() & y.isNotNull()).select(periods, x.alias("_x"), y.alias("_y"))
+    fitted = scan.group_totals(rows, [periods], slope=profile.origin_slope(F.col("_x"), F.col("_y")))
+    left = F.col("_y") - F.col("slope") * F.col("_x")
+    return fitted.groupBy(periods).agg(F.count("*").alias("row_count"), F.max("slope").alias("slope"), F.sqrt(F.avg(left * left)).alias("rmse"))
 
 
 def slope_stability(slopes: DataFrame, slope: str = "slope") -> DataFrame:
@@ -255,7 +258,7 @@ def permutation_p_value(df: DataFrame, unit: str, x: str, y: str, weight: str, i
     iteration deals the y values out again in the order of a seeded hash; the iterations are spread
     over the cluster and a window only ever covers the units of one iteration.
     """
-    base = df.select(unit, F.col(x).alias("_x"), F.col(y).alias("_y"), F.col(weight).alias("_w"))
+    base = profile.less_means(df.select(unit, F.col(x).alias("_x"), F.col(y).alias("_y"), F.col(weight).alias("_w")), ["_x", "_y"])
     observed = base.agg(profile.weighted_line(F.col("_x"), F.col("_y"), F.col("_w"))[0].alias("slope"))
     rounds = base.withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
     mixed = F.md5(F.concat_ws(":", F.lit(seed), F.col("_i").cast("string"), F.col(unit).cast("string")))

@@ -1011,7 +1011,7 @@ def _(t: Tables):
 def _(t: Tables):
     from tallyframe.operators import selection
 
-    line = _audit(t).agg(F.count("*").alias("team_count"), profile.weighted_line(F.col("x"), F.col("y"), F.col("exposure"))[0].alias("slope"))
+    line = profile.less_means(_audit(t), ["x", "y"]).agg(F.count("*").alias("team_count"), profile.weighted_line(F.col("x"), F.col("y"), F.col("exposure"))[0].alias("slope"))
     gated = selection.all_gates(line, {"enough_teams": F.col("team_count") >= 10, "slope_reached": F.col("slope") >= 0.25})
     return gated.withColumn("slope", r6("slope"))
 

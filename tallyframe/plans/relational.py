@@ -810,9 +810,10 @@ def _(t: Tables):
 )
 def _(t: Tables):
     x, y, w = F.col("l_quantity"), F.col("l_extendedprice") / 1000, 1 - F.col("l_discount")
-    return t.lineitem.groupBy("l_returnflag").agg(
+    lines = t.lineitem.select("l_returnflag", "l_quantity", "l_extendedprice", x.alias("x"), y.alias("y"), w.alias("w"))
+    return profile.less_means(lines, ["x", "y"]).groupBy("l_returnflag").agg(
         r6(F.corr("l_quantity", "l_extendedprice")).alias("pearson"),
-        r6(profile.weighted_line(x, y, w)[0]).alias("weighted_slope"),
+        r6(profile.weighted_line(F.col("x"), F.col("y"), F.col("w"))[0]).alias("weighted_slope"),
         r6(profile.origin_slope(x, y)).alias("origin_slope"),
     )
 

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.operators import composition, fits, rates, season, shrinkage, statevalue
+from tallyframe.operators import composition, fits, profile, rates, season, shrinkage, statevalue
 
 PARTS = ["a", "b", "c"]
 
@@ -312,3 +312,17 @@ def test_larger_additive_fits_equal_the_dense_one(spark, monkeypatch):
     apart = cells.where("(a < 'a3') = (b < 'b4')")
     with pytest.raises(ValueError, match="rank deficient"):
         fits.additive_effects(apart, "a", "b", ("a3", "b5"))
+
+
+def test_lines_far_from_zero_keep_their_digits(spark):
+    """Slopes and errors where raw sums of squares would have lost every digit that matters."""
+    draw = random.Random(4)
+    rows = [(i, 1e9 + draw.random(), draw.choice([1.0, 2.0])) for i in range(2_000)]
+    table = spark.createDataFrame([(i, x, 2 * (x - 1e9) + 3e9, w) for i, x, w in rows], "unit bigint, x double, y double, w double")
+    line = profile.less_means(table, ["x", "y"]).agg(profile.weighted_line(F.col("x"), F.col("y"), F.col("w"))[0].alias("slope")).first()
+    assert line["slope"] == pytest.approx(2.0, abs=1e-5)
+    assert rates.permutation_p_value(table.limit(200), "unit", "x", "y", "w", 9, "s").first()["observed_slope"] == pytest.approx(2.0, abs=1e-4)
+    near = spark.createDataFrame([(1, 1e6 + i, 1.0, 3 * (1e6 + i) + (-1) ** i * 1e-3) for i in range(1_000)] + [(2, 0.0, 1.0, 1.0)], "period bigint, score double, chance double, target double")
+    found = {r["period"]: r for r in rates.native_run_rates(near, "period", "score", "chance", "target").collect()}
+    assert found[1]["rmse"] == pytest.approx(1e-3, rel=1e-3) and found[1]["row_count"] == 1_000
+    assert found[2]["slope"] is None and found[2]["rmse"] is None

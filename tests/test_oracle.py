@@ -25,7 +25,7 @@ def test_registry():
 
 
 # No cross or nested-loop join, and no Python in the data path.
-FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas"]
+FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "MapInArrow", "FlatMapGroupsInArrow", "AggregateInPandas", "WindowInPandas"]
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
