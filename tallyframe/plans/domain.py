@@ -432,11 +432,23 @@ def _statuses(rows, faults, group, **sums):
     return kept.unionByName(faults.groupBy(*group, F.col("fault").alias("status")).agg(F.count("*").alias("entry_count"), *empty))
 
 
+def _judged_statuses(rows, group, **sums):
+    """The same of rows that carry their ``fault``, in one reading."""
+    kept = F.col("fault").isNull()
+    totals = [big(F.sum(F.when(kept, F.col(c) if isinstance(c, str) else c))).alias(n) for n, c in sums.items()]
+    return rows.groupBy(*group, F.coalesce("fault", F.lit("kept")).alias("status")).agg(F.count("*").alias("entry_count"), *totals)
+
+
 def _numbers(**values):
     """A JSON object of counts written as text."""
     return F.create_map(*[part for name, value in values.items() for part in (F.lit(name), value.cast("string"))])
 
 
+def _spread(rows, key, *others):
+    """The columns that documents are made of, dealt out by key: a small file is one task, but its documents are much to parse."""
+    return rows.select(key, *others).repartition(key)
+
+
 _POSITIONS = ["P", "C", "1B", "2B", "3B", "SS", "LF", "CF", "RF", "DH", "XX"]
 
 
@@ -465,7 +477,7 @@ def _(t: Tables):
     who = F.struct(k.alias("id"), F.col("c_name").alias("fullName"))
     entry = F.to_json(F.struct(who.alias("player"), F.struct(F.col("c_nationkey").alias("id")).alias("team"), place.alias("position"), stat.alias("stat")))
     text = F.concat(F.lit('{"splits":['), entry, F.lit(","), F.when(k % 17 == 0, entry).otherwise("5"), F.lit("]}"))
-    documents = t.customer.select(
+    documents = _spread(t.customer, "c_custkey", "c_name", "c_nationkey", "c_mktsegment").select(
         big(F.lit(1990) + F.col("c_nationkey")).alias("season"),
         big("c_nationkey").alias("league_id"),
         F.col("c_mktsegment").alias("level_group"),
@@ -492,7 +504,7 @@ def _boxscores(t: Tables):
     away = side([first, second], _numbers(plateAppearances=k % 6 + k % 4 + (k % 10 == 0).cast("int"), hits=k % 3 + 1))
     home = side([third], _numbers(plateAppearances=k % 6, hits=F.lit(0)))
     text = F.to_json(F.struct(F.struct(away.alias("away"), home.alias("home")).alias("teams")))
-    return t.orders.select(k.alias("game_pk"), F.when(k % 97 == 0, '{"teams": 3}').otherwise(text).alias("document"))
+    return _spread(t.orders, "o_orderkey").select(k.alias("game_pk"), F.when(k % 97 == 0, '{"teams": 3}').otherwise(text).alias("document"))
 
 
 _BOX = """o as (select o_orderkey k from orders), g as (select k from o where k % 97 <> 0),
@@ -508,8 +520,8 @@ _BOX = """o as (select o_orderkey k from orders), g as (select k from o where k
           sum(case when status = 'kept' then hits end)::bigint hits from p group by 1, 2""",
 )
 def _(t: Tables):
-    lines, faults = records.boxscore_players(_boxscores(t), "document")
-    return _statuses(lines, faults, ["batting_side"], plate_appearances="plate_appearances", hits="hits")
+    lines = records.boxscore_lines(_boxscores(t), "document")
+    return _judged_statuses(lines, ["batting_side"], plate_appearances="plate_appearances", hits="hits")
 
 
 @query(
@@ -544,7 +556,7 @@ def _play_documents(t: Tables):
     user = F.col("user_id")
     extra = F.when(k % 6 == 0, play(1, F.lit("unheard_of"), user)).when(k % 10 == 1, play(0, kind, user + 1)).otherwise("[]")
     text = F.concat(F.lit('{"allPlays":['), play(0, kind, user), F.lit(","), play(0, kind, user, True), F.lit(","), extra, F.lit("]}"))
-    return t.events.select(k.alias("game_pk"), text.alias("document"))
+    return _spread(t.events, "event_id", "user_id", "event_type").select(k.alias("game_pk"), text.alias("document"))
 
 
 _EVENT_KINDS = {**dict.fromkeys(events.v.PLATE_APPEARANCE_EVENTS, True), "wild_pitch": False}
@@ -601,7 +613,7 @@ def _(t: Tables):
         F.struct(team("away"), team("home")).alias("teams"),
     )
     text = F.when(k % 53 == 0, "[").otherwise(F.to_json(F.struct(data.alias("gameData"))))
-    games, faults = records.game_leagues(t.orders.select(k.alias("game_pk"), text.alias("document")), "document")
+    games, faults = records.game_leagues(_spread(t.orders, "o_orderkey", "o_custkey", "o_orderdate").select(k.alias("game_pk"), text.alias("document")), "document")
     return _statuses(games, faults.withColumn("league_id", F.lit(None).cast("bigint")), ["league_id"], year_sum=F.year("game_date"))
 
 
@@ -627,9 +639,10 @@ def _(t: Tables):
     whole = split(F.lit(1), game(F.lit(True)), F.lit(1))
     second = split(F.when(case == 0, 2).otherwise(1), game(case != 2), F.when(case == 3, 9).otherwise(1))
     groups = F.array(F.struct(F.array(whole).alias("splits")), F.struct(F.array(second).alias("splits")), F.struct(F.when(F.lit(False), F.array(second)).alias("splits")))
-    documents = t.orders.select(F.col("o_custkey").alias("player_id"), big(F.lit(1)).alias("sport_id"), F.to_json(F.struct(groups.alias("stats"))).alias("document"))
-    games, faults = records.hitting_game_log(documents, "document")
-    return _statuses(games, faults, [], batting_pa="batting_PA", added_games=F.col("team_id").isNull().cast("int"))
+    rows = _spread(t.orders, "o_orderkey", "o_custkey", "o_orderdate")
+    documents = rows.select(F.col("o_custkey").alias("player_id"), big(F.lit(1)).alias("sport_id"), F.to_json(F.struct(groups.alias("stats"))).alias("document"))
+    games = records.game_log_rows(documents, "document")
+    return _judged_statuses(games, [], batting_pa="batting_PA", added_games=F.col("team_id").isNull().cast("int"))
 
 
 def _lines_and_contacts(t: Tables):

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.baseball import seasons
@@ -175,3 +176,26 @@ def test_line_evidence(spark):
     assert first["participant_authority_status"] == "mixed_source_and_official" and rows[2]["participant_authority_status"] == "no_contact_identity_needed"
     assert sorted((r["game_pk"], r["core_bin"], r["occurrence_count"]) for r in profile.collect()) == [(1, "BB_HBP", 1), (1, "K", 1), (1, "PULL_LD", 1), (2, "BB_HBP", 1)]
     assert sorted((r["game_pk"], r["fault"]) for r in faults.collect()) == [(3, "unresolved_outcome"), (4, "incomplete_vector"), (5, "uncertified_league")]
+
+
+@pytest.mark.parametrize("adapter", ["fielding_usage", "boxscore_players", "play_sequences", "game_leagues", "hitting_game_log"])
+def test_texts_are_parsed_once(spark, adapter):
+    # A condition on a parsed field must not parse the text again for each of its rules.
+    keys = {"fielding_usage": ["season", "league_id", "level_group"], "hitting_game_log": ["player_id", "sport_id"]}.get(adapter, ["game_pk"])
+    documents = spark.createDataFrame([("{}",)], "document string").select(*[F.lit(1).cast("bigint").alias(k) for k in keys], "document")
+    more = [{"single": True}] if adapter == "play_sequences" else []
+    for frame in getattr(records, adapter)(documents, "document", *more):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        passes = plan.count("LogicalRDD")
+        assert passes and plan.count("from_json") <= 2 * passes
+
+
+def test_box_lines_and_game_rows_carry_faults_in_one_reading(spark):
+    box = '{"teams": {"away": {"players": {"ID1": {"person": {"id": 1}, "stats": {"batting": {"hits": 2}}}, "ID2": {"person": {"id": 3}}}}}}'
+    lines = records.boxscore_lines(spark.createDataFrame([(7, box)], "game_pk bigint, document string"), "document")
+    got = {(r["batting_side"], r["player_key"], r["hits"], r["fault"]) for r in lines.collect()}
+    assert got == {("away", "ID1", 2, None), ("away", "ID2", None, "player_key_mismatch"), ("home", None, None, "unreadable_document")}
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    # Two documents of one player with the same fault at the same place stay two faults.
+    log = spark.createDataFrame([(1, 1, '{"stats": [{"splits": [{"game": {}}]}]}')] * 2, "player_id bigint, sport_id bigint, document string")
+    assert [r["fault"] for r in records.game_log_rows(log, "document").collect()] == ["missing_game"] * 2
