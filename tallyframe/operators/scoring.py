@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -131,6 +131,27 @@ def value_calibration(df: DataFrame, groups: Sequence[str], truth: str, predicti
     )
 
 
+def paired_scores(df: DataFrame, groups: Sequence[str], losses: Mapping[str, tuple[Column, Column]], exposure: Column, name: str) -> DataFrame:
+    """``exposure_scores`` of several candidates of the same rows, one output row per group and candidate.
+
+    ``losses`` maps a candidate to its loss and secondary score. All are summed side by side in one order of the rows,
+    so candidates with equal losses have equal scores to the last bit and neither beats the other.
+    """
+    sums = [part for i, (loss, secondary) in enumerate(losses.values()) for part in (F.sum(loss).alias(f"_loss_{i}"), F.sum(secondary).alias(f"_secondary_{i}"))]
+    totals = df.where(exposure > 0).groupBy(*groups).agg(*sums, F.sum(exposure).alias("_exposure"), F.count("*").alias("_rows"))
+    cells = [
+        F.struct(
+            F.lit(candidate).alias(name),
+            (F.col(f"_loss_{i}") / F.col("_exposure")).alias("score"),
+            F.col("_exposure").alias("exposure"),
+            F.col("_rows").alias("observation_count"),
+            (F.col(f"_secondary_{i}") / F.col("_exposure")).alias("secondary_score"),
+        )
+        for i, candidate in enumerate(losses)
+    ]
+    return totals.select(*groups, F.inline(F.array(*cells)))
+
+
 def exposure_scores(df: DataFrame, groups: Sequence[str], loss: Column, secondary: Column, exposure: Column) -> DataFrame:
     """Loss per unit of exposure, with a secondary score, for each group."""
     return df.where(exposure > 0).groupBy(*groups).agg(

@@ -204,3 +204,28 @@ def test_late_snapshots_merge_in_any_order(spark, tmp_path):
         answers.append(sorted(map(tuple, spark.table(f"merged{turn}").collect())))
     assert answers[0] == answers[1]
     assert [(r[0], r[3], r[4], r[5]) for r in answers[0]] == [(1, "a", 1, []), (2, None, 2, ["s"]), (3, None, 5, [])]
+
+
+def test_equal_candidates_tie_to_the_last_bit(spark):
+    """Two of three candidates give equal predictions: sums of doubles in any order of the rows must not part them."""
+    rng = random.Random(11)
+    data = [(i % 3, rng.random() * 10 ** rng.randrange(-3, 9), 1.0, 1.0 + (i % 7 == 0)) for i in range(5000)]
+    rows = spark.createDataFrame(data, "week int, loss double, same double, other double").repartition(13)
+    losses = {c: (F.col("loss") * F.col(m), F.col("loss") * F.col(m) / 3) for c, m in (("B0", "same"), ("B1", "same"), ("B2", "other"))}
+    scores = scoring.paired_scores(rows, ["week"], losses, F.lit(1.0), "candidate").collect()
+    by = {(r["week"], r["candidate"]): (r["score"], r["secondary_score"]) for r in scores}
+    assert len(by) == 9
+    for week in range(3):
+        assert by[week, "B0"] == by[week, "B1"] != by[week, "B2"]
+        assert by[week, "B0"][0] == pytest.approx(math.fsum(loss for w, loss, _, _ in data if w == week) / sum(w == week for w, *_ in data))
+
+
+def test_candidates_share_the_rows_of_their_sums(spark):
+    """A candidate is a column: rows of one candidate cannot come to a sum in another order than those of another."""
+    from tallyframe.plans import decision, registry
+
+    rows = decision._candidate_rows(registry.Tables(spark, "/root/testdata/sf0.001"))
+    assert set(decision.CANDIDATES) <= set(rows.columns)
+    folds = {(r["week"], r["candidate"]): r["score"] for r in decision._candidate_scores(rows, ["week"]).collect()}
+    first = min(w for w, _ in folds)  # no history yet, so every candidate predicts the same
+    assert len({folds[first, c] for c in decision.CANDIDATES}) == 1
