@@ -61,12 +61,13 @@ def leave_one_out(
 
 
 # Exact selection: accuracy of the sketch that gives the brackets, how far a bracket reaches beyond a point (both as
-# parts of the rows), and the number of rows up to which a group is its own bracket.
-SKETCH_ACCURACY, REACH, FEW_ROWS = 20_000, 1 / 4_000, 10_000
+# parts of the rows), the number of rows up to which a group is its own bracket, and the parts that the rows of larger
+# groups are dealt to.
+SKETCH_ACCURACY, REACH, FEW_ROWS, DEALT = 20_000, 1 / 4_000, 10_000, 64
 
 
 def _brackets(known: DataFrame, keys: Sequence[str], value: str, points: Sequence[float]) -> DataFrame:
-    """Per key the values between which each point's rows must lie: an array of (point, low rank, high rank, from, to)."""
+    """Per key its rows and the values between which each point's rows must lie: an array of (point, position, from, to)."""
     ends = [min(max(float(p) + side * REACH, 0.0), 1.0) for p in points for side in (-1, 1)]
     sizes = known.groupBy(*keys).agg(
         F.count("*").alias("_size"), F.min(value).alias("_least"), F.max(value).alias("_most"), F.percentile_approx(value, ends, SKETCH_ACCURACY).alias("_ends")
@@ -83,7 +84,18 @@ def _brackets(known: DataFrame, keys: Sequence[str], value: str, points: Sequenc
                 F.when(few, F.col("_most")).otherwise(F.get("_ends", F.lit(2 * i + 1))).alias("_to"),
             )
         )
-    return sizes.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.array(*cells).alias("_brackets"))
+    return sizes.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_size", F.array(*cells).alias("_brackets"))
+
+
+def _with_brackets(known: DataFrame, keys: Sequence[str], points: Sequence[float]) -> DataFrame:
+    """Rows with the brackets of their group, null for a small group."""
+    brackets = _brackets(known, keys, "_value", points)
+    if not keys:
+        return known.withColumn("_brackets", brackets.select("_brackets").scalar())
+    large = brackets.where(F.col("_size") > FEW_ROWS).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
+    dealt = known.withColumn("_deal", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(DEALT)).cast("int"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return dealt.join(large, [*same, F.col("_deal") == F.col("_part")], "left")
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, points: Sequence[float]) -> DataFrame:
@@ -93,19 +105,24 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, points: Sequ
     sketch brackets each point; rows below a bracket are only counted, and those inside, a small part
     of a large group, are combined by value and accumulated. The counts prove the result: a position
     that no value inside its bracket covers raises an error instead of giving a neighbour.
+
+    Rows meet the bracket of a large group in ``DEALT`` parts, so a group with most rows is not one task; large
+    groups are few, so their copies are. A small group needs no bracket: its position follows from its counts.
     """
     known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_value"))
-    brackets = _brackets(known, keys, "_value", points)
-    if keys:
-        placed = known.join(brackets, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
-    else:
-        placed = known.withColumn("_brackets", brackets.select("_brackets").scalar())
-    reached = F.filter("_brackets", lambda b: F.col("_value") <= b["_to"])
+    placed = _with_brackets(known, keys, points)
+    kind = known.schema["_value"].dataType
+    whole = [(F.lit(float(p)).alias("_point"), F.lit(None).cast("double").alias("_position"), F.lit(None).cast(kind).alias("_from"), F.lit(None).cast(kind).alias("_to")) for p in points]
+    own = F.coalesce("_brackets", F.array(*[F.struct(*cell) for cell in whole]))
+    reached = F.filter(own, lambda b: b["_to"].isNull() | (F.col("_value") <= b["_to"]))
     each = placed.select(*keys, "_value", F.inline(reached))
-    inside = F.when(F.col("_value") >= F.col("_from"), F.col("_value"))  # null stands for all values below
+    inside = F.when(F.col("_from").isNull() | (F.col("_value") >= F.col("_from")), F.col("_value"))  # null stands for all values below
     counts = each.groupBy(*keys, "_point", "_position", inside.alias("_inside")).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(*keys, "_point", "_position").orderBy(F.asc_nulls_first("_inside")))
-    ranked = counts.withColumn("_upto", upto).withColumn("_first", F.col("_upto") - F.col("_n"))
+    group = Window.partitionBy(*keys, "_point", "_position")
+    upto = F.sum("_n").over(group.orderBy(F.asc_nulls_first("_inside")))
+    small = F.col("_point") * (F.sum("_n").over(group) - 1)
+    ranked = counts.withColumns({"_upto": upto, "_small": small}).withColumn("_first", F.col("_upto") - F.col("_n"))
+    ranked = ranked.withColumn("_position", F.coalesce("_position", "_small")).drop("_small")
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("_first") <= rank) & (rank < F.col("_upto")), F.col("_inside")))

@@ -187,3 +187,19 @@ def test_a_hot_day_is_spread_over_the_tasks(spark):
     folds = {r["id"]: r["fold"] for r in windows.round_robin_fold(placed, ["day", "id"], scan.SLICE, 5).collect()}
     want = sorted(zip(days.tolist(), ids.tolist(), strict=True))
     assert folds == {i: place % 5 for place, (_, i) in enumerate(want)}
+
+
+def test_a_large_group_meets_its_bracket_in_parts(spark):
+    """Rows of one large group come to many partitions of the join, not to one."""
+    df = spark.range(60_000, numPartitions=4).select(F.lit("all").alias("g"), F.col("id").cast("double").alias("v"))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        joined = profile._with_brackets(df.withColumnRenamed("v", "_value"), ["g"], [0.5])
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) > 4 and max(sizes) < 30_000
+        assert [r["quantile"] for r in profile.exact_quantiles(df, ["g"], "v", [0.5, 1.0]).orderBy("point").collect()] == [29_999.5, 59_999.0]
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
