@@ -480,6 +480,42 @@ def test_near_duplicates_by_brute_force(spark, docs):
     assert neardup.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_components_take_few_written_rounds(spark, monkeypatch):
+    random.seed(10)
+    tables, write = [], neardup.written
+    monkeypatch.setattr(neardup, "written", lambda df, label: tables.append(label) or write(df, label))
+    nodes = [n - (1 << 61) for n in random.sample(range(1 << 62), 400)]
+    path = list(itertools.pairwise(nodes[:9]))
+    stars = [(n, min(nodes[k : k + 20])) for k in range(100, 200, 20) for n in nodes[k : k + 20] if n != min(nodes[k : k + 20])]
+    rest = [tuple(random.sample(nodes[200:], 2)) for _ in range(150)]
+    for links, most in ((stars, 1), (stars + path + rest, 9)):
+        root = {n: n for pair in links for n in pair}
+
+        def top(n):
+            while root[n] != n:
+                n = root[n]
+            return n
+
+        for a, b in links:
+            root[max(top(a), top(b))] = min(top(a), top(b))
+        tables.clear()
+        label = neardup.components(spark.createDataFrame(links, "a bigint, b bigint"))
+        assert {r.node: r.label for r in label.collect()} == {n: top(n) for n in root}
+        assert tables.count("labels") <= most, tables
+    tables.clear()
+    assert neardup.components(spark.createDataFrame([], "a bigint, b bigint")) is None and tables == ["links"]
+
+
+def test_later_links_join_classes_only(spark):
+    first = spark.createDataFrame([(2, 1), (3, 1), (6, 5)], "node bigint, label bigint")
+    links = spark.createDataFrame([(2, 3), (3, 6), (7, 6), (7, 8), (1, 2)], "a bigint, b bigint")
+    between = neardup._between(links, [first])
+    assert sorted(tuple(r) for r in between.collect()) == [(1, 5), (7, 5), (7, 8)]
+    members = spark.createDataFrame([(n,) for n in (*range(1, 9), 10)], "node bigint")
+    found = neardup._classed(members, [first, neardup.components(between)])
+    assert {r.node: r.label for r in found.collect()} == {n: 1 for n in (1, 2, 3, 5, 6, 7, 8)} | {4: 4, 10: 10}
+
+
 def test_samples_agree_as_often_as_the_similarity_says():
     sampler = neardup._sampler()
     random = np.random.default_rng(8)
