@@ -22,12 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import crc32, map_batches, written
-from tallyframe.llm.tokens import word_encoder
+from tallyframe.llm.common import crc32, map_batches, runs_of_texts, written
+from tallyframe.llm.tokens import TEXT_BYTES, word_encoder
 
 MAGIC, VERSION = b"TFBP", 1
 HEADER = struct.Struct("<4sBBHIQQI")
@@ -126,11 +127,13 @@ def _bounds(docs: DataFrame, id_column: str) -> list[int]:
     return ids.agg(F.percentile_approx("id", cuts, min(100 * parts, 200_000)).alias("b")).first()["b"]
 
 
-def bucket_of(bounds: np.ndarray, key: int | None, text: str | None) -> int:
-    """Range of a document: ranges ascend with the id, and an id that is a bound is dealt to all ranges it touches by its text."""
-    key = NO_ID if key is None else key
-    low, high = int(np.searchsorted(bounds, key, "left")), int(np.searchsorted(bounds, key, "right"))
-    return low if low == high else low + zlib.crc32((text or "").encode("utf-8", "surrogatepass")) % (high - low + 1)
+def buckets_of(bounds: np.ndarray, keys: pa.Array, texts: list[str | None]) -> np.ndarray:
+    """Range of each document: ranges ascend with the id, and an id that is a bound is dealt to all ranges it touches by its text."""
+    own = pc.fill_null(keys.cast(pa.int64()), NO_ID).to_numpy(zero_copy_only=False)
+    out, high = np.searchsorted(bounds, own, "left"), np.searchsorted(bounds, own, "right")
+    for i in np.flatnonzero(out != high).tolist():
+        out[i] += zlib.crc32((texts[i] or "").encode("utf-8", "surrogatepass")) % int(high[i] - out[i] + 1)
+    return out.astype(np.int32)
 
 
 def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -144,13 +147,14 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int
 
         def work(batch):
             keys = batch.column(0)
-            for start in range(0, batch.num_rows, 256):
-                part = keys.slice(start, 256)
-                texts = batch.column(1).slice(start, 256).to_pylist()
-                found = encoder.encode(texts)
-                packed = [np.append(x, np.uint32(end_id)).astype(encoder.width).tobytes() for x in found]
-                bucket = [bucket_of(edges, k, t) for k, t in zip(part.to_pylist(), texts, strict=True)]
-                yield pa.RecordBatch.from_arrays([part, pa.array(bucket, pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "bucket", "ids"])
+            for start, end in runs_of_texts(batch.column(1), TEXT_BYTES):
+                part = keys.slice(start, end - start)
+                texts = batch.column(1).slice(start, end - start).to_pylist()
+                flat, ends = encoder.encode_flat(texts)
+                ids = np.insert(flat, ends, end_id)
+                places = np.append(0, ends + np.arange(1, len(part) + 1)) * ids.itemsize
+                packed = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(places.astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([part, pa.array(buckets_of(edges, part, texts)), packed], ["doc_id", "bucket", "ids"])
 
         return work
 

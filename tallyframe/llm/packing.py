@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import crc32, map_batches, written
-from tallyframe.llm.tokens import word_encoder
+from tallyframe.llm.common import crc32, map_batches, runs_of_texts, written
+from tallyframe.llm.tokens import TEXT_BYTES, word_encoder
 
 CAPACITY = 4096
 END_ID = 1
@@ -98,10 +98,10 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VO
 
         def work(batch):
             keys = batch.column(0)
-            for begin in range(0, batch.num_rows, 256):
+            for begin, end in runs_of_texts(batch.column(1), TEXT_BYTES):
                 own, number, starts, lengths, sums, ids_out = [], [], [], [], [], []
-                part = keys.slice(begin, 256)
-                for i, found in enumerate(encoder.encode(batch.column(1).slice(begin, 256).to_pylist())):
+                part = keys.slice(begin, end - begin)
+                for i, found in enumerate(encoder.encode(batch.column(1).slice(begin, end - begin).to_pylist())):
                     ids = np.append(found, np.uint32(end_id))
                     for k, a in enumerate(range(0, len(ids), capacity)):
                         some = ids[a : a + capacity]

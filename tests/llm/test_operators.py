@@ -5,6 +5,7 @@ import itertools
 import json
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -302,6 +303,36 @@ def test_word_encoder_is_the_tokenizer(texts):
     assert all([*ids.tolist(), 1] == encoded(t) for ids, t in zip(encoder.encode(many), many, strict=True))
 
 
+def test_word_encoder_splits_marks_and_forgets(monkeypatch):
+    """Every mark and Latin-1 letter around a stem, in one long call; few words are kept, so most are met anew or again."""
+    monkeypatch.setattr(tokens, "KEPT_WORDS", 50)
+    monkeypatch.setattr(tokens, "NEW_STEMS", 7)
+    signs = [chr(c) for c in range(1, 256)] + ["***", "'s", "'ll", ",***", "<|", "|>", "/w>", "'t,", "...'", "\u0301", "=\u0338"]
+    many = [f"{a}{b} {a}{b}{a} {b}{a} {a} x{b}{b}" for a in ("word", "Ñandú", "straßeº", "ªµ") for b in signs] + [None, "", " ", "  a  ", "Ab <|ENDOFTEXT|> c<|EndOfText|>d <|endoftext|>"]
+    encoder = tokens.WordEncoder("word_bpe_49k.json")
+    for some in (many, many[:3], [], many[::-1]):
+        assert all([*ids.tolist(), 1] == encoded(t) for ids, t in zip(encoder.encode(some), some, strict=True))
+    flat, ends = encoder.encode_flat(["", None, "a", ""])
+    assert flat.tolist() == encoded("a")[:-1] and ends.tolist() == [0, 0, 1, 1]
+
+
+def test_word_encoder_does_little_for_each_word():
+    """Neither a word that is new nor one met again costs a call in Python: calls are for each text and many words at a time."""
+    random.seed(3)
+    new = ["".join(random.choices("abcdeé", k=9)) + random.choice(["", ",", "***"]) for _ in range(20_000)]
+    some = [" ".join(new[i : i + 1000]) for i in range(0, len(new), 1000)]
+    encoder = tokens.WordEncoder("word_bpe_49k.json")
+    encoder.encode(["some words come first"])
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event in ("call", "c_call") else None)
+    try:
+        encoder.encode(some)
+        encoder.encode(some)
+    finally:
+        sys.setprofile(None)
+    assert len(calls) < len(new) / 2
+
+
 @pytest.mark.parametrize("kind", [bitplanes.BIT_PLANES, bitplanes.BYTE_PLANES])
 def test_plane_files(kind):
     ids = np.random.default_rng(2).integers(0, 70_000, 10_001).astype(np.uint32)
