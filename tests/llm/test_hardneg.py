@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -86,3 +87,50 @@ def test_odd_tables(spark):
     odd += [(500, [1.0, 2.0], None), (600, [1.0, 2.0], 5), (601, [1.0, float("inf")], 5), (602, [1.0, 2.0], 5), (603, [0.5, 1.0], 6), (604, [0.5, 1.0], 6), (604, [0.5, 1.0], 6), (605, [-1.0, -1.0], 6)]
     assert results(hardneg.hard_negatives(table(spark, odd))) == by_hand(odd) != []
     assert hardneg.hard_negatives(table(spark, [])).count() == 0
+
+
+def test_blocks_and_cells_meet_without_a_join(spark, monkeypatch):
+    """A broadcast side grew with anchors x cells, and the index was copied for every block."""
+    plans, copies = [], []
+    for name in ("find_positives", "find_negatives"):
+
+        def seen(pairs, *rest, find=getattr(hardneg, name)):
+            plans.append(pairs._jdf.queryExecution().executedPlan().toString())
+            copies.append(pairs.agg({"n": "sum"}).first()[0])
+            return find(pairs, *rest)
+
+        monkeypatch.setattr(hardneg, name, seen)
+    monkeypatch.setattr(hardneg.anchor_blocks, "__defaults__", (3,))
+    draw = random.Random(5)
+    rows = [(10 * i, [round(draw.gauss(0, 1), 1) for _ in range(4)], i % 3) for i in range(400)]
+    assert results(hardneg.hard_negatives(table(spark, rows), bucket_rows=8)) == by_hand(rows) != []
+    assert "Join" not in plans[0] and "Broadcast" not in plans[0]
+    assert len(re.findall("Join ", plans[1])) == 1  # the positives' scores beside their anchors
+    assert copies == [400, 400]  # each row of the index once
+
+
+@pytest.mark.parametrize("size", [100, 20_000, 1 << 26])
+@pytest.mark.parametrize("same", [True, False])
+def test_search_against_all_pairs(size, same):
+    """Scores below 2^24, 2^53 and above, read from lists and from products."""
+    draw = np.random.default_rng(size)
+    x = (draw.normal(size=(200, 8)) * draw.choice([0.1, 0.5, 1], size=(200, 1)) * size).astype(np.int64)
+    x[20:40] = x[:20]
+    keys, labels = draw.integers(0, 150, 200), draw.integers(0, 3, 200)
+    buckets = []
+    order = np.argsort(-(x.astype(float) ** 2).sum(axis=1))
+    for part in np.split(order, 4):
+        lists = np.argsort(x[part], axis=0, kind="stable").astype("<u2").T
+        buckets.append(hardneg.Bucket({"n": 50, "dim": 8, "longest": math.sqrt(float((x[part[0]].astype(float) ** 2).sum())), "kind": "<i8", "short": "<u2", "keys": keys[part].tobytes(), "labels": labels[part].tobytes(), "x": x[part].tobytes(), "lists": np.ascontiguousarray(lists).tobytes()}))
+    queries_of = np.concatenate([x[::7], np.zeros((1, 8), np.int64)])
+    asked = hardneg.Asked(np.arange(len(queries_of)), np.arange(len(queries_of)) % 3, queries_of)
+    scores = [[sum(int(a) * int(b) for a, b in zip(q, v, strict=True)) for v in x] for q in queries_of]
+    low = np.array([[np.quantile(s, 0.2).astype(int), np.quantile(s, 0.97).astype(int), hardneg.NONE, 1] for s in scores], np.int64)
+    high = np.array([[np.quantile(s, 0.7).astype(int), hardneg.ALL, hardneg.ALL, 0] for s in scores], np.int64)
+    found = sorted(zip(*[c.tolist() for c in hardneg.search(buckets, asked, low, high, same, 4)], strict=True))
+    expected = []
+    for i, line in enumerate(scores):
+        for p in range(4):
+            fit = [(-s, k) for s, k, label in zip(line, keys.tolist(), labels.tolist(), strict=True) if low[i, p] <= s <= high[i, p] and (label == i % 3) == same and k != i]
+            expected += [(i, p, k, -s) for s, k in sorted(fit)[:4]]
+    assert found == sorted(expected)
